@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from foliate.llm import exact_dedup, packing, sql
-from foliate.llm.common import table
+from foliate.llm import exact_dedup, packing, records, sql, warc
+from foliate.llm.common import shared_folder, table
 
 
 def vocabulary() -> str:
@@ -20,12 +20,22 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    manifest = warc.write_warc(table(spark, sf_dir, "pages"), shared_folder(spark))
+    return warc.read_warc(manifest).filter("problem is null").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op6_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    manifest = records.write_records(table(spark, sf_dir, "documents"), shared_folder(spark), vocabulary())
+    return records.read_records(manifest).select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), vocabulary())
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_exact_dedup, op8_packing)}
+    return {f.__name__: f for f in (op3_exact_dedup, op5_warc, op6_token_records, op8_packing)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -7,4 +7,15 @@ SELECT doc_id, first_value(doc_id) OVER (PARTITION BY norm ORDER BY chars DESC,
 FROM t
 """
 
-ORACLES = {"op3_exact_dedup": OP3}
+OP5 = r"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS body, sha1(coalesce(html, '')) AS hex FROM pages),
+first AS (SELECT *, min(page_id) OVER (PARTITION BY body) AS low FROM p)
+SELECT page_id, strlen(body) AS payload_bytes,
+       array_to_string(list_transform(range(8), lambda g: array_to_string(list_transform([15, 10, 5, 0], lambda s:
+         substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((('0x' || substr(hex, (5 * g + 1)::INT, 5))::INT >> s) & 31) + 1, 1)), '')), '') AS payload_digest,
+       CASE WHEN low = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN low < page_id THEN low END AS refers_to
+FROM first
+"""
+
+ORACLES = {"op3_exact_dedup": OP3, "op5_warc": OP5}
