@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from foliate.llm import exact_dedup, packing, records, sql, warc
+from foliate.llm import decontaminate, exact_dedup, packing, records, sql, warc
 from foliate.llm.common import shared_folder, table
 
 
@@ -20,6 +20,10 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     manifest = warc.write_warc(table(spark, sf_dir, "pages"), shared_folder(spark))
     return warc.read_warc(manifest).filter("problem is null").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -35,7 +39,7 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_exact_dedup, op5_warc, op6_token_records, op8_packing)}
+    return {f.__name__: f for f in (op3_exact_dedup, op4_decontaminate, op5_warc, op6_token_records, op8_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
