@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from foliate.llm import decontaminate, exact_dedup, packing, records, sql, warc
+from foliate.llm import decontaminate, exact_dedup, minhash, packing, records, sql, warc
 from foliate.llm.common import shared_folder, table
 
 
@@ -38,8 +38,12 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), vocabulary())
 
 
+def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), n=2)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_exact_dedup, op4_decontaminate, op5_warc, op6_token_records, op8_packing)}
+    return {f.__name__: f for f in (op3_exact_dedup, op4_decontaminate, op5_warc, op6_token_records, op8_packing, op10_minhash)}
 
 
 def oracle_sql() -> dict[str, str]:
