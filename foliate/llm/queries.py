@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from foliate.llm import decontaminate, exact_dedup, minhash, packing, records, sql, warc
+from foliate.llm import decontaminate, exact_dedup, minhash, packing, records, sql, substring, warc
 from foliate.llm.common import shared_folder, table
 
 
@@ -16,6 +16,11 @@ def vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substring.substring_dedup(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -43,7 +48,7 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_exact_dedup, op4_decontaminate, op5_warc, op6_token_records, op8_packing, op10_minhash)}
+    return {f.__name__: f for f in (op1_substring_dedup, op3_exact_dedup, op4_decontaminate, op5_warc, op6_token_records, op8_packing, op10_minhash)}
 
 
 def oracle_sql() -> dict[str, str]:
