@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from foliate.llm import decontaminate, exact_dedup, minhash, packing, records, sql, substring, warc
+from foliate.llm import decontaminate, exact_dedup, language, minhash, packing, records, sql, substring, warc
 from foliate.llm.common import shared_folder, table
 
 
@@ -43,12 +43,16 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), vocabulary())
 
 
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.language_id(table(spark, sf_dir, "documents"))
+
+
 def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), n=2)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_substring_dedup, op3_exact_dedup, op4_decontaminate, op5_warc, op6_token_records, op8_packing, op10_minhash)}
+    return {f.__name__: f for f in (op1_substring_dedup, op3_exact_dedup, op4_decontaminate, op5_warc, op6_token_records, op8_packing, op9_language_id, op10_minhash)}
 
 
 def oracle_sql() -> dict[str, str]:
