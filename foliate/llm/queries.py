@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from foliate.llm import decontaminate, exact_dedup, language, minhash, packing, records, sql, substring, warc
+from foliate.llm import decontaminate, exact_dedup, language, minhash, packing, pii, records, sql, substring, warc
 from foliate.llm.common import shared_folder, table
 
 
+#: For the query alone; in production the key is a secret of whoever runs the operator.
+PII_KEY = "key of the registered query"
+
+
 def vocabulary() -> str:
     import public_tokenizers
 
@@ -21,6 +25,10 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+def op2_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.replace_pii(table(spark, sf_dir, "documents"), key=PII_KEY)
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -52,7 +60,7 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_substring_dedup, op3_exact_dedup, op4_decontaminate, op5_warc, op6_token_records, op8_packing, op9_language_id, op10_minhash)}
+    return {f.__name__: f for f in (op1_substring_dedup, op2_pii_surrogates, op3_exact_dedup, op4_decontaminate, op5_warc, op6_token_records, op8_packing, op9_language_id, op10_minhash)}
 
 
 def oracle_sql() -> dict[str, str]:
