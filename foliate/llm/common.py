@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import math
 import uuid
 
@@ -20,10 +21,23 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
 
 
+@contextlib.contextmanager
+def shuffles_dropped(spark: SparkSession):
+    """What runs inside gives its shuffle files back at its end, not when the driver happens to collect its garbage."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, "false")
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write a frame to the shared folder and read it again: its lineage ends there, and no lost executor takes it along."""
     spark, path = df.sparkSession, shared_folder(df.sparkSession)
-    df.write.parquet(path)
+    with shuffles_dropped(spark):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from foliate.llm import decontaminate, exact_dedup, language, minhash, packing, pii, records, sql, substring, warc
+from foliate.llm import decontaminate, exact_dedup, language, minhash, packing, pii, quality, records, sql, substring, warc
 from foliate.llm.common import shared_folder, table
 
 
@@ -47,6 +47,10 @@ def op6_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.read_records(manifest).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents"), quality.trusted_ids(table(spark, sf_dir, "labels")))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), vocabulary())
 
@@ -60,7 +64,7 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_substring_dedup, op2_pii_surrogates, op3_exact_dedup, op4_decontaminate, op5_warc, op6_token_records, op8_packing, op9_language_id, op10_minhash)}
+    return {f.__name__: f for f in (op1_substring_dedup, op2_pii_surrogates, op3_exact_dedup, op4_decontaminate, op5_warc, op6_token_records, op7_quality, op8_packing, op9_language_id, op10_minhash)}
 
 
 def oracle_sql() -> dict[str, str]:
