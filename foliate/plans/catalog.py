@@ -6,12 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from foliate.plans import fact_queries, search_queries, text_queries
+
 Query = Callable[[SparkSession, str], DataFrame]
+AREAS = (search_queries, text_queries, fact_queries)
 
 
 def queries() -> dict[str, Query]:
-    return {}
+    return {name: f for area in AREAS for name, f in area.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: text for area in AREAS for name, text in area.ORACLES.items()}

@@ -1 +1,112 @@
+"""Sources and sinks: corpora of files, delimited sheets, document exports, idempotent stage outputs."""
 
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+#: File types by extension, what may be uploaded, and how large.
+TYPES = {"pdf": "pdf", "jpg": "image", "jpeg": "image", "png": "image", "docx": "docx", "txt": "text", "xlsx": "spreadsheet", "xls": "spreadsheet", "csv": "spreadsheet"}
+ALLOWED = ["pdf", "jpg", "jpeg", "png", "docx", "txt", "csv", "xlsx", "xls"]
+LARGEST = 10 * 1024 * 1024
+SEPARATORS = [",", ";", "\t", "|"]
+
+
+def extension(name: Column) -> Column:
+    return F.lower(F.regexp_extract(name, r"\.([^./]+)$", 1))
+
+
+def file_type(name: Column) -> Column:
+    out = F.lit("unknown")
+    for ext, kind in TYPES.items():
+        out = F.when(extension(name) == ext, kind).otherwise(out)
+    return out
+
+
+def classified(files: DataFrame) -> DataFrame:
+    """files(name, length) with type, and problem where a file would be refused."""
+    ext = extension(F.col("name"))
+    problem = F.when(ext == "", "no extension").when(~ext.isin(ALLOWED), "unsupported format").when(F.col("length") > LARGEST, "too large")
+    return files.withColumn("extension", ext).withColumn("file_type", file_type(F.col("name"))).withColumn("problem", problem)
+
+
+def catalog(spark: SparkSession, path: str) -> DataFrame:
+    """The files below a path; their contents are not read."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    return classified(files.select("path", F.element_at(F.split("path", "/"), -1).alias("name"), "length", "modificationTime"))
+
+
+def decode_text(data: Column) -> Column:
+    """UTF-8 where the bytes are that, else Latin-1, which any bytes are."""
+    return F.when(F.is_valid_utf8(data.cast("string")), F.decode(data, "UTF-8")).otherwise(F.decode(data, "ISO-8859-1"))
+
+
+def sniff(lines: list[str]) -> str:
+    """The separator with the same count, above none, on most of a file's first lines."""
+    best, most = ",", 0
+    for sep in SEPARATORS:
+        counts = [x.count(sep) for x in lines if x.strip()]
+        if counts and counts[0] and (steady := sum(c == counts[0] for c in counts)) > most:
+            best, most = sep, steady
+    return best
+
+
+def load_sheets(spark: SparkSession, path: str, head: int = 4000) -> DataFrame:
+    """sheet, rn, cells of the delimited files below a path, each with its own separator; blank lines are left out.
+
+    A file is one row while it is read (uploads are bounded by LARGEST); quoted separators stay in their cell.
+    """
+    files = spark.read.format("binaryFile").load(path).filter(F.col("length") <= LARGEST)
+    text = files.select(F.col("path").alias("sheet"), decode_text(F.col("content")).alias("text"))
+    first = F.slice(F.split(F.left("text", F.lit(head)), r"\r?\n"), 1, 50)
+    sep = F.udf(sniff)(first)  # one call for each file
+    lines = text.withColumn("sep", sep).select("sheet", "sep", F.posexplode(F.split("text", r"\r?\n")).alias("pos", "line")).filter(F.trim("line") != "")
+    quoted = F.concat(F.lit(r"\Q"), "sep", F.lit(r"\E(?=(?:[^\"]*\"[^\"]*\")*[^\"]*$)"))
+    cells = F.transform(F.split("line", quoted), lambda c: F.replace(F.regexp_replace(F.trim(c), '^"|"$', ""), F.lit('""'), F.lit('"')))
+    rn = F.row_number().over(W.partitionBy("sheet").orderBy("pos"))
+    return trimmed(lines.select("sheet", rn.cast("bigint").alias("rn"), cells.alias("cells")), "sheet")
+
+
+def filled(cells: Column) -> Column:
+    return F.exists(cells, lambda c: F.coalesce(c, F.lit("")) != "")
+
+
+def trimmed(grid: DataFrame, sheet: str = "sheet_id") -> DataFrame:
+    """grid(sheet, rn, cells) without the empty rows after each sheet's last row that is not."""
+    last = F.max(F.when(filled(F.col("cells")), F.col("rn"))).over(W.partitionBy(sheet))
+    return grid.withColumn("last", last).filter(F.col("rn") <= F.col("last")).drop("last")
+
+
+def export_rows(results: DataFrame) -> DataFrame:
+    """results(document_id, fields map, full_text) as (document_id, nth, key, value) rows, the full text last."""
+    own = results.select("document_id", F.posexplode(F.array_sort(F.map_entries("fields"))).alias("nth", "e")).select("document_id", "nth", F.col("e.key").alias("key"), F.col("e.value").alias("value"))
+    text = results.select("document_id", F.size("fields").alias("nth"), F.lit("full_text").alias("key"), F.col("full_text").alias("value"))
+    return own.unionByName(text)
+
+
+def export(df: DataFrame, path: str, form: str, *by: str) -> None:
+    """Write as text, json, csv or parquet, partitioned by columns."""
+    writer = df.write.mode("overwrite").partitionBy(*by)
+    writer.option("header", "true").csv(path) if form == "csv" else getattr(writer, form)(path)
+
+
+def replace_keys(old: DataFrame, new: DataFrame, *key: str) -> DataFrame:
+    """A stage's output again: the rows of re-processed keys go, the new ones come."""
+    return old.join(new.select(*key).distinct(), list(key), "left_anti").unionByName(new, allowMissingColumns=True)
+
+
+def aligned(df: DataFrame, schema) -> DataFrame:
+    """All columns of a schema, missing ones as typed nulls, further ones after them."""
+    have = set(df.columns)
+    return df.select(*[F.col(f.name) if f.name in have else F.lit(None).cast(f.dataType).alias(f.name) for f in schema], *[c for c in df.columns if c not in set(schema.names)])
+
+
+def cascade(keys: DataFrame, tables: dict[str, DataFrame], key: str) -> tuple[dict[str, DataFrame], DataFrame]:
+    """Each table without the rows of the keys; and how many rows each loses."""
+    left = {name: t.join(keys, key, "left_anti") for name, t in tables.items()}
+    counts = [t.join(keys, key, "left_semi").agg(F.count(F.lit(1)).alias("deleted")).select(F.lit(name).alias("table_name"), "deleted") for name, t in tables.items()]
+    out = counts[0]
+    for c in counts[1:]:
+        out = out.unionByName(c)
+    return left, out
