@@ -1 +1,102 @@
+"""Structured Streaming twins of the event folds: each drained stream gives the rows of its batch operator.
 
+Output goes through foreachBatch into a folder per batch id, so a batch that is run again replaces what it wrote before.
+"""
+
+from __future__ import annotations
+
+import uuid
+from collections.abc import Callable, Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+from foliate.operators import facts, quality, vectors
+from foliate.operators.events import MAX_RETRIES
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder below the one that the cluster names for checkpoints; below the warehouse where it names none."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.sql.warehouse.dir") + "/foliate-shared"
+    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+
+
+def drained(stream: DataFrame, each: Callable[[DataFrame], DataFrame], mode: str = "append") -> DataFrame:
+    """All that is there now, batch by batch through `each`; the rows written."""
+    spark, folder = stream.sparkSession, shared_folder(stream.sparkSession)
+
+    def write(batch: DataFrame, number: int) -> None:
+        each(batch).write.mode("overwrite").parquet(f"{folder}/out/batch={number}")
+
+    query = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).foreachBatch(write).start()
+    query.awaitTermination()
+    return spark.read.parquet(f"{folder}/out")
+
+
+def detect_conflicts(new: DataFrame, known: DataFrame, reports: DataFrame, upto: str = "created_at") -> DataFrame:
+    """Each new fact against the facts of its subject that are known; a pair that two batches find is one by its key."""
+    found = drained(new, lambda batch: facts.incremental(batch, known, reports).select("first_fact_id", "second_fact_id", "kind"))
+    return found.groupBy("first_fact_id", "second_fact_id").agg(F.min("kind").alias("kind"))
+
+
+def fold_deliveries(log: DataFrame, keep_days: int = 60) -> DataFrame:
+    """log(message_id, attempt_ts, event_id, ok): status and retry_count of each message, the state being held by message.
+
+    The state of a message that hears nothing for `keep_days` of event time is dropped.
+    """
+    keep_ms = keep_days * 86_400_000
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        status, retries = state.get if state.exists else ("pending", 0)
+        rows = pd.concat(list(batches)).sort_values(["attempt_ts", "event_id"])
+        for ok in rows["ok"]:
+            if status in ("completed", "dead_letter"):
+                break
+            status, retries = ("completed", retries) if ok else ("dead_letter" if retries + 1 >= MAX_RETRIES else "pending", retries + 1)
+        state.update((status, retries))
+        state.setTimeoutTimestamp(max(int(rows["attempt_ts"].max().timestamp() * 1000), state.getCurrentWatermarkMs()) + keep_ms)
+        yield pd.DataFrame({"message_id": [key[0]], "status": [status], "retry_count": [retries], "seen": [int(rows["event_id"].max())]})
+
+    out = log.withColumn("attempt_ts", F.col("attempt_ts").cast("timestamp")).withWatermark("attempt_ts", f"{keep_days} days").groupBy("message_id").applyInPandasWithState(step, "message_id long, status string, retry_count int, seen long", "status string, retries int", "update", GroupStateTimeout.EventTimeTimeout)
+    written = drained(out, lambda batch: batch, "update")
+    last = written.groupBy("message_id").agg(F.max_by(F.struct("status", "retry_count"), F.col("batch")).alias("s"))
+    return last.select("message_id", "s.status", "s.retry_count")
+
+
+def fold_lifecycle(log: DataFrame) -> DataFrame:
+    """log(document_id, ts, event_id, is_valid): the status after each event, failures in a row being counted by document."""
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        count = state.get[0] if state.exists else 0
+        rows = pd.concat(list(batches)).sort_values(["ts", "event_id"])
+        status, counts = [], []
+        for ok in rows["is_valid"]:
+            count = 0 if ok else (count + 1) % MAX_RETRIES
+            status.append("ready_for_chat" if ok else "failed" if count == 0 else "ready_for_reindex")
+            counts.append(count)
+        state.update((count,))
+        yield pd.DataFrame({"document_id": key[0], "event_id": rows["event_id"].to_numpy(), "status": status, "retry_count": counts})
+
+    out = log.groupBy("document_id").applyInPandasWithState(step, "document_id long, event_id long, status string, retry_count int", "count int", "append", GroupStateTimeout.NoTimeout)
+    return drained(out, lambda batch: batch).drop("batch")
+
+
+def ingest(chunks: DataFrame, model: str, dimension: int) -> DataFrame:
+    """New chunks(document_id, chunk_id, content): embedded, checked, and the document's verdict for the batch."""
+
+    def each(batch: DataFrame) -> DataFrame:
+        made = batch.select("document_id", "chunk_id", vectors.embed(F.col("content"), model, dimension).alias("embedding"))
+        return quality.verdicts(batch.select("document_id").distinct(), quality.embedding_issues(made, dimension))
+
+    return drained(chunks, each).groupBy("document_id").agg(F.bool_and("is_valid").alias("is_valid"))
+
+
+def window_counts(events: DataFrame, late: str = "1 hour", size: str = "1 day") -> DataFrame:
+    """events(ts, event_type) counted by windows of event time; the watermark bounds the state. Windows still open are not written."""
+    counts = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late).groupBy(F.window("ts", size), "event_type").agg(F.count(F.lit(1)).alias("n"))
+    return drained(counts.select(F.col("window.start").alias("begin"), "event_type", "n"), lambda batch: batch).drop("batch")
