@@ -4,8 +4,8 @@ A document's set: its distinct shingles of n words. 80 functions give 160 values
 similarity of 0.8 a pair shares no band with a probability of 3e-6. Links are confirmed on the full sets.
 
 Documents with equal sets are one class, known by a 128-bit hash of the set, and only its representative goes on. In a bucket,
-members are compared with pivots (first the smallest and largest id), never all with all; a member that has been a pivot is done
-there. A bucket goes on, with twice as many pivots each round, until all members that are left lie in one component.
+members are first compared with two pivots, the smallest and the largest id. If the others then lie in several components, those
+outside the largest one are compared with the members of other components, in blocks of bounded size that give links, not pairs.
 
 Edge cases: null, empty and blank texts have the empty set, are linked with nothing and kept. A text of fewer words than n has its
 whole sequence as one shingle. Ids are unique; rows repeated whole are all returned. Texts of any length are hashed whole, in slices
@@ -30,6 +30,8 @@ FUNCTIONS, ROWS = 80, 5
 BANDS = 2 * FUNCTIONS // ROWS
 #: Shingles whose values are computed at once, for bounded memory.
 BLOCK = 1 << 14
+#: Members on a side of a block.
+SIDE = 256
 
 
 def sets(w: Words, n: int) -> list[np.ndarray]:
@@ -111,18 +113,23 @@ def shingle_sets(docs: DataFrame, n: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(make, "doc_id long, shingles binary")
 
 
+def similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """Of two sorted sets: 100 * intersection >= percent * union."""
+    if len(x) > len(y):
+        x, y = y, x
+    place = np.searchsorted(y, x)
+    place[place == len(y)] = 0
+    both = int(np.count_nonzero(y[place] == x))
+    return 100 * both >= percent * (len(x) + len(y) - both)
+
+
 def confirmed(pairs: DataFrame, of: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets are similar: 100 * intersection >= percent * union."""
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            left, right, keep = batch.column(2), batch.column(3), []
-            for i in range(len(batch)):
-                x, y = (np.frombuffer(c[i].as_buffer(), np.uint64) for c in (left, right))
-                place = np.searchsorted(y, x)
-                place[place == len(y)] = 0
-                both = int(np.count_nonzero(y[place] == x))
-                keep.append(100 * both >= percent * (len(x) + len(y) - both))
+            sets_of = [[np.frombuffer(x.as_py(), np.uint64) for x in batch.column(k)] for k in (2, 3)]
+            keep = [similar(x, y, percent) for x, y in zip(*sets_of)]
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
     of_a = of.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x"))
@@ -130,25 +137,53 @@ def confirmed(pairs: DataFrame, of: DataFrame, percent: int) -> DataFrame:
     return pairs.join(of_a, "a").join(of_b, "b").select("a", "b", "x", "y").mapInArrow(check, "a long, b long")
 
 
-def pairs_with_pivots(rows: DataFrame, pivots: int, percent: int) -> tuple[DataFrame, DataFrame]:
-    """Of rows(key, doc_id, n, comp): pairs a < b of pivots with members of other components; and the rows that are no pivots.
+def pairs_with_pivots(rows: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Of rows(key, doc_id, n): pairs a < b of each bucket's pivots with its other members; and the rows that are no pivots.
 
-    The pivots of a bucket are the smallest and largest ids of parts of it, found by aggregates. Sizes that rule a link out do so here.
+    The pivots are the smallest and the largest id, found by an aggregate. Sizes that rule a link out do so here.
     """
-    slot = F.pmod(F.xxhash64("doc_id"), F.lit(max(1, pivots // 2)))
-    found = rows.groupBy("key", slot.alias("slot")).agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
-    found = found.select("key", F.explode(F.array_distinct(F.array("low", "high"))).alias("doc_id"))
-    chosen = cut(rows.join(found, ["key", "doc_id"]).select("key", F.col("doc_id").alias("p"), F.col("n").alias("pn"), F.col("comp").alias("pc")))
-    met = rows.join(chosen.select("key", "p", "pn", "pc"), "key").filter("doc_id <> p and comp <> pc")
-    met = met.filter(F.lit(100) * F.least("n", "pn") >= F.lit(percent) * F.greatest("n", "pn"))
-    pairs = met.select(F.least("doc_id", "p").alias("a"), F.greatest("doc_id", "p").alias("b")).distinct()
-    return pairs, rows.join(chosen.select("key", F.col("p").alias("doc_id")), ["key", "doc_id"], "left_anti")
+    ends = cut(rows.groupBy("key").agg(F.min(F.struct("doc_id", "n")).alias("low"), F.max(F.struct("doc_id", "n")).alias("high")))
+    met = rows.join(ends, "key").select("key", "doc_id", "n", F.col("low.doc_id").alias("x"), F.col("high.doc_id").alias("y"), F.col("low.n").alias("xn"), F.col("high.n").alias("yn"))
+    near = lambda m: (F.lit(100) * F.least("n", m) >= F.lit(percent) * F.greatest("n", m))
+    low = met.filter("doc_id <> x").filter(near("xn")).select(F.col("x").alias("a"), F.col("doc_id").alias("b"))
+    high = met.filter("doc_id <> y and doc_id <> x").filter(near("yn")).select(F.col("doc_id").alias("a"), F.col("y").alias("b"))
+    return low.unionByName(high).distinct(), met.filter("doc_id <> x and doc_id <> y").select("key", "doc_id")
 
 
 def open_buckets(rows: DataFrame) -> DataFrame:
-    """The rows of buckets whose members lie in two components or more."""
-    mixed = rows.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x <> y").select("key")
-    return rows.join(cut(mixed), "key")
+    """rows(key, doc_id, comp) of buckets with two components or more, with odd (not in the bucket's largest component), n, n_odd."""
+    sizes = rows.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("n"))
+    of_key = sizes.groupBy("key").agg(F.sum("n").alias("n"), F.max(F.struct("n", "comp")).alias("most"), F.count(F.lit(1)).alias("comps")).filter("comps > 1")
+    of_key = cut(of_key.select("key", "n", F.col("most.comp").alias("major"), (F.col("n") - F.col("most.n")).alias("n_odd")))
+    return rows.join(of_key, "key").select("key", "doc_id", "comp", "n", "n_odd", (F.col("comp") != F.col("major")).alias("odd"))
+
+
+def in_blocks(rows: DataFrame) -> DataFrame:
+    """Each bucket as a grid of blocks of about SIDE members by SIDE odd members: members are copied along one side of it, odd ones
+    along the other, so a row for each pair is never made."""
+    across, down = F.ceil(F.col("n") / SIDE).cast("int"), F.ceil(F.col("n_odd") / SIDE).cast("int")
+    own = F.xxhash64("doc_id")
+    member = rows.select("key", "doc_id", "comp", "odd", F.lit(False).alias("asks"), F.pmod(own, across).cast("int").alias("i"), F.explode(F.sequence(F.lit(0), down - 1)).alias("j"))
+    asking = rows.filter("odd").select("key", "doc_id", "comp", "odd", F.lit(True).alias("asks"), F.explode(F.sequence(F.lit(0), across - 1)).alias("i"), F.pmod(own, down).cast("int").alias("j"))
+    return member.unionByName(asking)
+
+
+def links_in_block(table: pa.Table, percent: int) -> pa.Table:
+    """The links of odd members with members of other components; each pair is looked at in the first bucket that both share."""
+    key = table.column("key")[0].as_py()
+    ids, comp, odd, asks = (table.column(k).to_numpy() for k in ("doc_id", "comp", "odd", "asks"))
+    held = [np.frombuffer(x.as_py(), np.uint64) for x in table.column("shingles")]
+    keys = np.array(table.column("bands").to_pylist(), np.int64).reshape(len(ids), BANDS)
+    sizes = np.array([len(x) for x in held])
+    members, links = np.flatnonzero(~asks), []
+    for q in np.flatnonzero(asks):
+        fits = (comp[members] != comp[q]) & (100 * np.minimum(sizes[members], sizes[q]) >= percent * np.maximum(sizes[members], sizes[q]))
+        fits &= ~odd[members] | (ids[members] > ids[q])
+        near = members[fits]
+        same = keys[near] == keys[q]
+        near = near[keys[near, same.argmax(axis=1)] == key] if len(near) else near
+        links += [(int(ids[q]), int(ids[m])) for m in near if similar(held[q], held[m], percent)]
+    return pa.table({"a": pa.array([x for x, _ in links], pa.int64()), "b": pa.array([y for _, y in links], pa.int64())})
 
 
 def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
@@ -157,26 +192,22 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
     classes = cut(signed.filter("set_key is not null").groupBy("set_key").agg(F.min("doc_id").alias("class_id")))
     first = classes.select(F.col("class_id").alias("doc_id"))
     rows = signed.select("doc_id", F.col("n_shingles").alias("n"), "bands").join(first, "doc_id").dropDuplicates(["doc_id"])
-    rows = rows.select(F.explode("bands").alias("key"), "doc_id", "n", F.col("doc_id").alias("comp"))
-    rows, pivots, links, done, of = cut(open_buckets(cut(rows))), 2, None, None, None
-    known = None
-    while not rows.isEmpty():
-        pairs, rest = pairs_with_pivots(rows, pivots, percent)
-        pairs = cut(pairs if done is None else pairs.join(done, ["a", "b"], "left_anti"))
-        done = pairs if done is None else done.unionByName(pairs)
-        if of is None:  # the members of open buckets are all that will ever be compared
-            members = cut(rows.select("doc_id").distinct())
-            of = cut(shingle_sets(docs.select("doc_id", "text").join(members, "doc_id").dropDuplicates(["doc_id"]), n))
-        new = cut(confirmed(pairs, of, percent))
-        links = new if known is None else new.unionByName(known.select(F.col("u").alias("a"), F.col("v").alias("b")))
-        known = components(links)
-        rest = rest.drop("comp").join(known.select(F.col("u").alias("doc_id"), F.col("v").alias("comp")), "doc_id", "left")
-        rows = cut(open_buckets(cut(rest.select("key", "doc_id", "n", F.coalesce("comp", "doc_id").alias("comp")))))
-        pivots *= 2
+    rows = rows.select(F.explode("bands").alias("key"), "doc_id", "n")
+    shared = cut(rows.groupBy("key").agg(F.count(F.lit(1)).alias("many")).filter("many > 1").select("key"))
+    rows = cut(rows.join(shared, "key"))
+    members = cut(rows.select("doc_id").distinct())  # all that will be compared
+    of = cut(shingle_sets(docs.select("doc_id", "text").join(members, "doc_id").dropDuplicates(["doc_id"]), n))
+    pairs, rest = pairs_with_pivots(rows, percent)
+    links = cut(confirmed(pairs, of, percent))
+    known = components(links)
+    rest = rest.join(known.select(F.col("u").alias("doc_id"), F.col("v").alias("comp")), "doc_id", "left")
+    left = cut(open_buckets(cut(rest.select("key", "doc_id", F.coalesce("comp", "doc_id").alias("comp")))))
+    if not left.isEmpty():
+        held = of.join(left.select("doc_id").distinct(), "doc_id").join(signed.select("doc_id", "bands").dropDuplicates(["doc_id"]), "doc_id")
+        blocks = in_blocks(left).join(cut(held), "doc_id").groupBy("key", "i", "j")
+        more = blocks.applyInArrow(lambda t: links_in_block(t, percent), "a long, b long")
+        known = components(cut(more.unionByName(known.select(F.col("u").alias("a"), F.col("v").alias("b")))))
     out = signed.select("doc_id", "n_shingles", "set_key").join(classes, "set_key", "left").withColumn("class_id", F.coalesce("class_id", "doc_id"))
-    if known is not None:
-        out = out.join(known.select(F.col("u").alias("class_id"), F.col("v").alias("comp")), "class_id", "left")
-    else:
-        out = out.withColumn("comp", F.lit(None).cast("long"))
+    out = out.join(known.select(F.col("u").alias("class_id"), F.col("v").alias("comp")), "class_id", "left")
     component = F.coalesce("comp", "class_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), (component == F.col("doc_id")).alias("kept"), "class_id")
