@@ -20,6 +20,10 @@ def normalised(text: Column) -> Column:
     return F.regexp_replace(F.coalesce(text, F.lit("")), BLANKS, "")
 
 
+def content_hash(norm: Column) -> Column:
+    return F.unhex(F.md5(norm))
+
+
 def _keeper(chars: str = "chars", doc_id: str = "doc_id") -> Column:
     """The longest original, then the smallest id, as one aggregate that combines on the map side."""
     return F.max(F.struct(F.col(chars), (-F.col(doc_id)).alias("back")))
@@ -31,7 +35,7 @@ def collided(docs: DataFrame, groups: DataFrame) -> DataFrame:
     Only texts of groups with two or more rows are moved. Both joins are plain shuffled joins on tables without a partitioning
     of their own, so that Spark can split a hash that a large part of all rows has.
     """
-    texts = docs.select("doc_id", normalised(F.col("text")).alias("norm")).withColumn("hash", F.unhex(F.md5("norm")))
+    texts = docs.select("doc_id", normalised(F.col("text")).alias("norm")).withColumn("hash", content_hash(F.col("norm")))
     members = cut(texts.join(groups.filter("group_size > 1").select("hash", "keep_id"), "hash").select("hash", "doc_id", "keep_id", "norm"))
     first = members.filter("doc_id = keep_id").select("hash", F.col("norm").alias("kept_norm"))
     return members.join(first, "hash").filter("norm <> kept_norm").select("hash").distinct()
@@ -44,14 +48,14 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
     for the comparison of bytes. Groups in which it finds a difference are made anew from the texts themselves.
     """
     norm = normalised(F.col("text"))
-    light = cut(docs.select("doc_id", F.coalesce(F.char_length("text"), F.lit(0)).alias("chars"), norm.alias("norm")).select("doc_id", "chars", F.unhex(F.md5("norm")).alias("hash"), F.sha2("norm", 256).alias("text_sha256")))
+    light = cut(docs.select("doc_id", F.coalesce(F.char_length("text"), F.lit(0)).alias("chars"), norm.alias("norm")).select("doc_id", "chars", content_hash(F.col("norm")).alias("hash"), F.sha2("norm", 256).alias("text_sha256")))
     made = light.groupBy("hash").agg(F.count(F.lit(1)).alias("group_size"), _keeper().alias("k"))
     groups = cut(made.select("hash", "group_size", (-F.col("k.back")).alias("keep_id")))
     found = light.join(groups, "hash")
     bad = cut(collided(docs, groups))
     if not bad.isEmpty():
         whole = docs.select("doc_id", F.coalesce(F.char_length("text"), F.lit(0)).alias("chars"), norm.alias("norm"))
-        whole = cut(whole.withColumn("hash", F.unhex(F.md5("norm"))).join(bad, "hash"))
+        whole = cut(whole.withColumn("hash", content_hash(F.col("norm"))).join(bad, "hash"))
         anew = whole.groupBy("norm").agg(F.count(F.lit(1)).alias("own_size"), _keeper().alias("k"))
         fixed = whole.join(anew, "norm").select("doc_id", "hash", (-F.col("k.back")).alias("own_id"), "own_size").distinct()
         found = found.join(fixed, ["doc_id", "hash"], "left").withColumns({"keep_id": F.coalesce("own_id", "keep_id"), "group_size": F.coalesce("own_size", "group_size")})

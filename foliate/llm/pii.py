@@ -42,6 +42,10 @@ FORMS = {
 PATTERN = r"(?<![\p{L}\p{N}._%+-])(?:" + "|".join(FORMS.values()) + ")"
 
 
+#: Between any two characters.
+BETWEEN = r"(?s)(?<=.)(?=.)"
+
+
 def _digits(s: Column) -> Column:
     return F.regexp_replace(s, "[^0-9]", "")
 
@@ -85,7 +89,7 @@ def _like(s: Column, h: Column, hexadecimal: bool = False) -> Column:
         digit, letter = F.substring(F.lit("0123456789"), _byte(h, i) % 10 + 1, F.lit(1)), F.substring(F.lit("abcdefghijklmnopqrstuvwxyz"), _byte(h, i) % 26 + 1, F.lit(1))
         return F.when(c.rlike("[0-9]"), digit).when(c.rlike(r"\p{L}"), letter).otherwise(c)
 
-    return F.array_join(F.transform(F.split(s, "(?!^)"), one), "")
+    return F.array_join(F.transform(F.split(s, BETWEEN), one), "")
 
 
 def _luhn(digits: Column) -> Column:
@@ -132,7 +136,7 @@ def render(kind: Column, raw: Column, made: Column) -> Column:
         nth = F.length(_digits(F.substring(raw, F.lit(1), i + 1)))
         return F.when(c.rlike("[0-9]"), F.substring(made, nth, F.lit(1))).otherwise(c)
 
-    poured = F.array_join(F.transform(F.split(raw, "(?!^)"), digit), "")
+    poured = F.array_join(F.transform(F.split(raw, BETWEEN), digit), "")
     grouped = F.when(raw.contains(" "), F.trim(F.regexp_replace(made, "(.{4})", "$1 "))).otherwise(made)
     upper = F.when(raw == F.upper(raw), F.upper(made)).otherwise(made)
     titled = F.concat(F.substring(raw, F.lit(1), F.length(raw) - F.length(bare_name(raw))), made)
