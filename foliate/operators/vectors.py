@@ -10,14 +10,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Dimensions of the known models, and of any other.
-DIMENSIONS = {"text-embedding-3-small": 1536, "text-embedding-ada-002": 1536, "all-MiniLM-L6-v2": 384, "bge-base-en-v1.5": 768}
+DIMENSIONS = {"all-MiniLM-L6-v2": 384, "nomic-embed-text": 768, "openai-text-embedding-3-small": 1536}
 DEFAULT_DIMENSION = 768
 
 
 def unit_vector(text: str, model: str, size: int) -> np.ndarray:
     """Normal numbers from a seed that model and text give, at length 1."""
     seed = int.from_bytes(hashlib.sha256(f"{model}:{text}".encode()).digest()[:4], "big")
-    v = np.random.RandomState(seed).randn(size)
+    v = np.random.default_rng(seed).standard_normal(size)
     return v / (np.linalg.norm(v) or 1.0)
 
 

@@ -50,7 +50,7 @@ def _items(x: Fixtures) -> DataFrame:
     return hits.join(chunk, "chunk_id").join(q, "query_id").withColumn("keyword_matched", kw)
 
 
-@query()
+@query("chunk", "SELECT chunk_id, 384 AS size, 1.0::DOUBLE AS norm FROM chunk")
 def d01_embed(x: Fixtures) -> DataFrame:
     made = x.chunk().select("chunk_id", "content", vectors.embed(F.col("content"), "all-MiniLM-L6-v2").alias("v"))
     return made.select("chunk_id", F.size("v").alias("size"), F.round(norm(F.col("v")), 3).alias("norm"))
@@ -122,6 +122,15 @@ def e08_diversify(x: Fixtures) -> DataFrame:
     return search.diversify(c)
 
 
+@query(BASE, VEC + " SELECT query_id, least(count(*), 5) AS picks, least(count(*), 5) AS different, 0::BIGINT AS foreign_picks, min(CASE WHEN rank = 1 THEN chunk_id END) AS first_pick FROM vec GROUP BY 1")
+def e08_diversify_properties(x: Fixtures) -> DataFrame:
+    """Picks are distinct candidates, as many as asked for, and begin with the best one."""
+    hits = search.vector_search(x.query(), x.chunk(), x.embedding(), MODEL)
+    c = hits.join(x.embedding().filter(F.col("model_name") == MODEL).select("chunk_id", "embedding"), "chunk_id").join(search.sized(x.query().select("query_id", "query_vec")), "query_id")
+    picked = search.diversify(c).join(hits.select("query_id", "chunk_id", "rank"), ["query_id", "chunk_id"], "left")
+    return picked.groupBy("query_id").agg(F.count(F.lit(1)).alias("picks"), F.count_distinct("chunk_id").alias("different"), F.count_if(F.col("rank").isNull()).alias("foreign_picks"), F.min(F.when(F.col("pick") == 1, F.col("chunk_id"))).alias("first_pick"))
+
+
 @query(BASE, VEC + """, r AS (SELECT query_id, chunk_id, round(0.7 * score + 0.3 * 0.05 * len(list_intersect(list_filter(regexp_split_to_array(lower(query_text), '\\s+'), lambda w: w <> ''), list_filter(regexp_split_to_array(lower(content), '\\s+'), lambda w: w <> ''))), 7) AS reranked FROM vec)
 SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY reranked DESC, chunk_id) AS rank FROM r""")
 def e09_rerank(x: Fixtures) -> DataFrame:

@@ -154,6 +154,15 @@ def c04_pack_pages(x: Fixtures) -> DataFrame:
     return chunking.pack_pages(rows, 120, 200, 30)
 
 
+@query("marked_text", "SELECT document_id, count(*) AS n_pages, 0::BIGINT AS n_without_header FROM marked_text WHERE trim(raw_text, ' ' || chr(10)) <> '' GROUP BY 1")
+def c04_pages_packed(x: Fixtures) -> DataFrame:
+    """Each page with text has chunks, and each chunk its page's header."""
+    rows = chunking.with_sections(chunking.blocks(x.marked_text())).join(x.document().select("document_id", "file_name"), "document_id")
+    made = chunking.pack_pages(rows, 120, 200, 30)
+    headed = F.col("content").startswith("Document: doc_") & F.col("content").contains(F.concat(F.lit("\nPage: "), "page_number", F.lit("\nSection Path: ")))
+    return made.groupBy("document_id").agg(F.count_distinct("page_number").alias("n_pages"), F.count_if(~headed).alias("n_without_header"))
+
+
 @query("", r"""WITH t AS (SELECT doc_id AS id, list_filter(regexp_split_to_array(text, '\s+'), lambda w: w <> '') AS ws, floor((60 - floor(3 * 13 / 10)) * 3 / 4)::INT AS size FROM documents),
 w AS (SELECT *, size - CASE WHEN 15 >= size THEN size // 5 ELSE 15 END AS step FROM t), a AS (SELECT *, unnest(range(0, len(ws), step)) AS place FROM w)
 SELECT id, place // step AS "window", 'Doc x y ' || array_to_string(ws[place + 1 : place + size], ' ') AS content FROM a""")
@@ -172,6 +181,14 @@ def c07_pack_elements(x: Fixtures) -> DataFrame:
     return chunking.pack_elements(x.element(), 120, 30)
 
 
+@query("element", "SELECT document_id, count(*) AS n_elements, 0::BIGINT AS n_lost FROM element GROUP BY 1")
+def c07_nothing_lost(x: Fixtures) -> DataFrame:
+    """Each element is in some chunk of its document."""
+    chunks = chunking.pack_elements(x.element(), 120, 30).groupBy("document_id").agg(F.collect_list("content").alias("chunks"))
+    rows = x.element().join(chunks, "document_id").withColumn("held", F.exists("chunks", lambda c: c.contains(F.col("content"))))
+    return rows.groupBy("document_id").agg(F.count(F.lit(1)).alias("n_elements"), F.count_if(~F.col("held")).alias("n_lost"))
+
+
 @query("element", """WITH RECURSIVE n AS (SELECT *, row_number() OVER (PARTITION BY document_id, page_number ORDER BY reading_order) AS i FROM element),
 w AS (SELECT document_id, page_number, i, 1 AS grp, element_type IN ('table', 'image') AS fig, element_type = 'heading' AS only_head, CASE WHEN element_type = 'heading' THEN content ELSE 'Introduction' END AS section FROM n WHERE i = 1
 UNION ALL SELECT n.document_id, n.page_number, n.i,
