@@ -1,5 +1,14 @@
 """DuckDB forms of the corpus queries that SQL can express."""
 
+OP1 = r"""
+WITH d AS (SELECT doc_id, coalesce(list_filter(regexp_split_to_array(text, '[\x20\x09-\x0D]+'), lambda x: x <> ''), []) AS w FROM documents),
+g AS (SELECT doc_id, s, array_to_string(w[s + 1 : s + 20], ' ') AS k FROM (SELECT doc_id, w, unnest(range(len(w) - 19)) AS s FROM d WHERE len(w) >= 20)),
+r AS (SELECT doc_id, s, row_number() OVER (PARTITION BY k ORDER BY doc_id, s) AS n FROM g),
+c AS (SELECT doc_id, list(DISTINCT p) AS gone FROM (SELECT doc_id, unnest(range(s, s + 20)) AS p FROM r WHERE n > 1) GROUP BY 1)
+SELECT d.doc_id, len(w) AS n_words, coalesce(len(gone), 0) AS n_removed, sha256(array_to_string(list_filter(w, lambda x, i: NOT list_contains(coalesce(gone, []), i - 1)), ' ')) AS kept_sha256
+FROM d LEFT JOIN c USING (doc_id)
+"""
+
 OP3 = r"""
 WITH t AS (SELECT doc_id, coalesce(length(text), 0) AS chars, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', '', 'g') AS norm FROM documents)
 SELECT doc_id, first_value(doc_id) OVER (PARTITION BY norm ORDER BY chars DESC, doc_id) AS keep_id, count(*) OVER (PARTITION BY norm) AS group_size,
@@ -32,4 +41,16 @@ SELECT d.doc_id, len(d.w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_it
 FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN it USING (doc_id)
 """
 
-ORACLES = {"op3_exact_dedup": OP3, "op4_decontaminate": OP4, "op5_warc": OP5}
+OP10 = r"""
+WITH RECURSIVE d AS (SELECT doc_id, coalesce(list_filter(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> ''), []) AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) = 1 THEN w ELSE list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) END AS g FROM d),
+e AS (SELECT doc_id, len(g) AS n, unnest(g) AS g FROM s),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b FROM e a JOIN e b ON a.g = b.g AND a.doc_id < b.doc_id AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n) GROUP BY 1, 2, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+l AS (SELECT a, b FROM p UNION ALL SELECT b, a FROM p),
+r AS (SELECT a AS doc_id, b AS node FROM l UNION SELECT r.doc_id, l.b FROM r JOIN l ON l.a = r.node),
+c AS (SELECT doc_id, min(node) AS low FROM r GROUP BY 1)
+SELECT s.doc_id, len(g) AS n_shingles, least(s.doc_id, coalesce(low, s.doc_id)) AS component_id, least(s.doc_id, coalesce(low, s.doc_id)) = s.doc_id AS kept
+FROM s LEFT JOIN c USING (doc_id)
+"""
+
+ORACLES = {"op1_substring_dedup": OP1, "op10_minhash": OP10, "op3_exact_dedup": OP3, "op4_decontaminate": OP4, "op5_warc": OP5}
