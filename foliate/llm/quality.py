@@ -160,7 +160,8 @@ def classify(docs: DataFrame, trusted: DataFrame) -> DataFrame:
     """Every row of docs(doc_id, text, lang): doc_id, lang, n_symbols, perplexity, threshold, kept. trusted(doc_id): who is trusted."""
     out_of = F.pmod(F.xxhash64(F.lit("calibrate"), "doc_id"), F.lit(CALIBRATE)) == 0
     trusted = cut(trusted.select("doc_id").distinct())
-    model = Model(cut(count_grams(docs.select("doc_id", "text").join(trusted.filter(~out_of), "doc_id", "left_semi"))))
+    # by a shuffle at every size: who is trusted grows with the documents
+    model = Model(cut(count_grams(docs.select("doc_id", "text").join(trusted.filter(~out_of).hint("merge"), "doc_id", "left_semi"))))
     scored = cut(perplexities(docs, model))
     langs = docs.select("doc_id", "lang").distinct()
     rows = scored.join(langs, "doc_id")
