@@ -12,13 +12,15 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from foliate.llm.common import cut
-from foliate.llm.tokens import encoder
+from foliate.llm.tokens import AT_ONCE, encoder
+from foliate.llm.wordhash import slices
 
 
 def lengths(n: int, most: int) -> list[int]:
@@ -36,18 +38,18 @@ def pieces(docs: DataFrame, vocabulary: str, most: int = 1024, end_id: int = 0)
     def cut_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part, seen, end = TaskContext.get().partitionId(), {}, end_id.to_bytes(4, "little")
+        part, seen, end = TaskContext.get().partitionId(), {}, np.array([end_id], "<u4")
         encode = encoder(vocabulary)
         for batch in batches:
-            keys, texts = batch.column(0).to_pylist(), batch.column(1)
-            for at in range(0, len(keys), 256):
-                rows = []
-                for key, ids in zip(keys[at : at + 256], encode.ids(texts[at : at + 256].to_pylist())):
-                    ids += end
-                    n, start = len(ids) // 4, 0
+            for at, to in slices(batch.column(1), AT_ONCE):
+                ids, counts = encode.ids(batch.column(1)[at:to])
+                rows, place = [], 0
+                for key, count in zip(batch.column(0)[at:to].to_pylist(), counts.tolist()):
+                    own = np.concatenate([ids[place : place + count], end]).tobytes()
+                    place, n, start = place + count, count + 1, 0
                     for size in lengths(n, most):
                         nth = seen[size] = seen.get(size, -1) + 1
-                        rows.append((part, key, start, size, zlib.crc32(ids[4 * start : 4 * (start + size)]), n, nth))
+                        rows.append((part, key, start, size, zlib.crc32(own[4 * start : 4 * (start + size)]), n, nth))
                         start += size
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), [pa.int32(), *[pa.int64()] * 6])], names=["part", "doc_id", "start", "length", "ids_crc32", "doc_tokens", "nth"])
 

@@ -23,7 +23,8 @@ from pyspark.sql import functions as F
 
 from foliate.llm import files
 from foliate.llm.common import cut
-from foliate.llm.tokens import encoder
+from foliate.llm.tokens import AT_ONCE, encoder
+from foliate.llm.wordhash import slices
 
 HEAD, INDEX = struct.Struct("<QI"), struct.Struct("<qQI")
 
@@ -60,6 +61,10 @@ def read_record(source) -> bytes | None:
     return body[:size]
 
 
+def pack_payload(doc_id: int, ids: np.ndarray) -> bytes:
+    return struct.pack("<qB", doc_id, ids.itemsize) + ids.tobytes()
+
+
 def unpack(payload: bytes) -> tuple[int, bytes]:
     """doc_id and the ids as unsigned 32-bit integers."""
     doc_id, width = struct.unpack_from("<qB", payload)
@@ -87,19 +92,21 @@ def write_records(docs: DataFrame, folder: str, vocabulary: str, end_id: int = 0
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part, encode, end = TaskContext.get().partitionId(), encoder(vocabulary), end_id.to_bytes(4, "little")
+        part, encode, end = TaskContext.get().partitionId(), encoder(vocabulary), np.array([end_id], "<u4")
         width = 2 if encode.model.get_vocab_size() <= 1 << 16 else 4
         path, at, records, tokens = files.new_name(folder, part, ".rec"), 0, 0, 0
         with files.create(path) as out, files.create(path + ".idx") as index:
             for batch in batches:
-                keys, texts = batch.column(0).to_pylist(), batch.column(1)
-                for i in range(0, len(keys), 256):
-                    for key, ids in zip(keys[i : i + 256], encode.ids(texts[i : i + 256].to_pylist())):
-                        ids = np.frombuffer(ids + end, "<u4")
-                        record = frame(struct.pack("<qB", key, width) + ids.astype(f"<u{width}").tobytes())
+                for low, high in slices(batch.column(1), AT_ONCE):
+                    ids, counts = encode.ids(batch.column(1)[low:high])
+                    place = 0
+                    for key, count in zip(batch.column(0)[low:high].to_pylist(), counts.tolist()):
+                        own = np.concatenate([ids[place : place + count], end])
+                        place += count
+                        record = frame(pack_payload(key, own.astype(f"<u{width}")))
                         out.write(record)
-                        index.write(index_entry(key, at, len(ids)))
-                        at, records, tokens = at + len(record), records + 1, tokens + len(ids)
+                        index.write(index_entry(key, at, len(own)))
+                        at, records, tokens = at + len(record), records + 1, tokens + len(own)
         yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "path": [path], "records": pa.array([records], pa.int64()), "tokens": pa.array([tokens], pa.int64())})
 
     ordered = docs.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id")

@@ -1,55 +1,105 @@
-"""Token ids of texts by a public byte-level BPE, with a bounded cache of the ids of space-separated units.
+"""Token ids of texts by a public byte-level BPE; units that repeat are encoded once.
 
-A single space between two characters that are not white space always begins a pre-token of this vocabulary, so a text may be
-cut there, and the units' ids, joined, are the text's ids. Texts with other white space beside a space are cut by a pattern
-that leaves those places whole.
+A single space between two characters that are not white space always begins a pre-token of this vocabulary, so does a mark (but an
+apostrophe) after a plain letter or digit, and a single line break is one of its own. A text may be cut there, and the units' ids, joined,
+are the text's ids. Where white space of another kind may be near, a text is not cut. Within a slice
+of some megabytes equal units are found by a 64-bit hash, so each distinct one is looked up once; a worker remembers the ids of units.
 """
 
 from __future__ import annotations
 
-import re
+import os
+from array import array
 
 import numpy as np
+import pyarrow as pa
+
+from foliate.llm.wordhash import mix, powers
 
-_ODD = (re.compile(r" (?=\s|\Z)"), re.compile(r" (?<=\s )|\A "))
-_CUT = re.compile(r"(?<=\S) (?=\S)")
 #: Units that a worker remembers, in two generations of this size.
-REMEMBERED = 500_000
+REMEMBERED = 250_000
+#: Bytes of text in which equal units are looked for at once.
+AT_ONCE = 2 << 20
+#: Bytes of ASCII white space and separators; first bytes of characters among which there is other white space.
+_BLANK, _OTHER = np.zeros(256, bool), np.zeros(256, bool)
+_BLANK[[0x20, *range(0x09, 0x0E), *range(0x1C, 0x20)]] = True
+_OTHER[[0xC2, 0xE1, 0xE2, 0xE3]] = True
+_PLAIN = np.array([i < 128 and chr(i).isalnum() for i in range(256)])
+_MARK = np.array([0x20 < i < 0x7F and not chr(i).isalnum() and chr(i) != "'" for i in range(256)])
 
 
-class Encoder:
-    """ids as little-endian unsigned 32-bit integers, without the end id."""
+class _Known(dict):
+    """Ids of units, None for one that is not known, which it notes; the older generation counts as known."""
+
+    def __init__(self, old: dict[bytes, bytes]):
+        super().__init__()
+        self.old, self.wanted = old, []
 
+    def __missing__(self, unit: bytes) -> bytes | None:
+        found = self.old.get(unit)
+        if found is None:
+            self.wanted.append(unit)
+        else:
+            self[unit] = found
+        return found
+
+
+class Encoder:
     def __init__(self, vocabulary: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(vocabulary)
         self.model.encode_special_tokens = True
-        self.new: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-
-    def _encode(self, units: list[str]) -> None:
-        for unit, made in zip(units, self.model.encode_batch_fast(units, add_special_tokens=False)):
-            self.new[unit] = np.array(made.ids, dtype="<u4").tobytes()
-
-    @staticmethod
-    def units(text: str) -> list[str]:
-        parts = text.split(" ") if not (_ODD[0].search(text) or _ODD[1].search(text)) else _CUT.split(text)
-        return [parts[0], *[" " + x for x in parts[1:]]]
-
-    def ids(self, texts: list[str | None]) -> list[bytes]:
-        out: list[bytes] = []
-        for at in range(0, len(texts), 256):
-            cut = [self.units(x or "") for x in texts[at : at + 256]]
-            wanted = set().union(*cut) - self.new.keys()
-            kept = wanted & self.old.keys()
-            self.new.update((x, self.old[x]) for x in kept)
-            self._encode(list(wanted - kept))
-            get = self.new.__getitem__
-            out += [b"".join(map(get, x)) for x in cut]
-            if len(self.new) > REMEMBERED:
-                self.old, self.new = self.new, {}
-        return out
+        self.known = _Known({})
+
+    def _ids_of(self, units: list[bytes]) -> list[bytes]:
+        """Little-endian unsigned 32-bit ids of distinct units."""
+        found = list(map(self.known.__getitem__, units))
+        wanted, known = self.known.wanted, self.known
+        for unit, made in zip(wanted, self.model.encode_batch_fast([x.decode() for x in wanted], add_special_tokens=False)):
+            known[unit] = array("I", made.ids).tobytes()
+        found = [known[u] if x is None else x for u, x in zip(units, found)] if wanted else found
+        known.wanted = []
+        if len(known) > REMEMBERED:
+            known.old = {}
+            self.known = _Known(known)
+        return found
+
+    def ids(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of a string array in order, without end ids, and how many each text has; null has none."""
+        n = len(column)
+        ends = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + n + 1].astype(np.int64) if n else np.zeros(1, np.int64)
+        data = np.frombuffer(column.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]] if n else np.zeros(0, np.uint8)
+        ends, size = ends - ends[0], len(data)
+        if not size:
+            return np.zeros(0, "<u4"), np.zeros(n, np.int64)
+        at = np.flatnonzero((data == 0x20) | (data == 0x0A))
+        at = at[(at > 0) & (at < size - 1)]
+        before, after = data[at - 1], data[at + 1]
+        at = at[~(_BLANK[before] | _BLANK[after] | _OTHER[after] | (data[np.maximum(at - 2, 0)] == 0xC2) | (_OTHER[data[np.maximum(at - 3, 0)]] & (before >= 0x80)))]
+        begins = np.zeros(size + 1, bool)
+        begins[at] = True
+        begins[at[data[at] == 0x0A] + 1] = True
+        begins[1:size] |= _MARK[data[1:]] & _PLAIN[data[:-1]]
+        begins[ends] = True
+        begin = np.flatnonzero(begins[:size])
+        end = np.append(begin[1:], size)
+        up, down = powers(0, size + 1)
+        run = np.empty(size + 1, np.uint64)
+        run[0] = 0
+        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[:size], out=run[1:])
+        hashes = mix((run[end] - run[begin]) * down[begin]) ^ (end - begin).astype(np.uint64)
+        _, first, which = np.unique(hashes, return_index=True, return_inverse=True)
+        raw = data.tobytes()
+        found = self._ids_of([raw[a:b] for a, b in zip(begin[first].tolist(), end[first].tolist())])
+        lengths = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        flat = np.frombuffer(b"".join(found), "<u4")
+        counts = lengths[which]
+        until = np.cumsum(counts)
+        place = np.repeat((np.cumsum(lengths) - lengths)[which] - (until - counts), counts) + np.arange(until[-1])
+        until = np.concatenate([[0], until])
+        return flat[place], np.diff(until[np.searchsorted(begin, ends)])
 
 
 _encoders: dict[str, Encoder] = {}
