@@ -9,7 +9,7 @@ outside the largest one are compared with the members of other components, in bl
 
 Edge cases: null, empty and blank texts have the empty set, are linked with nothing and kept. A text of fewer words than n has its
 whole sequence as one shingle. Ids are unique; rows repeated whole are all returned. Texts of any length are hashed whole, in slices
-of a few megabytes. Extra columns are not read. An empty table gives an empty result.
+of about a megabyte. Extra columns are not read. An empty table gives an empty result.
 """
 
 from __future__ import annotations

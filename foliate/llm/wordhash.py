@@ -1,7 +1,7 @@
 """Words and word n-grams of many texts at once, as 64-bit hashes in numpy.
 
 A word's hash is a polynomial of its bytes modulo 2^64, mixed; an n-gram's is a polynomial of its words' hashes, mixed. Both come
-from running sums, so any n-gram costs a few operations. Texts are taken in slices of a few megabytes.
+from running sums, so any n-gram costs a few operations. Texts are taken in slices of about a megabyte, so that a task's arrays stay small.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 _BLANK = np.zeros(256, bool)
 _BLANK[[0x20, *range(0x09, 0x0E)]] = True
 _FOLD = np.arange(256, dtype=np.uint8)
