@@ -26,6 +26,8 @@ SAMPLE_ROWS, LEAST_ROWS, SAMPLE_CHARS = 2000, 20, 4000
 #: Landmarks in all, letters told apart, ridge, and the sharpness of scores.
 LANDMARKS, LETTERS, RIDGE, SHARPNESS = 128, 96, 1e-2, 4.0
 ORDERS = (1, 2, 3)
+#: Of the hash that draws the sample.
+RANGE = 1 << 40
 _lower: np.ndarray | None = None
 
 
@@ -98,10 +100,16 @@ def counter(size: int):
 def fit(labelled: DataFrame) -> Model | None:
     """From labelled(doc_id, text, lang). The sample has the rows with the smallest hashes of each language."""
     rows = labelled.filter("lang is not null and text is not null")
-    n_languages = max(1, rows.select("lang").distinct().count())
-    quota = max(LEAST_ROWS, SAMPLE_ROWS // n_languages)
-    nth = F.row_number().over(W.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    sample = rows.select("doc_id", "lang", F.substring("text", 1, SAMPLE_CHARS).alias("text")).withColumn("nth", nth).filter(F.col("nth") <= quota)
+    counts = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row for each language
+    if not counts:
+        return None
+    quota = max(LEAST_ROWS, SAMPLE_ROWS // len(counts))
+    # of a large language only the hashes below a bound, some rows more than the quota, go on to be ranked
+    bound = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, min(RANGE, RANGE * (2 * quota + 20) // n))])
+    mark = F.pmod(F.xxhash64("doc_id"), F.lit(RANGE))
+    few = rows.withColumn("mark", mark).filter(F.col("mark") < F.element_at(bound, F.col("lang")))
+    nth = F.row_number().over(W.partitionBy("lang").orderBy("mark", "doc_id"))
+    sample = few.select("doc_id", "lang", "mark", F.substring("text", 1, SAMPLE_CHARS).alias("text")).withColumn("nth", nth).filter(F.col("nth") <= quota)
     found = [(r.lang, letters(r.text)) for r in sorted(sample.collect(), key=lambda r: (r.nth, r.lang))]  # at most max(SAMPLE_ROWS, LEAST_ROWS x languages) rows
     found = [x for x in found if len(x[1]) > 1]
     if not found:
