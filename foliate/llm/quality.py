@@ -1,9 +1,10 @@
 """Quality by an interpolated modified Kneser-Ney model of letters, trained on trusted documents.
 
-The model: n-grams of 4 symbols (letters in lower case, one symbol for all digits, one for each run of blanks). Tasks count the
-distinct n-grams of their share; grouping the counts by n-gram, by context and by shorter n-gram gives all tables of the model. A
-document's perplexity comes from joins of n-grams with these tables: each batch of documents asks for its distinct n-grams once, and
-gets their probabilities back. A part of the trusted documents stays out of the counts; the quantile of its perplexities in each language
+The model: n-grams of 6 symbols (letters in lower case, one symbol for all digits, one for each run of blanks), so that most reach
+into the word before and the tables grow with the trusted text. Tasks count the distinct n-grams of their share; grouping the counts
+by n-gram, by context and by shorter n-gram gives all tables of the model. A document's perplexity comes from joins of n-grams with
+these tables: each batch of documents asks for its distinct n-grams once, numbered in order, and gets their probabilities back by
+number; shorter n-grams that many share are looked up once. The texts are dealt out compressed. A part of the trusted documents stays out of the counts; the quantile of its perplexities in each language
 is the limit for that language.
 
 Edge cases: a text that is null, empty or blank has no perplexity and is kept, there being nothing against it. Languages with too few
@@ -21,9 +22,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foliate.llm.common import cut, in_batches, text_bytes
-from foliate.llm.wordhash import slices
+from foliate.llm.wordhash import mix, slices
 
-ORDER, BITS = 4, 16
+#: An n-gram is two longs: `key` has its last 4 symbols, `far` those before them.
+ORDER, BITS, NEAR = 6, 16, 4
 #: The share of trusted documents kept out of the counts (one in so many), the quantile of their perplexities, and the fewest for a language.
 CALIBRATE, QUANTILE, LEAST = 10, 0.998, 100
 _PAD, _DIGIT, _BLANK = 2, 48, 32
@@ -54,30 +56,48 @@ def symbols(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     return out, counts
 
 
-def grams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """The packed n-gram that ends at each symbol, text after text, and how many each text has."""
+def grams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The packed n-gram (key, far) that ends at each symbol, text after text, and how many each text has."""
     s, counts = symbols(texts)
-    s = s.astype(np.uint64)
-    key = np.zeros(len(s), np.uint64)
+    own, s = s != _PAD, s.astype(np.uint64)
+    key, far = np.zeros(len(s), np.uint64), np.zeros(len(s), np.uint64)
     for back in range(ORDER):
-        key[back:] |= s[: len(s) - back] << np.uint64(BITS * back)
-    return key[s != _PAD].view(np.int64), counts
+        to, at = (key, back) if back < NEAR else (far, back - NEAR)
+        to[back:] |= s[: len(s) - back] << np.uint64(BITS * at)
+    return key[own], far[own], counts
+
+
+def hashed(key: np.ndarray, far: np.ndarray) -> np.ndarray:
+    """One 64-bit hash of each n-gram; equal n-grams are found by it."""
+    return mix(key + mix(far + np.uint64(1)))
 
 
 def count_grams(trusted: DataFrame) -> DataFrame:
-    """key, c: n-grams of trusted(text) with their counts, at first for each slice."""
+    """key, far, c: n-grams of trusted(text) with their counts, at first for each slice."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at, to in slices(batch.column(0)):
-                keys, n = np.unique(grams(batch.column(0)[at:to].to_pylist())[0], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n)], names=["key", "n"])
+                key, far, _ = grams(batch.column(0)[at:to].to_pylist())
+                _, first, n = np.unique(hashed(key, far), return_index=True, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(key[first].view(np.int64)), pa.array(far[first].view(np.int64)), pa.array(n)], names=["key", "far", "n"])
+
+    return trusted.select("text").mapInArrow(count, "key long, far long, n long").groupBy("key", "far").agg(F.sum("n").alias("c"))
+
+
+def _suffix(n: int) -> list[Column]:
+    """The last n symbols of key, far."""
+
+    def low(col: str, k: int) -> Column:
+        return F.lit(0).cast("long") if k <= 0 else F.col(col) if k >= NEAR else F.col(col).bitwiseAND(F.lit((1 << BITS * k) - 1))
 
-    return trusted.select("text").mapInArrow(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("c"))
+    return [low("key", n).alias("key"), low("far", n - NEAR).alias("far")]
 
 
-def _suffix(key: str, n: int) -> Column:
-    return F.col(key).bitwiseAND(F.lit((1 << BITS * n) - 1)) if n < ORDER else F.col(key)
+def _context() -> list[Column]:
+    """All symbols of key, far but the last."""
+    moved = F.shiftleft(F.col("far").bitwiseAND(F.lit((1 << BITS) - 1)), BITS * (NEAR - 1))
+    return [F.shiftrightunsigned("key", BITS).bitwiseOR(moved).alias("key"), F.shiftrightunsigned("far", BITS).alias("far")]
 
 
 class Model:
@@ -87,13 +107,13 @@ class Model:
         self.grams, self.contexts, self.discounts = {ORDER: counted}, {}, {}
         for n in range(ORDER - 1, 0, -1):
             longer = self.grams[n + 1]
-            self.grams[n] = cut(longer.groupBy(_suffix("key", n).alias("key")).agg(F.count(F.lit(1)).alias("c")))
+            self.grams[n] = cut(longer.groupBy(*_suffix(n)).agg(F.count(F.lit(1)).alias("c")))
         for n, table in self.grams.items():
             few = table.agg(*[F.count_if(F.col("c") == i).alias(f"n{i}") for i in (1, 2, 3, 4)]).first()
             y = few.n1 / max(1, few.n1 + 2 * few.n2)
             self.discounts[n] = tuple(min(max(i - (i + 1) * y * few[f"n{i + 1}"] / few[f"n{i}"], 0.1) if few[f"n{i}"] else 0.5, i) for i in (1, 2, 3))
             if n > 1:
-                sums = table.groupBy(F.shiftrightunsigned("key", BITS).alias("key")).agg(F.sum("c").alias("total"), F.sum(self.discount(n)).alias("freed"))
+                sums = table.groupBy(*_context()).agg(F.sum("c").alias("total"), F.sum(self.discount(n)).alias("freed"))
                 self.contexts[n] = cut(sums)
         base = self.grams[1].agg(F.count(F.lit(1)).alias("kinds"), F.sum("c").alias("total"), F.sum(self.discount(1)).alias("freed")).first()
         self.total = base.total or 1
@@ -104,55 +124,94 @@ class Model:
         return F.when(F.col("c") == 1, d[0]).when(F.col("c") == 2, d[1]).otherwise(d[2])
 
     def log_probabilities(self, keys: DataFrame) -> DataFrame:
-        """key, logp for distinct keys: each order's discounted share plus the freed mass times the next lower order's."""
-        out = keys
-        for n in range(1, ORDER + 1):
-            own = self.grams[n].select(F.col("key").alias(f"k{n}"), F.greatest(F.col("c") - self.discount(n), F.lit(0.0)).alias("own"))
-            out = out.withColumn(f"k{n}", _suffix("key", n)).join(own, f"k{n}", "left").withColumn("own", F.coalesce("own", F.lit(0.0)))
-            if n == 1:
-                out = out.withColumn("p", F.col("own") / self.total + self.floor)
-            else:
-                context = self.contexts[n].withColumnRenamed("key", f"x{n}")
-                out = out.withColumn(f"x{n}", F.shiftrightunsigned(f"k{n}", BITS)).join(context, f"x{n}", "left")
-                out = out.withColumn("p", F.when(F.col("total").isNull(), F.col("p")).otherwise((F.col("own") + F.col("freed") * F.col("p")) / F.col("total")))
-            out = out.select("key", "p")
-        return out.select("key", F.log("p").alias("logp"))
+        """key, far, logp for distinct n-grams (key, far); key, logp for n-grams of the last 4 symbols alone, where there is no far."""
+        if "far" in keys.columns:
+            found = self._probabilities(keys.select("key", "far"), ORDER)
+        else:
+            found = self._probabilities(keys.select("key", F.lit(0).cast("long").alias("far")), NEAR)
+        return found.select(*[c for c in ("key", "far") if c in keys.columns], F.log("p").alias("logp"))
+
+    def _probabilities(self, asked: DataFrame, n: int) -> DataFrame:
+        """key, far, p for distinct n-grams: the discounted share plus the freed mass times the probability of the shorter n-gram."""
+        own = self.grams[n].select("key", "far", F.greatest(F.col("c") - self.discount(n), F.lit(0.0)).alias("own"))
+        out = asked.join(own, ["key", "far"], "left").withColumn("own", F.coalesce("own", F.lit(0.0)))
+        if n == 1:
+            return out.select("key", "far", (F.col("own") / self.total + self.floor).alias("p"))
+        shorter = cut(self._probabilities(asked.select(*_suffix(n - 1)).distinct(), n - 1)).toDF("s_key", "s_far", "shorter")
+        context = self.contexts[n].withColumnsRenamed({"key": "x_key", "far": "x_far"})
+        own_context, own_shorter = [x.alias(k) for x, k in zip(_context(), ("x_key", "x_far"))], [x.alias(k) for x, k in zip(_suffix(n - 1), ("s_key", "s_far"))]
+        out = out.select("key", "far", "own", *own_context, *own_shorter).join(context, ["x_key", "x_far"], "left").join(shorter, ["s_key", "s_far"])
+        return out.select("key", "far", F.when(F.col("total").isNull(), F.col("shorter")).otherwise((F.col("own") + F.col("freed") * F.col("shorter")) / F.col("total")).alias("p"))
+
+
+def pack(docs: DataFrame) -> DataFrame:
+    """batch, blob: docs(doc_id, text) by batch, compressed; texts would else be most of what is shuffled."""
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        options = pa.ipc.IpcWriteOptions(compression="zstd")
+        for rows in batches:
+            batch = rows.column(0).to_numpy()
+            order = np.argsort(batch, kind="stable")
+            numbers, first = np.unique(batch[order], return_index=True)
+            for number, own in zip(numbers.tolist(), np.split(order, first[1:]) if len(order) else []):
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, pa.schema(list(rows.schema)[1:]), options=options) as out:
+                    out.write_batch(rows.select(rows.schema.names[1:]).take(pa.array(own)))
+                yield pa.RecordBatch.from_arrays([pa.array([number], pa.int32()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["batch", "blob"])
+
+    return docs.mapInArrow(packed, "batch int, blob binary")
+
+
+def unpacked(table: pa.Table) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch's documents."""
+    for chunk in table.column("blob").chunks:
+        for blob in chunk:
+            for rows in pa.ipc.open_stream(blob.as_buffer()):
+                for at, to in slices(rows.column("text")):
+                    yield rows.slice(at, to - at)
 
 
 def ask(table: pa.Table) -> pa.Table:
-    """The distinct n-grams of a batch."""
-    found = np.zeros(0, np.int64)
-    text = table.column("text").combine_chunks()
-    for chunk in text.chunks if isinstance(text, pa.ChunkedArray) else [text]:
-        for at, to in slices(chunk):
-            found = np.union1d(found, grams(chunk[at:to].to_pylist())[0])
-    return pa.table({"batch": pa.array(np.full(len(found), table.column("batch")[0].as_py(), np.int32)), "key": pa.array(found)})
+    """The distinct n-grams of a batch, numbered by the order of their hashes."""
+    found = [[np.zeros(0, np.uint64)] * 3]
+    for rows in unpacked(table):
+        key, far, _ = grams(rows.column("text").to_pylist())
+        own, first = np.unique(hashed(key, far), return_index=True)
+        found.append([own, key[first], far[first]])
+    own, key, far = (np.concatenate(x) for x in zip(*found))
+    _, first = np.unique(own, return_index=True)
+    batch = np.full(len(first), table.column("batch")[0].as_py(), np.int32)
+    return pa.table({"batch": batch, "nth": np.arange(len(first), dtype=np.int32), "key": key[first].view(np.int64), "far": far[first].view(np.int64)})
 
 
 def score(texts: pa.Table, answers: pa.Table) -> pa.Table:
     """The perplexity of each text of a batch, null without symbols."""
-    keys, logp = answers.column("key").to_numpy(), answers.column("logp").to_numpy()
-    order = np.argsort(keys)
-    keys, logp, ids, out, n = keys[order], logp[order], [], [], []
-    for batch in texts.select(["doc_id", "text"]).to_batches():
-        for at, to in slices(batch.column(1)):
-            own, counts = grams(batch.column(1)[at:to].to_pylist())
-            values = np.concatenate([[0.0], np.cumsum(logp[np.searchsorted(keys, own)] if len(own) else [])])
-            ends = np.cumsum(counts)
-            with np.errstate(invalid="ignore", divide="ignore"):
-                mean = (values[ends] - values[ends - counts]) / counts
-            ids.append(batch.column(0)[at:to])
-            out += [float(np.exp(-x)) if c else None for x, c in zip(mean, counts)]
-            n += counts.tolist()
-    return pa.table({"doc_id": pa.chunked_array(ids, pa.int64()), "n_symbols": pa.array(n, pa.int64()), "perplexity": pa.array(out, pa.float64())})
+    ids, n, distinct, places = [], [], [np.zeros(0, np.uint64)], []
+    for rows in unpacked(texts):
+        key, far, counts = grams(rows.column("text").to_pylist())
+        own, place = np.unique(hashed(key, far), return_inverse=True)
+        ids.append(rows.column("doc_id"))
+        n.append(counts)
+        distinct.append(own)
+        places.append(place.astype(np.int32))
+    numbered, out = np.unique(np.concatenate(distinct)), []
+    logp = np.empty(len(numbered))
+    logp[answers.column("nth").to_numpy()] = answers.column("logp").to_numpy()
+    for own, place, counts in zip(distinct[1:], places, n):
+        values = np.concatenate([[0.0], np.cumsum(logp[np.searchsorted(numbered, own)][place])])
+        ends = np.cumsum(counts)
+        with np.errstate(invalid="ignore", divide="ignore"):
+            mean = (values[ends] - values[ends - counts]) / counts
+        out += [float(np.exp(-x)) if c else None for x, c in zip(mean, counts)]
+    return pa.table({"doc_id": pa.chunked_array(ids, pa.int64()), "n_symbols": pa.array(np.concatenate([np.zeros(0, np.int64), *n]), pa.int64()), "perplexity": pa.array(out, pa.float64())})
 
 
 def perplexities(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, n_symbols, perplexity of docs(doc_id, text). The texts are dealt out once for both passes over them."""
-    dealt, _ = in_batches(docs, text_bytes(docs), "doc_id", "text")
-    asked = dealt.groupBy("batch").applyInArrow(ask, "batch int, key long")
-    known = model.log_probabilities(asked.select("key").distinct())
-    answers = asked.join(known, "key").select("batch", "key", "logp")
+    """doc_id, n_symbols, perplexity of docs(doc_id, text). What is asked is written once: all orders are looked up from it."""
+    dealt = pack(in_batches(docs, text_bytes(docs), "doc_id", "text")[0])
+    asked = cut(dealt.groupBy("batch").applyInArrow(ask, "batch int, nth int, key long, far long"))
+    known = cut(model.log_probabilities(cut(asked.select("key", "far").distinct())))
+    answers = asked.join(known, ["key", "far"]).select("batch", "nth", F.col("logp").cast("float").alias("logp"))
     return dealt.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(score, "doc_id long, n_symbols long, perplexity double")
 
 

@@ -1,4 +1,5 @@
 import hashlib
+import random
 import re
 
 from foliate.llm import decontaminate, language, pii, quality
@@ -103,6 +104,21 @@ def test_quality_model_is_a_distribution(spark):
     assert 0.9 < total <= 1.0 + 1e-9
 
 
+def test_quality_looks_further_back_than_three_letters(spark, docs):
+    """bcde is followed by x after q and by y after z; a model whose contexts have three letters takes all four texts for equals."""
+    model = quality.Model(quality.cut(quality.count_grams(docs(["qbcdex", "zbcdey"] * 50))))
+    got = {r.doc_id: r.perplexity for r in quality.perplexities(docs(["qbcdex", "zbcdey", "qbcdey", "zbcdex"]), model).collect()}
+    assert max(got[0], got[1]) * 1.5 < min(got[2], got[3])
+
+
+def test_quality_tables_grow_with_the_trusted_text(docs):
+    """Three times the text has at least half as many n-grams again; of four symbols of so small an alphabet nearly all are met soon."""
+    draw = random.Random(7)
+    texts = ["".join(draw.choices("abcd ", k=100)) for _ in range(60)]
+    few, all_of_it = (quality.count_grams(docs(x)).count() for x in (texts[:20], texts))
+    assert all_of_it >= 1.5 * few
+
+
 def test_quality_without_trusted_or_rows(spark):
     frame = corpus(spark, 3)
     assert all(r.kept for r in quality.classify(frame, frame.select("doc_id").filter("false")).collect())
