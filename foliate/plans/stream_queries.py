@@ -51,4 +51,4 @@ def i07_stream_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES |= {f.__name__: f for f in (i01_stream_conflicts, i02_stream_deliveries, i03_stream_lifecycle, i04_stream_ingest, i07_stream_windows)}
-ORACLES |= {"i01_stream_conflicts": fact_queries.ORACLES["f11_incremental"], "i02_stream_deliveries": view_queries.ORACLES["i02_deliveries"], "i03_stream_lifecycle": view_queries.ORACLES["i03_lifecycle"], "i04_stream_ingest": "SELECT doc_id AS document_id, true AS is_valid FROM documents"}
+ORACLES |= {"i01_stream_conflicts": fact_queries.ORACLES["f11_incremental"], "i02_stream_deliveries": view_queries.ORACLES["i02_deliveries"], "i03_stream_lifecycle": view_queries.ORACLES["i03_lifecycle"], "i04_stream_ingest": "SELECT doc_id AS document_id, true AS is_valid FROM documents", "i07_stream_windows": "SELECT date_trunc('day', ts) AS begin, event_type, count(*) AS n FROM events WHERE ts IS NOT NULL GROUP BY ALL"}

@@ -41,28 +41,29 @@ def detect_conflicts(new: DataFrame, known: DataFrame, reports: DataFrame, upto:
     return found.groupBy("first_fact_id", "second_fact_id").agg(F.min("kind").alias("kind"))
 
 
-def fold_deliveries(log: DataFrame, keep_days: int = 60) -> DataFrame:
+def fold_deliveries(log: DataFrame) -> DataFrame:
     """log(message_id, attempt_ts, event_id, ok): status and retry_count of each message, the state being held by message.
 
-    The state of a message that hears nothing for `keep_days` of event time is dropped.
+    Attempts may come in any order and as late as they like: the state has a message's attempts in order up to the one that closes
+    it, three at most; an earlier attempt can only close it earlier. The state is kept.
     """
-    keep_ms = keep_days * 86_400_000
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        status, retries = state.get if state.exists else ("pending", 0)
-        rows = pd.concat(list(batches)).sort_values(["attempt_ts", "event_id"])
-        for ok in rows["ok"]:
-            if status in ("completed", "dead_letter"):
+        rows = pd.concat(list(batches))
+        held = list(zip(*state.get)) if state.exists else []
+        new = zip(rows["at"].tolist(), rows["event_id"].tolist(), rows["ok"].tolist())
+        status, retries, kept = "pending", 0, []
+        for attempt in sorted([*held, *new]):
+            kept.append(attempt)
+            status, retries = ("completed", retries) if attempt[2] else ("dead_letter" if retries + 1 >= MAX_RETRIES else "pending", retries + 1)
+            if status != "pending":
                 break
-            status, retries = ("completed", retries) if ok else ("dead_letter" if retries + 1 >= MAX_RETRIES else "pending", retries + 1)
-        state.update((status, retries))
-        state.setTimeoutTimestamp(max(int(rows["attempt_ts"].max().timestamp() * 1000), state.getCurrentWatermarkMs()) + keep_ms)
-        yield pd.DataFrame({"message_id": [key[0]], "status": [status], "retry_count": [retries], "seen": [int(rows["event_id"].max())]})
+        state.update(tuple(map(list, zip(*kept))))
+        yield pd.DataFrame({"message_id": [key[0]], "status": [status], "retry_count": [retries]})
 
-    out = log.withColumn("attempt_ts", F.col("attempt_ts").cast("timestamp")).withWatermark("attempt_ts", f"{keep_days} days").groupBy("message_id").applyInPandasWithState(step, "message_id long, status string, retry_count int, seen long", "status string, retries int", "update", GroupStateTimeout.EventTimeTimeout)
+    at = F.coalesce(F.unix_micros(F.col("attempt_ts").cast("timestamp")), F.lit(-(1 << 63)))  # null comes first, as in the batch twin
+    rows = log.select("message_id", "event_id", at.alias("at"), F.coalesce("ok", F.lit(False)).alias("ok"))
+    out = rows.groupBy("message_id").applyInPandasWithState(step, "message_id long, status string, retry_count int", "at array<long>, event_id array<long>, ok array<boolean>", "update", GroupStateTimeout.NoTimeout)
     written = drained(out, lambda batch: batch, "update")
     last = written.groupBy("message_id").agg(F.max_by(F.struct("status", "retry_count"), F.col("batch")).alias("s"))
     return last.select("message_id", "s.status", "s.retry_count")
@@ -96,7 +97,11 @@ def ingest(chunks: DataFrame, model: str, dimension: int) -> DataFrame:
     return drained(chunks, each).groupBy("document_id").agg(F.bool_and("is_valid").alias("is_valid"))
 
 
-def window_counts(events: DataFrame, late: str = "1 hour", size: str = "1 day") -> DataFrame:
-    """events(ts, event_type) counted by windows of event time; the watermark bounds the state. Windows still open are not written."""
-    counts = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late).groupBy(F.window("ts", size), "event_type").agg(F.count(F.lit(1)).alias("n"))
-    return drained(counts.select(F.col("window.start").alias("begin"), "event_type", "n"), lambda batch: batch).drop("batch")
+def window_counts(events: DataFrame, size: str = "1 day") -> DataFrame:
+    """events(ts, event_type) counted by windows of event time: each batch writes its own counts, which are added up afterwards.
+
+    No row is too late and no window stays open; no state is held. A null ts is in no window.
+    """
+    windows = lambda batch: batch.groupBy(F.window("ts", size), "event_type").agg(F.count(F.lit(1)).alias("n"))
+    found = drained(events.withColumn("ts", F.col("ts").cast("timestamp")), lambda batch: windows(batch).select(F.col("window.start").alias("begin"), "event_type", "n"))
+    return found.groupBy("begin", "event_type").agg(F.sum("n").alias("n"))

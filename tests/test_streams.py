@@ -25,3 +25,29 @@ def test_deliveries_over_several_batches(spark, tmp_path):
     stream = spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "log"))
     got = {tuple(r) for r in streaming.fold_deliveries(stream).select("message_id", "status", "retry_count").collect()}
     assert got == {tuple(r) for r in events.delivery_status(log).collect()}
+
+
+def unordered(spark, rows, schema, time, days, folder):
+    """A stream of one file a batch, the files in the given order of days, far apart."""
+    frame = spark.createDataFrame(rows, schema).withColumn(time, F.to_timestamp(time))
+    for k in days:
+        frame.filter(F.to_date(time) == k).coalesce(1).write.mode("append").parquet(folder)
+    return frame, spark.readStream.schema(frame.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+
+
+def test_windows_count_rows_that_come_late_and_the_last_day(spark, tmp_path):
+    days = ["2024-06-01", "2024-01-01", "2024-06-01", "2024-03-01"]
+    rows = [(f"{d} 0{i}:00:00", t) for d in sorted(set(days)) for i in range(3) for t in "ab"]
+    frame, stream = unordered(spark, rows, "ts string, event_type string", "ts", days, str(tmp_path / "events"))
+    got = {(str(r.begin)[:10], r.event_type): r.n for r in streaming.window_counts(stream).collect()}
+    assert got == {(d, t): 3 * days.count(d) for d in days for t in "ab"}
+
+
+def test_deliveries_in_any_order(spark, tmp_path):
+    """The success of message 1 comes first but is last; of message 2 the reverse; message 3 is dead by the time it succeeds."""
+    days = ["2024-12-01", "2024-01-01", "2024-05-01", "2024-03-01"]
+    ok = {1: ["2024-12-01"], 2: ["2024-01-01"], 3: ["2024-12-01"]}
+    rows = [(m, d, i, d in ok[m]) for m in ok for i, d in enumerate(sorted(days)) if m != 1 or d != "2024-03-01"]
+    frame, stream = unordered(spark, rows, "message_id long, attempt_ts string, event_id long, ok boolean", "attempt_ts", days, str(tmp_path / "log"))
+    got = {tuple(r) for r in streaming.fold_deliveries(stream).select("message_id", "status", "retry_count").collect()}
+    assert got == {tuple(r) for r in events.delivery_status(frame).collect()} == {(1, "completed", 2), (2, "completed", 0), (3, "dead_letter", 3)}
