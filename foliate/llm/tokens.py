@@ -2,7 +2,8 @@
 
 A single space between two characters that are not white space always begins a pre-token of this vocabulary, so does a mark (but an
 apostrophe) after a plain letter or digit, and a single line break is one of its own. A text may be cut there, and the units' ids, joined,
-are the text's ids. Where white space of another kind may be near, a text is not cut. Within a slice
+are the text's ids. Where white space of another kind may be near, a text is not cut. A text that holds an added token's literal
+(such as <|endoftext|>) is encoded whole, and the literal becomes that token, as the library has it. Within a slice
 of some megabytes equal units are found by a 64-bit hash, so each distinct one is looked up once; a worker remembers the ids of units.
 """
 
@@ -13,11 +14,14 @@ from array import array
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 from foliate.llm.wordhash import mix, powers
 
 #: Units that a worker remembers, in two generations of this size.
 REMEMBERED = 250_000
+#: Longer units, in bytes, are not remembered.
+LONGEST = 1 << 12
 #: Bytes of text in which equal units are looked for at once.
 AT_ONCE = 2 << 20
 #: Bytes of ASCII white space and separators; first bytes of characters among which there is other white space.
@@ -50,7 +54,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(vocabulary)
-        self.model.encode_special_tokens = True
+        self.added = [x.content for x in self.model.get_added_tokens_decoder().values()]
         self.known = _Known({})
 
     def _ids_of(self, units: list[bytes]) -> list[bytes]:
@@ -61,11 +65,21 @@ class Encoder:
             known[unit] = array("I", made.ids).tobytes()
         found = [known[u] if x is None else x for u, x in zip(units, found)] if wanted else found
         known.wanted = []
+        for unit in wanted:
+            if len(unit) > LONGEST:
+                del known[unit]
         if len(known) > REMEMBERED:
             known.old = {}
             self.known = _Known(known)
         return found
 
+    def _whole(self, column: pa.Array) -> list[int]:
+        """The places of the texts that hold an added token."""
+        hit: set[int] = set()
+        for token in self.added:
+            hit.update(pc.indices_nonzero(pc.fill_null(pc.match_substring(column, token), False)).to_pylist())
+        return sorted(hit)
+
     def ids(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of a string array in order, without end ids, and how many each text has; null has none."""
         n = len(column)
@@ -82,6 +96,8 @@ class Encoder:
         begins[at] = True
         begins[at[data[at] == 0x0A] + 1] = True
         begins[1:size] |= _MARK[data[1:]] & _PLAIN[data[:-1]]
+        for text in self._whole(column):
+            begins[ends[text] : ends[text + 1]] = False
         begins[ends] = True
         begin = np.flatnonzero(begins[:size])
         end = np.append(begin[1:], size)

@@ -39,6 +39,16 @@ def test_cut_and_cached_ids_are_the_library_s():
     assert as_lists(e, pa.array(texts)[5:9]) == want[5:9]
 
 
+def test_added_tokens_in_texts_are_encoded_as_the_untouched_library_does():
+    from tokenizers import Tokenizer
+
+    t, e = Tokenizer.from_file(VOCABULARY), Encoder(VOCABULARY)
+    texts = ["end <|endoftext|> start", "plain words", None, "<|endoftext|>", "<|endoftext|><|endoftext|> x\ny.z", "<|endoftext |> <|endof\ntext|>", "", "a<|endoftext|>b", "w x " * 3000 + "<|endoftext|>\n", "end of it"]
+    want = [t.encode(x or "", add_special_tokens=False).ids for x in texts]
+    assert as_lists(e, texts) == want and as_lists(e, texts) == want and 50256 in want[0]
+    assert as_lists(e, pa.array(texts)[3:8]) == want[3:8] and all(len(x) <= 1 << 12 for x in e.known)
+
+
 def test_generations_of_the_cache(monkeypatch):
     from foliate.llm import tokens
 
