@@ -13,10 +13,12 @@ BATCH_BYTES = 16 << 20
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder below the one that the cluster names; only where it names none, one of our own."""
+    """A new folder below the one that the cluster names; one of our own only where it names none and all tasks run on this machine."""
     conf = spark.sparkContext.getConf()
     base = spark.conf.get("spark.checkpoint.dir", None) or conf.get("spark.checkpoint.dir", None)
     if base is None:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = spark.conf.get("spark.sql.warehouse.dir") + "/foliate-shared"
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
 
@@ -49,12 +51,14 @@ def text_bytes(df: DataFrame, col: str = "text") -> int:
     return df.agg(F.sum(F.octet_length(col))).first()[0] or 0
 
 
-def in_batches(docs: DataFrame, size: int, *cols: str, batch_bytes: int = BATCH_BYTES) -> tuple[DataFrame, int]:
+def in_batches(docs: DataFrame, size: int, *cols: Column | str, batch_bytes: int = BATCH_BYTES) -> tuple[DataFrame, int]:
     """Deal documents by a hash of doc_id into batches of about batch_bytes of text, a bounded unit of work for numpy.
 
-    The same rows get the same batch each time, so what was asked for a batch can be joined with its texts later.
+    A small table has a batch for each shuffle partition, of a megabyte at least. The same rows get the same batch each time, so what
+    was asked for a batch can be joined with its texts later.
     """
-    n = max(1, math.ceil(size / batch_bytes))
+    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = max(1, math.ceil(size / batch_bytes), min(tasks, math.ceil(size / min(batch_bytes, 1 << 20))))
     return docs.select(F.pmod(F.xxhash64("doc_id"), F.lit(n)).cast("int").alias("batch"), *cols), n
 
 

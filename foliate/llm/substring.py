@@ -3,15 +3,17 @@
 Every run of `least` words contains a winnowed anchor, at the same place wherever the run occurs: of its shingles of least/2 words
 the one with the smallest hash. Seeds are anchors that occur twice or more, found by joining the documents' distinct anchors. Each
 occurrence of a seed is then extended both ways, by as many words as a run of `least` words with that anchor can reach; each
-such run is looked up by a 128-bit hash, and its first occurrence owns it. What overlaps joins up to maximal repeats.
+such run is looked up by a 128-bit hash of its words (two 64-bit hashes with seeds of their own), and its first occurrence owns it. What overlaps
+joins up to maximal repeats.
 
 Documents come in batches of bounded size, and a batch asks about each anchor and run once, however often it has it, so the
 rows of a passage that a large part of all documents share stay few in each shard. The texts are dealt out once; the later steps
-use the same exchange. Batches and shards grow with the text; at very large sizes choose larger ones (batch_bytes), so that
-their product stays a usual number of shuffle blocks.
+use the same exchange. A batch makes one row for each shard that it has keys for, so there are never more rows than distinct keys; there is
+a shard for each SHARD_BATCHES batches.
 
-Edge cases: null, empty and blank texts have no words. Shorter texts than `least` words have no run. Of rows that share an id, one counts
-as earlier than the other. A text longer than a batch is a batch of its own. Extra columns are not read. No rows give no rows.
+Edge cases: null, empty and blank texts have no words. Shorter texts than `least` words have no run. Of rows that share an id, the one with the
+smaller text (by its bytes, null last) counts as earlier; a null id counts as smaller than any other. A text longer than a batch is a batch of
+its own. Extra columns are not read. No rows give no rows.
 """
 
 from __future__ import annotations
@@ -21,6 +23,7 @@ from itertools import compress
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,11 +33,14 @@ from foliate.llm.wordhash import Words, slices
 ASK = "shard int, batch int, keys binary, docs binary, places binary"
 ANSWER = "batch int, kind int, shard int, data binary"
 RUN = np.dtype([("a", "<u8"), ("b", "<u8")])
+SHARD_BATCHES = 2
+#: In the order of documents a null id stands before all others.
+NULL_ID = -(1 << 63)
 
 
 def in_order(table: pa.Table) -> tuple[pa.Array, pa.Array]:
-    """Ids and texts of a batch, by id."""
-    table = table.sort_by("doc_id").combine_chunks()
+    """Ids and texts of a batch, by id, then by text."""
+    table = table.append_column("order", pc.fill_null(table.column("doc_id"), NULL_ID)).sort_by([("order", "ascending"), ("text", "ascending")])
     ids, text = (table.column(k).combine_chunks() for k in ("doc_id", "text"))
     return tuple(x.chunk(0) if isinstance(x, pa.ChunkedArray) else x for x in (ids, text))
 
@@ -49,11 +55,16 @@ def anchor_of(w: Words, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     return starts, starts + lowest[starts], grams
 
 
-def packed(shards: int, batch: int, shard_of: np.ndarray, keys: np.ndarray, docs: np.ndarray | None = None, places: np.ndarray | None = None) -> pa.Table:
-    """One row for each shard, in the keys' order."""
+def by_shard(shard_of: np.ndarray) -> list[tuple[int, np.ndarray]]:
+    """Each shard that occurs, with the places where it does, in order."""
     order = np.argsort(shard_of, kind="stable")
-    ends = np.searchsorted(shard_of[order], np.arange(shards + 1))
-    rows = [(i, batch, *[x[order[ends[i] : ends[i + 1]]].tobytes() if x is not None else b"" for x in (keys, docs, places)]) for i in range(shards) if ends[i] < ends[i + 1]]
+    shards, first = np.unique(shard_of[order], return_index=True)
+    return list(zip(shards.tolist(), np.split(order, first[1:]))) if len(order) else []
+
+
+def packed(batch: int, shard_of: np.ndarray, keys: np.ndarray, docs: np.ndarray | None = None, places: np.ndarray | None = None) -> pa.Table:
+    """One row for each shard that has keys, in the keys' order."""
+    rows = [(i, batch, *[x[own].tobytes() if x is not None else b"" for x in (keys, docs, places)]) for i, own in by_shard(shard_of)]
     return table_of(rows, ["shard", "batch", "keys", "docs", "places"], [pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()])
 
 
@@ -77,7 +88,7 @@ def ask_anchors(table: pa.Table, shards: int, least: int) -> pa.Table:
         starts, places, grams = anchor_of(Words(text[at:to]), least)
         found.append(grams[np.unique(places)])
     keys, counts = np.unique(np.concatenate(found), return_counts=True)
-    return packed(shards, table.column("batch")[0].as_py(), (keys % np.uint64(shards)).astype(np.int64), keys, None, (counts > 1).astype(np.uint8))
+    return packed(table.column("batch")[0].as_py(), (keys % np.uint64(shards)).astype(np.int64), keys, None, (counts > 1).astype(np.uint8))
 
 
 def answer_anchors(table: pa.Table) -> pa.Table:
@@ -98,7 +109,7 @@ class Runs:
         seeds = [np.frombuffer(x.as_py(), "<u8") for x, k in zip(answers.column("data"), kinds) if k == 1]
         seeds = np.sort(np.concatenate(seeds)) if seeds else np.zeros(0, np.uint64)
         keys, docs, places, self.words, self.counts = [], [], [], [], []
-        numbers, base = ids.to_numpy(zero_copy_only=False).astype(np.int64), 0
+        numbers, base = pc.fill_null(ids, NULL_ID).to_numpy(), 0
         for at, to in slices(text):
             w = Words(text[at:to])
             starts, anchors, grams = anchor_of(w, least)
@@ -132,9 +143,9 @@ class Runs:
 def ask_runs(left: pa.Table, answers: pa.Table, shards: int, least: int) -> pa.Table:
     """The batch's first occurrence of each run around a seed."""
     if not left.num_rows:
-        return packed(shards, 0, np.zeros(0, np.int64), np.zeros(0, RUN))
+        return packed(0, np.zeros(0, np.int64), np.zeros(0, RUN))
     r = Runs(*in_order(left), answers, least)
-    return packed(shards, left.column("batch")[0].as_py(), r.shard_of(shards), r.keys[r.first], r.docs[r.first], r.places[r.first])
+    return packed(left.column("batch")[0].as_py(), r.shard_of(shards), r.keys[r.first], r.docs[r.first], r.places[r.first])
 
 
 def answer_runs(table: pa.Table) -> pa.Table:
@@ -166,12 +177,10 @@ def strip(left: pa.Table, answers: pa.Table, shards: int, least: int, texts: boo
     ids, text = in_order(left)
     r = Runs(ids, text, answers, least)
     gone = ~r.first
-    order = np.argsort(r.shard_of(shards), kind="stable")
-    ends = np.searchsorted(r.shard_of(shards)[order], np.arange(shards + 1))
-    asked = np.flatnonzero(r.first)
+    places, asked = dict(by_shard(r.shard_of(shards))), np.flatnonzero(r.first)
     for kind, shard, data in zip(*(answers.column(k).to_pylist() for k in ("kind", "shard", "data"))):
         if kind == 2:
-            own = asked[order[ends[shard] : ends[shard + 1]]]
+            own = asked[places[shard]]
             gone[own] = np.unpackbits(np.frombuffer(data, np.uint8), count=len(own)).astype(bool)
     edge = np.zeros(r.total + 1, np.int64)
     np.add.at(edge, r.words[gone], 1)
@@ -193,7 +202,8 @@ def strip(left: pa.Table, answers: pa.Table, shards: int, least: int, texts: boo
 
 def substring_dedup(docs: DataFrame, least: int = 20, texts: bool = False, batch_bytes: int = BATCH_BYTES) -> DataFrame:
     """Every row of docs(doc_id, text): doc_id, n_words, n_removed, kept_sha256, repeats, and kept_text if texts are asked for."""
-    dealt, shards = in_batches(docs, text_bytes(docs), "doc_id", "text", batch_bytes=batch_bytes)
+    dealt, batches = in_batches(docs, text_bytes(docs), F.col("doc_id").cast("long").alias("doc_id"), "text", batch_bytes=batch_bytes)
+    shards = -(-batches // SHARD_BATCHES)
     anchors = dealt.groupBy("batch").applyInArrow(lambda t: ask_anchors(t, shards, least), ASK)
     seeds = anchors.groupBy("shard").applyInArrow(answer_anchors, ANSWER)
     runs = dealt.groupBy("batch").cogroup(seeds.groupBy("batch")).applyInArrow(lambda t, a: ask_runs(t, a, shards, least), ASK)

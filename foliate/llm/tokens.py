@@ -4,32 +4,39 @@ A single space between two characters that are not white space always begins a p
 apostrophe) after a plain letter or digit, and a single line break is one of its own. A text may be cut there, and the units' ids, joined,
 are the text's ids. Where white space of another kind may be near, a text is not cut. A text that holds an added token's literal
 (such as <|endoftext|>) is encoded whole, and the literal becomes that token, as the library has it. Within a slice
-of some megabytes equal units are found by a 64-bit hash, so each distinct one is looked up once; a worker remembers the ids of units.
+of some megabytes equal units are found by a 64-bit hash and then compared byte by byte, so each distinct one is looked up once; a worker
+remembers the ids of units.
 """
 
 from __future__ import annotations
 
 import os
+import re
 from array import array
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from foliate.llm.wordhash import mix, powers
+from foliate.llm.wordhash import Bytes, raw
 
 #: Units that a worker remembers, in two generations of this size.
 REMEMBERED = 250_000
 #: Longer units, in bytes, are not remembered.
 LONGEST = 1 << 12
+#: Units that are joined into one text for the library. Each begins with a space and ends in a plain letter or digit, so a cut between two is where a text may be cut.
+JOINED = 200
 #: Bytes of text in which equal units are looked for at once.
-AT_ONCE = 2 << 20
+AT_ONCE = 4 << 20
 #: Bytes of ASCII white space and separators; first bytes of characters among which there is other white space.
 _BLANK, _OTHER = np.zeros(256, bool), np.zeros(256, bool)
 _BLANK[[0x20, *range(0x09, 0x0E), *range(0x1C, 0x20)]] = True
 _OTHER[[0xC2, 0xE1, 0xE2, 0xE3]] = True
 _PLAIN = np.array([i < 128 and chr(i).isalnum() for i in range(256)])
 _MARK = np.array([0x20 < i < 0x7F and not chr(i).isalnum() and chr(i) != "'" for i in range(256)])
+#: A space, something that is no white space, and at the end a plain letter or digit.
+_JOINABLE = re.compile(rb" (?:[0-9A-Za-z]|[^\x00-\x20\x7F\xC2\xE1-\xE3].*[0-9A-Za-z])", re.DOTALL).fullmatch
 
 
 class _Known(dict):
@@ -56,18 +63,43 @@ class Encoder:
         self.model = Tokenizer.from_file(vocabulary)
         self.added = [x.content for x in self.model.get_added_tokens_decoder().values()]
         self.known = _Known({})
+        self.sizes = np.zeros(self.model.get_vocab_size(), np.int64)  # bytes of each id: the vocabulary has a character for each byte
+        for token, i in self.model.get_vocab().items():
+            self.sizes[i] = len(token)
+
+    def _encoded(self, units: list[bytes]) -> Iterator[tuple[bytes, bytes]]:
+        """Each unit with its ids. Most are encoded many in one text, whose ids are then split by their bytes."""
+        alone, many = [], []
+        for unit in units:
+            (many if _JOINABLE(unit) else alone).append(unit)
+        groups = []
+        for group in (many[i : i + JOINED] for i in range(0, len(many), JOINED)):
+            if any(x.encode() in b"".join(group) for x in self.added):
+                alone += group
+            else:
+                groups.append(group)
+        for group, made in zip(groups, self.model.encode_batch_fast([b"".join(x).decode() for x in groups], add_special_tokens=False)):
+            ids = np.array(made.ids, "<u4")
+            until, ends = np.cumsum(self.sizes[ids]), np.cumsum([len(x) for x in group])
+            place = np.minimum(np.searchsorted(until, ends), len(ids) - 1)
+            if not np.array_equal(until[place], ends):
+                alone += group
+                continue
+            flat, places = ids.tobytes(), (4 * (place + 1)).tolist()
+            yield from zip(group, (flat[a:b] for a, b in zip([0, *places], places)))
+        for unit, made in zip(alone, self.model.encode_batch_fast([x.decode() for x in alone], add_special_tokens=False)):
+            yield unit, array("I", made.ids).tobytes()
 
     def _ids_of(self, units: list[bytes]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of distinct units."""
         found = list(map(self.known.__getitem__, units))
         wanted, known = self.known.wanted, self.known
-        for unit, made in zip(wanted, self.model.encode_batch_fast([x.decode() for x in wanted], add_special_tokens=False)):
-            known[unit] = array("I", made.ids).tobytes()
+        known.update(self._encoded(wanted))
         found = [known[u] if x is None else x for u, x in zip(units, found)] if wanted else found
         known.wanted = []
         for unit in wanted:
             if len(unit) > LONGEST:
-                del known[unit]
+                known.pop(unit, None)
         if len(known) > REMEMBERED:
             known.old = {}
             self.known = _Known(known)
@@ -83,9 +115,8 @@ class Encoder:
     def ids(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of a string array in order, without end ids, and how many each text has; null has none."""
         n = len(column)
-        ends = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + n + 1].astype(np.int64) if n else np.zeros(1, np.int64)
-        data = np.frombuffer(column.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]] if n else np.zeros(0, np.uint8)
-        ends, size = ends - ends[0], len(data)
+        data, ends = raw(column)
+        size = len(data)
         if not size:
             return np.zeros(0, "<u4"), np.zeros(n, np.int64)
         at = np.flatnonzero((data == 0x20) | (data == 0x0A))
@@ -101,14 +132,12 @@ class Encoder:
         begins[ends] = True
         begin = np.flatnonzero(begins[:size])
         end = np.append(begin[1:], size)
-        up, down = powers(0, size + 1)
-        run = np.empty(size + 1, np.uint64)
-        run[0] = 0
-        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[:size], out=run[1:])
-        hashes = mix((run[end] - run[begin]) * down[begin]) ^ (end - begin).astype(np.uint64)
-        _, first, which = np.unique(hashes, return_index=True, return_inverse=True)
-        raw = data.tobytes()
-        found = self._ids_of([raw[a:b] for a, b in zip(begin[first].tolist(), end[first].tolist())])
+        units = Bytes(data, begin, end)
+        _, first, which = np.unique(units.hashes(), return_index=True, return_inverse=True)
+        odd = np.flatnonzero(~units.equal(first[which]))  # units that share a hash with others: each by itself
+        which[odd], first = len(first) + np.arange(len(odd)), np.concatenate([first, odd])
+        whole = data.tobytes()
+        found = self._ids_of([whole[a:b] for a, b in zip(begin[first].tolist(), end[first].tolist())])
         lengths = np.fromiter(map(len, found), np.int64, len(found)) // 4
         flat = np.frombuffer(b"".join(found), "<u4")
         counts = lengths[which]

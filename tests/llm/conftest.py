@@ -25,3 +25,16 @@ def passage(n, seed=0):
 @pytest.fixture
 def words():
     return passage
+
+
+@pytest.fixture
+def thue_morse():
+    """Two different words of 2^k letters a and b, which any polynomial of bytes modulo 2^64 takes for one."""
+
+    def make(k):
+        word, other = "a", str.maketrans("ab", "ba")
+        for _ in range(k):
+            word += word.translate(other)
+        return word, word.translate(other)
+
+    return make

@@ -52,6 +52,26 @@ def test_substring_empty_table_and_repeated_rows(docs, words):
     assert sorted((r.doc_id, r.n_removed) for r in rows) == [(5, 0), (5, 30)]
 
 
+def test_long_words_of_two_letters_are_told_apart(docs, words, thue_morse):
+    for k in (10, 12, 14):
+        a, b = thue_morse(k)
+        texts = [f"{words(10)} {a} {words(9, 1)}", f"{words(10)} {b} {words(9, 1)}", f"x {a}", f"x {b}"]
+        assert [r.n_removed for r in substring.substring_dedup(docs(texts)).collect()] == [0] * 4
+        assert [r.component_id for r in minhash.near_duplicates(docs(texts[2:]), n=2).sort("doc_id").collect()] == [0, 1]
+
+
+def test_substring_orders_rows_of_one_id_by_text_and_takes_null_ids(docs, words):
+    rows = [(5, f"b {words(30)}"), (5, f"a {words(30)}"), (None, words(25)), (7, None), (7, "")]
+    found = {(r.doc_id, r.n_words, r.n_removed) for r in substring.substring_dedup(docs(rows)).collect()}
+    assert found == {(None, 25, 0), (5, 31, 25), (5, 31, 30), (7, 0, 0)}
+
+
+def test_substring_in_many_batches_equals_one(docs, words):
+    texts = [f"{words(30, i % 7)} {words(40, 100 + i)} {words(25, i % 3)}" for i in range(60)]
+    one = sorted(map(tuple, substring.substring_dedup(docs(texts)).collect()))
+    assert sorted(map(tuple, substring.substring_dedup(docs(texts), batch_bytes=2000).collect())) == one
+
+
 def test_exact_keeps_the_longest_then_the_smallest(docs):
     texts = ["ab", "a b", "a\tb ", "x", None, "", " ", "x", "ü b", "üb"]
     rows = {r.doc_id: r for r in exact_dedup.exact_dedup(docs(texts)).collect()}

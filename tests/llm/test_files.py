@@ -19,9 +19,7 @@ ODD = ["it's. so's, don't! 'x' a'b.c", "a.b,c;d 1.5 2,5% (x) [y]\n- z\n\nq\n r \
 def model():
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(VOCABULARY)
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(VOCABULARY)
 
 
 def as_lists(e, texts):
@@ -49,6 +47,24 @@ def test_added_tokens_in_texts_are_encoded_as_the_untouched_library_does():
     assert as_lists(e, pa.array(texts)[3:8]) == want[3:8] and all(len(x) <= 1 << 12 for x in e.known)
 
 
+def test_long_words_of_two_letters_keep_their_own_ids(thue_morse):
+    t, e = model(), Encoder(VOCABULARY)
+    for k in (6, 10, 11, 12, 14):
+        a, b = thue_morse(k)
+        texts = [a, b, f"{a} {b}", f"x {b} y {a} {a}", f"({b})"]
+        assert as_lists(e, texts) == [t.encode(x, add_special_tokens=False).ids for x in texts]
+
+
+def test_units_that_share_a_hash_are_kept_apart(monkeypatch):
+    from foliate.llm import tokens, wordhash
+
+    monkeypatch.setattr(wordhash.Bytes, "hashes", lambda self, which=0: (self.sizes % 3).astype(np.uint64))
+    t, e = model(), Encoder(VOCABULARY)
+    texts = ["some words of many lengths, and a word of them again. A 'quoted' one.", "x" * 100 + " " + "y" * 100 + " " + "x" * 100, *ODD]
+    assert as_lists(e, texts) == [t.encode(x, add_special_tokens=False).ids for x in texts]
+    assert tokens.JOINED > 1
+
+
 def test_generations_of_the_cache(monkeypatch):
     from foliate.llm import tokens
 
@@ -78,6 +94,20 @@ def test_records_round_trip(spark, docs):
     assert all(b == ids[k].tobytes() for k, b in records.read_at(path, nth))
 
 
+def test_records_and_pieces_of_repeated_rows_and_very_long_texts(spark, docs, thue_morse):
+    a, b = thue_morse(12)
+    long = "a word and one more, " * 20_000 + a + " " + b
+    texts = [(3, "same"), (3, "same"), (3, None), (1, long), (2, b), (4, a), (0, "")]
+    want = sorted((i, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())) for i, x in texts for ids in [model().encode(x or "", add_special_tokens=False).ids + [0]])
+    manifest = records.write_records(docs(texts), shared_folder(spark), VOCABULARY)
+    back = records.read_records(manifest).collect()
+    assert sorted((r.doc_id, r.n_tokens, r.ids_crc32) for r in back) == want
+    starts = sorted((r.start, r.n_tokens) for r in back)
+    assert [x for x, _ in starts] == [sum(n for _, n in starts[:i]) for i in range(len(starts))]
+    pieces = packing.pack(docs(texts), VOCABULARY).collect()
+    assert sum(r.length for r in pieces) == sum(n for _, n, _ in want) and sorted(r.sequence_id for r in pieces) == list(range(len(pieces)))
+
+
 def test_a_changed_byte_is_found():
     data = records.frame(b"payload" * 9)
     assert records.read_record(io.BytesIO(data)) == b"payload" * 9 and records.read_record(io.BytesIO(b"")) is None
