@@ -27,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliate.llm.common import BATCH_BYTES, in_batches, text_bytes
+from foliate.llm.common import BATCH_BYTES, by_shard, in_batches, table_of, text_bytes
 from foliate.llm.wordhash import Words, slices
 
 ASK = "shard int, batch int, keys binary, docs binary, places binary"
@@ -55,24 +55,12 @@ def anchor_of(w: Words, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     return starts, starts + lowest[starts], grams
 
 
-def by_shard(shard_of: np.ndarray) -> list[tuple[int, np.ndarray]]:
-    """Each shard that occurs, with the places where it does, in order."""
-    order = np.argsort(shard_of, kind="stable")
-    shards, first = np.unique(shard_of[order], return_index=True)
-    return list(zip(shards.tolist(), np.split(order, first[1:]))) if len(order) else []
-
-
 def packed(batch: int, shard_of: np.ndarray, keys: np.ndarray, docs: np.ndarray | None = None, places: np.ndarray | None = None) -> pa.Table:
     """One row for each shard that has keys, in the keys' order."""
     rows = [(i, batch, *[x[own].tobytes() if x is not None else b"" for x in (keys, docs, places)]) for i, own in by_shard(shard_of)]
     return table_of(rows, ["shard", "batch", "keys", "docs", "places"], [pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()])
 
 
-def table_of(rows: list[tuple], names: list[str], kinds: list[pa.DataType]) -> pa.Table:
-    columns = list(zip(*rows)) or [()] * len(names)
-    return pa.table([pa.array(x, t) for x, t in zip(columns, kinds)], names=names)
-
-
 ANSWER_NAMES, ANSWER_KINDS = ["batch", "kind", "shard", "data"], [pa.int32(), pa.int32(), pa.int32(), pa.binary()]
 
 

@@ -1,6 +1,11 @@
 import hashlib
+import math
 import random
 import re
+from collections import Counter
+
+import numpy as np
+import pytest
 
 from foliate.llm import decontaminate, language, pii, quality
 
@@ -90,32 +95,83 @@ def test_quality_rejects_what_is_unlike_the_trusted(spark):
     assert sum(not r.kept for i, r in got.items() if i < 90000) <= 12
 
 
-def test_quality_model_is_a_distribution(spark):
-    """Over all symbols the probabilities after a context add up to one, less the share of the symbol that was never met."""
-    import numpy as np
-    from pyspark.sql import functions as F
-
-    frame = spark.createDataFrame([("abracadabra cadabra",), ("abba cab",)], "text string")
-    model = quality.Model(quality.cut(quality.count_grams(frame)))
-    kinds = [r.key for r in model.grams[1].collect()]
-    context = int(np.array([ord("b") << 32 | ord("r") << 16 | ord("a")])[0])
-    keys = spark.createDataFrame([(context << 16 | k,) for k in kinds], "key long")
-    total = model.log_probabilities(keys).agg(F.sum(F.exp("logp")).alias("s")).first().s
-    assert 0.9 < total <= 1.0 + 1e-9
+def brute_quality(texts, trusted):
+    """Perplexities by the formulas of interpolated modified Kneser-Ney, over dictionaries."""
+    pad, order = "\x02", quality.ORDER
+
+    def symbols(text):
+        return pad * (order - 1) + re.sub(r"\s+", " ", text or "").lstrip(" ").lower().translate({ord(d): "0" for d in "123456789"})
+
+    def grams(text):
+        s = symbols(text)
+        return [s[i - order + 1 : i + 1] for i in range(order - 1, len(s))]
+
+    counts = {order: Counter(g for i in trusted for g in grams(texts[i]))}
+    for n in range(order - 1, 0, -1):
+        counts[n] = Counter(g[1:] for g in counts[n + 1])
+    cuts, totals, freed = {}, {}, {}
+    for n, c in counts.items():
+        few = [sum(x == i for x in c.values()) for i in (1, 2, 3, 4)]
+        y = few[0] / max(1, few[0] + 2 * few[1])
+        cuts[n] = [min(max(i - (i + 1) * y * few[i] / few[i - 1], 0.1) if few[i - 1] else 0.5, i) for i in (1, 2, 3)]
+        totals[n], freed[n] = Counter(), Counter()
+        for g, x in c.items():
+            totals[n][g[:-1]] += x
+            freed[n][g[:-1]] += cuts[n][min(x, 3) - 1]
+
+    def p(g):
+        if not g:
+            return 1 / (len(counts[1]) + 1)
+        n, x = len(g), counts[len(g)].get(g, 0)
+        if not totals[n][g[:-1]]:
+            return p(g[1:])
+        return (max(x - cuts[n][min(x, 3) - 1], 0) * (x > 0) + freed[n][g[:-1]] * p(g[1:])) / totals[n][g[:-1]]
+
+    logs = [[math.log(p(g)) for g in grams(t)] for t in texts]
+    return [math.exp(-sum(x) / len(x)) if x else None for x in logs]
+
+
+def test_quality_equals_brute_force(docs, monkeypatch):
+    draw = random.Random(3)
+    texts = ["".join(draw.choices("abcdE \n5é日\U0001d400", [9, 7, 5, 3, 2, 6, 1, 1, 1, 1, 1], k=draw.randrange(120))) for _ in range(50)] + [None, "", " \n ", "a", "xyz " * 50]
+    trusted = range(0, 50, 2)
+    frame = docs(texts)
+    for size in (16 << 20, 700):
+        got = {r.doc_id: r.perplexity for r in quality.perplexities(frame, frame.select("doc_id").filter("doc_id < 50 and doc_id % 2 = 0"), batch_bytes=size).collect()}
+        for i, want in enumerate(brute_quality(texts, trusted)):
+            assert got[i] == (None if want is None else pytest.approx(want, rel=1e-5)), i
+
+
+def test_quality_when_hashes_of_n_grams_meet(docs, monkeypatch):
+    monkeypatch.setattr(quality, "mix", lambda x: x % np.uint64(7))
+    key = np.array([5, 6, 5, 13, 5, 12], np.uint64)
+    far = np.array([1, 1, 1, 1, 2, 1], np.uint64)
+    first, number = quality.distinct(key, far)
+    assert len(first) == 5 and number[0] == number[2] and all(key[first[number]] == key) and all(far[first[number]] == far)
+
+
+def test_quality_scores_each_row_by_itself(spark):
+    frame = spark.createDataFrame([(1, "one text here", "en"), (1, "one text here", "de"), (1, "another", None), (None, "no id", "en"), (2, "one text here", "en")], "doc_id long, text string, lang string")
+    got = quality.classify(frame, frame.select("doc_id")).collect()
+    assert sorted((r.doc_id or 0, r.lang or "", r.n_symbols) for r in got) == [(0, "en", 5), (1, "", 7), (1, "de", 13), (1, "en", 13), (2, "en", 13)]
+    assert len({r.perplexity for r in got if r.n_symbols == 13}) == 1
+    clash = frame.selectExpr("*", "1 AS batch", "2 AS shard", "3 AS part", "4 AS kept", "5 AS perplexity")
+    assert len(quality.classify(clash, frame.select("doc_id")).collect()) == 5
+    assert quality.classify(frame.filter("false"), frame.select("doc_id")).collect() == []
 
 
 def test_quality_looks_further_back_than_three_letters(spark, docs):
     """bcde is followed by x after q and by y after z; a model whose contexts have three letters takes all four texts for equals."""
-    model = quality.Model(quality.cut(quality.count_grams(docs(["qbcdex", "zbcdey"] * 50))))
-    got = {r.doc_id: r.perplexity for r in quality.perplexities(docs(["qbcdex", "zbcdey", "qbcdey", "zbcdex"]), model).collect()}
+    texts = docs(["qbcdex", "zbcdey", "qbcdey", "zbcdex", *["qbcdex", "zbcdey"] * 50])
+    got = {r.doc_id: r.perplexity for r in quality.perplexities(texts, texts.select("doc_id").filter("doc_id > 3")).collect()}
     assert max(got[0], got[1]) * 1.5 < min(got[2], got[3])
 
 
-def test_quality_tables_grow_with_the_trusted_text(docs):
+def test_quality_tables_grow_with_the_trusted_text():
     """Three times the text has at least half as many n-grams again; of four symbols of so small an alphabet nearly all are met soon."""
     draw = random.Random(7)
     texts = ["".join(draw.choices("abcd ", k=100)) for _ in range(60)]
-    few, all_of_it = (quality.count_grams(docs(x)).count() for x in (texts[:20], texts))
+    few, all_of_it = (len(quality.distinct(*quality.grams(x)[:2])[0]) for x in (texts[:20], texts))
     assert all_of_it >= 1.5 * few
 
 
