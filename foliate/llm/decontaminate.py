@@ -1,17 +1,20 @@
 """Benchmark decontamination as a prefix-filtered set join. Built-in functions only.
 
 A window is 10 consecutive words of an item; an item of fewer words is one window. Its set is its shingles of 5 words (fewer in a
-shorter window). Full containment needs every shingle, so a prefix of one suffices: the window's rarest shingle over all
-documents. Documents are joined on those alone; the shingle's place in the window must leave room for the window on both
-sides (positional and length bounds), and then the words themselves are compared.
+shorter window). One pass over the documents finds where they have any of the benchmark's shingles, by hash. Full containment needs every
+shingle, so a prefix of one suffices: the window's rarest shingle over all documents. A document is a candidate for a window only where it
+has that one, at a place that leaves room for the window on both sides (positional and length bounds); then the words themselves are compared.
 
 Edge cases: null and empty texts have no words and are never hit; items without words have no window. Items that repeat, or share
-windows, each count. Repeated document rows with one id are one document for n_hit and are all returned. Very long texts are
-read as rows of words, never carried along whole. Extra columns are not read. Empty tables give no hits, or no rows.
+windows, each count; a null item_id hits words but is not counted as an item. Each row is judged by its own text, whatever other rows share its
+id; rows alike in both come out alike. A word's row is only a hash and its place; texts are carried along once for each candidate document, however long. Extra columns are
+not read unless asked for. Empty tables give no hits, or no rows.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,8 +23,8 @@ from foliate.llm.common import cut, fold_ascii
 #: Fixed value: what separates words after folding.
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WINDOW, SHINGLE = 10, 5
-#: Rows of (hash, ...) up to which the benchmark's side is broadcast: under 64 MB; more are joined by a shuffle.
-BROADCAST_ROWS = 1_000_000
+#: Rows up to which a side that comes from the benchmark is broadcast (of hashes: 16 MB, of windows of ten words: about 150 MB); more are joined by a shuffle.
+BROADCAST_ROWS = 500_000
 
 
 def words(text: Column) -> Column:
@@ -41,13 +44,15 @@ def _hash(w: str, at: Column, n: int) -> Column:
 
 
 def _shingles(frame: DataFrame, sizes: list[int], *keep: str) -> DataFrame:
-    """at, n, hash of each shingle of the given sizes in the words w, besides the kept columns and w."""
+    """at, many (words in all), hash of each shingle of the given sizes in the words w, besides the kept columns."""
     spread = frame.select(*keep, "w", F.posexplode("w").alias("at", "word")).drop("word")
-    made = [spread.filter(F.col("at") <= F.size("w") - n).select(*keep, "w", "at", F.lit(n).alias("n"), _hash("w", F.col("at"), n).alias("hash")) for n in sizes]
-    out = made[0]
-    for x in made[1:]:
-        out = out.unionByName(x)
-    return out
+    made = [spread.filter(F.col("at") <= F.size("w") - n).select(*keep, "at", F.size("w").alias("many"), _hash("w", F.col("at"), n).alias("hash")) for n in sizes]
+    return reduce(DataFrame.unionByName, made)
+
+
+def row_key() -> Column:
+    """128 bits of a document's id and text: what tells rows apart that share an id."""
+    return F.unhex(F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.lit("\n"), F.coalesce("text", F.lit("")))))
 
 
 def _sized(small: DataFrame) -> DataFrame:
@@ -55,42 +60,41 @@ def _sized(small: DataFrame) -> DataFrame:
     return F.broadcast(small) if small.count() <= BROADCAST_ROWS else small
 
 
-def hits(docs: DataFrame, items: DataFrame, size: int = WINDOW, shingle: int = SHINGLE) -> DataFrame:
-    """doc_id, start, n, win: each occurrence of a window; and the windows: win, item_id."""
-    own = windows(items, size).withColumn("win", F.sha2(F.concat_ws(" ", "w"), 256))
-    distinct = cut(own.select("win", "w").distinct())
-    sizes = sorted(r.n for r in distinct.select(F.least(F.size("w"), F.lit(shingle)).alias("n")).distinct().collect())  # at most `shingle` values
-    texts = docs.select("doc_id", words(F.col("text")).alias("w"))
+def hits(docs: DataFrame, items: DataFrame, size: int = WINDOW, shingle: int = SHINGLE) -> tuple[DataFrame, DataFrame]:
+    """key (of the row), start, n, win: each occurrence of a window; and the windows: win, item_id."""
+    own = windows(items, size)
+    distinct = cut(own.select("w").distinct().select("w", F.monotonically_increasing_id().alias("win")))
+    own = own.join(distinct, "w").select("win", "item_id")
+    short = F.least(F.size("w"), F.lit(shingle))
+    sizes = sorted(r.n for r in distinct.select(short.alias("n")).distinct().collect())  # at most `shingle` values
     if not sizes:
-        return texts.select("doc_id", F.lit(0).alias("start"), F.lit(0).alias("n"), F.lit("").alias("win")).filter("false"), own.select("win", "item_id")
-    parts = [distinct.filter(F.least(F.size("w"), F.lit(shingle)) == n) for n in sizes]
-    of_windows = None
-    for n, part in zip(sizes, parts):
-        made = _shingles(part, [n], "win")
-        of_windows = made if of_windows is None else of_windows.unionByName(made)
-    of_windows = cut(of_windows.select("win", F.col("w").alias("window"), F.col("at").alias("offset"), "hash"))
+        return docs.select(F.lit(b"").alias("key"), F.lit(0).alias("start"), F.lit(0).alias("n"), F.lit(0).cast("long").alias("win")).filter("false"), own
+    of_windows = cut(reduce(DataFrame.unionByName, [_shingles(distinct.filter(short == n), [n], "win") for n in sizes]).withColumnsRenamed({"at": "offset", "many": "n"}))
     known = cut(of_windows.select("hash").distinct())
-    counts = _shingles(texts, sizes).select("hash").join(_sized(known), "hash").groupBy("hash").agg(F.count(F.lit(1)).alias("df"))
+    texts = docs.select(row_key().alias("key"), words(F.col("text")).alias("w"))
+    met = cut(_shingles(texts, sizes, "key").join(_sized(known), "hash").select("key", "at", "many", "hash"))
+    counts = met.groupBy("hash").agg(F.count(F.lit(1)).alias("df"))
     # the rarest shingle of each window; one that no document has makes the window impossible
     order = of_windows.join(known.join(counts, "hash", "left"), "hash").withColumn("df", F.coalesce("df", F.lit(0)))
-    prefix = order.groupBy("win").agg(F.min(F.struct("df", "hash", "offset", "window")).alias("r")).filter("r.df > 0")
-    prefix = cut(prefix.select("win", "r.hash", "r.offset", "r.window", F.size("r.window").alias("n")))
-    found = _shingles(texts, sizes, "doc_id").withColumnRenamed("n", "shingle").join(_sized(prefix), "hash")
+    prefix = order.groupBy("win").agg(F.min(F.struct("df", "hash", "offset", "n")).alias("r")).filter("r.df > 0").select("win", "r.hash", "r.offset", "r.n")
     start = F.col("at") - F.col("offset")
-    room = (start >= 0) & (start + F.col("n") <= F.size("w"))
-    whole = F.slice("w", start + 1, F.col("n")) == F.col("window")
-    return found.filter(room).filter(whole).select("doc_id", start.alias("start"), "n", "win"), own.select("win", "item_id")
+    near = met.join(_sized(cut(prefix)), "hash").filter((start >= 0) & (start + F.col("n") <= F.col("many"))).select("key", start.alias("start"), "n", "win").distinct()
+    near = cut(near.groupBy("key").agg(F.collect_list(F.struct("start", "n", "win")).alias("near")))  # within one document
+    whole = docs.select(row_key().alias("key"), "text").join(near, "key").select("key", words(F.col("text")).alias("w"), "near")
+    placed = whole.select("key", "w", F.explode("near").alias("x")).select("key", "x.start", "x.n", "x.win", F.slice("w", F.col("x.start") + 1, F.col("x.n")).alias("has"))
+    same = placed.join(_sized(distinct), "win").filter(F.col("has") == F.col("w"))
+    return same.select("key", "start", "n", "win").distinct(), own
 
 
-def decontaminate(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """Every row of docs(doc_id, text): doc_id, n_words, n_hit, n_items, items_sha256, contaminated."""
+def decontaminate(docs: DataFrame, items: DataFrame, *also: str) -> DataFrame:
+    """Every row of docs(doc_id, text): doc_id, n_words, n_hit, n_items, items_sha256, contaminated, and the columns asked for."""
     found, own = hits(docs, items)
-    found = cut(found.distinct())
+    found = cut(found)
     span = F.explode(F.sequence("start", F.col("start") + F.col("n") - 1))
-    n_hit = found.select("doc_id", "start", "n").distinct().select("doc_id", span.alias("at")).distinct().groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_hit"))
-    which = found.select("doc_id", "win").distinct().join(own, "win").select("doc_id", F.col("item_id").cast("string").alias("item")).distinct()
-    which = which.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_items"), F.array_join(F.array_sort(F.collect_list("item")), ",").alias("items"))
-    base = docs.select("doc_id", F.coalesce(F.size(words(F.col("text"))), F.lit(0)).cast("long").alias("n_words"))
+    n_hit = found.select("key", "start", "n").distinct().select("key", span.alias("at")).distinct().groupBy("key").agg(F.count(F.lit(1)).alias("n_hit"))
+    which = found.select("key", "win").distinct().join(own, "win").select("key", F.col("item_id").cast("string").alias("item")).filter("item is not null").distinct()
+    which = which.groupBy("key").agg(F.count(F.lit(1)).alias("n_items"), F.array_join(F.array_sort(F.collect_list("item")), ",").alias("items"))
+    base = docs.select("doc_id", row_key().alias("key"), F.greatest(F.coalesce(F.size(words(F.col("text"))), F.lit(0)), F.lit(0)).cast("long").alias("n_words"), *also)
     zero = F.lit(0).cast("long")
-    joined = base.join(n_hit.join(which, "doc_id"), "doc_id", "left")
-    return joined.select("doc_id", F.greatest("n_words", zero).alias("n_words"), F.coalesce("n_hit", zero).alias("n_hit"), F.coalesce("n_items", zero).alias("n_items"), F.sha2(F.coalesce("items", F.lit("")), 256).alias("items_sha256"), (F.coalesce("n_hit", zero) > 0).alias("contaminated"))
+    joined = base.join(n_hit.join(which, "key", "left"), "key", "left")
+    return joined.select("doc_id", "n_words", F.coalesce("n_hit", zero).alias("n_hit"), F.coalesce("n_items", zero).alias("n_items"), F.sha2(F.coalesce("items", F.lit("")), 256).alias("items_sha256"), (F.coalesce("n_hit", zero) > 0).alias("contaminated"), *also)

@@ -3,13 +3,15 @@
 A document's set: its distinct shingles of n words. 80 functions give 160 values, banded 5 by 5 in 32 bands. At a Jaccard
 similarity of 0.8 a pair shares no band with a probability of 3e-6. Links are confirmed on the full sets.
 
-Documents with equal sets are one class, known by a 128-bit hash of the set, and only its representative goes on. In a bucket,
-members are first compared with two pivots, the smallest and the largest id. If the others then lie in several components, those
+Documents with equal sets are one class, known by a 128-bit hash of the set (of 64-bit hashes of its shingles), and only its representative goes
+on, under a number of its own. In a bucket,
+members are first compared with two pivots, the smallest and the largest number. If the others then lie in several components, those
 outside the largest one are compared with the members of other components, in blocks of bounded size that give links, not pairs.
 
 Edge cases: null, empty and blank texts have the empty set, are linked with nothing and kept. A text of fewer words than n has its
-whole sequence as one shingle. Ids are unique; rows repeated whole are all returned. Texts of any length are hashed whole, in slices
-of about a megabyte. Extra columns are not read. An empty table gives an empty result.
+whole sequence as one shingle. Rows that share an id are classed by their own texts; `kept` goes by ids, so all rows with the id of their component
+are kept, while `stays` holds for one row of each component. A null id is named only where a component has no other. Texts of any length are hashed
+whole, in slices of about a megabyte. Extra columns are not read unless asked for. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -83,8 +85,12 @@ def bands(found: list[np.ndarray]) -> np.ndarray:
     return key.view(np.int64)
 
 
-def signatures(docs: DataFrame, n: int) -> DataFrame:
-    """doc_id, n_shingles, set_key (null for the empty set), bands."""
+def _key(found: np.ndarray) -> bytes | None:
+    return hashlib.blake2b(found.tobytes(), digest_size=16).digest() if len(found) else None
+
+
+def signatures(docs: DataFrame, n: int, *also: str) -> DataFrame:
+    """doc_id, n_shingles, set_key (null for the empty set), bands, and the columns asked for."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -94,23 +100,24 @@ def signatures(docs: DataFrame, n: int) -> DataFrame:
                 full = [x for x in found if len(x)]
                 keys = bands(full) if full else np.zeros((0, BANDS), np.int64)
                 offsets = np.cumsum([0, *[BANDS if len(x) else 0 for x in found]]).astype(np.int32)
-                hashed = [hashlib.blake2b(x.tobytes(), digest_size=16).digest() if len(x) else None for x in found]
-                columns = [ids[at:to], pa.array([len(x) for x in found], pa.int64()), pa.array(hashed, pa.binary()), pa.ListArray.from_arrays(offsets, keys.ravel())]
-                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_shingles", "set_key", "bands"])
+                columns = [ids[at:to], pa.array([len(x) for x in found], pa.int64()), pa.array([_key(x) for x in found], pa.binary()), pa.ListArray.from_arrays(offsets, keys.ravel())]
+                yield pa.RecordBatch.from_arrays([*columns, *[x[at:to] for x in batch.columns[2:]]], names=["doc_id", "n_shingles", "set_key", "bands", *also])
 
-    return docs.select("doc_id", "text").mapInArrow(sign, "doc_id long, n_shingles long, set_key binary, bands array<long>")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *also)
+    more = "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in rows.select(*also).schema) if also else ""
+    return rows.mapInArrow(sign, "doc_id long, n_shingles long, set_key binary, bands array<long>" + more)
 
 
 def shingle_sets(docs: DataFrame, n: int) -> DataFrame:
-    """doc_id, shingles: the sorted set as bytes."""
+    """set_key, shingles: the sorted sets as bytes."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at, to in slices(batch.column(1)):
-                found = sets(Words(batch.column(1)[at:to], fold=True), n)
-                yield pa.RecordBatch.from_arrays([batch.column(0)[at:to], pa.array([x.tobytes() for x in found], pa.binary())], names=["doc_id", "shingles"])
+            for at, to in slices(batch.column(0)):
+                found = sets(Words(batch.column(0)[at:to], fold=True), n)
+                yield pa.RecordBatch.from_arrays([pa.array([_key(x) for x in found], pa.binary()), pa.array([x.tobytes() for x in found], pa.binary())], names=["set_key", "shingles"])
 
-    return docs.select("doc_id", "text").mapInArrow(make, "doc_id long, shingles binary")
+    return docs.select("text").mapInArrow(make, "set_key binary, shingles binary")
 
 
 def similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
@@ -186,28 +193,33 @@ def links_in_block(table: pa.Table, percent: int) -> pa.Table:
     return pa.table({"a": pa.array([x for x, _ in links], pa.int64()), "b": pa.array([y for _, y in links], pa.int64())})
 
 
-def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
-    """Every row of docs(doc_id, text): doc_id, n_shingles, component_id, kept, class_id (smallest id with an equal set)."""
-    signed = cut(signatures(docs, n))
-    classes = cut(signed.filter("set_key is not null").groupBy("set_key").agg(F.min("doc_id").alias("class_id")))
-    first = classes.select(F.col("class_id").alias("doc_id"))
-    rows = signed.select("doc_id", F.col("n_shingles").alias("n"), "bands").join(first, "doc_id").dropDuplicates(["doc_id"])
-    rows = rows.select(F.explode("bands").alias("key"), "doc_id", "n")
+def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, *also: str) -> DataFrame:
+    """Every row of docs(doc_id, text): doc_id, n_shingles, component_id, kept, class_id (smallest id with an equal set), stays, and the columns asked for."""
+    signed = cut(signatures(docs, n, *also).withColumn("row", F.monotonically_increasing_id()))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("first")
+    classes = cut(signed.filter("set_key is not null").groupBy("set_key").agg(first).select("set_key", "first", F.col("first.row").alias("node")))
+    rows = signed.select(F.col("row").alias("node"), F.col("n_shingles").alias("n"), "bands").join(classes.select("node"), "node")
+    rows = rows.select(F.explode("bands").alias("key"), F.col("node").alias("doc_id"), "n")  # from here on an id is the number of a class
     shared = cut(rows.groupBy("key").agg(F.count(F.lit(1)).alias("many")).filter("many > 1").select("key"))
     rows = cut(rows.join(shared, "key"))
-    members = cut(rows.select("doc_id").distinct())  # all that will be compared
-    of = cut(shingle_sets(docs.select("doc_id", "text").join(members, "doc_id").dropDuplicates(["doc_id"]), n))
+    members = cut(rows.select(F.col("doc_id").alias("node")).distinct().join(classes, "node"))  # all that will be compared
+    named = lambda c: F.coalesce(c, F.lit(-1))
+    texts = docs.select(named(F.col("doc_id").cast("long")).alias("of"), "text").join(members.select(named(F.col("first.doc_id")).alias("of")).distinct(), "of", "left_semi")
+    of = cut(shingle_sets(texts, n).join(members.select("set_key", F.col("node").alias("doc_id")), "set_key").select("doc_id", "shingles").dropDuplicates(["doc_id"]))
     pairs, rest = pairs_with_pivots(rows, percent)
     links = cut(confirmed(pairs, of, percent))
     known = components(links)
     rest = rest.join(known.select(F.col("u").alias("doc_id"), F.col("v").alias("comp")), "doc_id", "left")
     left = cut(open_buckets(cut(rest.select("key", "doc_id", F.coalesce("comp", "doc_id").alias("comp")))))
     if not left.isEmpty():
-        held = of.join(left.select("doc_id").distinct(), "doc_id").join(signed.select("doc_id", "bands").dropDuplicates(["doc_id"]), "doc_id")
+        held = of.join(left.select("doc_id").distinct(), "doc_id").join(signed.select(F.col("row").alias("doc_id"), "bands"), "doc_id")
         blocks = in_blocks(left).join(cut(held), "doc_id").groupBy("key", "i", "j")
         more = blocks.applyInArrow(lambda t: links_in_block(t, percent), "a long, b long")
         known = components(cut(more.unionByName(known.select(F.col("u").alias("a"), F.col("v").alias("b")))))
-    out = signed.select("doc_id", "n_shingles", "set_key").join(classes, "set_key", "left").withColumn("class_id", F.coalesce("class_id", "doc_id"))
-    out = out.join(known.select(F.col("u").alias("class_id"), F.col("v").alias("comp")), "class_id", "left")
-    component = F.coalesce("comp", "class_id")
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), (component == F.col("doc_id")).alias("kept"), "class_id")
+    rooted = cut(classes.join(known.select(F.col("u").alias("node"), F.col("v").alias("root")), "node", "left").withColumn("root", F.coalesce("root", "node")))
+    least = cut(rooted.groupBy("root").agg(F.min("first").alias("least")))
+    named = cut(rooted.join(least, "root").select("set_key", F.col("first.doc_id").alias("class_id"), F.col("least.doc_id").alias("component_id"), F.col("least.row").alias("stay")))
+    out = signed.select("doc_id", "n_shingles", "set_key", "row", *also).join(named, "set_key", "left")
+    alone = F.col("set_key").isNull()
+    component = F.when(alone, F.col("doc_id")).otherwise(F.col("component_id"))
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"), F.when(alone, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), (alone | (F.col("row") == F.col("stay"))).alias("stays"), *also)

@@ -89,6 +89,18 @@ def test_exact_splits_groups_whose_bytes_differ(docs, monkeypatch, spark):
     assert rows == {0: (2, 2), 2: (2, 2), 1: (1, 1), 3: (3, 1), 4: (4, 1)}
 
 
+def test_exact_keeps_one_row_of_a_group_whose_ids_repeat(docs, monkeypatch):
+    from pyspark.sql import functions as F
+
+    rows = [(1, "a b"), (1, "a b"), (1, "ab"), (2, "a  b"), (2, "x"), (None, "x"), (None, "y"), (3, "z" * 100_000), (3, "z" * 100_000)]
+    want = [(1, 2, 4, False, 3), (1, 2, 4, False, 3), (1, 2, 4, False, 2), (2, 2, 4, True, 4), (2, 2, 2, True, 1), (None, 2, 2, False, 1), (None, None, 1, True, 1), (3, 3, 2, False, 100_000), (3, 3, 2, True, 100_000)]
+    frame = docs(rows)
+    for _ in range(2):
+        got = exact_dedup.exact_dedup(frame.drop("hash", "kept"), "n_chars").collect()
+        assert sorted(map(str, ((r.doc_id, r.keep_id, r.group_size, r.kept, r.n_chars) for r in got))) == sorted(map(str, want))
+        monkeypatch.setattr(exact_dedup, "content_hash", lambda norm: F.unhex(F.md5(F.lit("same"))))  # all collide
+
+
 def test_exact_empty_table(docs):
     assert exact_dedup.exact_dedup(docs(["a"]).filter("false")).collect() == []
 
@@ -130,6 +142,14 @@ def test_near_equals_brute_force(docs, words):
         assert got == brute_near(texts, n)
 
 
+def test_near_rows_that_share_an_id_or_have_none(docs, words):
+    rows = [(5, words(40)), (5, words(40, 1)), (5, words(40)), (9, words(40) + " more"), (None, words(40)), (None, words(30, 2)), (7, words(40, 1)), (8, ""), (8, None), (None, None)]
+    got = minhash.near_duplicates(docs(rows), 2, 80, "n_chars").collect()
+    assert sorted(map(str, ((r.doc_id, r.component_id, r.n_shingles) for r in got))) == sorted(map(str, [(5, 5, 39), (5, 5, 39), (5, 5, 39), (9, 5, 40), (None, 5, 39), (None, None, 29), (7, 5, 39), (8, 8, 0), (8, 8, 0), (None, None, 0)]))
+    assert sum(r.stays for r in got if r.n_shingles >= 39) == 2 and all(r.stays for r in got if r.n_shingles < 39)
+    assert sorted(r.n_chars for r in got) == sorted(len(t or "") for _, t in rows)
+
+
 def test_near_kept_and_empty(docs):
     rows = minhash.near_duplicates(docs(["a b c", "a b c", "", None]), 2).collect()
     assert {r.doc_id: r.kept for r in rows} == {0: True, 1: False, 2: True, 3: True}

@@ -39,6 +39,17 @@ def test_decontaminate_equals_brute_force(spark, docs, words):
     assert {r.doc_id: (r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in got.collect()} == brute_decontaminate(texts, items)
 
 
+def test_decontaminate_judges_rows_by_their_own_texts(spark, docs, words, monkeypatch):
+    rows = [(1, words(30)), (1, "clean words here"), (None, words(12)), (2, None), (2, words(30)), (2, words(30)), (3, "x " * 50_000 + words(10))]
+    items = spark.createDataFrame([(4, words(10)), (11, words(10)), (None, words(10)), (5, None), (6, "w0x3")], "item_id long, text string")
+    want = [(1, 30, 10, 3), (1, 3, 0, 0), (None, 12, 10, 3), (2, 0, 0, 0), (2, 30, 10, 3), (2, 30, 10, 3), (3, 50_010, 10, 3)]
+    for _ in range(2):
+        got = decontaminate.decontaminate(docs(rows), items, "n_chars").collect()
+        assert sorted(map(str, ((r.doc_id, r.n_words, r.n_hit, r.n_items) for r in got))) == sorted(map(str, want))
+        assert {r.items_sha256 for r in got if r.n_hit} == {hashlib.sha256(b"11,4,6").hexdigest()}
+        monkeypatch.setattr(decontaminate, "BROADCAST_ROWS", 0)  # by shuffled joins
+
+
 def test_decontaminate_without_items_or_documents(spark, docs):
     none = spark.createDataFrame([], "item_id long, text string")
     assert [r.n_hit for r in decontaminate.decontaminate(docs(["a b"]), none).collect()] == [0]
