@@ -2,6 +2,10 @@
 
 Quality rejects by perplexity; exact and near duplicates leave one document of each group; documents that hold a benchmark window
 go; what is left is packed. All stages but the last return the columns that they were given.
+
+Each row is judged by itself: rows that share an id, or have a null one, go or stay by their own texts. Of equal or similar texts one row stays, so of
+rows repeated whole one. Null and empty texts: quality has nothing against them, exact dedup keeps one of them all, the later stages keep it. Empty
+tables give empty results; further columns are carried along, whatever their names (but _stage_row).
 """
 
 from __future__ import annotations
@@ -9,6 +13,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from foliate.llm import decontaminate, exact_dedup, minhash, packing, quality
 from foliate.llm.common import cut, table
@@ -18,27 +23,37 @@ from foliate.llm.queries import vocabulary
 WORDS, PERCENT = 5, 80
 
 
+ROW = "_stage_row"
+
+
+def numbered(docs: DataFrame) -> DataFrame:
+    """docs with a number for each row, written so that the numbers stay: rows may share an id, or have none."""
+    return cut(docs.withColumn(ROW, F.monotonically_increasing_id()))
+
+
 def keep(docs: DataFrame, decisions: DataFrame) -> DataFrame:
-    """The rows of docs whose id was kept, one for each id."""
-    return docs.join(decisions.filter("kept").select("doc_id").distinct(), "doc_id", "left_semi").select(docs.columns).dropDuplicates(["doc_id"])
+    """The rows of docs that were kept."""
+    return docs.join(decisions.filter("kept").select(ROW), ROW, "left_semi").drop(ROW)
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    rejected = quality.classify(docs, quality.trusted_ids(table(spark, sf_dir, "labels"))).filter("not kept").select("doc_id")
-    return docs.join(rejected, "doc_id", "left_anti").select(docs.columns)
+    rows = numbered(docs)
+    return keep(rows, quality.classify(rows, quality.trusted_ids(table(spark, sf_dir, "labels")), ROW))
 
 
 def exact_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return keep(docs, exact_dedup.exact_dedup(docs))
+    rows = numbered(docs)
+    return keep(rows, exact_dedup.exact_dedup(rows, ROW))
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return keep(docs, minhash.near_duplicates(docs, WORDS, PERCENT))
+    rows = numbered(docs)
+    return keep(rows, minhash.near_duplicates(rows, WORDS, PERCENT, ROW).select(F.col("stays").alias("kept"), ROW))
 
 
 def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    hit = decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark")).filter("contaminated").select("doc_id")
-    return docs.join(hit, "doc_id", "left_anti").select(docs.columns)
+    rows = numbered(docs)
+    return keep(rows, decontaminate.decontaminate(rows, table(spark, sf_dir, "benchmark"), ROW).select((~F.col("contaminated")).alias("kept"), ROW))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
