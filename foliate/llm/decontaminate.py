@@ -18,7 +18,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foliate.llm.common import cut, fold_ascii
+from foliate.llm.common import cut, fold_ascii, row_key
 
 #: Fixed value: what separates words after folding.
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -50,11 +50,6 @@ def _shingles(frame: DataFrame, sizes: list[int], *keep: str) -> DataFrame:
     return reduce(DataFrame.unionByName, made)
 
 
-def row_key() -> Column:
-    """128 bits of a document's id and text: what tells rows apart that share an id."""
-    return F.unhex(F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.lit("\n"), F.coalesce("text", F.lit("")))))
-
-
 def _sized(small: DataFrame) -> DataFrame:
     """Broadcast what has been counted and is small; Spark chooses the join for the rest."""
     return F.broadcast(small) if small.count() <= BROADCAST_ROWS else small

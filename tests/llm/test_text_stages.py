@@ -229,5 +229,74 @@ def test_pii_draws_again_when_surrogates_meet(spark, docs, monkeypatch):
     assert len({r.made for r in made}) == 6
 
 
+def test_pii_one_person_under_many_forms(docs):
+    texts = ["Mr. John Smith met Dr. John Smith. Mr. Smith left.", "Mrs. Anna Meyer and Dr. Anna Meyer; Alice Brown called. Brown's pen, Alice Brown-Reed.", "Herr Zorn; Zorn went. Mr. Bob Zorn, Ms. Eve Zorn", "Dr. Quill Orme. Quill Orme slept, and Orme\u00a0slept"]
+    a, b, c, d = (r.text for r in pii.replace_pii(docs(texts), "k").sort("doc_id").collect())
+    male, female = "|".join(pii.GIVEN["latin"]["m"]), "|".join(pii.GIVEN["latin"]["f"])
+    assert re.fullmatch(rf"Mr\. ((?:{male}) (\w+)) met Dr\. \1\. Mr\. \2 left\.", a), a
+    assert re.fullmatch(rf"Mrs\. ((?:{female}) \w+) and Dr\. \1; ((?:{female}) (\w+)) called\. \3's pen, (?:{female}) \w+\.", b), b
+    assert re.fullmatch(rf"Herr (\w+); \1 went\. Mr\. (?:{male}) (\w+), Ms\. (?:{female}) (\w+)", c) and len(set(re.findall(r"\w+", c))) == 9, c
+    assert re.fullmatch(r"Dr\. (\w+ (\w+))\. \1 slept, and \2\u00a0slept", d), d
+
+
+def test_pii_long_texts_and_small_spaces(docs):
+    long = ["x@" + "a." * 20_000 + "com", "x" * (1 << 20) + "@a.com", "1" * (1 << 20), "a." * (1 << 19), "Mr. " + "Ab" * (1 << 19), "(1" * (1 << 19), "+1 " * (1 << 18), "AB12 " * (1 << 18), "0a" * (1 << 19), "Mr. " * (1 << 18), "1.1." * (1 << 18)]
+    got = pii.replace_pii(docs(long), "k").collect()
+    assert len(got) == len(long) and {r.doc_id: len(r.text) for r in got}[1] == len(long[1])
+    mails = [f"a@b.{x}{y}{z}" for x in "abcdefghijklmnopqr" for y in "abcdefghijklmnopqr" for z in "abcdefghijklmnop"]
+    found = " ".join(r.text for r in pii.replace_pii(docs([" ".join(mails[i::50]) for i in range(50)]), "k").collect()).split()
+    assert len(mails) == 5184 == len(found) == len(set(found)) and not set(found) & set(mails) and all(x.endswith(".example.com") for x in found)
+
+
+def test_pii_ends_when_a_format_leaves_no_room(docs, monkeypatch):
+    monkeypatch.setattr(pii, "ATTEMPTS", 3)
+    monkeypatch.setattr(pii, "surrogate", lambda kind, canon, h, attempt=0: pii.F.substring(h, 1, 1))
+    with pytest.raises(ValueError, match="'ssn': "):
+        pii.replace_pii(docs(["%03d-12-3456" % i for i in range(40)]), "k")
+
+
+def test_pii_equals_what_was_planted(docs):
+    """Against a plain version: texts are made of known words and mentions of known entities, so what each must become follows from one map."""
+    draw = random.Random(5)
+    forms = {
+        "email": lambda i: [f"user{i}@mail.example.org", f"USER{i}@mail.example.org"],
+        "phone": lambda i: [f"+1 (2{i:02d}) 555-01{i:02d}", f"+1-2{i:02d}-555-01{i:02d}"],
+        "ssn": lambda i: [f"1{i:02d}-45-67{i:02d}"],
+        "ip": lambda i: [f"10.20.{i}.7"],
+        "card": lambda i: [f"4111 1111 1111 11{i:02d}", f"4111-1111-1111-11{i:02d}", f"41111111111111{i:02d}"],
+        "iban": lambda i: [f"DE{i:02d} 3704 0044 0532 0130 00", f"DE{i:02d}370400440532013000"],
+        "secret": lambda i: [f"{i:02d}c8aa" * 6],
+        "name": lambda i: [f"Mr. Tom Fam{chr(97 + i // 26)}{chr(97 + i % 26)}"],
+    }
+    rows, want = [], []
+    for _ in range(120):
+        parts = []
+        for _ in range(draw.randrange(12)):
+            kind, i = draw.choice(sorted(forms)), draw.randrange(30)
+            parts += [(None, draw.choice(["plain", "words, and", "so on;", "3.14 of", "(x)"])), ((kind, i), draw.choice(forms[kind](i)))]
+        rows.append(" ".join(t for _, t in parts))
+        want.append(parts)
+    got = {r.doc_id: r for r in pii.replace_pii(docs(rows), "k").collect()}
+    squeeze = {"phone": r"\D", "card": r"\D", "iban": " ", "name": r"^Mr\. "}
+    made = {}
+    for i, parts in enumerate(want):
+        # the text as a pattern: plain words as they are, a mention as anything of its own shape
+        shape = " ".join(re.escape(t) if not e else r"([\w.+-]+@[\w.-]+)" if e[0] == "email" else r"(Mr\. \w+ \w+)" if e[0] == "name" else "(" + re.sub(r"[A-Za-z0-9]", r"[A-Za-z0-9]", re.sub(r"([+().])", r"\\\1", t)) + ")" if e[0] != "ip" else r"(\d+\.\d+\.\d+\.\d+)" for e, t in parts)
+        found = re.fullmatch(shape, got[i].text)
+        assert found, (rows[i], got[i].text)
+        for (entity, was), new in zip([x for x in parts if x[0]], found.groups()):
+            plain = re.sub(squeeze.get(entity[0], "$^"), "", new).lower()
+            assert made.setdefault(entity, plain) == plain and new != was
+        assert got[i].n_entities == len({t for e, t in parts if e}) and got[i].kinds == sorted({e[0] for e, _ in parts if e})
+    assert len(set((k, v) for (k, _), v in made.items())) == len(made) > 150
+
+
+def test_pii_rows_that_share_an_id_and_clashing_columns(docs):
+    rows = [(1, "Mr. Abel Quist"), (1, "no one"), (None, "a@b.org"), (1, "Mr. Abel Quist"), (2, "")]
+    frame = docs(rows).selectExpr("*", "1 AS raw", "2 AS kind", "3 AS news", "4 AS names")
+    got = sorted((r.doc_id or 0, r.n_entities, r.text) for r in pii.replace_pii(frame, "k").collect())
+    assert [x[:2] for x in got] == [(0, 1), (1, 0), (1, 1), (1, 1), (2, 0)] and got[1][2] == "no one" and got[2] == got[3]
+
+
 def test_pii_empty_table(docs):
     assert pii.replace_pii(docs(["a"]).filter("false"), "k").collect() == []
