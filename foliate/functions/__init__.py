@@ -38,11 +38,14 @@ def norm(v: Column) -> Column:
     return F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
 
 
+def dot(a: Column, b: Column) -> Column:
+    return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
+
+
 def cosine(a: Column, b: Column) -> Column:
     """0 where either vector has no length."""
-    dot = F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
     length = norm(a) * norm(b)
-    return F.when(length > 0, dot / length).otherwise(F.lit(0.0))
+    return F.when(length > 0, dot(a, b) / length).otherwise(F.lit(0.0))
 
 
 def keyed(text: Column) -> Column:

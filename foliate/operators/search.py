@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from foliate.functions import cosine, joined, n_words, snippet, words
+from foliate.functions import dot, joined, n_words, norm, snippet, words
 
 #: Rows up to which a query table is broadcast.
 BROADCAST_ROWS = 10_000
@@ -51,23 +51,40 @@ def live(chunks: DataFrame) -> DataFrame:
 
 
 def vector_scores(queries: DataFrame, chunks: DataFrame, embeddings: DataFrame, model: str) -> DataFrame:
-    """query_id, chunk_id, score for all chunks of the query's project that have a vector of the model."""
-    held = live(chunks).select("chunk_id", "project_id").join(embeddings.filter(F.col("model_name") == model).select("chunk_id", "embedding"), "chunk_id")
-    pairs = held.join(sized(queries.select("query_id", "project_id", "query_vec")), "project_id")
-    return pairs.select("query_id", "chunk_id", F.round(cosine(F.col("query_vec"), F.col("embedding")), 6).alias("score"))
+    """query_id, chunk_id, score for all chunks of the query's project that have a vector of the model. Lengths are computed once a vector, not once a pair."""
+    held = live(chunks).select("chunk_id", "project_id").join(embeddings.filter(F.col("model_name") == model).select("chunk_id", "embedding", norm(F.col("embedding")).alias("length")), "chunk_id")
+    asked = queries.select("query_id", "project_id", "query_vec", norm(F.col("query_vec")).alias("query_length"))
+    both = F.col("query_length") * F.col("length")
+    score = F.when(both > 0, dot(F.col("query_vec"), F.col("embedding")) / both).otherwise(F.lit(0.0))
+    return held.join(sized(asked), "project_id").select("query_id", "chunk_id", F.round(score, 6).alias("score"))
 
 
 def vector_search(queries: DataFrame, chunks: DataFrame, embeddings: DataFrame, model: str, k: int = TOP) -> DataFrame:
     return best(vector_scores(queries, chunks, embeddings, model), k, F.desc("score"), F.asc("chunk_id"))
 
 
+def word_hits(chunks: DataFrame, asked: DataFrame) -> DataFrame:
+    """chunk_id, project_id, word, n: how often each of the distinct words of asked(word) stands anywhere in a chunk's text in lower case.
+
+    A word has no white space, so it lies within the text's tokens. Each text is read once, whatever the number of words: its tokens are counted,
+    the distinct tokens are matched with the words by the words' first three letters (fewer where a word has fewer), and the counts are joined.
+    """
+    tokens = live(chunks).select("chunk_id", "project_id", F.explode(words(F.lower("content"))).alias("token")).groupBy("chunk_id", "project_id", "token").agg(F.count(F.lit(1)).alias("n"))
+    keyed = asked.select("word", F.substring("word", 1, 3).alias("key"))
+    sizes = [r.n for r in keyed.select(F.length("key").alias("n")).distinct().collect()]  # at most 3 values
+    parts = lambda n: F.when(F.length("token") >= n, F.transform(F.sequence(F.lit(1), F.length("token") - n + 1), lambda i: F.substring(F.col("token"), i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
+    keys = F.array_distinct(F.flatten(F.array(*[parts(n) for n in sizes]))) if sizes else F.array().cast("array<string>")
+    met = tokens.select("token").distinct().select("token", F.explode(keys).alias("key")).join(sized(keyed), "key").filter(F.contains("token", "word"))
+    times = ((F.length("token") - F.length(F.replace("token", "word", F.lit("")))) / F.length("word")).cast("bigint")
+    return tokens.join(met.select("token", "word", times.alias("times")), "token").groupBy("chunk_id", "project_id", "word").agg(F.sum(F.col("n") * F.col("times")).alias("n"))
+
+
 def lexical_search(queries: DataFrame, chunks: DataFrame, k: int = TOP) -> DataFrame:
     """query_id, chunk_id, score, rank: occurrences of the query's words, each word as often as the query has it."""
-    q = queries.select("query_id", "project_id", words(F.lower("query_text")).alias("ws"))
-    pairs = live(chunks).select("chunk_id", "project_id", F.lower("content").alias("c")).join(sized(q), "project_id")
-    count = lambda s, w: s + (F.length("c") - F.length(F.replace("c", w, F.lit("")))) / F.length(w)
-    scored = pairs.withColumn("score", F.aggregate("ws", F.lit(0.0), count).cast("bigint")).filter("score > 0")
-    return best(scored.select("query_id", "chunk_id", "score"), k, F.desc("score"), F.asc("chunk_id"))
+    asked = queries.select("query_id", "project_id", F.explode(words(F.lower("query_text"))).alias("word")).groupBy("query_id", "project_id", "word").agg(F.count(F.lit(1)).alias("times"))
+    hits = word_hits(chunks, asked.select("word").distinct()).join(sized(asked), ["project_id", "word"])
+    scored = hits.groupBy("query_id", "chunk_id").agg(F.sum(F.col("n") * F.col("times")).alias("score"))
+    return best(scored, k, F.desc("score"), F.asc("chunk_id"))
 
 
 def fuse(vector: DataFrame, lexical: DataFrame, k: int = 5) -> DataFrame:
@@ -90,18 +107,19 @@ def cited(hits: DataFrame, chunks: DataFrame) -> DataFrame:
 
 def search_with_keywords(queries: DataFrame, chunks: DataFrame, embeddings: DataFrame, model: str, threshold: float = 0.0) -> DataFrame:
     """query_id, chunk_id, score, keyword_matched, rank: a keyword lets a chunk in whatever its score, and puts it first."""
-    scored = vector_scores(queries, chunks, embeddings, model)
-    text = scored.join(chunks.select("chunk_id", F.lower("content").alias("c")), "chunk_id").join(sized(queries.select("query_id", keywords(F.col("query_text")).alias("kw"))), "query_id")
-    met = text.withColumn("keyword_matched", F.exists("kw", lambda w: F.col("c").contains(w))).filter(F.col("keyword_matched") | (F.col("score") >= threshold))
+    asked = queries.select("query_id", "project_id", F.explode(F.array_distinct(keywords(F.col("query_text")))).alias("word"))
+    hits = word_hits(chunks, asked.select("word").distinct()).join(sized(asked), ["project_id", "word"]).select("query_id", "chunk_id").distinct()
+    scored = vector_scores(queries, chunks, embeddings, model).join(hits.withColumn("keyword_matched", F.lit(True)), ["query_id", "chunk_id"], "left")
+    met = scored.withColumn("keyword_matched", F.coalesce("keyword_matched", F.lit(False))).filter(F.col("keyword_matched") | (F.col("score") >= threshold))
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("keyword_matched"), F.desc("score"), "chunk_id"))
     return met.select("query_id", "chunk_id", "score", "keyword_matched", rank.alias("rank"))
 
 
-def scoped(chunks: DataFrame, documents: list[int] | None = None, first_page: int | None = None, last_page: int | None = None) -> DataFrame:
-    """Only chunks of the chosen documents and pages."""
+def scoped(chunks: DataFrame, documents: DataFrame | None = None, first_page: int | None = None, last_page: int | None = None) -> DataFrame:
+    """Only chunks of the chosen documents(document_id) and pages."""
     out = live(chunks)
     if documents is not None:
-        out = out.filter(F.array_contains(F.array(*map(F.lit, documents)), F.col("document_id")))
+        out = out.join(documents.select("document_id"), "document_id", "left_semi")
     return out.filter(F.col("page_number").between(first_page if first_page is not None else -(1 << 31), last_page if last_page is not None else (1 << 31) - 1))
 
 
@@ -186,10 +204,15 @@ def merge_adjacent(items: DataFrame) -> DataFrame:
 
 
 def assemble(items: DataFrame) -> DataFrame:
-    """One row per query from merged items: arrays in document order, mean score, confidence, pages and count."""
+    """One row per query from merged items: arrays in document order, mean score, confidence, pages and count.
+
+    The mean is taken over whole millionths, half of one rounded up, so that it does not hang on the order of the sum.
+    """
+    total, n = F.sum(F.round(F.col("score") * 1e6).cast("bigint")), F.count(F.lit(1))
+    mean = F.floor((total * 2 + n).cast("double") / (n * 2)) / 1e6
     got = items.groupBy("query_id").agg(
         F.array_sort(F.collect_list(F.struct("position", "chunk_id", "document_id", "page_number", "score"))).alias("hits"),
-        F.round(F.avg("score"), 6).alias("avg_score"), F.count_distinct("document_id", "page_number").alias("n_pages"), F.count(F.lit(1)).alias("n_chunks"),
+        mean.alias("avg_score"), F.count_distinct("document_id", "page_number").alias("n_pages"), F.count(F.lit(1)).alias("n_chunks"),
     )
     return got.withColumn("confidence", F.round(F.least(F.lit(1.0), F.col("avg_score") * 1.2), 6))
 

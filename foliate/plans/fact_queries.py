@@ -49,12 +49,12 @@ def f02_resolve_entities(x: Fixtures) -> DataFrame:
 
 
 def _claims(x: Fixtures) -> DataFrame:
-    e = x.entity().filter("entity_id < 400").select("entity_id", "project_id", "name")
+    e = x.entity().select("entity_id", "project_id", "name")
     subject = F.when(F.col("entity_id") % 6 == 0, F.concat(F.lit("nobody "), "entity_id")).otherwise(F.col("name"))
     return e.select(F.col("entity_id").alias("chunk_id"), "project_id", subject.alias("subject"), F.lit(" has ").alias("predicate"), F.concat(F.lit(" v"), "entity_id").alias("object"), F.lit(0.9).alias("confidence"))
 
 
-CLAIMS = RES + ", known AS (SELECT project_id, key_name, min(entity_id) AS subject_id FROM res GROUP BY 1, 2), claims AS (SELECT entity_id AS chunk_id, project_id, CASE WHEN entity_id % 6 = 0 THEN 'nobody ' || entity_id ELSE name END AS subject, ' has ' AS predicate, ' v' || entity_id AS object FROM entity WHERE entity_id < 400)"
+CLAIMS = RES + ", known AS (SELECT project_id, key_name, min(entity_id) AS subject_id FROM res GROUP BY 1, 2), claims AS (SELECT entity_id AS chunk_id, project_id, CASE WHEN entity_id % 6 = 0 THEN 'nobody ' || entity_id ELSE name END AS subject, ' has ' AS predicate, ' v' || entity_id AS object FROM entity)"
 
 
 @query("entity", "WITH " + CLAIMS + " SELECT chunk_id, c.project_id, subject_id, trim(predicate) AS predicate, trim(object) AS object_text, 0.9::DOUBLE AS confidence, 'unverified' AS status, concat_ws(' ', subject, predicate, object) AS verbatim FROM claims c JOIN known k ON k.project_id = c.project_id AND k.key_name = lower(trim(subject))")
@@ -133,22 +133,27 @@ def f10_conflicts(x: Fixtures) -> DataFrame:
     return facts.with_kind(facts.candidates(x.fact(), x.conflict())).select("first_fact_id", "second_fact_id", "kind")
 
 
+def recent(facts: DataFrame) -> DataFrame:
+    """Those that count as new: made on or after the first day of 1998."""
+    return facts.filter("created_at >= date'1998-01-01'")
+
+
 def _inc(statuses: str, strict: bool) -> str:
     kind = _kind("n.object_text", "s.object_text")
     if strict:
         kind = f"CASE WHEN lower(trim(n.predicate)) = lower(trim(s.predicate)) AND lower(trim(n.object_text)) = lower(trim(s.object_text)) THEN 'duplicate' ELSE {kind} END"
     return f"""SELECT DISTINCT least(n.fact_id, s.fact_id) AS first_fact_id, greatest(n.fact_id, s.fact_id) AS second_fact_id, {kind} AS kind FROM fact n JOIN fact s ON n.project_id = s.project_id AND n.subject_id = s.subject_id AND n.fact_id <> s.fact_id
-WHERE n.fact_id % 50 = 7 AND s.deleted_at IS NULL AND s.status IN ({statuses}) AND NOT EXISTS (SELECT 1 FROM conflict c WHERE c.status = 'open' AND c.first_fact_id = least(n.fact_id, s.fact_id) AND c.second_fact_id = greatest(n.fact_id, s.fact_id))"""
+WHERE n.created_at >= DATE '1998-01-01' AND s.deleted_at IS NULL AND s.status IN ({statuses}) AND NOT EXISTS (SELECT 1 FROM conflict c WHERE c.status = 'open' AND c.first_fact_id = least(n.fact_id, s.fact_id) AND c.second_fact_id = greatest(n.fact_id, s.fact_id))"""
 
 
 @query("fact conflict", _inc("'pending', 'verified', 'unverified', 'conflicted'", False))
 def f11_incremental(x: Fixtures) -> DataFrame:
-    return facts.incremental(x.fact().filter("fact_id % 50 = 7"), x.fact(), x.conflict()).select("first_fact_id", "second_fact_id", "kind")
+    return facts.incremental(recent(x.fact()), x.fact(), x.conflict()).select("first_fact_id", "second_fact_id", "kind")
 
 
 @query("fact conflict", _inc("'verified', 'unverified'", True))
 def f11_incremental_strict(x: Fixtures) -> DataFrame:
-    return facts.incremental(x.fact().filter("fact_id % 50 = 7"), x.fact(), x.conflict(), True).select("first_fact_id", "second_fact_id", "kind")
+    return facts.incremental(recent(x.fact()), x.fact(), x.conflict(), True).select("first_fact_id", "second_fact_id", "kind")
 
 
 @query("fact conflict", "WITH " + CAND + """ SELECT first_fact_id, second_fact_id, kind, CASE kind WHEN 'duplicate' THEN 'Deterministic duplicate fact: ''' || p || ': ' || first_object || '''.' WHEN 'numeric' THEN 'Numeric mismatch: ''' || p || ''' values differ between ''' || first_object || ''' and ''' || second_object || '''.' ELSE 'Temporal mismatch: values differ between ''' || first_object || ''' and ''' || second_object || '''.' END AS reasoning,
@@ -192,9 +197,9 @@ def f14_triggers(x: Fixtures) -> DataFrame:
     return facts.triggers(x.entity(), x.fact(), x.conflict(), x.question())
 
 
-@query("entity fact conflict question", "WITH " + TRIG.format(es=" AND entity_id IN (SELECT subject_id FROM fact WHERE deleted_at IS NULL AND fact_id % 20 = 3)", fs=" AND fact_id % 20 = 3"))
+@query("entity fact conflict question", "WITH " + TRIG.format(es=" AND entity_id IN (SELECT subject_id FROM fact WHERE deleted_at IS NULL AND created_at >= DATE '1998-01-01')", fs=" AND created_at >= DATE '1998-01-01'"))
 def f14_triggers_scoped(x: Fixtures) -> DataFrame:
-    return facts.triggers(x.entity(), x.fact(), x.conflict(), x.question(), x.fact().filter("fact_id % 20 = 3").select("fact_id"))
+    return facts.triggers(x.entity(), x.fact(), x.conflict(), x.question(), recent(x.fact()).select("fact_id"))
 
 
 @query("question fact", "SELECT question_id, CASE question_id % 3 WHEN 0 THEN 'resolved' WHEN 1 THEN 'dismissed' ELSE 'answered' END AS new_status, q.fact_id, CASE WHEN question_id % 3 = 0 AND question_id % 2 = 0 THEN 'a' || question_id ELSE object_text END AS object_text, CASE WHEN question_id % 3 = 0 THEN 'verified' ELSE f.status END AS fact_status FROM question q LEFT JOIN fact f USING (fact_id)")

@@ -62,7 +62,7 @@ class Fixtures:
         words = F.slice(F.filter(F.split("text", r"\s+"), lambda w: w != ""), 1, 6)
         items = self.t("benchmark").select("item_id", F.concat(F.array_join(words, " "), F.lit("?")).alias("query_text"))
         vectors = self.t("embeddings").select(F.col("vec_id").alias("item_id"), F.col("embedding").alias("query_vec"))
-        return items.join(vectors, "item_id").select("item_id", "query_text", "query_vec", F.explode(F.sequence(F.lit(0), F.lit(4))).alias("s")).select((F.col("item_id") * 5 + F.col("s")).alias("query_id"), F.concat(F.lit("src"), "s").alias("project_id"), "query_text", "query_vec")
+        return items.join(vectors, "item_id").select("item_id", "query_text", "query_vec", F.explode(F.sequence(F.lit(0), F.lit(4))).alias("s")).select((F.col("item_id") * 5 + F.col("s")).alias("query_id"), F.concat(F.lit("src"), (F.col("item_id") * 5 + F.col("s")) % 20).alias("project_id"), "query_text", "query_vec")
 
     def entity(self) -> DataFrame:
         return self.t("part").selectExpr(

@@ -31,7 +31,7 @@ CTES: dict[str, tuple[list[str], str]] = {
         SELECT document_id * 1000 + p AS chunk_id, embedding, 'm' || (vec_id % 2) AS model_name
         FROM embeddings JOIN (SELECT document_id, min(p) AS p FROM line WHERE line <> '' GROUP BY 1) ON vec_id = document_id"""),
     "query": ([], """
-        SELECT item_id * 5 + s AS query_id, 'src' || s AS project_id, array_to_string((list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> ''))[1:6], ' ') || '?' AS query_text, embedding AS query_vec
+        SELECT item_id * 5 + s AS query_id, 'src' || ((item_id * 5 + s) % 20) AS project_id, array_to_string((list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> ''))[1:6], ' ') || '?' AS query_text, embedding AS query_vec
         FROM benchmark JOIN embeddings ON vec_id = item_id, range(5) AS r(s)"""),
     "entity": ([], """
         SELECT p_partkey AS entity_id, p_partkey % 3 AS project_id, CASE p_partkey % 4 WHEN 0 THEN p_name WHEN 1 THEN upper(p_name) WHEN 2 THEN '  ' || p_name ELSE p_name || ' ' END AS name,

@@ -155,7 +155,8 @@ def e12_layout(x: Fixtures) -> DataFrame:
     return search.layout_of(_items(x).select("query_id", "chunk_id", "document_id", "content"), x.element())
 
 
-NEAR = """near AS (SELECT q.query_id, c.*, round((c.chunk_id % 100) / 100.0::DOUBLE, 6) AS score, c.chunk_id % 3 = 0 AS keyword_matched FROM (SELECT DISTINCT query_id FROM query WHERE query_id < 40) q JOIN chunk c ON c.document_id % 40 = q.query_id AND c.chunk_index % 5 <> 4),
+NEAR = ITEMS + """, near AS (SELECT query_id, c.chunk_id, c.document_id, c.page_number, c.chunk_index, c.content, max(i.score) AS score, bool_or(i.keyword_matched) AS keyword_matched
+FROM items i JOIN chunk c ON c.document_id = i.document_id AND c.page_number = i.page_number AND c.chunk_index BETWEEN i.chunk_index - 1 AND i.chunk_index + 3 GROUP BY ALL),
 runs AS (SELECT *, chunk_index - row_number() OVER (PARTITION BY query_id, document_id, page_number ORDER BY chunk_index) AS run FROM near),
 pairs AS (SELECT *, (row_number() OVER (PARTITION BY query_id, document_id, page_number, run ORDER BY chunk_index) - 1) // 2 AS pair FROM runs),
 made AS (SELECT query_id, document_id, page_number, min(chunk_index) AS chunk_index, min(chunk_id) AS chunk_id, list(content ORDER BY chunk_index) AS c, max(score) AS score, bool_or(keyword_matched) AS keyword_matched FROM pairs GROUP BY query_id, document_id, page_number, run, pair),
@@ -163,23 +164,24 @@ merged AS (SELECT query_id, document_id, page_number, chunk_index, chunk_id, CAS
 
 
 def _near(x: Fixtures) -> DataFrame:
-    q = search.sized(x.query().filter("query_id < 40").select("query_id"))
-    c = x.chunk().filter("chunk_index % 5 <> 4").withColumn("query_id", F.col("document_id") % 40).join(q, "query_id")
-    return c.withColumn("score", F.round((F.col("chunk_id") % 100) / 100.0, 6)).withColumn("keyword_matched", F.col("chunk_id") % 3 == 0)
+    """The best vector hits of each query with the chunks about them: one before, three after."""
+    hits = _items(x).select("query_id", "document_id", "page_number", F.explode(F.sequence(F.col("chunk_index") - 1, F.col("chunk_index") + 3)).alias("chunk_index"), "score", "keyword_matched")
+    hits = hits.groupBy("query_id", "document_id", "page_number", "chunk_index").agg(F.max("score").alias("score"), F.max("keyword_matched").alias("keyword_matched"))
+    return hits.join(x.chunk().select("document_id", "page_number", "chunk_index", "chunk_id", "content"), ["document_id", "page_number", "chunk_index"])
 
 
-@query("query chunk", "WITH " + NEAR + " SELECT * FROM merged")
+@query(BASE, NEAR + " SELECT * FROM merged")
 def e13_merge_adjacent(x: Fixtures) -> DataFrame:
     return search.merge_adjacent(_near(x))
 
 
-@query("query chunk", "WITH " + NEAR + " SELECT query_id, list(chunk_id ORDER BY position) AS chunk_ids FROM merged GROUP BY 1")
+@query(BASE, NEAR + " SELECT query_id, list(chunk_id ORDER BY position) AS chunk_ids FROM merged GROUP BY 1")
 def e14_document_order(x: Fixtures) -> DataFrame:
     made = search.merge_adjacent(_near(x)).groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("position", "chunk_id"))).alias("a"))
     return made.select("query_id", F.col("a.chunk_id").alias("chunk_ids"))
 
 
-@query("query chunk", "WITH " + NEAR + """ SELECT query_id, list(chunk_id ORDER BY position) AS chunk_ids, list(page_number ORDER BY position) AS pages, list(score ORDER BY position) AS scores, round(avg(score), 6) AS avg_score, count(DISTINCT (document_id, page_number)) AS n_pages, count(*) AS n_chunks, round(least(1.0, round(avg(score), 6) * 1.2), 6) AS confidence FROM merged GROUP BY 1""")
+@query(BASE, NEAR + """ SELECT query_id, list(chunk_id ORDER BY position) AS chunk_ids, list(page_number ORDER BY position) AS pages, list(score ORDER BY position) AS scores, floor((2 * sum(round(score * 1e6)::BIGINT) + count(*))::DOUBLE / (2 * count(*))) / 1e6 AS avg_score, count(DISTINCT (document_id, page_number)) AS n_pages, count(*) AS n_chunks, round(least(1.0, floor((2 * sum(round(score * 1e6)::BIGINT) + count(*))::DOUBLE / (2 * count(*))) / 1e6 * 1.2), 6) AS confidence FROM merged GROUP BY 1""")
 def e15_assemble(x: Fixtures) -> DataFrame:
     made = search.assemble(search.merge_adjacent(_near(x)))
     return made.select("query_id", F.col("hits.chunk_id").alias("chunk_ids"), F.col("hits.page_number").alias("pages"), F.col("hits.score").alias("scores"), "avg_score", "n_pages", "n_chunks", "confidence")
@@ -271,9 +273,9 @@ def b12_snippet(x: Fixtures) -> DataFrame:
     return x.chunk().select("chunk_id", snippet(F.col("content")).alias("snippet"))
 
 
-@query("chunk", "SELECT chunk_id, document_id, page_number FROM chunk WHERE deleted_at IS NULL AND document_id IN (1, 2, 3, 5, 8, 13, 17, 21) AND page_number BETWEEN 1 AND 2")
+@query("chunk document", "SELECT chunk_id, document_id, page_number FROM chunk WHERE deleted_at IS NULL AND document_id IN (SELECT document_id FROM document WHERE user_id = 3) AND page_number BETWEEN 1 AND 2")
 def b07_scope(x: Fixtures) -> DataFrame:
-    return search.scoped(x.chunk(), [1, 2, 3, 5, 8, 13, 17, 21], 1, 2).select("chunk_id", "document_id", "page_number")
+    return search.scoped(x.chunk(), x.document().filter("user_id = 3"), 1, 2).select("chunk_id", "document_id", "page_number")
 
 
 @query("chunk", "SELECT chunk_id, project_id FROM chunk WHERE project_id = 'src1' AND deleted_at IS NULL")

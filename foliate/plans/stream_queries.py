@@ -29,7 +29,7 @@ class Streamed(Fixtures):
 
 def i01_stream_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     x, live = Fixtures(spark, sf_dir), Streamed(spark, sf_dir, "orders")
-    return streaming.detect_conflicts(live.fact().filter("fact_id % 50 = 7"), x.fact(), x.conflict())
+    return streaming.detect_conflicts(fact_queries.recent(live.fact()), x.fact(), x.conflict())
 
 
 def i02_stream_deliveries(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -114,9 +114,9 @@ def a13_cascade(x: Fixtures) -> DataFrame:
     return sources.cascade(keys, {"document": x.document(), "chunk": x.chunk()}, "document_id")[1]
 
 
-@query("grid", "SELECT sheet_id, rn FROM grid WHERE rn <= 30 AND len(list_filter(cells, lambda c: contains(lower(c), 'brand#1'))) > 0")
+@query("grid", "SELECT sheet_id, rn FROM grid WHERE rn <= 1000 AND len(list_filter(cells, lambda c: contains(lower(c), 'brand#1'))) > 0")
 def b04_search_grid(x: Fixtures) -> DataFrame:
-    return sheets.search_grid(x.grid(), "Brand#1", 30).select("sheet_id", "rn")
+    return sheets.search_grid(x.grid(), "Brand#1", 1000).select("sheet_id", "rn")
 
 
 @query("grid", "SELECT sheet_id, rn, cells[3] AS cell, row_number() OVER (PARTITION BY sheet_id ORDER BY try_cast(cells[3] AS DOUBLE) NULLS LAST, cells[3], rn) AS place FROM grid")
