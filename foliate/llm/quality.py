@@ -6,7 +6,8 @@ into the word before and the tables grow with the trusted text. Symbols are whol
 The work is a chain of sharded count joins. Each batch of documents sends its distinct n-grams once, with their counts in its trusted part, to
 shards by a hash of the n-gram; shards add them up. The sums are dealt out again by the two symbols before the last one: all counts, continuation
 counts and contexts of orders 3 to 6 that an n-gram needs are then in one place, and only pairs and single symbols are joined as tables. The
-probabilities go back to the shards and from there, by number, to the batches, which add them up for each document. A shard sees an n-gram once for
+probabilities go back to the shards and from there, by number, to the batches, which add them up for each document. What is sent is sorted by the
+n-gram and compressed. A shard sees an n-gram once for
 each batch however often it occurs; the second dealing has each n-gram once, so a context holds at most its share of the distinct n-grams.
 
 A part of the trusted documents stays out of the counts; the quantile of its perplexities in each language is the limit for that language.
@@ -28,7 +29,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foliate.llm.common import BATCH_BYTES, by_shard, cut, in_batches, table_of, text_bytes
+from foliate.llm.common import by_shard, cut, in_batches, table_of, text_bytes
 from foliate.llm.wordhash import mix, slices
 
 #: An n-gram is two longs of three symbols: `key` has the last symbol lowest, `far` the farthest one lowest.
@@ -38,8 +39,8 @@ SYMBOL, PAIR = (1 << BITS) - 1, (1 << 2 * BITS) - 1
 JOINT = range(3, ORDER + 1)
 #: The share of trusted documents kept out of the counts (one in so many), the quantile of their perplexities, and the fewest for a language.
 CALIBRATE, QUANTILE, LEAST = 10, 0.998, 100
-#: Batches for one shard.
-SHARD_BATCHES = 2
+#: Bytes of text in a batch.
+BATCH_BYTES = 8 << 20
 _PAD, _DIGIT, _BLANK = 2, 48, 32
 _fold: np.ndarray | None = None
 
@@ -95,8 +96,9 @@ def distinct(key: np.ndarray, far: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     if np.any(fresh & (h[order[1:]] == h[order[:-1]])):  # different n-grams with one hash
         order = np.lexsort((far, key, h))
         fresh = turns()
-    fresh = np.concatenate([np.ones(min(1, len(h)), bool), fresh])
-    number = np.empty(len(h), np.int32)
+    fresh = np.concatenate([np.ones(min(1, len(order)), bool), fresh])
+    del h
+    number = np.empty(len(order), np.int32)
     number[order] = np.cumsum(fresh) - 1
     return order[fresh], number
 
@@ -139,12 +141,27 @@ def names(schema: str) -> list[str]:
     return [x.split()[0] for x in schema.split(", ")]
 
 
-def blobs(table: pa.Table, name: str, kind) -> list[np.ndarray]:
-    return [np.frombuffer(x.as_py(), kind) for x in table.column(name)]
+def squeezed(x: np.ndarray, rising: bool = False) -> bytes:
+    """An array as its size and its compressed bytes, all first ones first; of rising values only the differences."""
+    if rising:
+        x = np.diff(x, prepend=x.dtype.type(0))
+    planes = np.ascontiguousarray(np.ascontiguousarray(x).view(np.uint8).reshape(len(x), x.itemsize).T)
+    return len(x).to_bytes(8, "little") + pa.Codec("zstd", compression_level=1).compress(planes.tobytes(), asbytes=True)
 
 
-def joined(table: pa.Table, name: str, kind) -> np.ndarray:
-    return np.concatenate([np.zeros(0, kind), *blobs(table, name, kind)])
+def expanded(data: bytes, kind, rising: bool = False) -> np.ndarray:
+    n, kind = int.from_bytes(data[:8], "little"), np.dtype(kind)
+    planes = np.frombuffer(pa.Codec("zstd").decompress(data[8:], n * kind.itemsize, asbytes=True), np.uint8)
+    x = np.ascontiguousarray(planes.reshape(kind.itemsize, n).T).view(kind).ravel()
+    return np.cumsum(x, dtype=kind) if rising else x
+
+
+def blobs(table: pa.Table, name: str, kind, rising: bool = False) -> list[np.ndarray]:
+    return [expanded(x.as_py(), kind, rising) for x in table.column(name)]
+
+
+def joined(table: pa.Table, name: str, kind, rising: bool = False) -> np.ndarray:
+    return np.concatenate([np.zeros(0, kind), *blobs(table, name, kind, rising)])
 
 
 def ask(table: pa.Table, counted: pa.Table, shards: int) -> pa.Table:
@@ -162,24 +179,30 @@ def ask(table: pa.Table, counted: pa.Table, shards: int) -> pa.Table:
     first, number = distinct(key, far)
     n, key, far = np.bincount(number, n, len(first)).astype(np.int32), key[first], far[first]
     batch = table.column("batch")[0].as_py()
-    rows = [(i, batch, key[own].tobytes(), far[own].tobytes(), n[own].tobytes()) for i, own in by_shard(shard_of(key, far, shards))]
+    rows = [(i, batch, squeezed(key[own], True), squeezed(far[own]), squeezed(n[own])) for i, own in asked_of(key, far, shards)]
     return table_of(rows, names(ASK), ASK_KINDS)
 
 
-def shard_of(key: np.ndarray, far: np.ndarray, shards: int) -> np.ndarray:
-    return (hashed(key, far) % np.uint64(shards)).astype(np.int64)
+def asked_of(key: np.ndarray, far: np.ndarray, shards: int) -> list[tuple[int, np.ndarray]]:
+    """The shards of distinct n-grams, given in the order of their hashes, with the places of those that each has, by key, then by hash."""
+    shard, order = (hashed(key, far) % np.uint64(shards)).astype(np.int64), np.argsort(key, kind="stable")
+    return [(i, order[own]) for i, own in by_shard(shard[order])]
 
 
 def merge(table: pa.Table, shards: int) -> pa.Table:
     """The shard's n-grams with their counts over all batches, numbered, by the contexts' parts; and each batch's numbers."""
-    key, far, n = joined(table, "keys", np.uint64), joined(table, "fars", np.uint64), joined(table, "counts", np.int32)
+    key, far, n = joined(table, "keys", np.uint64, True), joined(table, "fars", np.uint64), joined(table, "counts", np.int32)
     first, number = distinct(key, far)
+    order = np.argsort(key[first], kind="stable")  # numbered as each batch has them: by key, then by hash
+    place = np.empty(len(first), np.int32)
+    place[order] = np.arange(len(first), dtype=np.int32)
+    first, number = first[order], place[number]
     n, key, far = np.bincount(number, n, len(first)).astype(np.int64), key[first], far[first]
     shard, part = table.column("shard")[0].as_py(), (mix(key >> np.uint64(BITS)) % np.uint64(shards)).astype(np.int64)
-    rows = [(shard, i, None, own.astype(np.int32).tobytes(), key[own].tobytes(), far[own].tobytes(), n[own].tobytes()) for i, own in by_shard(part)]
+    rows = [(shard, i, None, squeezed(own.astype(np.int32), True), squeezed(key[own], True), squeezed(far[own]), squeezed(n[own])) for i, own in by_shard(part)]
     ends = np.cumsum([len(x) for x in blobs(table, "counts", np.int32)])
     for batch, own in zip(table.column("batch").to_pylist(), np.split(number, ends[:-1])):
-        rows.append((shard, None, batch, own.tobytes(), None, None, None))
+        rows.append((shard, None, batch, squeezed(own, True), None, None, None))
     return table_of(rows, names(SHARD), SHARD_KINDS)
 
 
@@ -204,8 +227,9 @@ def counts_of(key: np.ndarray, far: np.ndarray, n: np.ndarray) -> dict[int, tupl
 
 def gather(table: pa.Table) -> pa.Table:
     """All n-grams of a part of the contexts, sorted; how many suffixes of each order have a count of 1 to 4; and its pairs."""
-    shard = np.repeat(table.column("shard").to_numpy().astype(np.int32), [len(x) // 4 for x in (y.as_py() for y in table.column("numbers"))])
-    number, key, far, n = (joined(table, c, t) for c, t in (("numbers", np.int32), ("keys", np.uint64), ("fars", np.uint64), ("counts", np.int64)))
+    numbers = blobs(table, "numbers", np.int32, True)
+    shard, number = np.repeat(table.column("shard").to_numpy().astype(np.int32), list(map(len, numbers))), np.concatenate(numbers)
+    key, far, n = joined(table, "keys", np.uint64, True), joined(table, "fars", np.uint64), joined(table, "counts", np.int64)
     order, part = np.lexsort((far, key)), table.column("part")[0].as_py()
     shard, number, key, far, n = (x[order] for x in (shard, number, key, far, n))
     counts = counts_of(key, far, n)
@@ -213,7 +237,7 @@ def gather(table: pa.Table) -> pa.Table:
     c, fresh = counts[JOINT[0]]
     pairs, which = np.unique(key[fresh] & np.uint64(PAIR), return_inverse=True)
     of_pair = np.bincount(which, c[fresh] > 0).astype(np.int64)
-    rows = [(part, [x.tobytes() for x in (shard, number, key, far, n)], few, None, None)]
+    rows = [(part, [squeezed(x) for x in (shard, number, key, far, n)], few, None, None)]
     return table_of(rows + [(part, None, None, p, x) for p, x in zip(pairs.astype(np.int64).tolist(), of_pair.tolist())], names(PART), PART_KINDS)
 
 
@@ -254,7 +278,7 @@ def probabilities(table: pa.Table, pairs: pa.Table, discounts: dict[int, tuple[f
     """The log probability of each n-gram of a part, for each shard with the n-grams' numbers."""
     kinds = (np.int32, np.int32, np.uint64, np.uint64, np.int64)
     found = next(x for x in table.column("data").to_pylist() if x)
-    shard, number, key, far, n = (np.frombuffer(x, t) for x, t in zip(found, kinds))
+    shard, number, key, far, n = (expanded(x, t) for x, t in zip(found, kinds))
     known = pairs.sort_by("pair")
     p = known.column("p").to_numpy()[np.searchsorted(known.column("pair").to_numpy(), (key & np.uint64(PAIR)).astype(np.int64))]
     counts, before = counts_of(key, far, n), key >> np.uint64(BITS)
@@ -270,7 +294,7 @@ def probabilities(table: pa.Table, pairs: pa.Table, discounts: dict[int, tuple[f
         total, freed = np.bincount(group, c * fresh)[group], np.bincount(group, d * fresh)[group]
         p = np.where(total > 0, (np.maximum(c - d, 0) + freed * p) / np.maximum(total, 1), p)
     logp = np.log(p).astype(np.float32)
-    rows = [(i, number[own].tobytes(), logp[own].tobytes()) for i, own in by_shard(shard)]
+    rows = [(i, squeezed(number[own]), squeezed(logp[own])) for i, own in by_shard(shard)]
     return table_of(rows, ["shard", "numbers", "logp"], [pa.int32(), pa.binary(), pa.binary()])
 
 
@@ -279,7 +303,7 @@ def answer(asked: pa.Table, known: pa.Table) -> pa.Table:
     number, logp = joined(known, "numbers", np.int32), joined(known, "logp", np.float32)
     of = np.empty(len(number), np.float32)
     of[number] = logp
-    rows = [(b, s, of[own].tobytes()) for b, s, own in zip(asked.column("batch").to_pylist(), asked.column("shard").to_pylist(), blobs(asked, "numbers", np.int32))]
+    rows = [(b, s, squeezed(of[own])) for b, s, own in zip(asked.column("batch").to_pylist(), asked.column("shard").to_pylist(), blobs(asked, "numbers", np.int32, True))]
     return table_of(rows, ["batch", "shard", "logp"], [pa.int32(), pa.int32(), pa.binary()])
 
 
@@ -295,7 +319,7 @@ def score(table: pa.Table, answers: pa.Table, shards: int, kept: list[str]) -> p
         places.append(number)
     key, far = (np.concatenate(x) for x in zip(*found))
     first, number = distinct(key, far)
-    logp, of_shard = np.empty(len(first)), dict(by_shard(shard_of(key[first], far[first], shards)))
+    logp, of_shard = np.empty(len(first)), dict(asked_of(key[first], far[first], shards))
     for shard, data in zip(answers.column("shard").to_pylist(), blobs(answers, "logp", np.float32)):
         logp[of_shard[shard]] = data
     out, at = [], 0
@@ -314,7 +338,7 @@ def perplexities(docs: DataFrame, counted: DataFrame, *also: str, batch_bytes: i
     """Every row of docs(doc_id, text, ...): doc_id, the columns asked for, n_symbols, perplexity. counted(doc_id): whose n-grams are counted."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *also)
     dealt, batches = in_batches(rows, text_bytes(rows), "doc_id", "text", *also, batch_bytes=batch_bytes)
-    dealt, shards = pack(dealt).groupBy("batch"), -(-batches // SHARD_BATCHES)
+    dealt, shards = pack(dealt).groupBy("batch"), batches
     trusted = counted.select(F.pmod(F.xxhash64("doc_id"), F.lit(batches)).cast("int").alias("batch"), "doc_id")
     asked = dealt.cogroup(trusted.groupBy("batch")).applyInArrow(lambda t, c: ask(t, c, shards), ASK)
     asked = cut(asked.groupBy("shard").applyInArrow(lambda t: merge(t, shards), SHARD))
