@@ -1,17 +1,16 @@
 """Language identification by string kernels: blended-spectrum presence kernels, Nyström landmarks, one-versus-rest ridge.
 
-k(x, y) counts the n-grams of 1 to 3 letters (with word bounds) that both texts have, divided by the root of k(x, x) k(y, y). A
-bounded, balanced sample of labelled documents gives landmarks and training rows; a text's kernel values against all landmarks
-come from one product of its presence row with the landmarks' matrix, for many texts at once.
+k(x, y) counts the n-grams of 1 to 3 letters (with word bounds) that both texts have, divided by the root of k(x, x) k(y, y). N-grams are code points
+of any script, hashed to 20 bits. A bounded, balanced sample of labelled documents, each whole, gives landmarks and training rows; a text's kernel
+values against all landmarks come from one product of its presence row with the landmarks' matrix, for many texts at once.
 
 Edge cases: a text that is null or has no letter is "und" with score 0. Without any labelled row all texts are "und". Ties go to the
-first language in order. Repeated rows are predicted alike. A long text is one row of the matrix like any other, from all its
-n-grams. Extra columns are not read. An empty table gives an empty result.
+first language in order. Repeated rows, and rows that share an id, are predicted each by its own text. A long text is one row of the matrix like any
+other, from all its n-grams. Extra columns are not read. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -21,10 +20,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-#: Bounds of the sample that the model is fitted on: rows in all, rows of one language at least, letters and signs of each.
-SAMPLE_ROWS, LEAST_ROWS, SAMPLE_CHARS = 2000, 20, 4000
-#: Landmarks in all, letters told apart, ridge, and the sharpness of scores.
-LANDMARKS, LETTERS, RIDGE, SHARPNESS = 128, 96, 1e-2, 4.0
+#: Bounds of the sample that the model is fitted on: rows in all, and rows of one language at least.
+SAMPLE_ROWS, LEAST_ROWS = 2000, 20
+#: Landmarks in all, bits of an n-gram's hash, ridge, and the sharpness of scores.
+LANDMARKS, HASH_BITS, RIDGE, SHARPNESS = 128, 20, 1e-2, 4.0
 ORDERS = (1, 2, 3)
 #: Of the hash that draws the sample.
 RANGE = 1 << 40
@@ -44,37 +43,38 @@ def letters(text: str) -> np.ndarray:
     return codes[np.concatenate([[True], (codes[1:] != 0) | (codes[:-1] != 0)])]
 
 
+#: Odd multipliers for an n-gram's letters by place, for its order, and for the whole.
+_TIMES = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD], np.uint64)
+
+
+def grams(codes: np.ndarray) -> np.ndarray:
+    """Hashes of all n-grams of a text's letters, with repeats."""
+    wide, out = codes.astype(np.uint64), []
+    for n in ORDERS:
+        h = np.full(max(0, len(wide) - n + 1), np.uint64(n) * _TIMES[3], np.uint64)
+        for i in range(n):
+            h += wide[i : len(wide) - n + 1 + i] * _TIMES[i]
+        h = (h ^ (h >> np.uint64(32))) * _TIMES[4]
+        out.append((h >> np.uint64(64 - HASH_BITS)).astype(np.int32))
+    return np.concatenate(out)
+
+
 @dataclass
 class Model:
-    alphabet: np.ndarray  # sorted code points; their places plus 2 are symbols, 1 any other letter, 0 the bound of a word
     languages: list[str]
-    feature: np.ndarray  # of each n-gram's code, or -1
+    feature: np.ndarray  # of each n-gram's hash its row among the landmarks' n-grams, or -1
     landmarks: np.ndarray  # n-grams x landmarks
     norms: np.ndarray
     weights: np.ndarray  # landmarks x languages
     bias: np.ndarray
 
-    def grams(self, codes: np.ndarray) -> np.ndarray:
-        """Codes of all n-grams of a text's letters, with repeats."""
-        place = np.searchsorted(self.alphabet, codes)
-        place[place == len(self.alphabet)] = 0
-        symbol = np.where(codes == 0, 0, np.where(self.alphabet[place] == codes, place + 2, 1)).astype(np.int64)
-        base, out, start = len(self.alphabet) + 2, [], 0
-        for n in ORDERS:
-            made = np.zeros(max(0, len(symbol) - n + 1), np.int64)
-            for i in range(n):
-                made = made * base + symbol[i : len(symbol) - n + 1 + i]
-            out.append(made + start)
-            start += base**n
-        return np.concatenate(out)
-
     def kernel(self, texts: list[np.ndarray], distinct) -> np.ndarray:
+        """Of texts given by their n-grams' hashes: a row of kernel values with the landmarks for each."""
         rows = np.zeros((len(texts), self.landmarks.shape[0]), np.float32)
         own = np.ones(len(texts), np.float32)
-        for i, codes in enumerate(texts):
-            grams = self.grams(codes)
-            own[i] = distinct(grams)
-            features = self.feature[grams]
+        for i, made in enumerate(texts):
+            own[i] = distinct(made)
+            features = self.feature[made]
             rows[i, features[features >= 0]] = 1
         return (rows @ self.landmarks) / np.sqrt(own[:, None] * self.norms[None, :])
 
@@ -108,32 +108,32 @@ def fit(labelled: DataFrame) -> Model | None:
     bound = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, min(RANGE, RANGE * (2 * quota + 20) // n))])
     mark = F.pmod(F.xxhash64("doc_id"), F.lit(RANGE))
     few = rows.withColumn("mark", mark).filter(F.col("mark") < F.element_at(bound, F.col("lang")))
-    nth = F.row_number().over(W.partitionBy("lang").orderBy("mark", "doc_id"))
-    sample = few.select("doc_id", "lang", "mark", F.substring("text", 1, SAMPLE_CHARS).alias("text")).withColumn("nth", nth).filter(F.col("nth") <= quota)
-    found = [(r.lang, letters(r.text)) for r in sorted(sample.collect(), key=lambda r: (r.nth, r.lang))]  # at most max(SAMPLE_ROWS, LEAST_ROWS x languages) rows
-    found = [x for x in found if len(x[1]) > 1]
+    nth = F.row_number().over(W.partitionBy("lang").orderBy("mark", "doc_id", "text"))
+    sample = few.select("doc_id", "lang", "mark", "text").withColumn("nth", nth).filter(F.col("nth") <= quota).select("lang", "nth", "text")
+
+    def presence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            codes = [letters(x) for x in batch.column(2).to_pylist()]
+            made = [np.unique(grams(x)).tobytes() if len(x) > 1 else None for x in codes]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(made, pa.binary())], names=["lang", "nth", "grams"])
+
+    # at most max(SAMPLE_ROWS, LEAST_ROWS x languages) rows of at most 2^HASH_BITS n-grams
+    rows = sample.mapInArrow(presence, "lang string, nth int, grams binary").filter("grams is not null").collect()
+    found = [(r.lang, np.frombuffer(r.grams, np.int32)) for r in sorted(rows, key=lambda r: (r.nth, r.lang))]
     if not found:
         return None
-    names = sorted({x[0] for x in found})
-    common = Counter()
-    for _, codes in found:
-        common.update(codes[codes > 0].tolist())
-    alphabet = np.array(sorted(c for c, _ in common.most_common(LETTERS)), np.uint32)
-    size = sum((len(alphabet) + 2) ** n for n in ORDERS)
-    model = Model(alphabet, names, np.full(size, -1, np.int32), np.zeros((0, 0)), np.ones(0), np.zeros(0), np.zeros(0))
+    names, size = sorted({x[0] for x in found}), 1 << HASH_BITS
     each = max(1, LANDMARKS // len(names))
-    chosen = [x for name in names for x in [y for y in found if y[0] == name][:each]]
-    grams = [np.unique(model.grams(x[1])) for x in chosen]
-    every = np.unique(np.concatenate(grams))
+    chosen = [x for name in names for x in landmarks_of([g for lang, g in found if lang == name], each)]
+    every = np.unique(np.concatenate(chosen))
+    model = Model(names, np.full(size, -1, np.int32), np.zeros((len(every), len(chosen)), np.float32), np.array([len(g) for g in chosen], np.float32), np.zeros(0), np.zeros(0))
     model.feature[every] = np.arange(len(every), dtype=np.int32)
-    model.landmarks = np.zeros((len(every), len(chosen)), np.float32)
-    for j, g in enumerate(grams):
+    for j, g in enumerate(chosen):
         model.landmarks[model.feature[g], j] = 1
-    model.norms = np.array([len(g) for g in grams], np.float32)
     among = (model.landmarks.T @ model.landmarks) / np.sqrt(model.norms[:, None] * model.norms[None, :])
     values, vectors = np.linalg.eigh(among.astype(np.float64))
     whiten = vectors @ np.diag(1 / np.sqrt(np.maximum(values, 1e-6))) @ vectors.T
-    z = model.kernel([x[1] for x in found], counter(size)).astype(np.float64) @ whiten
+    z = np.concatenate([model.kernel([g for _, g in found[i : i + 128]], len) for i in range(0, len(found), 128)]).astype(np.float64) @ whiten
     y = np.array([[1.0 if x[0] == name else -1.0 for name in names] for x in found])
     centre, mean = z.mean(axis=0), y.mean(axis=0)
     ridge = np.linalg.solve((z - centre).T @ (z - centre) + RIDGE * len(z) * np.eye(z.shape[1]), (z - centre).T @ (y - mean))
@@ -141,6 +141,13 @@ def fit(labelled: DataFrame) -> Model | None:
     return model
 
 
+def landmarks_of(texts: list[np.ndarray], n: int) -> list[np.ndarray]:
+    """The n texts with the most n-grams among the shorter half (all, where they are few), so that the landmarks' matrix stays small."""
+    ranked = sorted(range(len(texts)), key=lambda i: (len(texts[i]), i))
+    half = max(n, len(ranked) // 2)
+    return [texts[i] for i in ranked[:half][-n:]]
+
+
 def identify(docs: DataFrame, model: Model | None) -> DataFrame:
     """doc_id, lang_pred, score for every row of docs(doc_id, text). The model is bounded by its parameters and broadcast."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
@@ -155,7 +162,7 @@ def identify(docs: DataFrame, model: Model | None) -> DataFrame:
                 names, scores = ["und"] * len(codes), [0.0] * len(codes)
                 some = [i for i, x in enumerate(codes) if len(x) > 1] if m else []
                 if some:
-                    p = m.predict([codes[i] for i in some], distinct)
+                    p = m.predict([grams(codes[i]) for i in some], distinct)
                     for i, row in zip(some, p):
                         names[i], scores[i] = m.languages[int(row.argmax())], float(row.max())
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(names), pa.array(scores, pa.float64())], names=["doc_id", "lang_pred", "score"])

@@ -32,8 +32,8 @@ FUNCTIONS, ROWS = 80, 5
 BANDS = 2 * FUNCTIONS // ROWS
 #: Shingles whose values are computed at once, for bounded memory.
 BLOCK = 1 << 14
-#: Members on a side of a block.
-SIDE = 256
+#: Members on a side of a block, and shingles in their sets (8 bytes each), at most about so many.
+SIDE, SIDE_SHINGLES = 1024, 1 << 21
 
 
 def sets(w: Words, n: int) -> list[np.ndarray]:
@@ -154,24 +154,25 @@ def pairs_with_pivots(rows: DataFrame, percent: int) -> tuple[DataFrame, DataFra
     near = lambda m: (F.lit(100) * F.least("n", m) >= F.lit(percent) * F.greatest("n", m))
     low = met.filter("doc_id <> x").filter(near("xn")).select(F.col("x").alias("a"), F.col("doc_id").alias("b"))
     high = met.filter("doc_id <> y and doc_id <> x").filter(near("yn")).select(F.col("doc_id").alias("a"), F.col("y").alias("b"))
-    return low.unionByName(high).distinct(), met.filter("doc_id <> x and doc_id <> y").select("key", "doc_id")
+    return low.unionByName(high).distinct(), met.filter("doc_id <> x and doc_id <> y").select("key", "doc_id", "n")
 
 
 def open_buckets(rows: DataFrame) -> DataFrame:
-    """rows(key, doc_id, comp) of buckets with two components or more, with odd (not in the bucket's largest component), n, n_odd."""
-    sizes = rows.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("n"))
-    of_key = sizes.groupBy("key").agg(F.sum("n").alias("n"), F.max(F.struct("n", "comp")).alias("most"), F.count(F.lit(1)).alias("comps")).filter("comps > 1")
-    of_key = cut(of_key.select("key", "n", F.col("most.comp").alias("major"), (F.col("n") - F.col("most.n")).alias("n_odd")))
-    return rows.join(of_key, "key").select("key", "doc_id", "comp", "n", "n_odd", (F.col("comp") != F.col("major")).alias("odd"))
+    """rows(key, doc_id, n, comp) of buckets with two components or more, with odd (not in the bucket's largest component), and how many blocks all
+    members (across) and the odd ones (down) make."""
+    sizes = rows.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("many"), F.sum("n").alias("total"))
+    of_key = sizes.groupBy("key").agg(F.sum("many").alias("many"), F.sum("total").alias("total"), F.max(F.struct("many", "comp", "total")).alias("most"), F.count(F.lit(1)).alias("comps")).filter("comps > 1")
+    blocks = lambda many, total: F.ceil(F.greatest(many / SIDE, total / SIDE_SHINGLES)).cast("int")
+    of_key = cut(of_key.select("key", F.col("most.comp").alias("major"), blocks(F.col("many"), F.col("total")).alias("across"), blocks(F.col("many") - F.col("most.many"), F.col("total") - F.col("most.total")).alias("down")))
+    return rows.join(of_key, "key").select("key", "doc_id", "comp", "across", "down", (F.col("comp") != F.col("major")).alias("odd"))
 
 
 def in_blocks(rows: DataFrame) -> DataFrame:
-    """Each bucket as a grid of blocks of about SIDE members by SIDE odd members: members are copied along one side of it, odd ones
-    along the other, so a row for each pair is never made."""
-    across, down = F.ceil(F.col("n") / SIDE).cast("int"), F.ceil(F.col("n_odd") / SIDE).cast("int")
+    """Each bucket as a grid of blocks of bounded members and bytes: members are copied along one side of it, odd ones along the other, so a row for
+    each pair is never made."""
     own = F.xxhash64("doc_id")
-    member = rows.select("key", "doc_id", "comp", "odd", F.lit(False).alias("asks"), F.pmod(own, across).cast("int").alias("i"), F.explode(F.sequence(F.lit(0), down - 1)).alias("j"))
-    asking = rows.filter("odd").select("key", "doc_id", "comp", "odd", F.lit(True).alias("asks"), F.explode(F.sequence(F.lit(0), across - 1)).alias("i"), F.pmod(own, down).cast("int").alias("j"))
+    member = rows.select("key", "doc_id", "comp", "odd", F.lit(False).alias("asks"), F.pmod(own, "across").cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("down") - 1)).alias("j"))
+    asking = rows.filter("odd").select("key", "doc_id", "comp", "odd", F.lit(True).alias("asks"), F.explode(F.sequence(F.lit(0), F.col("across") - 1)).alias("i"), F.pmod(own, "down").cast("int").alias("j"))
     return member.unionByName(asking)
 
 
@@ -210,7 +211,7 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, *also: str)
     links = cut(confirmed(pairs, of, percent))
     known = components(links)
     rest = rest.join(known.select(F.col("u").alias("doc_id"), F.col("v").alias("comp")), "doc_id", "left")
-    left = cut(open_buckets(cut(rest.select("key", "doc_id", F.coalesce("comp", "doc_id").alias("comp")))))
+    left = cut(open_buckets(cut(rest.select("key", "doc_id", "n", F.coalesce("comp", "doc_id").alias("comp")))))
     if not left.isEmpty():
         held = of.join(left.select("doc_id").distinct(), "doc_id").join(signed.select(F.col("row").alias("doc_id"), "bands"), "doc_id")
         blocks = in_blocks(left).join(cut(held), "doc_id").groupBy("key", "i", "j")

@@ -1,17 +1,24 @@
 """WARC 1.1 archives: written from pages with revisit records for repeated payloads, and read back by a salvage reader.
 
-After a record that fails a check (compression, version line, lengths, payload digest), the reader searches for the next
-place where a whole record passes, goes on from there, and logs the bytes between as a quarantined gap.
-
-Edge cases: a null html is an empty payload; a null url leaves the target header out, line breaks in it are escaped. Rows that
-repeat a page with the same payload are all responses if the page is the smallest of its payload, all revisits if not.
-Extra columns are not read. An empty table writes and reads nothing.
+After a record that fails a check (compression, version line, headers, lengths, digests of payload and block, what a revisit must name), the reader
+searches for the next place where a whole record passes, goes on from there, and logs the bytes between as a quarantined gap. A gzip member may hold
+one record or many; within a sound member the search goes on at the next version line. Of a member that is cut off, the records that lie wholly
+before the cut are read; of one that is damaged, none, as any of its bytes may be wrong. Places are those of the member in the file. Records of all
+versions of the format are read, responses without HTTP head (of other protocols) as well; their payload is the whole block.
+
+Blocks are read in pieces: a record's payload is held only where payloads are asked for, however large the record.
+
+Edge cases: a null html is an empty payload; a null url leaves the target header out, line breaks in it are escaped; a null page_id leaves its header out
+and is read back as null (with the payload of another page it is a revisit). Rows that
+repeat a page with the same payload are all responses if the page is the smallest of its payload, all revisits if not; a page with two payloads is
+written once for each. Very long pages are one record. Extra columns are not read. An empty table writes and reads nothing.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import io
 import re
 import uuid
 import zlib
@@ -28,11 +35,14 @@ from foliate.llm.common import cut
 #: Fixed values of the file formats.
 VERSION, MAGIC, END = b"WARC/1.1", b"\x1f\x8b\x08", b"\r\n\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-_VERSION_LINE = re.compile(rb"WARC/1\.\d\r\n")
+_VERSION_LINE = re.compile(rb"WARC/\d+\.\d+\r\n")
+_MARK = b"WARC/"
 CHUNK = 1 << 14
+#: Bytes of headers that are looked at, and of a member that are kept for reading after its check.
+HEAD, KEPT = 1 << 20, 1 << 20
 
 
-def record_id(page_id: int) -> str:
+def record_id(page_id: int | None) -> str:
     return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{page_id}')}>"
 
 
@@ -40,14 +50,16 @@ def sha1_base32(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def build(page_id: int, url: str | None, payload: bytes, refers_to: int | None, date: str) -> bytes:
+def build(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None, date: str) -> bytes:
     """One record. refers_to: the page whose response has this payload, for a revisit."""
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = http + (payload if refers_to is None else b"")
     head = [("WARC-Type", "response" if refers_to is None else "revisit"), ("WARC-Record-ID", record_id(page_id)), ("WARC-Date", date)]
     if url is not None:
         head.append(("WARC-Target-URI", url.replace("\r", "%0D").replace("\n", "%0A")))
-    head += [("WARC-Payload-Digest", f"sha1:{sha1_base32(payload)}"), ("X-Page-Id", str(page_id))]
+    head += [("WARC-Payload-Digest", f"sha1:{sha1_base32(payload)}"), ("WARC-Block-Digest", f"sha1:{sha1_base32(block)}")]
+    if page_id is not None:
+        head.append(("X-Page-Id", str(page_id)))
     if refers_to is not None:
         head += [("WARC-Profile", PROFILE), ("WARC-Refers-To", record_id(refers_to)), ("X-Refers-To-Page-Id", str(refers_to))]
     head += [("Content-Type", "application/http; msgtype=response"), ("Content-Length", str(len(block)))]
@@ -60,65 +72,136 @@ class Record:
     end: int
     headers: dict[str, str]
     http: bytes
-    payload: bytes
+    size: int  # of the payload
+    digest: str  # of the payload, SHA-1 in base 32
+    payload: bytes  # where it was asked for
 
 
 class Bad(ValueError):
     """A check that a record fails."""
 
 
-def parse(data: bytes, begin: int, end: int) -> Record:
-    """A whole record with its closing line breaks."""
-    if not _VERSION_LINE.match(data):
-        raise Bad("version line")
-    stop = data.find(END)
-    if stop < 0:
-        raise Bad("headers")
-    headers = dict((k.strip().lower(), v.strip()) for k, _, v in (x.partition(":") for x in data[:stop].decode("utf-8", "replace").split("\r\n")[1:]))
-    block, size = data[stop + 4 :], headers.get("content-length", "")
-    if not size.isdigit() or len(block) != int(size) + 4 or not block.endswith(END):
-        raise Bad("length")
-    http, sep, payload = block[:-4].partition(END)
-    if headers.get("warc-type") == "response":
-        if not sep or headers.get("warc-payload-digest", digest := f"sha1:{sha1_base32(payload)}") != digest:
-            raise Bad("digest")
-    return Record(begin, end, headers, http, payload)
+class Member:
+    """The decompressed bytes of the gzip member at a place of a file, in pieces."""
 
+    def __init__(self, source, at: int):
+        self.source, self.place, self.state, self.held, self.passed = source, at, zlib.decompressobj(31), b"", 0
+        source.seek(at)
 
-def member(source, at: int) -> tuple[bytes, int]:
-    """The gzip member at a place, and where it ends; zlib checks its CRC and length."""
-    source.seek(at)
-    state, out, place = zlib.decompressobj(31), [], at
-    try:
-        while not state.eof:
-            chunk = source.read(CHUNK)
-            if not chunk:
+    def more(self) -> bool:
+        """Hold some more bytes; False at the member's end, where zlib has checked its CRC and length."""
+        data = self.state.unconsumed_tail
+        if self.state.eof:
+            return False
+        if not data:
+            data = self.source.read(CHUNK)
+            self.place += len(data)
+            if not data:
                 raise Bad("cut off")
-            place += len(chunk)
-            out.append(state.decompress(chunk))
-            if len(out) == 1 and not out[0].startswith(b"WARC/1.") and len(out[0]) >= 7:
-                raise Bad("version line")
-    except zlib.error as error:
-        raise Bad(str(error)) from None
-    return b"".join(out), place - len(state.unused_data)
-
-
-def plain(source, at: int, size: int) -> tuple[bytes, int]:
-    """The uncompressed record at a place, by its own Content-Length."""
-    source.seek(at)
-    data = b""
-    while END not in data and (chunk := source.read(4096)) and len(data) < 1 << 20:
-        data += chunk
-        if not _VERSION_LINE.match(data):
-            raise Bad("version line")
-    found = re.search(rb"(?i)\r\ncontent-length:\s*(\d+)\s*\r\n", data[: data.find(END) + 2])
-    if END not in data or not found:
-        raise Bad("headers")
-    whole = data.find(END) + 4 + int(found[1]) + 4
-    if at + whole > size:
-        raise Bad("cut off")
-    source.seek(at)
-    return source.read(whole), at + whole
+        try:
+            self.held += self.state.decompress(data, 1 << 18)
+        except zlib.error as error:
+            raise Bad(str(error)) from None
+        return True
+
+    def end(self) -> int:
+        return self.place - len(self.state.unused_data)
+
+    def peek(self, n: int) -> bytes:
+        while len(self.held) < n and self.more():
+            pass
+        return self.held[:n]
+
+    def read(self, n: int) -> bytes:
+        out = self.peek(n)
+        self.held, self.passed = self.held[len(out) :], self.passed + len(out)
+        return out
+
+
+class Plain:
+    """The bytes of a file from a place, in pieces."""
+
+    def __init__(self, source, at: int):
+        self.source, self.at, self.passed = source, at, 0
+
+    def peek(self, n: int) -> bytes:
+        self.source.seek(self.at + self.passed)
+        return self.source.read(n)
+
+    def read(self, n: int) -> bytes:
+        out = self.peek(n)
+        self.passed += len(out)
+        return out
+
+
+def until(stream, mark: bytes, most: int, why: str) -> bytes:
+    """What stands before a mark that follows within `most` bytes; both are passed."""
+    n = 1 << 10
+    while (found := (seen := stream.peek(n)).find(mark)) < 0:
+        if len(seen) < n or n >= most:
+            raise Bad(why)
+        n = min(most, n * 4)
+    return stream.read(found + len(mark))[:found]
+
+
+def matches(digest: str, made: dict[str, bytes]) -> bool:
+    """Does a digest header agree with what was computed, in base 32 or 16? One by another algorithm can't be checked."""
+    name, _, value = digest.partition(":")
+    own = made.get(name.lower().replace("-", ""))
+    return own is None or value.strip().lower().rstrip("=") in (base64.b32encode(own).decode().lower().rstrip("="), own.hex())
+
+
+def pieces(stream, n: int) -> Iterator[bytes]:
+    while n:
+        data = stream.read(min(n, 1 << 16))
+        if not data:
+            raise Bad("length")
+        n -= len(data)
+        yield data
+
+
+#: Digests that can be checked.
+ALGORITHMS = {"sha1", "sha256", "md5"}
+
+
+def parse(stream, payloads: bool) -> Record:
+    """The record at a stream's place, with its closing line breaks; begin and end are the caller's."""
+    if not _VERSION_LINE.match(stream.peek(16)):
+        raise Bad("version line")
+    lines = re.sub(r"\r\n[ \t]+", " ", until(stream, END, HEAD, "headers").decode("utf-8", "replace")).split("\r\n")[1:]
+    headers = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines)}
+    size, kind = headers.get("content-length", ""), headers.get("warc-type")
+    if not size.isascii() or not size.isdigit():
+        raise Bad("length")
+    left, http, kept = int(size), b"", []
+    need = ALGORITHMS & {headers.get(k, "").partition(":")[0].lower().replace("-", "") for k in ("warc-block-digest", "warc-payload-digest")}
+    block, payload = ({name: hashlib.new(name) for name in {"sha1", *need}} for _ in range(2))
+    if kind in ("response", "revisit") and stream.peek(5) == b"HTTP/" and left >= 5:
+        seen = stream.peek(min(left, HEAD))
+        cut_at = seen.find(END)
+        if cut_at < 0 and kind == "response":
+            raise Bad("HTTP head")
+        whole = stream.read(cut_at + len(END) if cut_at >= 0 else len(seen))
+        http, left = whole.removesuffix(END), left - len(whole)
+        for h in block.values():
+            h.update(whole)
+    n = left
+    for data in pieces(stream, left):
+        for h in (*block.values(), *payload.values()):
+            h.update(data)
+        if payloads:
+            kept.append(data)
+    if stream.read(len(END)) != END:
+        raise Bad("length")
+    done = {k: h.digest() for k, h in payload.items()}
+    if not matches(headers.get("warc-block-digest", ""), {k: h.digest() for k, h in block.items()}):
+        raise Bad("digest")
+    if kind == "revisit":
+        if "warc-profile" not in headers:
+            raise Bad("revisit")
+    elif not re.search(rb"(?i)\r\n(?:transfer|content)-encoding:", http) and not matches(headers.get("warc-payload-digest", ""), done):
+        raise Bad("digest")
+    return Record(0, 0, headers, http, n, base64.b32encode(done["sha1"]).decode(), b"".join(kept))
 
 
 def search(source, at: int, size: int, mark: bytes) -> int:
@@ -133,30 +216,111 @@ def search(source, at: int, size: int, mark: bytes) -> int:
     return size
 
 
-def salvage(source, size: int) -> Iterator[Record | tuple[int, int, str]]:
+def checked(source, at: int) -> tuple[int | None, bytes | None]:
+    """Where a sound member ends (None if it is cut off), and its bytes if they are few. A first look rules out what is no archive."""
+    probe = Member(source, at)
+    try:
+        if not probe.peek(len(_MARK)).startswith(_MARK):
+            raise Bad("version line")
+        few = []
+        while data := probe.read(1 << 16):
+            few.append(data) if few is not None else None
+            if few is not None and probe.passed > KEPT:
+                few = None
+        return probe.end(), b"".join(few) if few is not None else None
+    except Bad as why:
+        if str(why) == "cut off":
+            return None, None
+        raise
+
+
+class Held(Plain):
+    """Bytes in memory as a stream."""
+
+    def __init__(self, data: bytes):
+        super().__init__(io.BytesIO(data), 0)
+
+
+def in_member(source, at: int, size: int, payloads: bool) -> Iterator[Record | tuple[int, int, str]]:
+    """The records of a member and a gap for what is wrong in it; Bad if it is no sound member or has no record."""
+    end, data = checked(source, at)
+    fresh = lambda: Held(data) if data is not None else Member(source, at)
+    stream, stop, wrong, some = fresh(), size if end is None else end, None, False
+    while True:
+        start = stream.passed
+        try:
+            if not stream.peek(1):
+                break
+            found = parse(stream, payloads)
+            if end is None and not stream.peek(1):
+                raise Bad("cut off")
+            found.begin, found.end, some = at, stop, True
+            yield found
+        except Bad as why:
+            wrong = wrong or str(why)
+            if str(why) == "cut off":
+                break
+            stream = fresh()
+            if not onward(stream, start + 1):
+                break
+    if wrong and not some:
+        raise Bad(wrong)
+    if wrong:
+        yield at, stop, wrong
+
+
+def onward(stream, at: int) -> bool:
+    """Pass on to the next version line from a place on; False if there is none."""
+    try:
+        while stream.passed < at:
+            if not stream.read(min(at - stream.passed, 1 << 16)):
+                return False
+        while True:
+            seen = stream.peek(1 << 16)
+            found = seen.find(_MARK)
+            if found >= 0:
+                stream.read(found)
+                return True
+            if len(seen) < 1 << 16:
+                return False
+            stream.read(len(seen) - len(_MARK) + 1)
+    except Bad:
+        return False
+
+
+def salvage(source, size: int, payloads: bool = True) -> Iterator[Record | tuple[int, int, str]]:
     """Records in order; between them (begin, end, why) for bytes that belong to none."""
     source.seek(0)
-    packed = source.read(len(MAGIC)) == MAGIC or search(source, 0, size, MAGIC) < search(source, 0, size, b"WARC/1.")
-    mark, at, gap = (MAGIC if packed else b"WARC/1."), 0, None
+    packed = source.read(len(MAGIC)) == MAGIC or search(source, 0, size, MAGIC) < search(source, 0, size, _MARK)
+    mark, at, gap = (MAGIC if packed else _MARK), 0, None
     while at < size:
         try:
-            data, end = member(source, at) if packed else plain(source, at, size)
-            found = parse(data, at, end)
+            if packed:
+                for x in in_member(source, at, size, payloads):
+                    if gap:
+                        yield gap[0], at, gap[1]
+                        gap = None
+                    yield x
+                    end = x[1] if isinstance(x, tuple) else x.end
+            else:
+                stream = Plain(source, at)
+                x = parse(stream, payloads)
+                x.begin, x.end = at, (end := at + stream.passed)
+                if gap:
+                    yield gap[0], at, gap[1]
+                    gap = None
+                yield x
         except Bad as why:
             gap = gap or (at, str(why))
             at = search(source, at + 1, size, mark)
             continue
-        if gap:
-            yield gap[0], at, gap[1]
-            gap = None
-        yield found
         at = end
     if gap:
         yield gap[0], size, gap[1]
 
 
 def revisits(pages: DataFrame, least: int) -> DataFrame:
-    """page_id, hash, refers_to (null for a response). Payloads of under `least` bytes are never revisits.
+    """of_page, of_hash, refers_to (null for a response). Payloads of under `least` bytes are never revisits.
 
     Only hashes and ids are shuffled; the table of first pages has been cut, so a hash that many pages share can be split.
     """
@@ -164,13 +328,14 @@ def revisits(pages: DataFrame, least: int) -> DataFrame:
     light = cut(pages.select("page_id", F.octet_length(html).alias("size"), F.unhex(F.sha2(html, 256)).alias("hash")).distinct())
     first = cut(light.filter(F.col("size") >= least).groupBy("hash").agg(F.min("page_id").alias("first")))
     joined = light.join(first, "hash", "left")
-    return joined.select("page_id", "hash", F.when(F.col("first") < F.col("page_id"), F.col("first")).alias("refers_to"))
+    again = (F.col("first") < F.col("page_id")) | F.col("page_id").isNull()
+    return joined.select(F.col("page_id").alias("of_page"), F.col("hash").alias("of_hash"), F.when(again, F.col("first")).alias("refers_to"))
 
 
 def write_warc(pages: DataFrame, folder: str, least: int = 0, date: str = "2024-01-01T00:00:00Z", gzip: bool = True, rotate_bytes: int = 256 << 20) -> DataFrame:
     """Archives of pages(page_id, url, html), one gzip member a record; the manifest: path, records."""
     own = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html")).withColumn("hash", F.unhex(F.sha2("html", 256)))
-    rows = own.join(revisits(pages, least), ["page_id", "hash"]).select("page_id", "url", "html", "refers_to")
+    rows = own.join(revisits(pages, least), F.col("page_id").eqNullSafe(F.col("of_page")) & (F.col("hash") == F.col("of_hash"))).select("page_id", "url", "html", "refers_to")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -213,7 +378,7 @@ def read_warc(manifest: DataFrame, payloads: bool = False) -> DataFrame:
                 source, size = files.read_from(path)
                 rows: list[tuple] = []
                 held = 0
-                for x in salvage(source, size):
+                for x in salvage(source, size, payloads):
                     if isinstance(x, tuple):
                         rows.append((path, x[0], x[1], x[2], *[None] * (6 + payloads)))
                     else:
@@ -227,11 +392,11 @@ def read_warc(manifest: DataFrame, payloads: bool = False) -> DataFrame:
 
     def as_row(path: str, x: Record) -> tuple:
         h, kind = x.headers, x.headers.get("warc-type")
-        size = len(x.payload)
+        size = x.size
         if kind == "revisit" and (found := re.search(rb"(?i)content-length:\s*(\d+)", x.http)):
             size = int(found[1])
         whole = lambda k: int(h[k]) if re.fullmatch(r"-?\d+", h.get(k, "")) else None
-        digest = h.get("warc-payload-digest", "").removeprefix("sha1:") or sha1_base32(x.payload)
+        digest = h.get("warc-payload-digest", "").removeprefix("sha1:") or x.digest
         return (path, x.begin, x.end, None, whole("x-page-id"), h.get("warc-target-uri"), size, digest, kind, whole("x-refers-to-page-id"), *[x.payload] * payloads)
 
     def as_batch(rows: list[tuple]) -> pa.RecordBatch:

@@ -161,6 +161,69 @@ def test_salvage_logs_gaps_and_goes_on(packed):
     assert all(a[1] == b[0] for a, b in zip(spans, spans[1:]))  # no byte is lost or read twice
 
 
+def zipped(data):
+    state = zlib.compressobj(6, zlib.DEFLATED, 31)
+    return state.compress(data) + state.flush()
+
+
+def record(kind, block, version="1.0", **more):
+    head = "".join(f"{k.replace('_', '-')}: {v}\r\n" for k, v in {"WARC-Type": kind, "Content-Length": len(block), **more}.items())
+    return f"WARC/{version}\r\n{head}\r\n".encode() + block + b"\r\n\r\n"
+
+
+def read(data):
+    found = list(warc.salvage(io.BytesIO(data), len(data)))
+    return [x for x in found if not isinstance(x, tuple)], [x for x in found if isinstance(x, tuple)]
+
+
+@pytest.mark.parametrize("large", [0, 3 << 20])
+def test_salvage_of_members_with_many_records(large):
+    made = [warc.build(i, None, b"p%d " % i + b"x" * large, None, "2024-01-01T00:00:00Z") for i in range(5)]
+    wrong = bytearray(made[2])
+    wrong[made[2].index(b"p2 ")] ^= 1  # its digest no longer holds
+    for parts, ids, why in ((made, "01234", []), ([*made[:2], bytes(wrong), *made[3:]], "0134", ["digest"]), ([b"junk", *made], "01234", None)):
+        data = zipped(b"".join(parts))
+        records, gaps = read(data + member(9, b"after"))
+        if why is None:  # what begins with junk is no archive
+            assert [x.headers["x-page-id"] for x in records] == ["9"] and gaps == [(0, len(data), "version line")]
+        else:
+            assert [x.headers["x-page-id"] for x in records] == [*ids, "9"] and [x[2] for x in gaps] == why
+            assert {(x.begin, x.end) for x in records[:-1]} == {(0, len(data))} and all(x[:2] == (0, len(data)) for x in gaps)
+    data = zipped(b"".join(made))
+    records, gaps = read(data[: len(data) - 12])  # cut off within the last record or after it
+    ids = [x.headers["x-page-id"] for x in records]
+    assert ids == list("0123")[: len(ids)] and len(ids) >= 3 and [x[2] for x in gaps] == ["cut off"]
+    damaged = bytearray(data)
+    damaged[-3] ^= 1
+    records, gaps = read(bytes(damaged) + member(9, b"after"))
+    assert [x.headers["x-page-id"] for x in records] == ["9"] and gaps[0][:2] == (0, len(data))
+
+
+@pytest.mark.parametrize("pack", [zipped, bytes])
+def test_salvage_reads_what_other_writers_make(pack):
+    http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\n\r\nbody"
+    sha1 = hashlib.sha1(b"body").digest()
+    good = [
+        record("warcinfo", b"software: x\r\n", "0.18"), record("response", http, "0.17"), record("response", b"20240101\nexample.org. 60 IN A 1.2.3.4\n", "1.1", Content_Type="text/dns", WARC_Payload_Digest="sha1:" + warc.sha1_base32(b"20240101\nexample.org. 60 IN A 1.2.3.4\n")),
+        record("response", http, WARC_Payload_Digest="sha1:" + sha1.hex()), record("response", http, WARC_Payload_Digest="sha256:" + base64.b32encode(hashlib.sha256(b"body").digest()).decode()), record("response", http, WARC_Payload_Digest="md5:" + hashlib.md5(b"body").hexdigest()),
+        record("response", http, WARC_Payload_Digest="blake3:unknown"), record("request", b"GET / HTTP/1.1\r\n\r\n"), record("revisit", b"HTTP/1.1 304 Not Modified\r\n\r\n", WARC_Profile="p", WARC_Payload_Digest="sha1:other", WARC_Block_Digest="sha1:" + warc.sha1_base32(b"HTTP/1.1 304 Not Modified\r\n\r\n")),
+        record("revisit", b"", WARC_Profile="p"), record("metadata", b"a: b", X_Folded="one\r\n two"),
+    ]
+    records, gaps = read(b"".join(map(pack, good)))
+    assert len(records) == len(good) and not gaps
+    assert records[1].digest == base64.b32encode(sha1).decode() and records[1].size == 4 and records[2].payload.startswith(b"2024") and records[10].headers["x-folded"] == "one two"
+    bad = [record("response", http, WARC_Payload_Digest="sha1:" + "A" * 32), record("revisit", b""), record("response", http, WARC_Block_Digest="md5:00"), record("response", b"HTTP/1.1 200 OK\r\nno end"), record("response", http).replace(b"Content-Length: ", b"Content-Length: 9"), record("response", http).replace(b"Content-Length: ", b"Content-Length: x")]
+    for x in bad:
+        records, gaps = read(pack(x) + pack(good[1]))
+        assert len(records) == 1 and [g[:2] for g in gaps] == [(0, len(pack(x)))], x
+
+
+def test_warc_pages_without_id_and_with_two_payloads(spark):
+    pages = spark.createDataFrame([(None, "u", "a"), (3, "u", "a"), (3, "u", "b"), (4, "u", "b"), (3, "u", "a"), (None, "u", "c")], "page_id long, url string, html string")
+    rows = warc.read_warc(warc.write_warc(pages, shared_folder(spark))).collect()
+    assert sorted((r.page_id or 0, r.record_type, r.refers_to or 0) for r in rows) == [(0, "response", 0), (0, "revisit", 3), (3, "response", 0), (3, "response", 0), (3, "response", 0), (4, "revisit", 3)]
+
+
 @pytest.mark.parametrize("packed", [True, False])
 def test_warc_round_trip(spark, packed):
     html = ["<p>é</p>", "<p>é</p>", None, "", "x" * 300_000, "\r\n\r\nWARC/1.1\r\n", "<p>é</p>"]

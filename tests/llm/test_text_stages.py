@@ -88,6 +88,47 @@ def test_language_does_not_look_at_labels_of_what_it_predicts(spark):
     assert a == {r.doc_id: r.lang_pred for r in language.identify(other, model).collect()}
 
 
+def test_language_equals_brute_force(spark, monkeypatch):
+    """With every training row a landmark, against kernels from sets of strings and ridge regression by the formulas."""
+    monkeypatch.setattr(language, "LANDMARKS", 10_000)
+    frame = corpus(spark, 12)
+    rows = frame.collect()
+    train, new = rows[::2], rows[1::2]
+
+    def presence(text):
+        t = "|" + re.sub(r"[\W\d_]+", "|", text.lower()) + "|"
+        t = re.sub(r"\|+", "|", t)
+        return {t[i : i + n] for n in (1, 2, 3) for i in range(len(t) - n + 1)}
+
+    kernel = lambda a, b: np.array([[len(x & y) / math.sqrt(len(x) * len(y)) for y in b] for x in a])
+    own = [presence(r.text) for r in train]
+    values, vectors = np.linalg.eigh(kernel(own, own))
+    whiten = vectors @ np.diag(1 / np.sqrt(np.maximum(values, 1e-6))) @ vectors.T
+    names = sorted({r.lang for r in train})
+    z, y = kernel(own, own) @ whiten, np.array([[1.0 if r.lang == n else -1.0 for n in names] for r in train])
+    w = np.linalg.solve((z - z.mean(0)).T @ (z - z.mean(0)) + language.RIDGE * len(z) * np.eye(len(z)), (z - z.mean(0)).T @ (y - y.mean(0)))
+    f = (kernel([presence(r.text) for r in new], own) @ whiten - z.mean(0)) @ w + y.mean(0)
+    e = np.exp(language.SHARPNESS * (f - f.max(1, keepdims=True)))
+    want = {r.doc_id: (names[p.argmax()], p.max()) for r, p in zip(new, e / e.sum(1, keepdims=True))}
+    model = language.fit(spark.createDataFrame(train, frame.schema))
+    for r in language.identify(spark.createDataFrame(new, frame.schema), model).collect():
+        assert r.lang_pred == want[r.doc_id][0] and abs(r.score - want[r.doc_id][1]) < 0.02
+
+
+def test_language_of_many_scripts(spark):
+    """Twelve languages, two of one script where the script is shared; more letters in all than any one alphabet has."""
+    draw = random.Random(2)
+    starts = {"aa": 0x61, "ab": 0x61, "el": 0x3B1, "ru": 0x430, "rv": 0x430, "hy": 0x561, "he": 0x5D0, "hi": 0x915, "th": 0xE01, "ka": 0x10D0, "ko": 0xAC00, "zh": 0x4E00}
+    spread = {"ko": 600, "zh": 600}
+    words = {k: ["".join(chr(at + draw.randrange(spread.get(k, 22))) for _ in range(draw.randrange(2, 7))) for _ in range(60)] for k, at in starts.items()}
+    rows = [(i, " ".join(draw.choices(words[k], k=25)), k) for i, k in enumerate(sorted(words) * 30)]
+    rows += [(10_000, " ".join(draw.choices(words["zh"], k=60_000)), "zh"), (10_000, " ".join(draw.choices(words["ru"], k=9)), "ru")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = language.language_id(frame).join(frame.select("doc_id", "lang"), "doc_id").filter("held_out and doc_id < 10000").collect()
+    assert len(got) > 60 and sum(r.lang == r.lang_pred for r in got) >= 0.98 * len(got)
+    assert {r.lang_pred for r in language.language_id(frame).filter("doc_id = 10000").collect()} == {"zh", "ru"}
+
+
 def test_language_edges(spark):
     model = language.fit(corpus(spark))
     odd = spark.createDataFrame([(1, None), (2, ""), (3, "123 !?"), (4, "the dog " * 20000), (5, "日本語")], "doc_id long, text string")
