@@ -14,6 +14,7 @@ import os
 import re
 from array import array
 from collections.abc import Iterator
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
@@ -22,13 +23,13 @@ import pyarrow.compute as pc
 from foliate.llm.wordhash import Bytes, raw
 
 #: Units that a worker remembers, in two generations of this size.
-REMEMBERED = 250_000
+REMEMBERED = 100_000
 #: Longer units, in bytes, are not remembered.
 LONGEST = 1 << 12
 #: Units that are joined into one text for the library. Each begins with a space and ends in a plain letter or digit, so a cut between two is where a text may be cut.
 JOINED = 200
 #: Bytes of text in which equal units are looked for at once.
-AT_ONCE = 4 << 20
+AT_ONCE = 1 << 20
 #: Bytes of ASCII white space and separators; first bytes of characters among which there is other white space.
 _BLANK, _OTHER = np.zeros(256, bool), np.zeros(256, bool)
 _BLANK[[0x20, *range(0x09, 0x0E), *range(0x1C, 0x20)]] = True
@@ -78,7 +79,7 @@ class Encoder:
                 alone += group
             else:
                 groups.append(group)
-        for group, made in zip(groups, self.model.encode_batch_fast([b"".join(x).decode() for x in groups], add_special_tokens=False)):
+        for group, made in self._each(groups, 8):
             ids = np.array(made.ids, "<u4")
             until, ends = np.cumsum(self.sizes[ids]), np.cumsum([len(x) for x in group])
             place = np.minimum(np.searchsorted(until, ends), len(ids) - 1)
@@ -87,9 +88,15 @@ class Encoder:
                 continue
             flat, places = ids.tobytes(), (4 * (place + 1)).tolist()
             yield from zip(group, (flat[a:b] for a, b in zip([0, *places], places)))
-        for unit, made in zip(alone, self.model.encode_batch_fast([x.decode() for x in alone], add_special_tokens=False)):
+        for (unit,), made in self._each([[x] for x in alone], 1000):
             yield unit, array("I", made.ids).tobytes()
 
+    def _each(self, groups: list[list[bytes]], at_once: int) -> Iterator[tuple[list[bytes], Any]]:
+        """Each group with what the library makes of it, a few at a time, as that is large."""
+        for i in range(0, len(groups), at_once):
+            some = groups[i : i + at_once]
+            yield from zip(some, self.model.encode_batch_fast([b"".join(x).decode() for x in some], add_special_tokens=False))
+
     def _ids_of(self, units: list[bytes]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of distinct units."""
         found = list(map(self.known.__getitem__, units))
