@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from foliate.functions import joined, n_words, words
+from foliate.sources import cut
 
 #: Element types that close a chunk.
 ATOMIC = ["table", "bullet_list", "numbered_list", "heading", "code", "image", "caption", "formula", "footnote"]
@@ -160,24 +163,30 @@ def boundary_chunks(elements: DataFrame) -> DataFrame:
     return got.select("document_id", nth.alias("chunk_index"), "page_number", "section", F.col("parts.block_id").alias("block_ids"), "bbox", "reading_order", F.array_join(F.col("parts.content"), "\n\n").alias("content"))
 
 
-def parents(elements: DataFrame, levels: int = 4) -> DataFrame:
-    """document_id, block_id, parent_block_id: the nearest element before with a smaller level."""
+def parents(elements: DataFrame) -> DataFrame:
+    """document_id, block_id, parent_block_id: the nearest element before with a smaller level, whatever levels there are."""
     before = W.partitionBy("document_id").orderBy("reading_order").rowsBetween(W.unboundedPreceding, -1)
-    own = [F.last(F.when(F.col("level") == i, F.struct("reading_order", "block_id")), True).over(before).alias(f"l{i}") for i in range(1, levels)]
+    levels = sorted(r.level for r in elements.select("level").distinct().collect() if r.level is not None)[:-1]  # a row for each level; the last is nobody's parent
+    own = [F.last(F.when(F.col("level") == i, F.struct("reading_order", "block_id")), True).over(before).alias(f"l{k}") for k, i in enumerate(levels)]
     found = elements.select("document_id", "block_id", "level", *own)
-    best = F.array_max(F.array(*[F.when(F.col("level") > i, F.col(f"l{i}")) for i in range(1, levels)]))
+    none = F.lit(None).cast(elements.select(F.struct("reading_order", "block_id").alias("x")).schema["x"].dataType)
+    best = F.array_max(F.array(none, *[F.when(F.col("level") > i, F.col(f"l{k}")) for k, i in enumerate(levels)]))
     return found.select("document_id", "block_id", best["block_id"].alias("parent_block_id"))
 
 
-def flattened(elements: DataFrame, depth: int = 8) -> DataFrame:
-    """document_id, block_id, level_down: roots at 0, their children below, to a fixed depth, level by level."""
+def flattened(elements: DataFrame, depth: int | None = None) -> DataFrame:
+    """document_id, block_id, level_down: roots at 0, their children below, level by level to the last (or to a depth). What hangs on a cycle is under no root."""
     rows = elements.select("document_id", "block_id", "parent_block_id")
     at = rows.filter("parent_block_id is null").select("document_id", "block_id", F.lit(0).alias("level_down"))
-    out = at
-    for i in range(1, depth):
-        at = rows.join(at.select("document_id", F.col("block_id").alias("parent_block_id")), ["document_id", "parent_block_id"]).select("document_id", "block_id", F.lit(i).alias("level_down"))
-        out = out.unionByName(at)
-    return out
+    found = []
+    while depth is None or len(found) < depth:
+        at = cut(at)
+        if found and at.isEmpty():
+            break
+        found.append(at)
+        above = at.select("document_id", F.col("block_id").alias("parent_block_id"))
+        at = rows.join(above, ["document_id", "parent_block_id"]).select("document_id", "block_id", F.lit(len(found)).alias("level_down"))
+    return reduce(DataFrame.unionByName, found)
 
 
 def page_roots(elements: DataFrame, width: float = 612.0, height: float = 792.0) -> DataFrame:

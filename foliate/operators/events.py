@@ -18,13 +18,17 @@ MAX_RETRIES = 3
 
 
 def delivery_status(log: DataFrame) -> DataFrame:
-    """log(message_id, attempt_ts, event_id, ok) to message_id, status, retry_count: done at the first success, dead at the third error."""
-    got = log.groupBy("message_id").agg(F.array_sort(F.collect_list(F.struct("attempt_ts", "event_id", "ok"))).alias("x"))
-    start = F.struct(F.lit("pending").alias("status"), F.lit(0).alias("retry_count"))
-    closed = lambda s: s["status"].isin("completed", "dead_letter")
-    n = lambda s: s["retry_count"] + 1
-    step = lambda s, e: F.when(closed(s), s).when(e["ok"], F.struct(F.lit("completed").alias("status"), s["retry_count"].alias("retry_count"))).otherwise(F.struct(F.when(n(s) >= MAX_RETRIES, "dead_letter").otherwise("pending").alias("status"), n(s).alias("retry_count")))
-    return got.select("message_id", F.aggregate("x", start, step).alias("s")).select("message_id", "s.status", "s.retry_count")
+    """log(message_id, attempt_ts, event_id, ok) to message_id, status, retry_count: done at the first success, dead at the third error.
+
+    Of a message only its first success and its first errors, as many as make it dead, are looked at; a null ok is an error, a null time comes first.
+    """
+    rows = log.select("message_id", F.coalesce("ok", F.lit(False)).alias("ok"), F.struct("attempt_ts", "event_id").alias("at"))
+    done = rows.groupBy("message_id").agg(F.min(F.when(F.col("ok"), F.col("at"))).alias("done"))
+    nth = F.row_number().over(W.partitionBy("message_id").orderBy("at"))
+    errors = rows.filter(~F.col("ok")).withColumn("nth", nth).filter(F.col("nth") <= MAX_RETRIES).select("message_id", "at")
+    before = done.join(errors, "message_id", "left").groupBy("message_id").agg(F.max(F.col("done").isNotNull()).alias("is_done"), F.count_if(F.col("at").isNotNull() & (F.col("done").isNull() | (F.col("at") < F.col("done")))).cast("int").alias("retry_count"))
+    status = F.when(F.col("retry_count") >= MAX_RETRIES, "dead_letter").when(F.col("is_done"), "completed").otherwise("pending")
+    return before.select("message_id", status.alias("status"), "retry_count")
 
 
 def lifecycle(log: DataFrame) -> DataFrame:

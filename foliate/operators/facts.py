@@ -126,12 +126,21 @@ def with_kind(pairs: DataFrame) -> DataFrame:
 def candidates(facts: DataFrame, reports: DataFrame) -> DataFrame:
     """Pairs of facts of one subject and predicate whose objects differ, without an open report. first_fact_id < second_fact_id.
 
-    Facts are first brought down to the distinct objects of each group, so repeated values do not pair with each other.
+    The distinct objects of a subject and predicate are paired, then their facts are put in their place: facts of one value never meet, and there are no
+    more rows on the way than there are pairs in the end.
     """
-    rows = live(facts).select("fact_id", "project_id", "subject_id", keyed(F.col("predicate")).alias("p"), "object_text", "confidence")
-    a = rows.select(F.col("fact_id").alias("first_fact_id"), "project_id", "subject_id", "p", F.col("object_text").alias("first_object"), F.col("confidence").alias("first_confidence"))
-    b = rows.select(F.col("fact_id").alias("second_fact_id"), "project_id", "subject_id", "p", F.col("object_text").alias("second_object"), F.col("confidence").alias("second_confidence"))
-    met = a.join(b, ["project_id", "subject_id", "p"]).filter((F.col("first_fact_id") < F.col("second_fact_id")) & (F.lower("first_object") != F.lower("second_object")))
+    key = ["project_id", "subject_id", "p"]
+    rows = live(facts).select("fact_id", "project_id", "subject_id", keyed(F.col("predicate")).alias("p"), F.lower("object_text").alias("low"), "object_text", "confidence")
+    objects = rows.select(*key, "low").distinct()
+    pairs = objects.join(objects.select(*key, F.col("low").alias("high")), key).filter("low < high")
+    side = lambda name: rows.select(*key, F.col("low").alias(name), F.struct("fact_id", "object_text", "confidence").alias(f"of_{name}"))
+    both = pairs.join(side("low"), [*key, "low"]).join(side("high"), [*key, "high"])
+    turned = F.col("of_low.fact_id") > F.col("of_high.fact_id")
+    first, second = F.when(turned, F.col("of_high")).otherwise(F.col("of_low")), F.when(turned, F.col("of_low")).otherwise(F.col("of_high"))
+    met = both.select(*key, first.alias("a"), second.alias("b")).select(
+        "project_id", "subject_id", "p", F.col("a.fact_id").alias("first_fact_id"), F.col("b.fact_id").alias("second_fact_id"), F.col("a.object_text").alias("first_object"),
+        F.col("b.object_text").alias("second_object"), F.col("a.confidence").alias("first_confidence"), F.col("b.confidence").alias("second_confidence"),
+    )
     return met.join(unordered(reports.filter("status = 'open'"), "first_fact_id", "second_fact_id"), ["first_fact_id", "second_fact_id"], "left_anti")
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from foliate.functions import n_words
+from foliate.sources import cut
 
 
 def issue(rows: DataFrame, code: str, severity: str, item: Column | str) -> DataFrame:
@@ -49,12 +50,20 @@ def element_issues(elements: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, found)
 
 
-def cyclic(elements: DataFrame, doublings: int = 6) -> DataFrame:
-    """Elements whose chain of parents never ends: after 2^doublings steps (more than a tree is deep) they still have an ancestor."""
-    up = elements.select("document_id", "block_id", F.col("parent_block_id").alias("at")).filter("at is not null")
-    for _ in range(doublings):
+def cyclic(elements: DataFrame) -> DataFrame:
+    """Elements whose chain of parents never ends. Each round looks twice as far up; a chain of any length that ends has left when a round loses none.
+
+    An element with several parents goes by the smallest. Each round's table is written out, and only elements that still have an ancestor are in it.
+    """
+    up = elements.filter("parent_block_id is not null").groupBy("document_id", "block_id").agg(F.min("parent_block_id").alias("at"))
+    before = None
+    while True:
+        up = cut(up)
+        left = up.count()
+        if left in (0, before):
+            return up.select("document_id", "block_id")
+        before = left
         up = up.join(up.select("document_id", F.col("block_id").alias("at"), F.col("at").alias("next")), ["document_id", "at"]).select("document_id", "block_id", F.col("next").alias("at"))
-    return up.select("document_id", "block_id").distinct()
 
 
 def chunk_issues(chunks: DataFrame) -> DataFrame:

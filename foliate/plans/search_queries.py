@@ -115,7 +115,16 @@ def e07_keyword_override(x: Fixtures) -> DataFrame:
     return search.search_with_keywords(x.query(), x.chunk(), x.embedding(), MODEL, 0.1)
 
 
-@query()
+COSINE = "list_sum(list_transform(range(1, len({a}) + 1), lambda i: {a}[i]::DOUBLE * {b}[i]::DOUBLE)) / (sqrt(list_sum(list_transform({a}, lambda x: x::DOUBLE * x::DOUBLE))) * sqrt(list_sum(list_transform({b}, lambda x: x::DOUBLE * x::DOUBLE))))"
+
+
+@query(BASE, VEC.replace("WITH cos AS", "WITH RECURSIVE cos AS", 1) + f""", cand AS (SELECT vec.query_id, vec.chunk_id, rank, e.embedding AS v, {COSINE.format(a="q.query_vec", b="e.embedding")} AS near FROM vec JOIN embedding e ON e.chunk_id = vec.chunk_id AND e.model_name = 'm0' JOIN query q ON q.query_id = vec.query_id),
+alike AS (SELECT a.query_id, a.chunk_id, b.chunk_id AS other, {COSINE.format(a="a.v", b="b.v")} AS s FROM cand a JOIN cand b USING (query_id)),
+picks AS (SELECT query_id, chunk_id, 1 AS pick, [chunk_id] AS chosen FROM cand WHERE rank = 1 UNION ALL
+  SELECT query_id, chunk_id, pick + 1, list_append(chosen, chunk_id) FROM (SELECT g.*, row_number() OVER (PARTITION BY query_id ORDER BY gain DESC, rank) AS first FROM
+    (SELECT p.query_id, p.pick, p.chosen, c.chunk_id, c.rank, round(0.5 * c.near - 0.5 * max(alike.s), 9) AS gain FROM picks p JOIN cand c ON c.query_id = p.query_id AND NOT list_contains(p.chosen, c.chunk_id) JOIN alike ON alike.query_id = c.query_id AND alike.chunk_id = c.chunk_id AND list_contains(p.chosen, alike.other)
+     WHERE p.pick < 5 GROUP BY p.query_id, p.pick, p.chosen, c.chunk_id, c.rank, c.near) g) WHERE first = 1)
+SELECT query_id, chunk_id, pick FROM picks""")
 def e08_diversify(x: Fixtures) -> DataFrame:
     hits = search.vector_search(x.query(), x.chunk(), x.embedding(), MODEL)
     c = hits.join(x.embedding().filter(F.col("model_name") == MODEL).select("chunk_id", "embedding"), "chunk_id").join(search.sized(x.query().select("query_id", "query_vec")), "query_id")

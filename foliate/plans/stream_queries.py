@@ -41,9 +41,11 @@ def i03_stream_lifecycle(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def i04_stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = Streamed(spark, sf_dir, "documents").t("documents")
-    lines = docs.select(F.col("doc_id").alias("document_id"), F.posexplode(F.split("text", "\n")).alias("p", "content"))
-    return streaming.ingest(lines.select("document_id", (F.col("document_id") * 1000 + F.col("p")).alias("chunk_id"), "content"), "all-MiniLM-L6-v2", 384)
+    """Documents with the vectors of the table, some of which are spoilt: no numbers, cut short (which is no critical fault), or not there."""
+    docs = Streamed(spark, sf_dir, "documents").t("documents").select(F.col("doc_id").alias("document_id"), F.col("doc_id").alias("chunk_id"), F.col("text").alias("content"))
+    held = Fixtures(spark, sf_dir).t("embeddings").select(F.col("vec_id").alias("document_id"), "embedding")
+    spoilt = F.when(F.col("document_id") % 10 == 3, F.transform("embedding", lambda x: x * F.lit("NaN").cast("float"))).when(F.col("document_id") % 10 == 7, F.slice("embedding", 2, 63)).otherwise(F.col("embedding"))
+    return streaming.ingest(docs.join(held, "document_id", "left").withColumn("embedding", spoilt), "all-MiniLM-L6-v2", 64)
 
 
 def i07_stream_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -51,4 +53,4 @@ def i07_stream_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES |= {f.__name__: f for f in (i01_stream_conflicts, i02_stream_deliveries, i03_stream_lifecycle, i04_stream_ingest, i07_stream_windows)}
-ORACLES |= {"i01_stream_conflicts": fact_queries.ORACLES["f11_incremental"], "i02_stream_deliveries": view_queries.ORACLES["i02_deliveries"], "i03_stream_lifecycle": view_queries.ORACLES["i03_lifecycle"], "i04_stream_ingest": "SELECT doc_id AS document_id, true AS is_valid FROM documents", "i07_stream_windows": "SELECT date_trunc('day', ts) AS begin, event_type, count(*) AS n FROM events WHERE ts IS NOT NULL GROUP BY ALL"}
+ORACLES |= {"i01_stream_conflicts": fact_queries.ORACLES["f11_incremental"], "i02_stream_deliveries": view_queries.ORACLES["i02_deliveries"], "i03_stream_lifecycle": view_queries.ORACLES["i03_lifecycle"], "i04_stream_ingest": "SELECT doc_id AS document_id, vec_id IS NOT NULL AND doc_id % 10 <> 3 AS is_valid FROM documents LEFT JOIN embeddings ON vec_id = doc_id", "i07_stream_windows": "SELECT date_trunc('day', ts) AS begin, event_type, count(*) AS n FROM events WHERE ts IS NOT NULL GROUP BY ALL"}

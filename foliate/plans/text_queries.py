@@ -222,7 +222,7 @@ def _tree(x: Fixtures) -> DataFrame:
 
 @query("element", "WITH RECURSIVE " + PARENTS + ", f AS (SELECT document_id, block_id, 0 AS level_down FROM parents WHERE parent_block_id IS NULL UNION ALL SELECT p.document_id, p.block_id, f.level_down + 1 FROM f JOIN parents p ON p.document_id = f.document_id AND p.parent_block_id = f.block_id) SELECT * FROM f")
 def c11_flatten(x: Fixtures) -> DataFrame:
-    return chunking.flattened(_tree(x), 5)
+    return chunking.flattened(_tree(x))
 
 
 @query("element", "WITH " + PARENTS + " SELECT * FROM parents")

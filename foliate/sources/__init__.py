@@ -1,7 +1,10 @@
-"""Sources and sinks: corpora of files, delimited sheets, document exports, idempotent stage outputs."""
+"""Sources and sinks: corpora of files, delimited sheets, document exports, idempotent stage outputs, tables that cut a lineage."""
 
 from __future__ import annotations
 
+import contextlib
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -13,6 +16,36 @@ LARGEST = 10 * 1024 * 1024
 SEPARATORS = [",", ";", "\t", "|"]
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder below the one that the cluster names; one of our own only where it names none and all tasks run on this machine."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if base is None:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        base = spark.conf.get("spark.sql.warehouse.dir") + "/foliate-shared"
+    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+
+
+@contextlib.contextmanager
+def shuffles_dropped(spark: SparkSession):
+    """What runs inside gives its shuffle files back at its end, not when the driver happens to collect its garbage."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, "false")
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Write a frame to the shared folder and read it again: its lineage ends there, and no lost executor takes it along."""
+    spark, path = df.sparkSession, shared_folder(df.sparkSession)
+    with shuffles_dropped(spark):
+        df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def extension(name: Column) -> Column:
     return F.lower(F.regexp_extract(name, r"\.([^./]+)$", 1))
 
@@ -42,30 +75,40 @@ def decode_text(data: Column) -> Column:
     return F.when(F.is_valid_utf8(data.cast("string")), F.decode(data, "UTF-8")).otherwise(F.decode(data, "ISO-8859-1"))
 
 
-def sniff(lines: list[str]) -> str:
-    """The separator with the same count, above none, on most of a file's first lines."""
-    best, most = ",", 0
-    for sep in SEPARATORS:
-        counts = [x.count(sep) for x in lines if x.strip()]
-        if counts and counts[0] and (steady := sum(c == counts[0] for c in counts)) > most:
-            best, most = sep, steady
-    return best
+def separator(lines: Column) -> Column:
+    """The separator with the same count, above none, on most of a file's first lines; a comma where none has one."""
+    full = F.filter(lines, lambda x: F.trim(x) != "")
+    count = lambda x, sep: F.length(x) - F.length(F.replace(x, F.lit(sep), F.lit("")))
+    steady = {sep: F.coalesce(F.when(count(F.get(full, F.lit(0)), sep) > 0, F.size(F.filter(full, lambda x, c=sep: count(x, c) == count(F.get(full, F.lit(0)), c)))), F.lit(0)) for sep in SEPARATORS}
+    most, out = F.greatest(*steady.values()), F.lit(SEPARATORS[0])
+    for sep in reversed(SEPARATORS):
+        out = F.when((most > 0) & (steady[sep] == most), sep).otherwise(out)
+    return out
+
+
+#: A record: stretches outside quotes and quoted ones, which may hold line breaks. A quote that is never closed ends with the file.
+RECORD = r'(?:[^"\r\n]++|"(?:[^"]++|"")*+(?:"|\z))++'
+
 
+def fields(record: Column, sep: Column) -> Column:
+    """The cells of a record; separators in quotes belong to their cell."""
+    one = F.concat(F.lit(r"\Q"), sep, F.lit(r'\E((?:"(?:[^"]++|"")*+(?:"|\z)|[^"\Q'), sep, F.lit(r"\E])*+)"))
+    return F.transform(F.regexp_extract_all(F.concat(sep, record), one, F.lit(1)), lambda c: F.replace(F.regexp_replace(F.trim(c), '^"|"$', ""), F.lit('""'), F.lit('"')))
 
-def load_sheets(spark: SparkSession, path: str, head: int = 4000) -> DataFrame:
-    """sheet, rn, cells of the delimited files below a path, each with its own separator; blank lines are left out.
 
-    A file is one row while it is read (uploads are bounded by LARGEST); quoted separators stay in their cell.
+def load_sheets(spark: SparkSession, path: str, head: int = 4000, largest: int | None = LARGEST) -> DataFrame:
+    """sheet, rn, cells of the delimited files below a path, each with its own separator; blank lines are left out, quoted line breaks and separators stay
+    in their cell. A file is one row while it is read; of one over `largest` bytes only a row without rn and cells comes back, so that none goes missing.
     """
-    files = spark.read.format("binaryFile").load(path).filter(F.col("length") <= LARGEST)
-    text = files.select(F.col("path").alias("sheet"), decode_text(F.col("content")).alias("text"))
-    first = F.slice(F.split(F.left("text", F.lit(head)), r"\r?\n"), 1, 50)
-    sep = F.udf(sniff)(first)  # one call for each file
-    lines = text.withColumn("sep", sep).select("sheet", "sep", F.posexplode(F.split("text", r"\r?\n")).alias("pos", "line")).filter(F.trim("line") != "")
-    quoted = F.concat(F.lit(r"\Q"), "sep", F.lit(r"\E(?=(?:[^\"]*\"[^\"]*\")*[^\"]*$)"))
-    cells = F.transform(F.split("line", quoted), lambda c: F.replace(F.regexp_replace(F.trim(c), '^"|"$', ""), F.lit('""'), F.lit('"')))
+    files = spark.read.format("binaryFile").load(path)
+    refused = files.filter(F.col("length") > largest) if largest is not None else files.filter("false")
+    read = files if largest is None else files.filter(F.col("length") <= largest)
+    text = read.select(F.col("path").alias("sheet"), decode_text(F.col("content")).alias("text"))
+    text = text.withColumn("sep", separator(F.slice(F.split(F.left("text", F.lit(head)), r"\r?\n"), 1, 50)))
+    lines = text.select("sheet", "sep", F.posexplode(F.regexp_extract_all("text", F.lit(RECORD), F.lit(0))).alias("pos", "line")).filter(F.trim("line") != "")
     rn = F.row_number().over(W.partitionBy("sheet").orderBy("pos"))
-    return trimmed(lines.select("sheet", rn.cast("bigint").alias("rn"), cells.alias("cells")), "sheet")
+    rows = trimmed(lines.select("sheet", rn.cast("bigint").alias("rn"), fields(F.col("line"), F.col("sep")).alias("cells")), "sheet")
+    return rows.unionByName(refused.select(F.col("path").alias("sheet"), F.lit(None).cast("bigint").alias("rn"), F.lit(None).cast("array<string>").alias("cells")))
 
 
 def filled(cells: Column) -> Column:

@@ -5,22 +5,16 @@ Output goes through foreachBatch into a folder per batch id, so a batch that is
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from foliate.operators import facts, quality, vectors
 from foliate.operators.events import MAX_RETRIES
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """A new folder below the one that the cluster names for checkpoints; below the warehouse where it names none."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.sql.warehouse.dir") + "/foliate-shared"
-    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+from foliate.sources import shared_folder
 
 
 def drained(stream: DataFrame, each: Callable[[DataFrame], DataFrame], mode: str = "append") -> DataFrame:
@@ -88,10 +82,11 @@ def fold_lifecycle(log: DataFrame) -> DataFrame:
 
 
 def ingest(chunks: DataFrame, model: str, dimension: int) -> DataFrame:
-    """New chunks(document_id, chunk_id, content): embedded, checked, and the document's verdict for the batch."""
+    """New chunks(document_id, chunk_id, content): embedded (unless they bring an embedding), checked, and the document's verdict for the batch."""
 
     def each(batch: DataFrame) -> DataFrame:
-        made = batch.select("document_id", "chunk_id", vectors.embed(F.col("content"), model, dimension).alias("embedding"))
+        vector = F.col("embedding") if "embedding" in batch.columns else vectors.embed(F.col("content"), model, dimension)
+        made = batch.select("document_id", "chunk_id", vector.alias("embedding"))
         return quality.verdicts(batch.select("document_id").distinct(), quality.embedding_issues(made, dimension))
 
     return drained(chunks, each).groupBy("document_id").agg(F.bool_and("is_valid").alias("is_valid"))

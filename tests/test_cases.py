@@ -124,6 +124,31 @@ def test_sheets_from_files(spark, tmp_path):
     assert {r.name: r.problem for r in sources.catalog(spark, str(tmp_path)).collect()} == {"a.csv": None, "b.csv": None, "c.bin": "unsupported format"}
 
 
+def test_sheets_with_quoted_line_breaks_and_files_over_the_limit(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('a,b\n"x\ny, ""z""",2\n"",\n,3\n"open, to the end\nof it', encoding="utf-8")
+    (tmp_path / "b.csv").write_text("a|b|c\n1|2|3\n" + "x" * 400 + "|y|z\n", encoding="utf-8")
+    got = {}
+    for r in sources.load_sheets(spark, str(tmp_path / "*.csv"), largest=300).orderBy("rn").collect():
+        got.setdefault(r.sheet[-5:], []).append((r.rn, r.cells))
+    assert got == {"a.csv": [(1, ["a", "b"]), (2, ['x\ny, "z"', "2"]), (3, ["", ""]), (4, ["", "3"]), (5, ["open, to the end\nof it"])], "b.csv": [(None, None)]}
+    assert sources.load_sheets(spark, str(tmp_path / "b.csv"), largest=None).count() == 3
+
+
+def test_chains_and_trees_of_any_depth(spark):
+    chain = lambda d, n, first: [(d, str(i), str(i - 1) if i else first) for i in range(n)]
+    rows = chain(1, 80, None) + chain(2, 300, None) + chain(3, 5, "4") + [(3, "x", "2"), (3, "y", None), (4, "a", "a"), (5, "b", "gone")]
+    frame = spark.createDataFrame(rows, "document_id long, block_id string, parent_block_id string")
+    found = {(r.document_id, r.block_id) for r in quality.cyclic(frame).collect()}
+    assert found == {(3, str(i)) for i in range(5)} | {(3, "x"), (4, "a")}
+    assert quality.cyclic(frame.filter("document_id = 1")).count() == 0
+    deep = chunking.flattened(frame.filter("document_id = 1 and cast(block_id as int) < 12 or document_id in (3, 4)"))
+    assert sorted((r.document_id, r.level_down) for r in deep.collect()) == [(1, i) for i in range(12)] + [(3, 0)]
+    levels = [1, 2, 4, 5, 6, 7, 5, 3, 9]
+    heads = spark.createDataFrame([(1, f"b{i}", i, level) for i, level in enumerate(levels)], "document_id long, block_id string, reading_order int, level int")
+    got = {r.block_id: r.parent_block_id for r in chunking.parents(heads).collect()}
+    assert got == {"b0": None, "b1": "b0", "b2": "b1", "b3": "b2", "b4": "b3", "b5": "b4", "b6": "b2", "b7": "b1", "b8": "b7"}
+
+
 @pytest.mark.parametrize("form", ["json", "csv", "parquet", "text"])
 def test_export(spark, tmp_path, form):
     df = spark.createDataFrame([(1, "a"), (2, "b")], "document_id long, value string")
