@@ -1,48 +1,17 @@
-"""What the corpus operators share: the shared folder, batches of documents, folded text, groups by hash."""
+"""What the corpus operators share: batches of documents, keys of rows, folded text, shards. The shared folder and cut lineages are the library's."""
 
 from __future__ import annotations
 
-import contextlib
 import math
-import uuid
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-BATCH_BYTES = 16 << 20
-
+from foliate.sources import cut, shared_folder  # noqa: F401
 
-def shared_folder(spark: SparkSession) -> str:
-    """A new folder below the one that the cluster names; one of our own only where it names none and all tasks run on this machine."""
-    conf = spark.sparkContext.getConf()
-    base = spark.conf.get("spark.checkpoint.dir", None) or conf.get("spark.checkpoint.dir", None)
-    if base is None:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        base = spark.conf.get("spark.sql.warehouse.dir") + "/foliate-shared"
-    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
-
-
-@contextlib.contextmanager
-def shuffles_dropped(spark: SparkSession):
-    """What runs inside gives its shuffle files back at its end, not when the driver happens to collect its garbage."""
-    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = spark.conf.get(name, "false")
-    spark.conf.set(name, "true")
-    try:
-        yield
-    finally:
-        spark.conf.set(name, before)
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Write a frame to the shared folder and read it again: its lineage ends there, and no lost executor takes it along."""
-    spark, path = df.sparkSession, shared_folder(df.sparkSession)
-    with shuffles_dropped(spark):
-        df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+BATCH_BYTES = 16 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
