@@ -160,21 +160,23 @@ def _head(path: str) -> str:
     return f"('Document: ' || file_name || chr(10) || 'Page: ' || page_number || chr(10) || 'Section Path: ' || {path} || chr(10) || '---' || chr(10))"
 
 
-#: The packing as a recursion over a page's blocks: what is held, its section, and what each block makes come out.
-PACKED = SECTIONS + f""", pieces AS (SELECT s.document_id, page_number, file_name, block_index AS i, section_path AS path, content AS block, {_head('section_path')} AS head, floor({_n_words(_head('section_path') + " || content")} * 1.3::DOUBLE) AS whole, floor({_n_words(_head('section_path'))} * 1.3::DOUBLE) AS own FROM sections s JOIN document USING (document_id)),
+def _packed(target: int, most: int, overlap: int, where: str = "true") -> str:
+    """The packing as a recursion over a page's blocks: what is held, its section, and what each block makes come out."""
+    lap = int(overlap * 0.75)
+    return SECTIONS + f""", pieces AS (SELECT s.document_id, page_number, file_name, block_index AS i, section_path AS path, content AS block, {_head('section_path')} AS head, floor({_n_words(_head('section_path') + " || content")} * 1.3::DOUBLE) AS whole, floor({_n_words(_head('section_path'))} * 1.3::DOUBLE) AS own FROM sections s JOIN document USING (document_id) WHERE {where}),
 steps AS (SELECT document_id, page_number, 0::BIGINT AS i, '' AS held, 'Introduction' AS section, []::VARCHAR[] AS made FROM (SELECT DISTINCT document_id, page_number FROM pieces)
  UNION ALL SELECT document_id, page_number, i, CASE WHEN fits THEN longer WHEN big THEN '' WHEN tail = '' THEN block ELSE tail || chr(10) || chr(10) || block END, CASE WHEN big AND NOT fits THEN section ELSE path END,
-  CASE WHEN fits THEN [] ELSE list_concat(CASE WHEN held = '' THEN [] ELSE [{_head('section')} || held] END, CASE WHEN big THEN list_transform(range(0, len(ws), size - CASE WHEN 22 >= size THEN size // 5 ELSE 22 END), lambda j: head || array_to_string(ws[j + 1 : j + size], ' ')) ELSE [] END) END
- FROM (SELECT *, floor({_n_words("head || longer")} * 1.3::DOUBLE) <= 120 AS fits, CASE WHEN trunc((120 - own) * 0.75)::INT > 0 THEN trunc((120 - own) * 0.75)::INT ELSE 50 END AS size,
-   CASE WHEN len(hs) <= 22 THEN held ELSE array_to_string(hs[len(hs) - 21 :], ' ') END AS tail
-  FROM (SELECT b.*, s.held, s.section, whole > 200 AS big, CASE WHEN s.held = '' THEN block ELSE s.held || chr(10) || chr(10) || block END AS longer, {_words("block")} AS ws, {_words("s.held")} AS hs
+  CASE WHEN fits THEN [] ELSE list_concat(CASE WHEN held = '' THEN [] ELSE [{_head('section')} || held] END, CASE WHEN big THEN list_transform(range(0, len(ws), size - CASE WHEN {lap} >= size THEN size // 5 ELSE {lap} END), lambda j: head || array_to_string(ws[j + 1 : j + size], ' ')) ELSE [] END) END
+ FROM (SELECT *, floor({_n_words("head || longer")} * 1.3::DOUBLE) <= {target} AS fits, CASE WHEN trunc(({target} - own) * 0.75)::INT > 0 THEN trunc(({target} - own) * 0.75)::INT ELSE 50 END AS size,
+   CASE WHEN len(hs) <= {lap} THEN held ELSE array_to_string(hs[len(hs) - {lap - 1} :], ' ') END AS tail
+  FROM (SELECT b.*, s.held, s.section, whole > {most} AS big, CASE WHEN s.held = '' THEN block ELSE s.held || chr(10) || chr(10) || block END AS longer, {_words("block")} AS ws, {_words("s.held")} AS hs
    FROM steps s JOIN pieces b ON b.document_id = s.document_id AND b.page_number = s.page_number AND b.i = s.i + 1))),
 last AS (SELECT document_id, page_number, max(i) AS i FROM steps GROUP BY 1, 2),
 parts AS (SELECT document_id, page_number, i, unnest(made) AS content, unnest(range(len(made))) AS j FROM steps
  UNION ALL SELECT s.document_id, s.page_number, s.i + 1, {_head('section')} || held, 0 FROM steps s JOIN last USING (document_id, page_number, i) JOIN document USING (document_id) WHERE held <> '')"""
 
 
-@query("marked_text document", "WITH RECURSIVE " + PACKED + " SELECT document_id, page_number, row_number() OVER (PARTITION BY document_id, page_number ORDER BY i, j) - 1 AS nth, content FROM parts")
+@query("marked_text document", "WITH RECURSIVE " + _packed(120, 200, 30) + " SELECT document_id, page_number, row_number() OVER (PARTITION BY document_id, page_number ORDER BY i, j) - 1 AS nth, content FROM parts")
 def c04_pack_pages(x: Fixtures) -> DataFrame:
     rows = chunking.with_sections(chunking.blocks(x.marked_text())).join(x.document().select("document_id", "file_name"), "document_id")
     return chunking.pack_pages(rows, 120, 200, 30)
@@ -203,17 +205,20 @@ def c06_header(x: Fixtures) -> DataFrame:
 
 
 HELD = "array_to_string(list_transform({0}, lambda x: x.t), chr(10) || chr(10))"
-#: The same for elements of a document: a list of what is held, and what each element makes come out.
-GROUPED = f"""n AS (SELECT document_id, row_number() OVER (PARTITION BY document_id ORDER BY reading_order) AS i, element_type IN ({", ".join(f"'{k}'" for k in chunking.ATOMIC)}) AS atomic, {{{{'t': content, 'k': {_n_words("content")}, 'p': page_number}}}} AS e FROM element),
-steps AS (SELECT document_id, 0::BIGINT AS i, []::STRUCT(t VARCHAR, k BIGINT, p INT)[] AS held, []::STRUCT(c VARCHAR, p INT)[] AS made FROM (SELECT DISTINCT document_id FROM n)
- UNION ALL SELECT document_id, i, CASE WHEN atomic THEN [] ELSE now END, list_concat(CASE WHEN over THEN [{{{{'c': {HELD.format("held")}, 'p': held[1].p}}}}] ELSE [] END, CASE WHEN atomic THEN [{{{{'c': {HELD.format("now")}, 'p': now[1].p}}}}] ELSE [] END)
- FROM (SELECT *, list_append(CASE WHEN over THEN list_filter(held, lambda x, j: list_sum(list_transform(held[j:], lambda y: y.k)) <= 30) ELSE held END, e) AS now
-  FROM (SELECT n.document_id, n.i, n.atomic, n.e, s.held, len(s.held) > 0 AND list_sum(list_transform(s.held, lambda x: x.k)) + n.e.k > 120 AS over FROM steps s JOIN n ON n.document_id = s.document_id AND n.i = s.i + 1))),
-last AS (SELECT document_id, max(i) AS i FROM steps GROUP BY 1),
-parts AS (SELECT document_id, i, unnest(made) AS x, unnest(range(len(made))) AS j FROM steps UNION ALL SELECT document_id, i + 1, {{{{'c': {HELD.format("held")}, 'p': held[1].p}}}}, 0 FROM steps JOIN last USING (document_id, i) WHERE len(held) > 0)""".replace("{{", "{").replace("}}", "}")
 
 
-@query("element", "WITH RECURSIVE " + GROUPED + " SELECT document_id, row_number() OVER (PARTITION BY document_id ORDER BY i, j) - 1 AS chunk_index, x.p AS page_number, x.c AS content FROM parts")
+def _grouped(most: int, overlap: int, where: str = "true", own: str = "") -> str:
+    """The same for elements of a document: a list of what is held, and what each element makes come out. own: an ending of the tables' names."""
+    return f"""n{own} AS (SELECT document_id, row_number() OVER (PARTITION BY document_id ORDER BY reading_order) AS i, element_type IN ({", ".join(f"'{k}'" for k in chunking.ATOMIC)}) AS atomic, {{'t': content, 'k': {_n_words("content")}, 'p': page_number}} AS e FROM element WHERE {where}),
+steps{own} AS (SELECT document_id, 0::BIGINT AS i, []::STRUCT(t VARCHAR, k BIGINT, p INT)[] AS held, []::STRUCT(c VARCHAR, p INT)[] AS made FROM (SELECT DISTINCT document_id FROM n{own})
+ UNION ALL SELECT document_id, i, CASE WHEN atomic THEN [] ELSE now END, list_concat(CASE WHEN over THEN [{{'c': {HELD.format("held")}, 'p': held[1].p}}] ELSE [] END, CASE WHEN atomic THEN [{{'c': {HELD.format("now")}, 'p': now[1].p}}] ELSE [] END)
+ FROM (SELECT *, list_append(CASE WHEN over THEN list_filter(held, lambda x, j: list_sum(list_transform(held[j:], lambda y: y.k)) <= {overlap}) ELSE held END, e) AS now
+  FROM (SELECT n.document_id, n.i, n.atomic, n.e, s.held, len(s.held) > 0 AND list_sum(list_transform(s.held, lambda x: x.k)) + n.e.k > {most} AS over FROM steps{own} s JOIN n{own} n ON n.document_id = s.document_id AND n.i = s.i + 1))),
+last{own} AS (SELECT document_id, max(i) AS i FROM steps{own} GROUP BY 1),
+parts{own} AS (SELECT document_id, i, unnest(made) AS x, unnest(range(len(made))) AS j FROM steps{own} UNION ALL SELECT document_id, i + 1, {{'c': {HELD.format("held")}, 'p': held[1].p}}, 0 FROM steps{own} JOIN last{own} USING (document_id, i) WHERE len(held) > 0)"""
+
+
+@query("element", "WITH RECURSIVE " + _grouped(120, 30) + " SELECT document_id, row_number() OVER (PARTITION BY document_id ORDER BY i, j) - 1 AS chunk_index, x.p AS page_number, x.c AS content FROM parts")
 def c07_pack_elements(x: Fixtures) -> DataFrame:
     return chunking.pack_elements(x.element(), 120, 30)
 
@@ -281,7 +286,8 @@ def c14_element_type(x: Fixtures) -> DataFrame:
     return x.line().select("document_id", "p", chunking.element_type(label, F.concat(F.when(F.col("p") % 16 == 6, "2. ").otherwise(""), "line")).alias("element_type"))
 
 
-@query()
+@query("marked_text document element grid", "WITH RECURSIVE " + _packed(500, 800, 100, "document_id % 2 = 1 OR document_id NOT IN (SELECT document_id FROM element)") + ", " + _grouped(400, 80, "document_id % 2 = 0", "_e") + f""", {HEAD}, sheet AS (SELECT DISTINCT sheet_id, (row_number() OVER (PARTITION BY sheet_id ORDER BY rn) - 1) // 20 AS c FROM grid JOIN head USING (sheet_id) WHERE rn > header_rn AND {FULL})
+SELECT sheet_id + 1000000 AS document_id, 'sheet' AS strategy, count(*) AS n_chunks FROM sheet GROUP BY 1 UNION ALL SELECT document_id, 'elements', count(*) FROM parts_e GROUP BY 1 UNION ALL SELECT document_id, 'text', count(*) FROM parts GROUP BY 1""")
 def c15_routed(x: Fixtures) -> DataFrame:
     names = x.document().select("document_id", "file_name")
     return chunking.routed(x.element().filter("document_id % 2 = 0"), x.marked_text(), names, x.grid().withColumn("sheet_id", F.col("sheet_id") + 1000000))
