@@ -17,22 +17,32 @@ from foliate.operators.events import MAX_RETRIES
 from foliate.sources import shared_folder
 
 
-def drained(stream: DataFrame, each: Callable[[DataFrame], DataFrame], mode: str = "append") -> DataFrame:
-    """All that is there now, batch by batch through `each`; the rows written."""
+def drained(stream: DataFrame, each: Callable[[DataFrame, int], DataFrame], mode: str = "append") -> DataFrame:
+    """All that is there now, batch by batch through `each`, which gets the batch and its number; the rows written."""
     spark, folder = stream.sparkSession, shared_folder(stream.sparkSession)
 
     def write(batch: DataFrame, number: int) -> None:
-        each(batch).write.mode("overwrite").parquet(f"{folder}/out/batch={number}")
+        each(batch, number).write.mode("overwrite").parquet(f"{folder}/out/batch={number}")
 
     query = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).foreachBatch(write).start()
     query.awaitTermination()
     return spark.read.parquet(f"{folder}/out")
 
 
-def detect_conflicts(new: DataFrame, known: DataFrame, reports: DataFrame, upto: str = "created_at") -> DataFrame:
-    """Each new fact against the facts of its subject that are known; a pair that two batches find is one by its key."""
-    found = drained(new, lambda batch: facts.incremental(batch, known, reports).select("first_fact_id", "second_fact_id", "kind"))
-    return found.groupBy("first_fact_id", "second_fact_id").agg(F.min("kind").alias("kind"))
+def detect_conflicts(new: DataFrame, known: DataFrame, reports: DataFrame) -> DataFrame:
+    """Each new fact against the facts of its subject that are known or have arrived, in its own batch or before; a pair found twice is one by its key.
+
+    What a batch brings is written under its number first, so a batch that runs again sees the same facts.
+    """
+    seen = shared_folder(new.sparkSession)
+
+    def each(batch: DataFrame, number: int) -> DataFrame:
+        batch.write.mode("overwrite").parquet(f"{seen}/batch={number}")
+        arrived = batch.sparkSession.read.schema(batch.schema).parquet(f"{seen}/batch=*").select(batch.columns)
+        fresh = known.join(arrived.select("fact_id"), "fact_id", "left_anti").select(batch.columns).unionByName(arrived)
+        return facts.incremental(batch, fresh, reports).select("first_fact_id", "second_fact_id", "kind")
+
+    return drained(new, each).groupBy("first_fact_id", "second_fact_id").agg(F.min("kind").alias("kind"))
 
 
 def fold_deliveries(log: DataFrame) -> DataFrame:
@@ -58,7 +68,7 @@ def fold_deliveries(log: DataFrame) -> DataFrame:
     at = F.coalesce(F.unix_micros(F.col("attempt_ts").cast("timestamp")), F.lit(-(1 << 63)))  # null comes first, as in the batch twin
     rows = log.select("message_id", "event_id", at.alias("at"), F.coalesce("ok", F.lit(False)).alias("ok"))
     out = rows.groupBy("message_id").applyInPandasWithState(step, "message_id long, status string, retry_count int", "at array<long>, event_id array<long>, ok array<boolean>", "update", GroupStateTimeout.NoTimeout)
-    written = drained(out, lambda batch: batch, "update")
+    written = drained(out, lambda batch, _: batch, "update")
     last = written.groupBy("message_id").agg(F.max_by(F.struct("status", "retry_count"), F.col("batch")).alias("s"))
     return last.select("message_id", "s.status", "s.retry_count")
 
@@ -78,13 +88,13 @@ def fold_lifecycle(log: DataFrame) -> DataFrame:
         yield pd.DataFrame({"document_id": key[0], "event_id": rows["event_id"].to_numpy(), "status": status, "retry_count": counts})
 
     out = log.groupBy("document_id").applyInPandasWithState(step, "document_id long, event_id long, status string, retry_count int", "count int", "append", GroupStateTimeout.NoTimeout)
-    return drained(out, lambda batch: batch).drop("batch")
+    return drained(out, lambda batch, _: batch).drop("batch")
 
 
 def ingest(chunks: DataFrame, model: str, dimension: int) -> DataFrame:
     """New chunks(document_id, chunk_id, content): embedded (unless they bring an embedding), checked, and the document's verdict for the batch."""
 
-    def each(batch: DataFrame) -> DataFrame:
+    def each(batch: DataFrame, _: int) -> DataFrame:
         vector = F.col("embedding") if "embedding" in batch.columns else vectors.embed(F.col("content"), model, dimension)
         made = batch.select("document_id", "chunk_id", vector.alias("embedding"))
         return quality.verdicts(batch.select("document_id").distinct(), quality.embedding_issues(made, dimension))
@@ -98,5 +108,5 @@ def window_counts(events: DataFrame, size: str = "1 day") -> DataFrame:
     No row is too late and no window stays open; no state is held. A null ts is in no window.
     """
     windows = lambda batch: batch.groupBy(F.window("ts", size), "event_type").agg(F.count(F.lit(1)).alias("n"))
-    found = drained(events.withColumn("ts", F.col("ts").cast("timestamp")), lambda batch: windows(batch).select(F.col("window.start").alias("begin"), "event_type", "n"))
+    found = drained(events.withColumn("ts", F.col("ts").cast("timestamp")), lambda batch, _: windows(batch).select(F.col("window.start").alias("begin"), "event_type", "n"))
     return found.groupBy("begin", "event_type").agg(F.sum("n").alias("n"))

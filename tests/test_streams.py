@@ -51,3 +51,15 @@ def test_deliveries_in_any_order(spark, tmp_path):
     frame, stream = unordered(spark, rows, "message_id long, attempt_ts string, event_id long, ok boolean", "attempt_ts", days, str(tmp_path / "log"))
     got = {tuple(r) for r in streaming.fold_deliveries(stream).select("message_id", "status", "retry_count").collect()}
     assert got == {tuple(r) for r in events.delivery_status(frame).collect()} == {(1, "completed", 2), (2, "completed", 0), (3, "dead_letter", 3)}
+
+
+def test_conflicts_among_facts_that_arrive_together_or_one_after_another(spark, tmp_path):
+    schema = "fact_id long, project_id long, subject_id long, predicate string, object_text string, confidence double, status string, created_at timestamp, deleted_at timestamp"
+    row = lambda i, subject, value: (i, 1, subject, "dose", value, 0.9, "unverified", None, None)
+    for n, rows in enumerate([[row(1, 1, "5 mg"), row(2, 1, "6 mg")], [row(3, 1, "7 mg"), row(4, 2, "1")], [row(5, 2, "2"), row(6, 3, "1")]]):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    known = spark.createDataFrame([row(7, 3, "9"), row(1, 1, "5 mg")], schema)
+    reports = spark.createDataFrame([], "first_fact_id long, second_fact_id long, status string")
+    new = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    got = sorted((r.first_fact_id, r.second_fact_id, r.kind) for r in streaming.detect_conflicts(new, known, reports).collect())
+    assert got == [(1, 2, "numeric"), (1, 3, "numeric"), (2, 3, "numeric"), (4, 5, "numeric"), (6, 7, "numeric")]
