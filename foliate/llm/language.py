@@ -51,7 +51,7 @@ def grams(codes: np.ndarray) -> np.ndarray:
     """Hashes of all n-grams of a text's letters, with repeats."""
     wide, out = codes.astype(np.uint64), []
     for n in ORDERS:
-        h = np.full(max(0, len(wide) - n + 1), np.uint64(n) * _TIMES[3], np.uint64)
+        h = np.full(max(0, len(wide) - n + 1), n * int(_TIMES[3]) % (1 << 64), np.uint64)
         for i in range(n):
             h += wide[i : len(wide) - n + 1 + i] * _TIMES[i]
         h = (h ^ (h >> np.uint64(32))) * _TIMES[4]
