@@ -33,7 +33,7 @@ from foliate.llm.wordhash import Words, slices
 ASK = "shard int, batch int, keys binary, docs binary, places binary"
 ANSWER = "batch int, kind int, shard int, data binary"
 RUN = np.dtype([("a", "<u8"), ("b", "<u8")])
-SHARD_BATCHES = 2
+SHARD_BATCHES = 1
 #: In the order of documents a null id stands before all others.
 NULL_ID = -(1 << 63)
 
