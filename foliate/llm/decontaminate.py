@@ -7,7 +7,8 @@ has that one, at a place that leaves room for the window on both sides (position
 
 Edge cases: null and empty texts have no words and are never hit; items without words have no window. Items that repeat, or share
 windows, each count; a null item_id hits words but is not counted as an item. Each row is judged by its own text, whatever other rows share its
-id; rows alike in both come out alike. A word's row is only a hash and its place; texts are carried along once for each candidate document, however long. Extra columns are
+id; rows alike in both come out alike. A word's row is only a hash and its place; with the benchmark's shingles found come the 20 words about each, or, where
+the benchmark is too large to broadcast, each candidate document's text once, however long. Extra columns are
 not read unless asked for. Empty tables give no hits, or no rows.
 """
 
@@ -43,11 +44,15 @@ def _hash(w: str, at: Column, n: int) -> Column:
     return F.xxhash64(F.lit(n), *[F.get(w, at + i) for i in range(n)])
 
 
+def _spread(frame: DataFrame, n: int, *keep: str) -> DataFrame:
+    """at, many (words in all), hash of each shingle of n of the words w, besides the kept columns; w itself is there to be read from, and is not to be output."""
+    spread = frame.select(*keep, "w", F.posexplode("w").alias("at", "word")).drop("word").filter(F.col("at") <= F.size("w") - n)
+    return spread.select(*keep, "w", "at", F.size("w").alias("many"), _hash("w", F.col("at"), n).alias("hash"))
+
+
 def _shingles(frame: DataFrame, sizes: list[int], *keep: str) -> DataFrame:
-    """at, many (words in all), hash of each shingle of the given sizes in the words w, besides the kept columns."""
-    spread = frame.select(*keep, "w", F.posexplode("w").alias("at", "word")).drop("word")
-    made = [spread.filter(F.col("at") <= F.size("w") - n).select(*keep, "at", F.size("w").alias("many"), _hash("w", F.col("at"), n).alias("hash")) for n in sizes]
-    return reduce(DataFrame.unionByName, made)
+    """at, many, hash of each shingle of the given sizes."""
+    return reduce(DataFrame.unionByName, [_spread(frame, n, *keep).drop("w") for n in sizes])
 
 
 def _sized(small: DataFrame) -> DataFrame:
@@ -66,17 +71,27 @@ def hits(docs: DataFrame, items: DataFrame, size: int = WINDOW, shingle: int = S
         return docs.select(F.lit(b"").alias("key"), F.lit(0).alias("start"), F.lit(0).alias("n"), F.lit(0).cast("long").alias("win")).filter("false"), own
     of_windows = cut(reduce(DataFrame.unionByName, [_shingles(distinct.filter(short == n), [n], "win") for n in sizes]).withColumnsRenamed({"at": "offset", "many": "n"}))
     known = cut(of_windows.select("hash").distinct())
-    texts = docs.select(row_key().alias("key"), words(F.col("text")).alias("w"))
-    met = cut(_shingles(texts, sizes, "key").join(_sized(known), "hash").select("key", "at", "many", "hash"))
+    texts, small = docs.select(row_key().alias("key"), words(F.col("text")).alias("w")), known.count() <= BROADCAST_ROWS
+    if small:
+        # the words about each shingle found come along, as many as a window can reach; within one stage, so that a row for each word never holds them all
+        back = F.greatest(F.col("at") - (size - 1), F.lit(0))
+        found = [_spread(texts, n, "key").join(F.broadcast(known), "hash").select("key", "at", "many", "hash", back.alias("back"), F.slice("w", back + 1, 2 * size).alias("about")) for n in sizes]
+        met = reduce(DataFrame.unionByName, found)
+    else:
+        met = _shingles(texts, sizes, "key").join(known, "hash").select("key", "at", "many", "hash")
+    met = cut(met)
     counts = met.groupBy("hash").agg(F.count(F.lit(1)).alias("df"))
     # the rarest shingle of each window; one that no document has makes the window impossible
     order = of_windows.join(known.join(counts, "hash", "left"), "hash").withColumn("df", F.coalesce("df", F.lit(0)))
     prefix = order.groupBy("win").agg(F.min(F.struct("df", "hash", "offset", "n")).alias("r")).filter("r.df > 0").select("win", "r.hash", "r.offset", "r.n")
     start = F.col("at") - F.col("offset")
-    near = met.join(_sized(cut(prefix)), "hash").filter((start >= 0) & (start + F.col("n") <= F.col("many"))).select("key", start.alias("start"), "n", "win").distinct()
-    near = cut(near.groupBy("key").agg(F.collect_list(F.struct("start", "n", "win")).alias("near")))  # within one document
-    whole = docs.select(row_key().alias("key"), "text").join(near, "key").select("key", words(F.col("text")).alias("w"), "near")
-    placed = whole.select("key", "w", F.explode("near").alias("x")).select("key", "x.start", "x.n", "x.win", F.slice("w", F.col("x.start") + 1, F.col("x.n")).alias("has"))
+    near = met.join(_sized(cut(prefix)), "hash").filter((start >= 0) & (start + F.col("n") <= F.col("many")))
+    if small:
+        placed = near.select("key", start.alias("start"), "n", "win", F.slice("about", start - F.col("back") + 1, F.col("n")).alias("has"))
+    else:  # the texts of the candidates, by a shuffle at every size
+        near = near.select("key", start.alias("start"), "n", "win").distinct().groupBy("key").agg(F.collect_list(F.struct("start", "n", "win")).alias("near"))  # within one document
+        whole = docs.select(row_key().alias("key"), "text").join(cut(near).hint("merge"), "key").select("key", words(F.col("text")).alias("w"), "near")
+        placed = whole.select("key", "w", F.explode("near").alias("x")).select("key", "x.start", "x.n", "x.win", F.slice("w", F.col("x.start") + 1, F.col("x.n")).alias("has"))
     same = placed.join(_sized(distinct), "win").filter(F.col("has") == F.col("w"))
     return same.select("key", "start", "n", "win").distinct(), own
 
