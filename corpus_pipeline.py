@@ -26,34 +26,39 @@ WORDS, PERCENT = 5, 80
 ROW = "_stage_row"
 
 
-def numbered(docs: DataFrame) -> DataFrame:
-    """docs with a number for each row, written so that the numbers stay: rows may share an id, or have none."""
-    return cut(docs.withColumn(ROW, F.monotonically_increasing_id()))
+def keyed(docs: DataFrame) -> DataFrame:
+    """docs with 128 bits of each row's id, language and text: rows may share an id, or have none. Rows alike in all three are judged alike."""
+    part = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit(""))
+    return docs.withColumn(ROW, F.unhex(F.md5(F.concat_ws("\n", part("doc_id"), part("lang"), part("text")))))
 
 
-def keep(docs: DataFrame, decisions: DataFrame) -> DataFrame:
-    """The rows of docs that were kept."""
-    return docs.join(decisions.filter("kept").select(ROW), ROW, "left_semi").drop(ROW)
+def without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
+    return docs.join(rejected.select(ROW).distinct(), ROW, "left_anti").drop(ROW)
+
+
+def one_of_each(docs: DataFrame, kept: DataFrame) -> DataFrame:
+    """The rows that were kept; of rows alike, which share a key, one."""
+    return docs.join(kept.select(ROW).distinct(), ROW, "left_semi").dropDuplicates([ROW]).drop(ROW)
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    rows = numbered(docs)
-    return keep(rows, quality.classify(rows, quality.trusted_ids(table(spark, sf_dir, "labels")), ROW))
+    rows = keyed(docs)
+    return without(rows, quality.classify(rows, quality.trusted_ids(table(spark, sf_dir, "labels")), ROW).filter("not kept"))
 
 
 def exact_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    rows = numbered(docs)
-    return keep(rows, exact_dedup.exact_dedup(rows, ROW))
+    rows = keyed(docs)
+    return one_of_each(rows, exact_dedup.exact_dedup(rows, ROW).filter("kept"))
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    rows = numbered(docs)
-    return keep(rows, minhash.near_duplicates(rows, WORDS, PERCENT, ROW).select(F.col("stays").alias("kept"), ROW))
+    rows = keyed(docs)
+    return one_of_each(rows, minhash.near_duplicates(rows, WORDS, PERCENT, ROW).filter("stays"))
 
 
 def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    rows = numbered(docs)
-    return keep(rows, decontaminate.decontaminate(rows, table(spark, sf_dir, "benchmark"), ROW).select((~F.col("contaminated")).alias("kept"), ROW))
+    rows = keyed(docs)
+    return without(rows, decontaminate.decontaminate(rows, table(spark, sf_dir, "benchmark"), ROW).filter("contaminated"))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
