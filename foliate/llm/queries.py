@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from foliate.llm import decontaminate, exact_dedup, language, minhash, packing, pii, quality, records, sql, substring, warc
+from foliate.llm import alignment, codes, decontaminate, exact_dedup, language, minhash, packing, pii, pivots, quality, records, sql, substring, warc
 from foliate.llm.common import shared_folder, table
 
 
@@ -14,10 +15,10 @@ from foliate.llm.common import shared_folder, table
 PII_KEY = "key of the registered query"
 
 
-def vocabulary() -> str:
+def vocabulary(name: str = "byte_bpe_50k.json") -> str:
     import public_tokenizers
 
-    return public_tokenizers.path("byte_bpe_50k.json")
+    return public_tokenizers.path(name)
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,8 +65,20 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_shingles", "component_id", "kept")
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(table(spark, sf_dir, "documents"), vocabulary(), vocabulary("piece_bpe_32k.model"))
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codes.compress(table(spark, sf_dir, "embeddings")).select("vec_id", "code", "error", "label_error", "codebooks_sha256")
+
+
+def op13_top_products(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pivots.top_products(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, 5)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_substring_dedup, op2_pii_surrogates, op3_exact_dedup, op4_decontaminate, op5_warc, op6_token_records, op7_quality, op8_packing, op9_language_id, op10_minhash)}
+    return {f.__name__: f for f in (op1_substring_dedup, op2_pii_surrogates, op3_exact_dedup, op4_decontaminate, op5_warc, op6_token_records, op7_quality, op8_packing, op9_language_id, op10_minhash, op11_alignment, op12_vector_codes, op13_top_products)}
 
 
 def oracle_sql() -> dict[str, str]:

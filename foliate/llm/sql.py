@@ -53,4 +53,33 @@ SELECT s.doc_id, len(g) AS n_shingles, least(s.doc_id, coalesce(low, s.doc_id))
 FROM s LEFT JOIN c USING (doc_id)
 """
 
-ORACLES = {"op1_substring_dedup": OP1, "op10_minhash": OP10, "op3_exact_dedup": OP3, "op4_decontaminate": OP4, "op5_warc": OP5}
+INTEGERS = """SELECT vec_id, label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0"""
+
+
+def _codes() -> str:
+    """Two rounds and the last assignment, each a step over all parts and entries."""
+    steps = [
+        f"v AS MATERIALIZED ({INTEGERS})",
+        "p AS MATERIALIZED (SELECT vec_id, j, v[j * w + 1 : (j + 1) * w] AS x FROM (SELECT *, len(v) // 16 AS w, unnest(range(16)) AS j FROM v))",
+        "b0 AS MATERIALIZED (SELECT j, n - 1 AS e, x AS c FROM p JOIN (SELECT vec_id, row_number() OVER (ORDER BY vec_id) AS n FROM v) USING (vec_id) WHERE n <= 64)",
+    ]
+    for r in range(3):
+        gap = "list_sum(list_transform(range(1, len(x) + 1), lambda i: (x[i] - c[i]) * (x[i] - c[i])))::BIGINT"
+        steps.append(f"a{r} AS MATERIALIZED (SELECT vec_id, j, arg_min(e, (d, e)) AS e, min(d) AS d, any_value(x) AS x FROM (SELECT vec_id, j, e, x, {gap} AS d FROM p JOIN b{r} USING (j)) GROUP BY vec_id, j)")
+        if r < 2:
+            mean = "SELECT j, e, list(m ORDER BY i) AS m FROM (SELECT j, e, i, floor(sum(x[i]) / count(*))::BIGINT AS m FROM (SELECT j, e, x, unnest(range(1, len(x) + 1)) AS i FROM a{r}) GROUP BY j, e, i) GROUP BY j, e"
+            steps.append(f"b{r + 1} AS MATERIALIZED (SELECT j, e, coalesce(m, c) AS c FROM b{r} LEFT JOIN ({mean.replace('{r}', str(r))}) USING (j, e))")
+    steps.append("o AS (SELECT vec_id, string_agg(printf('%02x', e), '' ORDER BY j) AS code, sum(d)::BIGINT AS error FROM a2 GROUP BY vec_id)")
+    steps.append("s AS (SELECT sha256(string_agg(c[i]::VARCHAR, ',' ORDER BY j, e, i)) AS codebooks_sha256 FROM (SELECT *, unnest(range(1, len(c) + 1)) AS i FROM b2))")
+    return f"WITH {', '.join(steps)} SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256 FROM o JOIN v USING (vec_id), s"
+
+
+OP13 = f"""
+WITH v AS MATERIALIZED ({INTEGERS}),
+p AS (SELECT q.vec_id AS query_id, c.vec_id, list_sum(list_transform(range(1, len(q.v) + 1), lambda i: q.v[i] * c.v[i]))::BIGINT AS score FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM p)
+SELECT query_id, rank::INT AS rank, vec_id, score FROM r WHERE rank <= 5
+"""
+
+ORACLES = {"op12_vector_codes": _codes(), "op13_top_products": OP13, "op1_substring_dedup": OP1, "op10_minhash": OP10, "op3_exact_dedup": OP3, "op4_decontaminate": OP4, "op5_warc": OP5}

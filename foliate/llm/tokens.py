@@ -3,7 +3,7 @@
 A single space between two characters that are not white space always begins a pre-token of this vocabulary, so does a mark (but an
 apostrophe) after a plain letter or digit, and a single line break is one of its own. A text may be cut there, and the units' ids, joined,
 are the text's ids. Where white space of another kind may be near, a text is not cut. A text that holds an added token's literal
-(such as <|endoftext|>) is encoded whole, and the literal becomes that token, as the library has it. Within a slice
+(such as <|endoftext|>) is encoded whole, and the literal becomes that token, as the library has it (or, where asked for, stays text). Within a slice
 of some megabytes equal units are found by a 64-bit hash and then compared byte by byte, so each distinct one is looked up once; a worker
 remembers the ids of units.
 """
@@ -57,12 +57,14 @@ class _Known(dict):
 
 
 class Encoder:
-    def __init__(self, vocabulary: str):
+    def __init__(self, vocabulary: str, plain: bool = False):
+        """plain: an added token's literal is text like any other."""
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(vocabulary)
-        self.added = [x.content for x in self.model.get_added_tokens_decoder().values()]
+        self.model.encode_special_tokens = plain
+        self.added = [] if plain else [x.content for x in self.model.get_added_tokens_decoder().values()]
         self.known = _Known({})
         self.sizes = np.zeros(self.model.get_vocab_size(), np.int64)  # bytes of each id: the vocabulary has a character for each byte
         for token, i in self.model.get_vocab().items():
@@ -154,11 +156,11 @@ class Encoder:
         return flat[place], np.diff(until[np.searchsorted(begin, ends)])
 
 
-_encoders: dict[str, Encoder] = {}
+_encoders: dict[tuple[str, bool], Encoder] = {}
 
 
-def encoder(vocabulary: str) -> Encoder:
-    """One for each worker process and vocabulary."""
-    if vocabulary not in _encoders:
-        _encoders[vocabulary] = Encoder(vocabulary)
-    return _encoders[vocabulary]
+def encoder(vocabulary: str, plain: bool = False) -> Encoder:
+    """One for each worker process, vocabulary and way."""
+    if (vocabulary, plain) not in _encoders:
+        _encoders[vocabulary, plain] = Encoder(vocabulary, plain)
+    return _encoders[vocabulary, plain]
