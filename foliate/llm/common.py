@@ -28,14 +28,14 @@ def row_key() -> Column:
 
 
 def in_batches(docs: DataFrame, size: int, *cols: Column | str, batch_bytes: int = BATCH_BYTES) -> tuple[DataFrame, int]:
-    """Deal documents by a hash of doc_id into batches of about batch_bytes of text, a bounded unit of work for numpy.
+    """Deal documents by a hash of doc_id (of the text, where that is null) into batches of about batch_bytes of text, a bounded unit of work for numpy.
 
     A small table has a batch for each shuffle partition, of a megabyte at least. The same rows get the same batch each time, so what
     was asked for a batch can be joined with its texts later.
     """
     tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     n = max(1, math.ceil(size / batch_bytes), min(tasks, math.ceil(size / min(batch_bytes, 1 << 20))))
-    return docs.select(F.pmod(F.xxhash64("doc_id"), F.lit(n)).cast("int").alias("batch"), *cols), n
+    return docs.select(F.pmod(F.xxhash64("doc_id", F.when(F.col("doc_id").isNull(), F.col("text"))), F.lit(n)).cast("int").alias("batch"), *cols), n
 
 
 def fold_ascii(text: Column) -> Column:

@@ -1,7 +1,7 @@
 """Exact deduplication by 128-bit content hash, with the bytes compared inside each group. Built-in functions only.
 
 Edge cases: a null text counts as empty, so null, empty and blank texts are one group. Ties in length go to the smallest id, a null id
-being the last; of rows that are alike in both, one (any of them, as they are equal) is kept. So one row of a group is kept, however often an id
+being the last; of rows that are alike in both, the one with the smallest hash of its text and the columns asked for is kept, and of rows alike in those one. So one row of a group is kept, however often an id
 is repeated. Very long texts are hashed whole. Extra columns are not read unless asked for. An empty table gives an empty result.
 """
 
@@ -25,8 +25,8 @@ def content_hash(norm: Column) -> Column:
 
 
 def _keeper() -> Column:
-    """The longest original, then the smallest id, then one row of those left, as one aggregate that combines on the map side."""
-    return F.max(F.struct("chars", (-F.col("doc_id")).alias("back"), "row"))
+    """The longest original, then the smallest id, then the row's hash, as one aggregate that combines on the map side."""
+    return F.min(F.struct((-F.col("chars")).alias("chars"), F.col("doc_id").isNull().alias("none"), "doc_id", "mark", "row"))
 
 
 def collided(docs: DataFrame, groups: DataFrame) -> DataFrame:
@@ -48,10 +48,10 @@ def exact_dedup(docs: DataFrame, *also: str) -> DataFrame:
     for the comparison of bytes. Groups in which it finds a difference are made anew by the texts' SHA-256 and the texts themselves.
     """
     norm = normalised(F.col("text"))
-    light = docs.select("doc_id", F.coalesce(F.char_length("text"), F.lit(0)).alias("chars"), norm.alias("norm"), *also)
-    light = cut(light.select("doc_id", "chars", content_hash(F.col("norm")).alias("hash"), F.sha2("norm", 256).alias("text_sha256"), F.monotonically_increasing_id().alias("row"), *also))
+    light = docs.select("doc_id", F.coalesce(F.char_length("text"), F.lit(0)).alias("chars"), norm.alias("norm"), F.xxhash64("text", *also).alias("mark"), *also)
+    light = cut(light.select("doc_id", "chars", content_hash(F.col("norm")).alias("hash"), F.sha2("norm", 256).alias("text_sha256"), "mark", F.monotonically_increasing_id().alias("row"), *also))
     made = light.groupBy("hash").agg(F.count(F.lit(1)).alias("group_size"), _keeper().alias("k"))
-    groups = cut(made.select("hash", "group_size", (-F.col("k.back")).alias("keep_id"), F.col("k.row").alias("keep_row")))
+    groups = cut(made.select("hash", "group_size", F.col("k.doc_id").alias("keep_id"), F.col("k.row").alias("keep_row")))
     bad = cut(collided(docs, groups))
     found = light.join(groups, "hash").select(*light.columns, "group_size", "keep_id", "keep_row")
     if not bad.isEmpty():
@@ -66,5 +66,5 @@ def remade(docs: DataFrame, light: DataFrame, bad: DataFrame) -> DataFrame:
     same = ["hash", "text_sha256"]
     whole = cut(light).join(texts.select(*same, "norm").distinct(), same)
     made = whole.groupBy("norm").agg(F.count(F.lit(1)).alias("group_size"), _keeper().alias("k"))
-    made = cut(made.select("norm", "group_size", (-F.col("k.back")).alias("keep_id"), F.col("k.row").alias("keep_row")))
+    made = cut(made.select("norm", "group_size", F.col("k.doc_id").alias("keep_id"), F.col("k.row").alias("keep_row")))
     return cut(whole.join(made, "norm").drop("norm"))

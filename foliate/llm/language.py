@@ -5,7 +5,7 @@ of any script, hashed to 20 bits. A bounded, balanced sample of labelled documen
 values against all landmarks come from one product of its presence row with the landmarks' matrix, for many texts at once.
 
 Edge cases: a text that is null or has no letter is "und" with score 0. Without any labelled row all texts are "und". Ties go to the
-first language in order. Repeated rows, and rows that share an id, are predicted each by its own text. A long text is one row of the matrix like any
+first language in order. Repeated rows, and rows that share an id, are predicted each by its own text, and learned from each; a null id is not held out. A long text is one row of the matrix like any
 other, from all its n-grams. Extra columns are not read. An empty table gives an empty result.
 """
 
@@ -25,8 +25,6 @@ SAMPLE_ROWS, LEAST_ROWS = 2000, 20
 #: Landmarks in all, bits of an n-gram's hash, ridge, and the sharpness of scores.
 LANDMARKS, HASH_BITS, RIDGE, SHARPNESS = 128, 20, 1e-2, 4.0
 ORDERS = (1, 2, 3)
-#: Of the hash that draws the sample.
-RANGE = 1 << 40
 _lower: np.ndarray | None = None
 
 
@@ -98,16 +96,18 @@ def counter(size: int):
 
 
 def fit(labelled: DataFrame) -> Model | None:
-    """From labelled(doc_id, text, lang). The sample has the rows with the smallest hashes of each language."""
+    """From labelled(doc_id, text, lang). The sample has the rows with the smallest hashes (of id and text) of each language."""
     rows = labelled.filter("lang is not null and text is not null")
     counts = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row for each language
     if not counts:
         return None
     quota = max(LEAST_ROWS, SAMPLE_ROWS // len(counts))
-    # of a large language only the hashes below a bound, some rows more than the quota, go on to be ranked
-    bound = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, min(RANGE, RANGE * (2 * quota + 20) // n))])
-    mark = F.pmod(F.xxhash64("doc_id"), F.lit(RANGE))
-    few = rows.withColumn("mark", mark).filter(F.col("mark") < F.element_at(bound, F.col("lang")))
+    # first without texts: the mark of each language's last row of the quota. Each task keeps no more rows of a language than that
+    marked = rows.withColumn("mark", F.xxhash64("doc_id", "text"))
+    first = F.row_number().over(W.partitionBy("lang").orderBy("mark"))
+    last = marked.select("lang", "mark").withColumn("nth", first).filter(F.col("nth") <= quota).groupBy("lang").agg(F.max("mark").alias("last")).collect()
+    bound = F.create_map(*[F.lit(x) for r in last for x in (r.lang, r["last"])])
+    few = marked.filter(F.col("mark") <= F.element_at(bound, F.col("lang")))
     nth = F.row_number().over(W.partitionBy("lang").orderBy("mark", "doc_id", "text"))
     sample = few.select("doc_id", "lang", "mark", "text").withColumn("nth", nth).filter(F.col("nth") <= quota).select("lang", "nth", "text")
 
@@ -171,7 +171,7 @@ def identify(docs: DataFrame, model: Model | None) -> DataFrame:
 
 
 def held_out(doc_id: str = "doc_id"):
-    return F.crc32(F.col(doc_id).cast("string")) % 4 == 2
+    return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 4 == 2, F.lit(False))
 
 
 def language_id(docs: DataFrame) -> DataFrame:

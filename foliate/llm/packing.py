@@ -3,7 +3,7 @@
 A document of n tokens is cut into as many full sequences as fit and into one piece for each bit of the rest, long ones
 first. Each piece is a sequence of its own; equal lengths form a bucket, from which batches of one length are drawn.
 
-Edge cases: a null text is empty and yields the end id alone, a piece of length 1. Repeated rows are packed each by itself.
+Edge cases: a null text is empty and yields the end id alone, a piece of length 1. Repeated rows, and rows that share an id or have none, are packed each by itself.
 Texts of any length stream through in Arrow batches. Extra columns are not read. No rows give no pieces.
 """
 

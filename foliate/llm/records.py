@@ -1,11 +1,12 @@
 """Token ids in length-delimited binary files, with a separate index of offsets for shuffled reads.
 
 A record: length of the payload (u64), masked checksum of those 8 bytes (u32), payload, masked checksum of the payload (u32).
-A payload: doc_id (i64), bytes per id (u8: 2 where every id of the vocabulary fits, else 4), the ids. All little-endian.
-The index has for each record: doc_id (i64), offset in the file (u64), number of ids (u32). The checksum is CRC-32, masked
+A payload: doc_id (i64), bytes per id (u8: 2 where every id of the vocabulary fits, else 4; 128 more where doc_id is null, and 0 stands for it), the
+ids. All little-endian. The index has for each record: doc_id (i64), offset in the file (u64), number of ids (u32), 1 for a null doc_id (u8). The checksum is CRC-32, masked
 as ((crc >> 15 | crc << 17) + 0xA282EAD8) mod 2^32, so that a checksum of bytes that hold checksums stays sound.
 
-Edge cases: null and empty texts give the end id alone. Repeated rows are written one after the other. Documents of any length
+Edge cases: null and empty texts give the end id alone. Rows with a null id come first, rows that share an id in the order of a hash of
+their texts, then of the texts; repeated rows are written one after the other. Documents of any length
 are one record. Extra columns are not read. An empty table writes no record and reads back none.
 """
 
@@ -26,11 +27,11 @@ from foliate.llm.common import cut
 from foliate.llm.tokens import AT_ONCE, encoder
 from foliate.llm.wordhash import slices
 
-HEAD, INDEX = struct.Struct("<QI"), struct.Struct("<qQI")
+HEAD, INDEX, NULL = struct.Struct("<QI"), struct.Struct("<qQIB"), 0x80
 
 
-def index_entry(doc_id: int, at: int, n: int) -> bytes:
-    return INDEX.pack(doc_id, at, n)
+def index_entry(doc_id: int | None, at: int, n: int) -> bytes:
+    return INDEX.pack(doc_id or 0, at, n, doc_id is None)
 
 
 class Damaged(ValueError):
@@ -61,17 +62,18 @@ def read_record(source) -> bytes | None:
     return body[:size]
 
 
-def pack_payload(doc_id: int, ids: np.ndarray) -> bytes:
-    return struct.pack("<qB", doc_id, ids.itemsize) + ids.tobytes()
+def pack_payload(doc_id: int | None, ids: np.ndarray) -> bytes:
+    return struct.pack("<qB", doc_id or 0, ids.itemsize | NULL * (doc_id is None)) + ids.tobytes()
 
 
-def unpack(payload: bytes) -> tuple[int, bytes]:
+def unpack(payload: bytes) -> tuple[int | None, bytes]:
     """doc_id and the ids as unsigned 32-bit integers."""
     doc_id, width = struct.unpack_from("<qB", payload)
+    doc_id, width = None if width & NULL else doc_id, width & ~NULL
     return doc_id, np.frombuffer(payload, f"<u{width}", offset=9).astype("<u4").tobytes()
 
 
-def read_at(uri: str, nth: list[int]) -> list[tuple[int, bytes]]:
+def read_at(uri: str, nth: list[int]) -> list[tuple[int | None, bytes]]:
     """Records by their number in the file, in the order asked for, through its index."""
     index, _ = files.read_from(uri + ".idx")
     source, _ = files.read_from(uri)
@@ -86,7 +88,7 @@ def read_at(uri: str, nth: list[int]) -> list[tuple[int, bytes]]:
 def write_records(docs: DataFrame, folder: str, vocabulary: str, end_id: int = 0) -> DataFrame:
     """Write docs(doc_id, text) in ascending doc_id order; the manifest: part, path, records, tokens, first (ids before it).
 
-    The texts are dealt by ranges of doc_id, so the only sort is within a task, and the parts' numbers follow the ids.
+    The texts are dealt by ranges of doc_id (and a hash of the text, as an id may have many), so the only sort is within a task, and the parts' numbers follow the ids.
     """
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -109,7 +111,8 @@ def write_records(docs: DataFrame, folder: str, vocabulary: str, end_id: int = 0
                         at, records, tokens = at + len(record), records + 1, tokens + len(own)
         yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "path": [path], "records": pa.array([records], pa.int64()), "tokens": pa.array([tokens], pa.int64())})
 
-    ordered = docs.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id")
+    by = [F.asc_nulls_first("doc_id"), "mark"]
+    ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("mark")).repartitionByRange(*by).sortWithinPartitions(*by, "text").select("doc_id", "text")
     manifest = cut(ordered.mapInArrow(write, "part int, path string, records long, tokens long"))
     return manifest.withColumn("first", F.coalesce(F.sum("tokens").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
 
@@ -134,7 +137,7 @@ def read_records(manifest: DataFrame, at_once: int = 4096) -> DataFrame:
                     yield as_batch(rows)
 
     def as_batch(rows: list[tuple]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*rows)], names=["doc_id", "start", "n_tokens", "ids_crc32", "path", "nth"])
+        return pa.RecordBatch.from_arrays([pa.array(x, pa.string() if i == 4 else pa.int64()) for i, x in enumerate(zip(*rows))], names=["doc_id", "start", "n_tokens", "ids_crc32", "path", "nth"])
 
     n = max(1, manifest.count())  # one row for each file
     return manifest.filter("records > 0").select("path", "first").repartition(n).mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long, path string, nth long")

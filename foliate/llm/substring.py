@@ -12,8 +12,8 @@ use the same exchange. A batch makes one row for each shard that it has keys for
 a shard for each SHARD_BATCHES batches.
 
 Edge cases: null, empty and blank texts have no words. Shorter texts than `least` words have no run. Of rows that share an id, the one with the
-smaller text (by its bytes, null last) counts as earlier; a null id counts as smaller than any other. A text longer than a batch is a batch of
-its own. Extra columns are not read. No rows give no rows.
+smaller text (by its bytes, null last) counts as earlier; a null id counts as smaller than any other. Rows with a null id are dealt by their text, and
+those of an earlier batch count as earlier; rows that share another id lie in one batch, and so does a text longer than a batch with what falls to it. Extra columns are not read. No rows give no rows.
 """
 
 from __future__ import annotations
@@ -138,9 +138,10 @@ def ask_runs(left: pa.Table, answers: pa.Table, shards: int, least: int) -> pa.T
 
 def answer_runs(table: pa.Table) -> pa.Table:
     """To each batch a bit for each run that it asked about, in its order: does it start earlier in another batch?"""
-    keys, docs, places = blobs(table, "keys", RUN), blobs(table, "docs", "<i8"), blobs(table, "places", "<i8")
+    keys, docs = blobs(table, "keys", RUN), blobs(table, "docs", "<i8")
     all_keys = np.concatenate(keys)
-    order = np.lexsort((np.concatenate(places), np.concatenate(docs), all_keys["b"], all_keys["a"]))
+    batch = np.repeat(table.column("batch").to_numpy(), [len(k) for k in keys])  # only rows without an id are in more than one
+    order = np.lexsort((batch, np.concatenate(docs), all_keys["b"], all_keys["a"]))
     own = all_keys[order]
     fresh = np.ones(len(own), bool)
     fresh[1:] = own[1:] != own[:-1]

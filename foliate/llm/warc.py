@@ -6,7 +6,10 @@ one record or many; within a sound member the search goes on at the next version
 before the cut are read; of one that is damaged, none, as any of its bytes may be wrong. Places are those of the member in the file. Records of all
 versions of the format are read, responses without HTTP head (of other protocols) as well; their payload is the whole block.
 
-Blocks are read in pieces: a record's payload is held only where payloads are asked for, however large the record.
+Blocks are read in pieces: a record's payload is held only where payloads are asked for, however large the record. Heads may have any length. Whether a record can
+end where its length says is looked up before its block is read (in a member: among all places where one can, found in one more pass at the first
+failure), so the time grows with the archive, not with the number of false lengths in it. A false length that leads to another record's very end is
+found out by the digest, after as many bytes.
 
 Edge cases: a null html is an empty payload; a null url leaves the target header out, line breaks in it are escaped; a null page_id leaves its header out
 and is read back as null (with the payload of another page it is a revisit). Rows that
@@ -17,6 +20,7 @@ written once for each. Very long pages are one record. Extra columns are not rea
 from __future__ import annotations
 
 import base64
+import contextlib
 import hashlib
 import io
 import re
@@ -25,6 +29,7 @@ import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -36,10 +41,12 @@ from foliate.llm.common import cut
 VERSION, MAGIC, END = b"WARC/1.1", b"\x1f\x8b\x08", b"\r\n\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _VERSION_LINE = re.compile(rb"WARC/\d+\.\d+\r\n")
+_VERSION_WITHIN = re.compile(rb"\r\nWARC/\d+\.\d+\r\n")
+_CLOSING = re.compile(rb"(?=\r\n\r\n)")
 _MARK = b"WARC/"
 CHUNK = 1 << 14
-#: Bytes of headers that are looked at, and of a member that are kept for reading after its check.
-HEAD, KEPT = 1 << 20, 1 << 20
+#: Bytes of a member that are kept for reading after its check.
+KEPT = 1 << 20
 
 
 def record_id(page_id: int | None) -> str:
@@ -85,7 +92,7 @@ class Member:
     """The decompressed bytes of the gzip member at a place of a file, in pieces."""
 
     def __init__(self, source, at: int):
-        self.source, self.place, self.state, self.held, self.passed = source, at, zlib.decompressobj(31), b"", 0
+        self.source, self.at, self.place, self.state, self.held, self.passed, self.closings = source, at, at, zlib.decompressobj(31), b"", 0, None
         source.seek(at)
 
     def more(self) -> bool:
@@ -107,6 +114,37 @@ class Member:
     def end(self) -> int:
         return self.place - len(self.state.unused_data)
 
+    def mark(self) -> tuple:
+        """Where the stream stands, for `back`: the state of a decompressor is some 40 KB."""
+        return self.place, self.state.copy(), self.held, self.passed
+
+    def back(self, mark: tuple) -> None:
+        self.place, state, self.held, self.passed = mark
+        self.state = state.copy()
+        self.source.seek(self.place)
+
+    def closes(self, n: int) -> bool:
+        """May a record end n bytes on? Not known before `look_ahead`."""
+        if self.closings is None:
+            return True
+        place = self.passed + n
+        at = np.searchsorted(self.closings, place)
+        return at < len(self.closings) and self.closings[at] == place
+
+    def look_ahead(self) -> bool:
+        """Find all places where a record may end, once and for all, so that no false length makes the member be read again. False if that was done."""
+        if self.closings is not None:
+            return False
+        other, found, tail = Member(self.source, self.at), [np.zeros(0, np.int64)], b""
+        with contextlib.suppress(Bad):  # cut off
+            while data := other.read(1 << 18):
+                seen, base = tail + data, other.passed - len(data) - len(tail)
+                found.append(np.array([base + m.start() for m in _CLOSING.finditer(seen)], np.int64))
+                tail = seen[-len(END) + 1 :]
+        self.closings = np.concatenate(found)
+        self.source.seek(self.place)
+        return True
+
     def peek(self, n: int) -> bytes:
         while len(self.held) < n and self.more():
             pass
@@ -121,8 +159,25 @@ class Member:
 class Plain:
     """The bytes of a file from a place, in pieces."""
 
-    def __init__(self, source, at: int):
-        self.source, self.at, self.passed = source, at, 0
+    def __init__(self, source, at: int, size: int):
+        self.source, self.at, self.size, self.passed = source, at, size, 0
+
+    def mark(self) -> int:
+        return self.passed
+
+    def back(self, mark: int) -> None:
+        self.passed = mark
+
+    def closes(self, n: int) -> bool:
+        """Does a record end n bytes on?"""
+        place = self.at + self.passed + n
+        if place + len(END) > self.size:
+            return False
+        self.source.seek(place)
+        return self.source.read(len(END)) == END
+
+    def look_ahead(self) -> bool:
+        return False
 
     def peek(self, n: int) -> bytes:
         self.source.seek(self.at + self.passed)
@@ -134,14 +189,20 @@ class Plain:
         return out
 
 
-def until(stream, mark: bytes, most: int, why: str) -> bytes:
-    """What stands before a mark that follows within `most` bytes; both are passed."""
-    n = 1 << 10
-    while (found := (seen := stream.peek(n)).find(mark)) < 0:
-        if len(seen) < n or n >= most:
+def until(stream, mark: bytes, why: str, most: int | None = None, alone: bool = False) -> bytes:
+    """What stands before a mark that follows (within `most` bytes); both are passed. alone: no version line may come before it."""
+    n, before = 1 << 10, 0
+    while True:
+        n = n if most is None else min(most, n)
+        seen = stream.peek(n)
+        found = seen.find(mark, max(0, before - len(mark)))
+        if alone and (other := _VERSION_WITHIN.search(seen, max(0, before - 32))) and (found < 0 or other.start() < found):
+            raise Bad(why)
+        if found >= 0:
+            return stream.read(found + len(mark))[:found]
+        if len(seen) < n or n == most:
             raise Bad(why)
-        n = min(most, n * 4)
-    return stream.read(found + len(mark))[:found]
+        n, before = n * 4, n
 
 
 def matches(digest: str, made: dict[str, bytes]) -> bool:
@@ -168,21 +229,23 @@ def parse(stream, payloads: bool) -> Record:
     """The record at a stream's place, with its closing line breaks; begin and end are the caller's."""
     if not _VERSION_LINE.match(stream.peek(16)):
         raise Bad("version line")
-    lines = re.sub(r"\r\n[ \t]+", " ", until(stream, END, HEAD, "headers").decode("utf-8", "replace")).split("\r\n")[1:]
+    lines = re.sub(r"\r\n[ \t]+", " ", until(stream, END, "headers", alone=True).decode("utf-8", "replace")).split("\r\n")[1:]
     headers = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines)}
     size, kind = headers.get("content-length", ""), headers.get("warc-type")
-    if not size.isascii() or not size.isdigit():
+    if not size.isascii() or not size.isdigit() or len(size) > 18 or not stream.closes(int(size)):
         raise Bad("length")
     left, http, kept = int(size), b"", []
     need = ALGORITHMS & {headers.get(k, "").partition(":")[0].lower().replace("-", "") for k in ("warc-block-digest", "warc-payload-digest")}
     block, payload = ({name: hashlib.new(name) for name in {"sha1", *need}} for _ in range(2))
     if kind in ("response", "revisit") and stream.peek(5) == b"HTTP/" and left >= 5:
-        seen = stream.peek(min(left, HEAD))
-        cut_at = seen.find(END)
-        if cut_at < 0 and kind == "response":
-            raise Bad("HTTP head")
-        whole = stream.read(cut_at + len(END) if cut_at >= 0 else len(seen))
-        http, left = whole.removesuffix(END), left - len(whole)
+        before = stream.passed
+        try:
+            whole = (http := until(stream, END, "HTTP head", left)) + END
+        except Bad:
+            if kind == "response":
+                raise
+            whole = http = stream.read(left)
+        left -= stream.passed - before
         for h in block.values():
             h.update(whole)
     n = left
@@ -238,17 +301,18 @@ class Held(Plain):
     """Bytes in memory as a stream."""
 
     def __init__(self, data: bytes):
-        super().__init__(io.BytesIO(data), 0)
+        super().__init__(io.BytesIO(data), 0, len(data))
 
 
 def in_member(source, at: int, size: int, payloads: bool) -> Iterator[Record | tuple[int, int, str]]:
     """The records of a member and a gap for what is wrong in it; Bad if it is no sound member or has no record."""
     end, data = checked(source, at)
-    fresh = lambda: Held(data) if data is not None else Member(source, at)
-    stream, stop, wrong, some = fresh(), size if end is None else end, None, False
+    stream = Held(data) if data is not None else Member(source, at)
+    stop, wrong, some = size if end is None else end, None, False
     while True:
-        start = stream.passed
+        start, mark = stream.passed, None
         try:
+            mark = stream.mark()
             if not stream.peek(1):
                 break
             found = parse(stream, payloads)
@@ -258,10 +322,11 @@ def in_member(source, at: int, size: int, payloads: bool) -> Iterator[Record | t
             yield found
         except Bad as why:
             wrong = wrong or str(why)
-            if str(why) == "cut off":
+            again = stream.look_ahead()  # the same record once more, as all false lengths are known now
+            if str(why) == "cut off" and not again:
                 break
-            stream = fresh()
-            if not onward(stream, start + 1):
+            stream.back(mark)
+            if not again and not onward(stream, start + 1):
                 break
     if wrong and not some:
         raise Bad(wrong)
@@ -276,12 +341,12 @@ def onward(stream, at: int) -> bool:
             if not stream.read(min(at - stream.passed, 1 << 16)):
                 return False
         while True:
-            seen = stream.peek(1 << 16)
+            seen = stream.peek(CHUNK)
             found = seen.find(_MARK)
             if found >= 0:
                 stream.read(found)
                 return True
-            if len(seen) < 1 << 16:
+            if len(seen) < CHUNK:
                 return False
             stream.read(len(seen) - len(_MARK) + 1)
     except Bad:
@@ -303,7 +368,7 @@ def salvage(source, size: int, payloads: bool = True) -> Iterator[Record | tuple
                     yield x
                     end = x[1] if isinstance(x, tuple) else x.end
             else:
-                stream = Plain(source, at)
+                stream = Plain(source, at, size)
                 x = parse(stream, payloads)
                 x.begin, x.end = at, (end := at + stream.passed)
                 if gap:

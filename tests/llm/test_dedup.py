@@ -166,3 +166,31 @@ def test_min_max_values_estimate_similarity():
     values = [((x[None, :] * times + plus) >> np.uint64(32)) for x in (a, b)]
     same = np.concatenate([values[0].min(1) == values[1].min(1), values[0].max(1) == values[1].max(1)])
     assert abs(same.mean() - len(np.intersect1d(a, b)) / len(np.union1d(a, b))) < 0.12
+
+
+def test_substring_deals_rows_without_id_by_their_text(docs, words, spark):
+    from foliate.llm.common import in_batches
+
+    rows = docs([(None, f"{i} {words(30, i % 50)}") for i in range(10_000)])
+    dealt, n = in_batches(rows, 64_000, "doc_id", "text", batch_bytes=1000)
+    sizes = sorted(r["count"] for r in dealt.groupBy("batch").count().collect())
+    assert n == 64 and len(sizes) == 64 and sizes[-1] < 400
+    few = docs([(None, f"{i} {words(30, i % 3)}") for i in range(60)] + [(1, f"x {words(30, 0)} y"), (2, words(50, 9))])
+    found = substring.substring_dedup(few, batch_bytes=300).collect()
+    assert sorted((r.n_words, r.n_removed) for r in found if r.doc_id is None) == [(31, 0)] * 3 + [(31, 30)] * 57
+    assert {(r.doc_id, r.n_removed) for r in found if r.doc_id} == {(1, 30), (2, 0)}
+
+
+def test_exact_takes_the_smallest_long_and_breaks_ties_by_columns(docs):
+    low = -(1 << 63)
+    rows = {(r.doc_id, r.keep_id, r.kept) for r in exact_dedup.exact_dedup(docs([(low, "a"), (3, "a"), (low, "b"), ((1 << 63) - 1, "b")])).collect()}
+    assert rows == {(low, low, True), (3, low, False), ((1 << 63) - 1, low, False)}
+    frame = docs([(1, "same")]).unionByName(docs([(1, "same")], "de")).drop("hash", "kept")
+    kept = {tuple(r.lang for r in exact_dedup.exact_dedup(x, "lang").filter("kept").collect()) for x in (frame, frame.orderBy("lang"), frame.orderBy(frame.lang.desc()), frame.repartition(2, "lang"))}
+    assert len(kept) == 1
+
+
+def test_exact_of_a_very_long_text(docs):
+    long = "ab " * 2_000_000
+    rows = {r.doc_id: r for r in exact_dedup.exact_dedup(docs([long, long + " ", "ab"])).collect()}
+    assert (rows[0].keep_id, rows[1].group_size, rows[2].keep_id) == (1, 2, 2) and rows[0].text_sha256 == hashlib.sha256(long.replace(" ", "").encode()).hexdigest()

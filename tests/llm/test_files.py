@@ -243,3 +243,47 @@ def test_warc_round_trip(spark, packed):
 def test_files_are_never_named_twice(tmp_path):
     names = {files.new_name(str(tmp_path), 1, ".rec") for _ in range(50)}
     assert len(names) == 50
+
+
+@pytest.mark.parametrize("pack", [zipped, bytes])
+def test_salvage_takes_time_in_proportion_to_size_however_many_lengths_are_false(pack):
+    import time
+
+    took = {}
+    for n in (2000, 8000):
+        made = [warc.build(i, None, b"p%d " % i + b"x" * 700, None, "2024-01-01T00:00:00Z") for i in range(n)]
+        for i in range(0, n, 2):
+            made[i] = made[i].replace(b"Content-Length: 7", b"Content-Length: 99999" if i % 4 else b"Content-Length: 17", 1).replace(b"\r\nContent-Length: 8", b"\r\nContent-Length: 99998")
+        data = pack(b"".join(made))
+        began = time.process_time()
+        records, gaps = read(data)
+        took[n] = time.process_time() - began
+        ids = {x.headers["x-page-id"] for x in records}
+        assert {str(i) for i in range(1, n, 2)} <= ids and gaps
+    assert took[8000] < 8 * took[2000] + 0.5, took
+
+
+@pytest.mark.parametrize("pack", [zipped, bytes])
+def test_heads_of_any_length_are_read(pack):
+    http = b"HTTP/1.1 200 OK\r\nX-Long: " + b"y" * (2 << 20) + b"\r\n\r\nbody"
+    good = [record("response", http, X_Long="z" * (3 << 20), WARC_Payload_Digest="sha1:" + warc.sha1_base32(b"body")), record("metadata", b"a: b")]
+    records, gaps = read(b"".join(map(pack, good)))
+    assert len(records) == 2 and not gaps and records[0].size == 4 and len(records[0].headers["x-long"]) == 3 << 20
+    without_end = b"WARC/1.1\r\nWARC-Type: response\r\nX: " + b"q" * 5000 + b"\r\n"
+    records, gaps = read(pack(without_end + good[1]))
+    assert len(records) == 1 and len(gaps) == 1
+
+
+def test_records_of_null_and_repeated_ids(spark):
+    frame = spark.createDataFrame([(5, "b c", 1), (None, "x", 1), (5, "a", 1), (None, None, 1), (-(1 << 63), "y z", 1), (5, "a", 1)], "doc_id long, text string, mark int")
+    got = []
+    for x in (frame, frame.repartition(3)):
+        manifest = records.write_records(x, shared_folder(spark), VOCABULARY)
+        rows = records.read_records(manifest).sort("start").collect()
+        got.append([(r.doc_id, r.start, r.n_tokens, r.ids_crc32) for r in rows])
+    assert got[0] == got[1] and [r[0] for r in got[0]] == [None, None, -(1 << 63), 5, 5, 5]
+    assert [r[1] for r in got[0]] == [sum(y[2] for y in got[0][:i]) for i in range(6)]
+    at = records.read_at(rows[0].path, [r.nth for r in rows if r.path == rows[0].path])
+    assert at[0][0] is None
+    made = packing.pack(frame, VOCABULARY).collect()
+    assert sum(r.length for r in made if r.doc_id is None) == 3 and sum(r.start == 0 for r in made) == 6

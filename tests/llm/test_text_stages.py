@@ -2,10 +2,12 @@ import hashlib
 import math
 import random
 import re
+import zlib
 from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from foliate.llm import decontaminate, language, pii, quality
 
@@ -341,3 +343,20 @@ def test_pii_rows_that_share_an_id_and_clashing_columns(docs):
 
 def test_pii_empty_table(docs):
     assert pii.replace_pii(docs(["a"]).filter("false"), "k").collect() == []
+
+
+def test_language_keeps_every_language_whose_rows_share_an_id(spark):
+    """Six languages of one id each, which is not held out, English with many; and rows without an id."""
+    draw = np.random.default_rng(11)
+    alphabets = {lang: ["".join(draw.choice(list("abcdefghijklmnopqrstuvwxyz"), draw.integers(2, 8))) for _ in range(60)] for lang in ("de", "en", "es", "fr", "it", "nl", "pt")}
+    one = {lang: next(i for i in range(1000 * k, 1000 * k + 50) if zlib.crc32(str(i).encode()) % 4 != 2) for k, lang in enumerate(sorted(alphabets), 1)}
+    rows = [(i if lang == "en" else None if i % 7 == 0 else one[lang], " ".join(draw.choice(words, 12)), lang) for lang, words in alphabets.items() for i in range(2000)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language.fit(frame.filter(~language.held_out()))
+    assert model.languages == sorted(alphabets)
+    got = language.language_id(frame)
+    assert got.filter("doc_id is null and held_out").count() == 0 and got.filter("held_out is null").count() == 0
+    pairs = language.identify(frame.withColumn("doc_id", F.monotonically_increasing_id()), model).join(frame.withColumn("doc_id", F.monotonically_increasing_id()).select("doc_id", "lang"), "doc_id")
+    assert pairs.filter("lang = lang_pred").count() > 0.95 * len(rows)
+    only = spark.createDataFrame([(None, "abc def", "x"), (None, "ghi jkl", "y")] * 30, "doc_id long, text string, lang string")
+    assert {r.lang_pred for r in language.language_id(only).collect()} == {"x", "y"}
