@@ -6,13 +6,18 @@ entities(entity_id, project_id, name, entity_type, description, created_at), evi
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from decimal import ROUND_HALF_UP, Decimal
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from foliate.functions import keyed, snippet
+from foliate.sources import cut
 
 #: Words that do not count in a value, and what counts as no value.
 UNITS = ["mg", "mcg", "g", "tab", "tabs", "caps", "capsule", "capsules", "daily", "qd", "bid", "tid", "qid", "once"]
@@ -85,6 +90,104 @@ def merged_facts(facts: DataFrame) -> DataFrame:
     return got.select(F.col("x")[0]["fact_id"].alias("canonical_id"), F.col("x.fact_id").alias("fact_ids"), F.when(F.size("x") == 1, F.col("x")[0]["confidence"]).otherwise(folded).alias("confidence"))
 
 
+#: Facts of one key that are folded in one row; keys with more go by parts.
+FEW = 10_000
+#: Confidences after a step, in ten-thousandths.
+STATES = 10_000
+
+
+def by_content(facts: DataFrame) -> DataFrame:
+    """key, created_at, fact_id, confidence as a written table; facts with the same project, subject, predicate and object share a key."""
+    rows = live(facts).select("project_id", "subject_id", keyed(F.col("predicate")).alias("p"), keyed(F.col("object_text")).alias("o"), "created_at", "fact_id", "confidence")
+    return cut(rows.select(F.sha2(F.to_json(F.struct("project_id", "subject_id", "p", "o"), {"ignoreNullFields": "false"}), 256).alias("key"), "created_at", "fact_id", "confidence"))
+
+
+def fact_map(facts: DataFrame) -> DataFrame:
+    """fact_id, canonical_id: the first fact with the same content. No array of a key's facts is made, and a key that many have can be split."""
+    rows = by_content(facts)
+    first = cut(rows.groupBy("key").agg(F.min(F.struct("created_at", "fact_id")).alias("first")))
+    return rows.join(first, "key").select("fact_id", F.col("first.fact_id").alias("canonical_id"))
+
+
+def four_places(x: np.ndarray) -> np.ndarray:
+    """Rounded half up by their shortest decimals, as Spark does; in ten-thousandths."""
+    y = x * 10_000
+    out = np.floor(y + 0.5).astype(np.int64)
+    for i in np.flatnonzero(np.abs(y - np.floor(y) - 0.5) < 1e-6).tolist():
+        out[i] = int(Decimal(repr(float(x[i]))).quantize(Decimal("0.0001"), ROUND_HALF_UP).scaleb(4))
+    return out
+
+
+def step(states: np.ndarray, confidence: float) -> np.ndarray:
+    """The states, in ten-thousandths, after one more fact."""
+    if np.isnan(confidence):  # as `least` has it
+        return np.full_like(states, STATES - 1)
+    return np.minimum(four_places(1 - (1 - states / 10_000) * (1 - confidence)), STATES - 1)
+
+
+def part_map(confidences: np.ndarray) -> np.ndarray:
+    """What a part's facts make of each state that it may begin with. Soon few different states are left, and only those are carried on."""
+    ends, of = np.arange(STATES), np.arange(STATES)
+    for c in confidences.tolist():
+        made = step(ends, c)
+        if len(made) > 1:
+            ends, again = np.unique(made, return_inverse=True)
+            of = again[of]
+        else:
+            ends = made
+        if len(ends) == 1 and ends[0] == STATES - 1 and confidences.min() >= 0 and confidences.max() <= 1:
+            break
+    return ends[of].astype(np.int16)
+
+
+def folded_confidence(facts: DataFrame, few: int = FEW) -> DataFrame:
+    """canonical_id, n_facts, confidence of facts with the same project, subject, predicate and object (see merged_facts), however many a key has.
+
+    Keys with many facts are dealt by ranges of key and order. A part of a key becomes a map from the state before it to the state after it (a state has four
+    places and 0.9999 at most, so there are ten thousand), and the maps of a key's parts, one for each task at most, are applied in order.
+    """
+    rows = by_content(facts)
+    counts = cut(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")))
+    many = counts.filter(F.col("n") > few)
+    got = rows.join(many, "key", "left_anti").groupBy("key").agg(F.array_sort(F.collect_list(F.struct("created_at", "fact_id", "confidence"))).alias("x"))
+    fold = lambda a, y: F.least(F.round(1 - (1 - a) * (1 - y["confidence"]), 4), F.lit(0.9999))
+    folded = F.aggregate(F.slice("x", F.lit(2), F.greatest(F.size("x") - 1, F.lit(0))), F.col("x")[0]["confidence"], fold)
+    small = got.select(F.col("x")[0]["fact_id"].alias("canonical_id"), F.size("x").cast("long").alias("n_facts"), folded.alias("confidence"))
+    if many.isEmpty():
+        return small
+    first = cut(rows.groupBy("key").agg(F.min(F.struct("created_at", "fact_id", "confidence")).alias("first")).join(many, "key"))
+
+    def maps(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyspark import TaskContext
+
+        part, held = TaskContext.get().partitionId(), {}
+        for batch in batches:
+            for name, own in batch.groupby("key", sort=False)["confidence"]:
+                made = part_map(own.to_numpy(float))
+                held[name] = made[held[name]] if name in held else made
+            for name in [x for x in held if x != batch["key"].iloc[-1]]:
+                yield pd.DataFrame({"key": [name], "part": [part], "states": [held.pop(name).tobytes()]})
+        for name, made in held.items():
+            yield pd.DataFrame({"key": [name], "part": [part], "states": [made.tobytes()]})
+
+    def applied(parts: pd.DataFrame) -> pd.DataFrame:
+        x = parts["second"].iloc[0]
+        for states in parts.dropna(subset="states").sort_values("part")["states"]:
+            x = int(np.frombuffer(states, np.int16)[x])
+        return pd.DataFrame({"canonical_id": parts["canonical_id"].iloc[:1], "n_facts": parts["n"].iloc[:1], "confidence": [x / 10_000]})
+
+    # the first fact's confidence is taken as it is, so the second one's step is made before the maps
+    rest = rows.join(first.select("key", F.col("first.fact_id").alias("of")), "key").filter(F.col("fact_id") != F.col("of")).drop("of")
+    second = cut(rest.groupBy("key").agg(F.min(F.struct("created_at", "fact_id", "confidence")).alias("second")))
+    begin = F.least(F.round(1 - (1 - F.col("first.confidence")) * (1 - F.col("second.confidence")), 4), F.lit(0.9999))
+    start = first.join(second, "key").select("key", "n", F.col("first.fact_id").alias("canonical_id"), F.col("second.fact_id").alias("of"), F.round(begin * 10_000).cast("int").alias("second"))
+    order = ["key", "created_at", "fact_id"]
+    third = rest.join(start.select("key", "of"), "key").filter(F.col("fact_id") != F.col("of")).select(*order, "confidence").repartitionByRange(*order).sortWithinPartitions(*order)
+    made = third.select("key", "confidence").mapInPandas(maps, "key string, part int, states binary")
+    large = start.select("key", "n", "canonical_id", "second").join(made, "key", "left").groupBy("key").applyInPandas(applied, "canonical_id long, n_facts long, confidence double")
+    return small.unionByName(large)
+
+
 def relinked(evidence: DataFrame, merged: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Evidence of the canonical facts, and an audit row for each fact that was merged away."""
     to = merged.select("canonical_id", F.explode("fact_ids").alias("fact_id"))

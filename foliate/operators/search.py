@@ -11,7 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from foliate.functions import dot, joined, n_words, norm, snippet, words
+from foliate.functions import joined, n_words, snippet, words
+from foliate.operators import nearest, postings
 
 #: Rows up to which a query table is broadcast.
 BROADCAST_ROWS = 10_000
@@ -50,17 +51,14 @@ def live(chunks: DataFrame) -> DataFrame:
     return chunks.filter("deleted_at is null")
 
 
-def vector_scores(queries: DataFrame, chunks: DataFrame, embeddings: DataFrame, model: str) -> DataFrame:
-    """query_id, chunk_id, score for all chunks of the query's project that have a vector of the model. Lengths are computed once a vector, not once a pair."""
-    held = live(chunks).select("chunk_id", "project_id").join(embeddings.filter(F.col("model_name") == model).select("chunk_id", "embedding", norm(F.col("embedding")).alias("length")), "chunk_id")
-    asked = queries.select("query_id", "project_id", "query_vec", norm(F.col("query_vec")).alias("query_length"))
-    both = F.col("query_length") * F.col("length")
-    score = F.when(both > 0, dot(F.col("query_vec"), F.col("embedding")) / both).otherwise(F.lit(0.0))
-    return held.join(sized(asked), "project_id").select("query_id", "chunk_id", F.round(score, 6).alias("score"))
+def live_vectors(chunks: DataFrame, embeddings: DataFrame, model: str) -> DataFrame:
+    """project_id, chunk_id, embedding of the chunks that have a vector of the model."""
+    return live(chunks).select("chunk_id", "project_id").join(embeddings.filter(F.col("model_name") == model).select("chunk_id", "embedding"), "chunk_id").select("project_id", "chunk_id", "embedding")
 
 
-def vector_search(queries: DataFrame, chunks: DataFrame, embeddings: DataFrame, model: str, k: int = TOP) -> DataFrame:
-    return best(vector_scores(queries, chunks, embeddings, model), k, F.desc("score"), F.asc("chunk_id"))
+def vector_search(queries: DataFrame, chunks: DataFrame, embeddings: DataFrame, model: str, k: int = TOP, index: DataFrame | None = None) -> DataFrame:
+    """query_id, chunk_id, score, rank: the nearest chunks of the query's project. index: nearest.clustered(live_vectors(...)) where it has been made before."""
+    return nearest.search(nearest.clustered(live_vectors(chunks, embeddings, model)) if index is None else index, queries, k)
 
 
 def word_hits(chunks: DataFrame, asked: DataFrame) -> DataFrame:
@@ -79,10 +77,17 @@ def word_hits(chunks: DataFrame, asked: DataFrame) -> DataFrame:
     return tokens.join(met.select("token", "word", times.alias("times")), "token").groupBy("chunk_id", "project_id", "word").agg(F.sum(F.col("n") * F.col("times")).alias("n"))
 
 
-def lexical_search(queries: DataFrame, chunks: DataFrame, k: int = TOP) -> DataFrame:
-    """query_id, chunk_id, score, rank: occurrences of the query's words, each word as often as the query has it."""
+def lexical_search(queries: DataFrame, chunks: DataFrame, k: int = TOP, index: str | None = None) -> DataFrame:
+    """query_id, chunk_id, score, rank: occurrences of the query's words, each word as often as the query has it.
+
+    index: the folder of a stored index (see `postings`), through which no text is read; else the texts of the projects that are asked about are.
+    """
     asked = queries.select("query_id", "project_id", F.explode(words(F.lower("query_text"))).alias("word")).groupBy("query_id", "project_id", "word").agg(F.count(F.lit(1)).alias("times"))
-    hits = word_hits(chunks, asked.select("word").distinct()).join(sized(asked), ["project_id", "word"])
+    if index is not None:
+        found = postings.hits(queries.sparkSession, index, asked.select("word").distinct())
+    else:
+        found = word_hits(chunks.join(queries.select("project_id").distinct(), "project_id", "left_semi"), asked.select("word").distinct())
+    hits = found.join(sized(asked), ["project_id", "word"])
     scored = hits.groupBy("query_id", "chunk_id").agg(F.sum(F.col("n") * F.col("times")).alias("score"))
     return best(scored, k, F.desc("score"), F.asc("chunk_id"))
 
@@ -109,8 +114,10 @@ def search_with_keywords(queries: DataFrame, chunks: DataFrame, embeddings: Data
     """query_id, chunk_id, score, keyword_matched, rank: a keyword lets a chunk in whatever its score, and puts it first."""
     asked = queries.select("query_id", "project_id", F.explode(F.array_distinct(keywords(F.col("query_text")))).alias("word"))
     hits = word_hits(chunks, asked.select("word").distinct()).join(sized(asked), ["project_id", "word"]).select("query_id", "chunk_id").distinct()
-    scored = vector_scores(queries, chunks, embeddings, model).join(hits.withColumn("keyword_matched", F.lit(True)), ["query_id", "chunk_id"], "left")
-    met = scored.withColumn("keyword_matched", F.coalesce("keyword_matched", F.lit(False))).filter(F.col("keyword_matched") | (F.col("score") >= threshold))
+    held = live_vectors(chunks, embeddings, model)
+    matched = nearest.of_pairs(hits.join(held, "chunk_id").join(sized(queries.select("query_id", "query_vec")), "query_id")).withColumn("keyword_matched", F.lit(True))
+    near = nearest.within(nearest.clustered(held), queries, threshold)
+    met = near.join(matched.select("query_id", "chunk_id"), ["query_id", "chunk_id"], "left_anti").withColumn("keyword_matched", F.lit(False)).unionByName(matched)
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("keyword_matched"), F.desc("score"), "chunk_id"))
     return met.select("query_id", "chunk_id", "score", "keyword_matched", rank.alias("rank"))
 

@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from foliate.plans import fact_queries, search_queries, stream_queries, text_queries, view_queries
+from foliate.plans import fact_queries, join_queries, search_queries, stream_queries, text_queries, view_queries
 
 Query = Callable[[SparkSession, str], DataFrame]
-AREAS = (search_queries, text_queries, fact_queries, view_queries, stream_queries)
+AREAS = (search_queries, text_queries, fact_queries, view_queries, stream_queries, join_queries)
 
 
 def queries() -> dict[str, Query]:

@@ -84,6 +84,22 @@ def f05_merge_facts(x: Fixtures) -> DataFrame:
     return facts.merged_facts(x.fact())
 
 
+@query("fact", "WITH " + FOLD + " SELECT unnest(fact_ids) AS fact_id, canonical_id FROM merged")
+def f05_fact_map(x: Fixtures) -> DataFrame:
+    return facts.fact_map(x.fact())
+
+
+HOT = "fact AS MATERIALIZED (SELECT * REPLACE (CASE WHEN fact_id % 3 = 0 THEN 1 ELSE project_id END AS project_id, CASE WHEN fact_id % 3 = 0 THEN 1 ELSE subject_id END AS subject_id, CASE WHEN fact_id % 3 = 0 THEN 'is' ELSE predicate END AS predicate, CASE WHEN fact_id % 3 = 0 THEN 'so' ELSE object_text END AS object_text, CASE WHEN fact_id % 3 = 0 THEN confidence / 1000 ELSE confidence END AS confidence) FROM fact)"
+
+
+@query("fact", "WITH " + HOT.replace("fact AS", "hot AS", 1) + ", " + FOLD.replace("FROM fact ", "FROM hot ") + " SELECT canonical_id, len(fact_ids) AS n_facts, confidence FROM merged")
+def f05_folded_confidence(x: Fixtures) -> DataFrame:
+    """A third of all facts say the same, each with little confidence."""
+    third = F.col("fact_id") % 3 == 0
+    hot = {"project_id": F.lit(1), "subject_id": F.lit(1), "predicate": F.lit("is"), "object_text": F.lit("so"), "confidence": F.col("confidence") / 1000}
+    return facts.folded_confidence(x.fact().withColumns({c: F.when(third, v).otherwise(F.col(c)) for c, v in hot.items()}), few=100)
+
+
 @query("fact evidence", "WITH " + FOLD + ", t AS (SELECT canonical_id, unnest(fact_ids) AS fact_id FROM merged) SELECT DISTINCT coalesce(canonical_id, e.fact_id) AS fact_id, chunk_id, verbatim FROM evidence e LEFT JOIN t USING (fact_id)")
 def f06_relink(x: Fixtures) -> DataFrame:
     return facts.relinked(x.evidence(), facts.merged_facts(x.fact()))[0]

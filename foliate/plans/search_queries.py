@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliate.functions import cosine, estimated_tokens, norm, snippet
-from foliate.operators import search, vectors
+from foliate.operators import postings, search, vectors
 from foliate.plans.fixtures import Fixtures
 from foliate.plans.fixtures_sql import sql
+from foliate.sources import shared_folder
 
 QUERIES, ORACLES = {}, {}
 MODEL = "m0"
@@ -99,6 +100,16 @@ def e04_lexical_search(x: Fixtures) -> DataFrame:
     return search.lexical_search(x.query(), x.chunk())
 
 
+@query(BASE, "WITH " + LEX.replace("WHERE deleted_at IS NULL", "WHERE deleted_at IS NULL AND document_id % 10 <> 7") + " SELECT query_id, chunk_id, score, rank FROM lex")
+def e04_stored_index(x: Fixtures) -> DataFrame:
+    """An index of all chunks in which every tenth document still has another text; then the new texts come in, and every tenth document goes."""
+    path, rows = shared_folder(x.spark), search.live(x.chunk())
+    other = F.when(F.col("document_id") % 10 == 3, F.concat(F.lit("old "), F.reverse("content"))).otherwise(F.col("content"))
+    postings.build(rows.withColumn("content", other), path)
+    postings.upsert(rows.filter("document_id % 10 = 3"), path, rows.filter("document_id % 10 = 7").select("document_id"))
+    return search.lexical_search(x.query(), rows, index=path)
+
+
 @query(BASE, HYB + " SELECT query_id, chunk_id, vector_rank, lexical_rank, score, rank FROM top")
 def e05_hybrid_search(x: Fixtures) -> DataFrame:
     return search.hybrid_search(x.query(), x.chunk(), x.embedding(), MODEL)

@@ -267,6 +267,14 @@ def c11_flatten(x: Fixtures) -> DataFrame:
     return chunking.flattened(_tree(x))
 
 
+@query("element", "WITH RECURSIVE " + PARENTS + """, t AS MATERIALIZED (SELECT p.*, e.reading_order FROM parents p JOIN element e USING (document_id, block_id)),
+f AS (SELECT document_id, block_id, parent_block_id, 0 AS level_down, [(reading_order, block_id)] AS path FROM t WHERE parent_block_id IS NULL
+  UNION ALL SELECT t.document_id, t.block_id, t.parent_block_id, f.level_down + 1, list_append(f.path, (t.reading_order, t.block_id)) FROM f JOIN t ON t.document_id = f.document_id AND t.parent_block_id = f.block_id)
+SELECT document_id, block_id, parent_block_id, level_down, row_number() OVER (PARTITION BY document_id ORDER BY path) AS position FROM f""")
+def c11_tree_order(x: Fixtures) -> DataFrame:
+    return chunking.tree_order(_tree(x))
+
+
 @query("element", "WITH " + PARENTS + " SELECT * FROM parents")
 def c12_parents(x: Fixtures) -> DataFrame:
     return chunking.parents(x.element())

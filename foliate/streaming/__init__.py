@@ -16,6 +16,9 @@ from foliate.operators import facts, quality, vectors
 from foliate.operators.events import MAX_RETRIES
 from foliate.sources import shared_folder
 
+#: Where a null time stands.
+FIRST = -(1 << 63)
+
 
 def drained(stream: DataFrame, each: Callable[[DataFrame, int], DataFrame], mode: str = "append") -> DataFrame:
     """All that is there now, batch by batch through `each`, which gets the batch and its number; the rows written."""
@@ -73,22 +76,38 @@ def fold_deliveries(log: DataFrame) -> DataFrame:
     return last.select("message_id", "s.status", "s.retry_count")
 
 
-def fold_lifecycle(log: DataFrame) -> DataFrame:
-    """log(document_id, ts, event_id, is_valid): the status after each event, failures in a row being counted by document."""
+def fold_lifecycle(log: DataFrame, keep: int | None = None) -> DataFrame:
+    """log(document_id, ts, event_id, is_valid): the status after each event in order of ts (null first), failures in a row being counted by document.
 
+    Events may come in any order. The state has a document's events from the last `keep` microseconds of event time (all, where that is null) with the
+    failures counted after each, and the count before them. A late event changes what follows it up to where the counts agree again; those rows are written once
+    more, and the last one written counts. An event from before the state's bound comes back with a null status and count, so none goes missing.
+    """
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        count = state.get[0] if state.exists else 0
-        rows = pd.concat(list(batches)).sort_values(["ts", "event_id"])
-        status, counts = [], []
-        for ok in rows["is_valid"]:
+        base, bound, *held = state.get if state.exists else (0, FIRST, [], [], [], [])
+        rows = pd.concat(list(batches))
+        new = [(at, event, ok, None) for at, event, ok in zip(rows["at"].tolist(), rows["event_id"].tolist(), rows["is_valid"].tolist())]
+        out = [(event, None, None) for at, event, _, _ in new if at < bound]
+        count, kept = base, []
+        for at, event, ok, known in sorted([*zip(*held), *(x for x in new if x[0] >= bound)], key=lambda x: x[:2]):
             count = 0 if ok else (count + 1) % MAX_RETRIES
-            status.append("ready_for_chat" if ok else "failed" if count == 0 else "ready_for_reindex")
-            counts.append(count)
-        state.update((count,))
-        yield pd.DataFrame({"document_id": key[0], "event_id": rows["event_id"].to_numpy(), "status": status, "retry_count": counts})
-
-    out = log.groupBy("document_id").applyInPandasWithState(step, "document_id long, event_id long, status string, retry_count int", "count int", "append", GroupStateTimeout.NoTimeout)
-    return drained(out, lambda batch, _: batch).drop("batch")
+            kept.append((at, event, ok, count))
+            if known != count:
+                out.append((event, "ready_for_chat" if ok else "failed" if count == 0 else "ready_for_reindex", count))
+        if keep is not None and kept:
+            bound = max(bound, kept[-1][0] - keep)
+            base = next((c for at, _, _, c in reversed(kept) if at < bound), base)
+            kept = [x for x in kept if x[0] >= bound]
+        state.update((base, bound, *(list(x) for x in zip(*kept))) if kept else (base, bound, [], [], [], []))
+        if out:
+            yield pd.DataFrame({"document_id": key[0], "event_id": [x[0] for x in out], "status": [x[1] for x in out], "retry_count": pd.array([x[2] for x in out], "Int32")})
+
+    at = F.coalesce(F.unix_micros(F.col("ts").cast("timestamp")), F.lit(FIRST))
+    rows = log.select("document_id", "event_id", at.alias("at"), "is_valid")
+    state = "base int, bound long, at array<long>, event_id array<long>, ok array<boolean>, count array<int>"
+    out = rows.groupBy("document_id").applyInPandasWithState(step, "document_id long, event_id long, status string, retry_count int", state, "append", GroupStateTimeout.NoTimeout)
+    last = drained(out, lambda batch, _: batch).groupBy("document_id", "event_id").agg(F.max_by(F.struct("status", "retry_count"), "batch").alias("s"))
+    return last.select("document_id", "event_id", "s.status", "s.retry_count")
 
 
 def ingest(chunks: DataFrame, model: str, dimension: int) -> DataFrame:
