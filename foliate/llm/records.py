@@ -27,6 +27,8 @@ from foliate.llm.common import cut
 from foliate.llm.tokens import AT_ONCE, encoder
 from foliate.llm.wordhash import slices
 
+#: Bytes of text that are encoded at once: more than elsewhere, as equal units are then looked up less often and no other arrays lie beside.
+SLICE = 2 * AT_ONCE
 HEAD, INDEX, NULL = struct.Struct("<QI"), struct.Struct("<qQIB"), 0x80
 
 
@@ -99,7 +101,7 @@ def write_records(docs: DataFrame, folder: str, vocabulary: str, end_id: int = 0
         path, at, records, tokens = files.new_name(folder, part, ".rec"), 0, 0, 0
         with files.create(path) as out, files.create(path + ".idx") as index:
             for batch in batches:
-                for low, high in slices(batch.column(1), AT_ONCE):
+                for low, high in slices(batch.column(1), SLICE):
                     ids, counts = encode.ids(batch.column(1)[low:high])
                     place = 0
                     for key, count in zip(batch.column(0)[low:high].to_pylist(), counts.tolist()):
