@@ -66,27 +66,69 @@ def tokens(text: str) -> int:
     return int(len(text.split()) * 1.3)
 
 
-def packed(page: list[tuple[str, str]], head, target: int, most: int, overlap: int) -> list[str]:
-    """Chunks of one page's (section, text) blocks: filled to a target of tokens, with the tail of the last one carried over."""
-    out, text, section = [], "", INTRODUCTION
-    for path, block in page:
-        both = f"{text}\n\n{block}" if text else block
-        if tokens(head(path) + both) <= target:
-            text, section = both, path
-            continue
-        if text:
-            out.append(head(section) + text)
-        if tokens(head(path) + block) > most:
-            ws, size, lap = block.split(), int((target - tokens(head(path))) * 0.75), int(overlap * 0.75)
+class Packer:
+    """Chunks of one page's (section, text) blocks, as they come: filled to a target of tokens, with the tail of the last one carried over."""
+
+    def __init__(self, head, target: int, most: int, overlap: int):
+        self.head, self.target, self.most, self.overlap = head, target, most, overlap
+        self.text, self.section = "", INTRODUCTION
+
+    def add(self, path: str, block: str) -> list[str]:
+        """The chunks that this block closes."""
+        head, both = self.head(path), f"{self.text}\n\n{block}" if self.text else block
+        if tokens(head + both) <= self.target:
+            self.text, self.section = both, path
+            return []
+        out = self.end()
+        if tokens(head + block) > self.most:
+            ws, size, lap = block.split(), int((self.target - tokens(head)) * 0.75), int(self.overlap * 0.75)
             size = size if size > 0 else 50
             step = size - (size // 5 if lap >= size else lap)
-            out += [head(path) + " ".join(ws[i : i + size]) for i in range(0, len(ws), step)]
-            text = ""
-            continue
-        ws, n = text.split(), int(overlap * 0.75)
-        tail = text if n >= len(ws) else " ".join(ws[len(ws) - n :])
-        text, section = f"{tail}\n\n{block}" if tail else block, path
-    return out + ([head(section) + text] if text else [])
+            self.text = ""
+            return out + [head + " ".join(ws[i : i + size]) for i in range(0, len(ws), step)]
+        ws, n = self.text.split(), int(self.overlap * 0.75)
+        tail = self.text if n >= len(ws) else " ".join(ws[len(ws) - n :])
+        self.text, self.section = f"{tail}\n\n{block}" if tail else block, path
+        return out
+
+    def end(self) -> list[str]:
+        return [self.head(self.section) + self.text] if self.text else []
+
+
+def page_head(name: str, page: int):
+    return lambda section: f"Document: {name}\nPage: {page}\nSection Path: {section}\n---\n"
+
+
+def packed(page: list[tuple[str, str]], head, target: int, most: int, overlap: int) -> list[str]:
+    """All chunks of one page's (section, text) blocks."""
+    p = Packer(head, target, most, overlap)
+    return [chunk for path, block in page for chunk in p.add(path, block)] + p.end()
+
+
+@F.udtf(returnType="document_id bigint, page_number int, nth bigint, content string")
+class PackPages:
+    """Table function over TABLE(blocks) PARTITION BY (document_id, page_number) ORDER BY block_index, with target, most and overlap: the chunks of each page.
+
+    A page's blocks come one by one and its chunks go out as they close, so no page has to lie in memory. The table has the columns that pack_pages takes.
+    """
+
+    def __init__(self):
+        self.packer, self.nth = None, 0
+
+    def rows(self, chunks: list[str]):
+        for chunk in chunks:
+            yield (*self.page, self.nth, chunk)
+            self.nth += 1
+
+    def eval(self, row, target: int, most: int, overlap: int):
+        if self.packer is None:
+            self.page = row["document_id"], row["page_number"]
+            self.packer = Packer(page_head(row["file_name"], row["page_number"]), target, most, overlap)
+        yield from self.rows(self.packer.add(row["section_path"], row["content"]))
+
+    def terminate(self):
+        if self.packer is not None:
+            yield from self.rows(self.packer.end())
 
 
 def pack_pages(rows: DataFrame, target: int = 500, most: int = 800, overlap: int = 100) -> DataFrame:
@@ -95,7 +137,7 @@ def pack_pages(rows: DataFrame, target: int = 500, most: int = 800, overlap: int
     def one(page: pd.DataFrame) -> pd.DataFrame:
         page = page.sort_values("block_index")
         name, number = page["file_name"].iloc[0], page["page_number"].iloc[0]
-        made = packed(list(zip(page["section_path"], page["content"])), lambda s: f"Document: {name}\nPage: {number}\nSection Path: {s}\n---\n", target, most, overlap)
+        made = packed(list(zip(page["section_path"], page["content"])), page_head(name, number), target, most, overlap)
         return pd.DataFrame({"document_id": page["document_id"].iloc[0], "page_number": number, "nth": range(len(made)), "content": made})
 
     return rows.select("document_id", "page_number", "file_name", "block_index", "section_path", "content").groupBy("document_id", "page_number").applyInPandas(one, "document_id long, page_number int, nth long, content string")

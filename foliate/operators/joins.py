@@ -1,4 +1,4 @@
-"""Joins on order: points in intervals, and the last row before. Neither compares all pairs, and no key has to lie in one task."""
+"""Joins that are not on equality: points in intervals, the last row before, texts within texts. None compares all pairs, and no key has to lie in one task."""
 
 from __future__ import annotations
 
@@ -67,3 +67,35 @@ def asof_join(left: DataFrame, right: DataFrame, by: str, on: str, tie: str) ->
     split = ends.withColumn("before", before).filter("before is not null").select("_by", "_part", "before")  # fewer rows than parts
     whole = carried.filter("_side = 1").join(F.broadcast(split), ["_by", "_part"], "left").select("own", F.coalesce("found", "before").alias("found"))
     return whole.unionByName(lost).select("own.*", "found")
+
+
+def grams(text: Column, length: Column | int) -> Column:
+    """Hashes of all runs of so many characters of a text, in order."""
+    own = F.regexp_extract_all(text, F.lit("(?s)."), F.lit(0))
+    n = F.length(text) - F.lit(length) + 1 if isinstance(length, int) else F.length(text) - length + 1
+    return F.when(n > 0, F.transform(F.sequence(F.lit(1), n), lambda i: F.xxhash64(F.slice(own, i, length))))
+
+
+def containment_join(needles: DataFrame, texts: DataFrame, by: str, size: int = 12) -> DataFrame:
+    """by, needle, text: the distinct pairs of needles(by, needle) and texts(by, text) of one key in which the text contains the needle.
+
+    Of each needle's runs of `size` characters (the whole needle, if it is shorter) the one that is rarest in its key's texts is joined with theirs; a needle with a run that
+    no text has is done with. The places must leave room for the needle on both sides; then the texts are compared. Texts travel once, not with each
+    of their runs. Nulls meet nothing, and neither does an empty needle, which every text contains.
+    """
+    n = cut(needles.select(by, "needle").filter(F.col(by).isNotNull() & (F.length("needle") > 0)).distinct().withColumn("nid", F.xxhash64("needle")).withColumn("g", F.least(F.lit(size), F.length("needle"))))
+    t = texts.select(by, "text").filter(F.col(by).isNotNull() & (F.length("text") > 0)).join(n.select(by).distinct(), by, "left_semi").distinct()
+    t = cut(t.withColumn("tid", F.xxhash64("text")))
+    lengths = sorted(r["g"] for r in n.select("g").distinct().collect())  # `size` at most
+    mine = n.select(by, "nid", "g", F.length("needle").alias("n"), F.posexplode(grams(F.col("needle"), F.col("g"))).alias("off", "gram"))
+    each = [t.select(by, "tid", F.length("text").alias("room"), F.lit(g).alias("g"), F.posexplode(grams(F.col("text"), g)).alias("at", "gram")) for g in lengths]
+    theirs = each[0] if each else t.select(by, "tid", F.lit(0).alias("room"), F.lit(0).alias("g"), F.lit(0).alias("at"), F.lit(0).cast("bigint").alias("gram"))
+    for more in each[1:]:
+        theirs = theirs.unionByName(more)
+    key = [by, "g", "gram"]
+    counts = theirs.groupBy(*key).agg(F.count(F.lit(1)).alias("many"))
+    rarest = mine.join(counts, key, "left").groupBy(by, "nid", "g", "n").agg(F.min(F.struct(F.coalesce("many", F.lit(0).cast("bigint")).alias("many"), "off", "gram")).alias("x"))
+    chosen = cut(rarest.filter("x.many > 0").select(by, "nid", "g", "n", "x.off", "x.gram"))
+    met = chosen.join(theirs, key).filter("at >= off and room - at >= n - off").select(by, "nid", "tid").distinct()
+    pairs = met.join(n.select(by, "nid", "needle"), [by, "nid"]).join(t, [by, "tid"])
+    return pairs.filter(F.col("text").contains(F.col("needle"))).select(by, "needle", "text")

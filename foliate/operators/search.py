@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 from foliate.functions import joined, n_words, snippet, words
 from foliate.operators import nearest, postings
+from foliate.operators.joins import containment_join
+from foliate.sources import cut
 
 #: Rows up to which a query table is broadcast.
 BROADCAST_ROWS = 10_000
@@ -182,14 +184,24 @@ def compress(items: DataFrame, budget: int = 1500, least: int = 20) -> DataFrame
 
 
 def layout_of(items: DataFrame, elements: DataFrame) -> DataFrame:
-    """items(query_id, chunk_id, document_id, content) with the first matching element's box and its heading."""
-    e = elements.filter(F.length("content") > 20).select("document_id", "block_id", "parent_block_id", "element_type", F.col("content").alias("text"), "reading_order", "bounding_box")
+    """items(query_id, chunk_id, document_id, content) with the first matching element's box and its heading.
+
+    An element matches that has more than 20 characters and contains the content or lies in it. Equal texts of a document are looked at once, for their first element;
+    of elements with one place in the reading order the smallest block_id is first. An empty content lies in every element, a null one in none.
+    """
+    e = elements.filter(F.length("content") > 20).join(items.select("document_id").distinct(), "document_id", "left_semi")
+    first = F.min(F.struct("reading_order", "block_id", "parent_block_id", "element_type", "bounding_box"))
+    texts = cut(e.groupBy("document_id", F.col("content").alias("text")).agg(first.alias("e")))
+    asked = cut(items.select("document_id", "content").filter("content is not null").distinct())
+    within = containment_join(texts.select("document_id", F.col("text").alias("needle")), asked.withColumnRenamed("content", "text"), "document_id").select("document_id", F.col("text").alias("content"), F.col("needle").alias("text"))
+    about = containment_join(asked.withColumnRenamed("content", "needle"), texts.select("document_id", "text"), "document_id").select("document_id", F.col("needle").alias("content"), "text")
+    met = within.unionByName(about).join(texts, ["document_id", "text"]).select("document_id", "content", F.struct("e", "text").alias("x"))
+    every = texts.groupBy("document_id").agg(F.min(F.struct("e", "text")).alias("x")).join(asked.filter("content = ''"), "document_id").select("document_id", "content", "x")
+    best = met.unionByName(every).groupBy("document_id", "content").agg(F.min("x").alias("x")).select("document_id", "content", "x.e.*", "x.text")
     parent = elements.select("document_id", F.col("block_id").alias("parent_block_id"), F.col("element_type").alias("ptype"), F.col("content").alias("ptext"))
-    met = items.join(e, "document_id").filter(F.col("content").contains(F.col("text")) | F.col("text").contains(F.col("content")))
-    first = met.withColumn("nth", F.row_number().over(W.partitionBy("query_id", "chunk_id").orderBy("reading_order"))).filter("nth = 1")
     heading = F.when(F.col("element_type") == "heading", F.col("text")).when(F.col("ptype") == "heading", F.col("ptext"))
-    placed = first.join(parent, ["document_id", "parent_block_id"], "left").select("query_id", "chunk_id", "block_id", "bounding_box", heading.alias("heading"))
-    return items.select("query_id", "chunk_id").join(placed, ["query_id", "chunk_id"], "left")
+    placed = best.join(parent, ["document_id", "parent_block_id"], "left").select("document_id", "content", "block_id", "bounding_box", heading.alias("heading"))
+    return items.join(placed, ["document_id", "content"], "left").select("query_id", "chunk_id", "block_id", "bounding_box", "heading")
 
 
 def merge_adjacent(items: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from foliate.operators.joins import range_join
 from foliate.sources import filled
 
 LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -43,12 +44,12 @@ def row_elements(grid: DataFrame) -> DataFrame:
 def fill_merged(cells: DataFrame, merges: DataFrame) -> DataFrame:
     """cells(sheet_id, rn, cn, value): those inside a range of merges take the value at its top left.
 
-    Ranges are joined on their sheet; each covers few cells of it.
+    Rows are joined with ranges of rows, then held against the columns, so a range of a million cells makes some dozens of rows and not a million.
     """
     ranges = merges.select("sheet_id", "min_row", "max_row", "min_col", "max_col")
     top = ranges.join(cells.select("sheet_id", F.col("rn").alias("min_row"), F.col("cn").alias("min_col"), F.col("value").alias("top")), ["sheet_id", "min_row", "min_col"])
-    spread = top.select("sheet_id", "top", F.explode(F.sequence("min_row", "max_row")).alias("rn"), "min_col", "max_col").select("sheet_id", "rn", F.explode(F.sequence("min_col", "max_col")).alias("cn"), "top")
-    return cells.join(spread, ["sheet_id", "rn", "cn"], "left").select("sheet_id", "rn", "cn", F.coalesce("top", "value").alias("value"))
+    inside = range_join(cells.select("sheet_id", "rn", "cn"), top, "rn", "min_row", "max_row", "sheet_id").filter(F.col("cn").between(F.col("min_col"), F.col("max_col")))
+    return cells.join(inside.select("sheet_id", "rn", "cn", "top"), ["sheet_id", "rn", "cn"], "left").select("sheet_id", "rn", "cn", F.coalesce("top", "value").alias("value"))
 
 
 def as_html(grid: DataFrame) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Joins on order, which no operator of the reference has by itself: points in intervals, and the last row before."""
+"""Joins on order and totals at several levels, which no operator of the reference has by itself."""
 
 from __future__ import annotations
 
@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliate.operators import joins
+from foliate.operators.totals import totals
 from foliate.plans.fixtures import Fixtures
 
 QUERIES, ORACLES = {}, {}
@@ -29,8 +30,22 @@ def j02_asof_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("event_id", "user_id", F.col("found.event_id").alias("view_id"), F.col("found.ts").alias("view_ts"))
 
 
-QUERIES |= {f.__name__: f for f in (j01_range_join, j02_asof_join)}
+def j03_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events by project, type and day at five levels; the sketched number of users is held against the exact one (five standard deviations)."""
+    events = Fixtures(spark, sf_dir).t("events").select((F.col("user_id") % 5).alias("project_id"), "event_type", F.to_date("ts").alias("day"), "user_id", F.floor(F.col("value") * 100).cast("bigint").alias("cents"))
+    keys, levels = ["project_id", "event_type", "day"], [["project_id", "event_type", "day"], ["project_id", "event_type"], ["project_id"], ["day"], []]
+    made = totals(events, levels, ["cents"], ["user_id"])
+    exact = events.select(*keys, "user_id").distinct().groupingSets([[F.col(c) for c in level] for level in levels], *keys).agg(F.grouping_id().alias("level"), F.count_distinct("user_id").alias("n_users"))
+    same = [made[c].eqNullSafe(exact[c]) for c in [*keys, "level"]]
+    close = F.abs(F.col("distinct_user_id") - F.col("n_users")) <= F.greatest(F.lit(1), F.col("n_users") * 5 * 1.04 / 64)
+    return made.join(exact, same).select(*[made[c] for c in keys], made["level"], "n", "sum_cents", "n_users", close.alias("close"))
+
+
+QUERIES |= {f.__name__: f for f in (j01_range_join, j02_asof_join, j03_totals)}
 ORACLES |= {
+    "j03_totals": """WITH e AS (SELECT user_id % 5 AS project_id, event_type, ts::DATE AS day, user_id, floor(value * 100)::BIGINT AS cents FROM events)
+SELECT project_id, event_type, day, GROUPING(project_id, event_type, day) AS level, count(*) AS n, sum(cents)::BIGINT AS sum_cents, count(DISTINCT user_id) AS n_users, true AS close
+FROM e GROUP BY GROUPING SETS ((project_id, event_type, day), (project_id, event_type), (project_id), (day), ())""",
     "j01_range_join": """WITH b AS (SELECT p_partkey, round(p_retailprice * 100)::BIGINT AS price FROM part), c AS (SELECT o_orderkey, round(o_totalprice * 100)::BIGINT AS cents FROM orders)
 SELECT p_partkey, count(*) AS n, min(o_orderkey) AS first_order FROM b JOIN c ON cents BETWEEN price - 5000 AND CASE WHEN p_partkey % 7 = 0 THEN price * 100 ELSE price + 5000 END GROUP BY 1""",
     "j02_asof_join": """WITH e AS (SELECT event_id, CASE WHEN event_id % 3 = 0 THEN -1 ELSE user_id END::BIGINT AS user_id, ts, event_type FROM events),

@@ -46,6 +46,16 @@ def a03_trim_sheet(x: Fixtures) -> DataFrame:
     return sources.trimmed(x.grid())
 
 
+@query("", "SELECT doc_id, coalesce(source, '') AS source, md5(coalesce(text, '')) AS text_md5, 3 AS n_cells FROM documents")
+def a03_load_sheets(x: Fixtures) -> DataFrame:
+    """All documents written as delimited files, with the line breaks of their texts in quotes, and read back in blocks."""
+    folder = sources.shared_folder(x.spark)
+    quoted = lambda c: F.concat(F.lit('"'), F.replace(F.coalesce(c, F.lit("")), F.lit('"'), F.lit('""')), F.lit('"'))
+    x.t("documents").select(F.concat_ws(",", "doc_id", quoted(F.col("source")), quoted(F.col("text"))).alias("value")).write.text(folder)
+    rows = sources.load_sheets(x.spark, folder, sep=",")
+    return rows.select(F.col("cells")[0].cast("bigint").alias("doc_id"), F.col("cells")[1].alias("source"), F.md5(F.col("cells")[2]).alias("text_md5"), F.size("cells").alias("n_cells"))
+
+
 @query("grid", f"SELECT sheet_id, min(rn) AS header_rn, arg_min(cells, rn) AS header FROM grid WHERE {FULL} GROUP BY 1")
 def a04_header(x: Fixtures) -> DataFrame:
     return sheets.header_rows(x.grid())
@@ -176,12 +186,23 @@ parts AS (SELECT document_id, page_number, i, unnest(made) AS content, unnest(ra
  UNION ALL SELECT s.document_id, s.page_number, s.i + 1, {_head('section')} || held, 0 FROM steps s JOIN last USING (document_id, page_number, i) JOIN document USING (document_id) WHERE held <> '')"""
 
 
-@query("marked_text document", "WITH RECURSIVE " + _packed(120, 200, 30) + " SELECT document_id, page_number, row_number() OVER (PARTITION BY document_id, page_number ORDER BY i, j) - 1 AS nth, content FROM parts")
+PACKED_PAGES = "WITH RECURSIVE " + _packed(120, 200, 30) + " SELECT document_id, page_number, row_number() OVER (PARTITION BY document_id, page_number ORDER BY i, j) - 1 AS nth, content FROM parts"
+
+
+@query("marked_text document", PACKED_PAGES)
 def c04_pack_pages(x: Fixtures) -> DataFrame:
     rows = chunking.with_sections(chunking.blocks(x.marked_text())).join(x.document().select("document_id", "file_name"), "document_id")
     return chunking.pack_pages(rows, 120, 200, 30)
 
 
+@query("marked_text document", PACKED_PAGES)
+def c04_table_function(x: Fixtures) -> DataFrame:
+    """The same rows by the table function, from SQL."""
+    rows = chunking.with_sections(chunking.blocks(x.marked_text())).join(x.document().select("document_id", "file_name"), "document_id")
+    x.spark.udtf.register("pack_pages", chunking.PackPages)
+    return x.spark.sql("SELECT * FROM pack_pages(TABLE({rows}) PARTITION BY (document_id, page_number) ORDER BY block_index, 120, 200, 30)", rows=rows)
+
+
 @query("marked_text", "SELECT document_id, count(*) AS n_pages, 0::BIGINT AS n_without_header FROM marked_text WHERE trim(raw_text, ' ' || chr(10)) <> '' GROUP BY 1")
 def c04_pages_packed(x: Fixtures) -> DataFrame:
     """Each page with text has chunks, and each chunk its page's header."""

@@ -96,18 +96,78 @@ def fields(record: Column, sep: Column) -> Column:
     return F.transform(F.regexp_extract_all(F.concat(sep, record), one, F.lit(1)), lambda c: F.replace(F.regexp_replace(F.trim(c), '^"|"$', ""), F.lit('""'), F.lit('"')))
 
 
-def load_sheets(spark: SparkSession, path: str, head: int = 4000, largest: int | None = LARGEST) -> DataFrame:
-    """sheet, rn, cells of the delimited files below a path, each with its own separator; blank lines are left out, quoted line breaks and separators stay
-    in their cell. A file is one row while it is read; of one over `largest` bytes only a row without rn and cells comes back, so that none goes missing.
+def line_text() -> Column:
+    return F.when(F.col("utf8"), F.decode("raw", "UTF-8")).otherwise(F.decode("raw", "ISO-8859-1"))
+
+
+def quotes(text: Column) -> Column:
+    return F.length(text) - F.length(F.replace(text, F.lit('"'), F.lit("")))
+
+
+def delimited_lines(spark: SparkSession, path: str, largest: int | None = None) -> DataFrame:
+    """sheet, start, place, raw: the bytes between line feeds of the files below a path, each with the block of the file in which it begins and its place
+    there. Spark splits files as it reads them, so a file of any size is read by many tasks. Written once, as blocks hang on how many executors there are.
+    """
+    files = spark.read.option("lineSep", "\n").text(path).select(F.col("_metadata.file_path").alias("sheet"), F.col("_metadata.file_size").alias("size"), F.col("_metadata.file_block_start").alias("start"), F.col("value").cast("binary").alias("raw"))
+    if largest is not None:
+        files = files.filter(F.col("size") <= largest)
+    return cut(files.select("sheet", "start", F.monotonically_increasing_id().alias("place"), "raw"))
+
+
+def delimited_pieces(lines: DataFrame, blocks: DataFrame) -> DataFrame:
+    """sheet, start, place, text: lines put together again where a quote is open between them, under the place of the first one.
+
+    Whether a quote is open at the start of a block follows from the number of quotes before it, so only one row of each block is looked at in order; within a
+    block a running sum says it for each line. Lines that begin and end outside quotes, most of them, are not grouped.
+    """
+    own = lines.join(blocks.select("sheet", "start", "utf8", "open"), ["sheet", "start"]).select("sheet", "start", "place", line_text().alias("text"), "open")
+    marks = quotes(F.col("text"))
+    w = W.partitionBy("sheet", "start").orderBy("place")
+    after = (F.col("open") + F.sum(marks).over(w)) % 2
+    own = own.withColumn("ends", after == 0).withColumn("begins", (after + marks) % 2 == 0)
+    own = own.withColumn("first", F.last(F.when(F.col("begins"), F.struct("start", "place")), True).over(w)).drop("open")
+    whole = own.filter("begins and ends").select("sheet", "start", "place", "text")
+    parts = cut(own.filter("not (begins and ends)").select("sheet", "start", "place", "text", "begins", "first"))
+    heads = parts.groupBy("sheet", "start").agg(F.max(F.when(F.col("begins"), F.struct("start", "place"))).alias("head"))
+    carried = heads.select("sheet", "start", F.last("head", True).over(W.partitionBy("sheet").orderBy("start").rowsBetween(W.unboundedPreceding, -1)).alias("carried"))
+    parts = parts.join(carried, ["sheet", "start"]).select("sheet", F.coalesce("first", "carried").alias("first"), F.struct("start", "place", "text").alias("line"))
+    made = parts.groupBy("sheet", "first").agg(F.array_join(F.transform(F.array_sort(F.collect_list("line")), lambda x: x["text"]), "\n").alias("text"))
+    return whole.unionByName(made.select("sheet", F.col("first.start").alias("start"), F.col("first.place").alias("place"), "text"))
+
+
+def separators(lines: DataFrame, blocks: DataFrame, head: int) -> DataFrame:
+    """sheet, sep: by the first lines of each file, which lie in its first blocks."""
+    top = lines.filter(F.col("start") <= 4 * head).join(blocks, ["sheet", "start"])
+    top = top.withColumn("nth", F.row_number().over(W.partitionBy("sheet").orderBy("start", "place"))).filter("nth <= 50")
+    first = top.groupBy("sheet").agg(F.array_sort(F.collect_list(F.struct("nth", F.left(line_text(), F.lit(head)).alias("text")))).alias("x"))
+    begin = F.split(F.left(F.array_join(F.col("x.text"), "\n"), F.lit(head)), r"\r?\n")
+    return first.select("sheet", separator(F.slice(begin, 1, 50)).alias("sep"))
+
+
+def load_sheets(spark: SparkSession, path: str, head: int = 4000, largest: int | None = None, sep: str | None = None) -> DataFrame:
+    """sheet, rn, cells of the delimited files below a path, each with its own separator unless one is given; blank lines are left out, quoted line breaks and separators stay
+    in their cell, rows after the last one that is not empty are left out.
+
+    Files are read in blocks by many tasks, whatever their size, and numbered by sums over blocks; only a single record has to fit into a task. A quote that is never closed
+    makes the rest of its file one record (a line feed at the file's very end is not part of it). A mark of byte order is not part of the first cell.
+    Bytes are UTF-8 if all of the file is, else Latin-1. Where `largest` is given, a file of more bytes comes back as one row without rn and cells.
     """
-    files = spark.read.format("binaryFile").load(path)
-    refused = files.filter(F.col("length") > largest) if largest is not None else files.filter("false")
-    read = files if largest is None else files.filter(F.col("length") <= largest)
-    text = read.select(F.col("path").alias("sheet"), decode_text(F.col("content")).alias("text"))
-    text = text.withColumn("sep", separator(F.slice(F.split(F.left("text", F.lit(head)), r"\r?\n"), 1, 50)))
-    lines = text.select("sheet", "sep", F.posexplode(F.regexp_extract_all("text", F.lit(RECORD), F.lit(0))).alias("pos", "line")).filter(F.trim("line") != "")
-    rn = F.row_number().over(W.partitionBy("sheet").orderBy("pos"))
-    rows = trimmed(lines.select("sheet", rn.cast("bigint").alias("rn"), fields(F.col("line"), F.col("sep")).alias("cells")), "sheet")
+    lines = delimited_lines(spark, path, largest)
+    each = lines.groupBy("sheet", "start").agg(F.sum(quotes(F.decode("raw", "ISO-8859-1"))).alias("n"), F.bool_and(F.is_valid_utf8(F.col("raw").cast("string"))).alias("utf8"))
+    before = W.partitionBy("sheet").orderBy("start").rowsBetween(W.unboundedPreceding, -1)
+    blocks = cut(each.select("sheet", "start", (F.coalesce(F.sum("n").over(before), F.lit(0)) % 2).alias("open"), F.bool_and("utf8").over(W.partitionBy("sheet")).alias("utf8")))
+    pieces = delimited_pieces(lines, blocks)
+    pieces = pieces.join(separators(lines, blocks, head), "sheet") if sep is None else pieces.withColumn("sep", F.lit(sep))
+    records = pieces.select("sheet", "start", "place", "sep", F.posexplode(F.regexp_extract_all("text", F.lit(RECORD), F.lit(0))).alias("nth", "record")).filter(F.trim("record") != "")
+    made = records.withColumn("k", F.row_number().over(W.partitionBy("sheet", "start").orderBy("place", "nth")))
+    made = cut(made.select("sheet", "start", F.col("k").cast("bigint").alias("k"), fields(F.col("record"), F.col("sep")).alias("cells")))
+    counts = made.groupBy("sheet", "start").agg(F.count(F.lit(1)).alias("n"), F.max(F.when(filled(F.col("cells")), F.col("k"))).alias("full"))
+    counts = counts.select("sheet", "start", "full", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
+    counts = counts.select("sheet", "start", "offset", F.max(F.col("offset") + F.col("full")).over(W.partitionBy("sheet")).alias("last"))
+    rows = made.join(counts, ["sheet", "start"]).select("sheet", (F.col("offset") + F.col("k")).alias("rn"), "cells", "last").filter("rn <= last").drop("last")
+    if largest is None:
+        return rows
+    refused = spark.read.format("binaryFile").load(path).filter(F.col("length") > largest)
     return rows.unionByName(refused.select(F.col("path").alias("sheet"), F.lit(None).cast("bigint").alias("rn"), F.lit(None).cast("array<string>").alias("cells")))
 
 

@@ -6,7 +6,8 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from foliate import streaming
-from foliate.operators import chunking, events, facts, joins
+from foliate.operators import chunking, events, facts, joins, search
+from foliate.operators.totals import totals
 
 
 def test_buckets_tile_intervals_without_overlap(spark):
@@ -115,3 +116,47 @@ def test_lifecycle_state_ends_and_names_what_came_too_late(spark, tmp_path):
     stream = spark.readStream.schema(spark.createDataFrame([], schema).withColumn("ts", F.to_timestamp("ts")).schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "log"))
     got = {r.event_id: (r.status, r.retry_count) for r in streaming.fold_lifecycle(stream, keep=5 * 86_400_000_000).collect()}
     assert got == {1: ("ready_for_reindex", 1), 2: ("ready_for_reindex", 2), 20: ("failed", 0), 21: ("ready_for_reindex", 1), 3: (None, None)}
+
+
+def test_containment_join_equals_contains(spark):
+    draw = random.Random(6)
+    text = lambda n: "".join(draw.choice("ab é𝄞") for _ in range(n))
+    texts = [(draw.randint(1, 3), text(draw.randint(0, 60))) for _ in range(150)] + [(1, None), (None, "ab"), (1, "a" * 3000), (9, "nobody asks")]
+    needles = [(d, t[i : i + draw.choice([1, 2, 5, 12, 13, 30])]) for d, t in texts if t for i in [draw.randint(0, max(0, len(t) - 5))]] + [(1, ""), (1, None), (None, "a"), (2, "not there at all"), (1, "a" * 40)]
+    n, t = spark.createDataFrame(needles, "d long, needle string"), spark.createDataFrame(texts, "d long, text string")
+    want = {(d, x, y) for d, x in needles for e, y in texts if None not in (d, x, e, y) and d == e and x and x in y}
+    got = [tuple(r) for r in joins.containment_join(n, t, "d").collect()]
+    assert set(got) == want and len(got) == len(want)
+    assert joins.containment_join(n.limit(0), t, "d").count() == 0 and joins.containment_join(n, t.limit(0), "d").count() == 0
+
+
+def test_layout_in_a_document_of_many_elements(spark):
+    elements = spark.range(100_000).selectExpr("1L AS document_id", "cast(id AS string) AS block_id", "CASE WHEN id % 10 = 0 THEN NULL ELSE cast(id - id % 10 AS string) END AS parent_block_id", "CASE WHEN id % 10 = 0 THEN 'heading' ELSE 'paragraph' END AS element_type", "concat('this is the text of element ', id, '.') AS content", "cast(id AS int) AS reading_order", "array(1D) AS bounding_box")
+    items = [(1, i, 1, f"before this is the text of element {7 * i}. after") for i in range(300)] + [(2, 1, 1, "of element 4"), (2, 2, 1, ""), (2, 3, 1, None), (2, 4, 1, "nothing like it"), (2, 5, 7, "of element 4")]
+    got = {(r.query_id, r.chunk_id): (r.block_id, r.heading) for r in search.layout_of(spark.createDataFrame(items, "query_id long, chunk_id long, document_id long, content string"), elements).collect()}
+    want = {(1, i): (str(7 * i), f"this is the text of element {7 * i - 7 * i % 10}.") for i in range(300)}
+    first = "this is the text of element 0."
+    assert got == want | {(2, 1): ("4", first), (2, 2): ("0", first), (2, 3): (None, None), (2, 4): (None, None), (2, 5): (None, None)}
+
+
+def test_totals_at_several_levels_and_errors_of_sketches(spark):
+    draw = random.Random(8)
+    rows = [(draw.choice(["x", "y", None]) if i % 3 else "x", draw.randint(0, 4), draw.randint(0, 9000), draw.randint(-5, 100)) for i in range(30_000)] + [("z", 1, None, None)]
+    frame = spark.createDataFrame(rows, "a string, b long, user long, v long")
+    got = {(r.level, r.a, r.b): r for r in totals(frame, [["a", "b"], ["b"], []], ["v"], ["user"], ["v"]).collect()}
+    groups = {}
+    for a, b, u, v in rows:
+        for key in ((0, a, b), (2, None, b), (3, None, None)):
+            groups.setdefault(key, []).append((u, v))
+    assert set(got) == set(groups)
+    for key, own in groups.items():
+        r, values = got[key], sorted(v for _, v in own if v is not None)
+        users = len({u for u, _ in own if u is not None})
+        assert r.n == len(own) and r.sum_v == (sum(values) if values else None) and abs(r.distinct_user - users) <= max(1, 0.08 * users)
+        if values:
+            low, high = sum(v < r.median_v for v in values) / len(values), sum(v <= r.median_v for v in values) / len(values)
+            assert low - 0.02 <= 0.5 <= high + 0.02
+        else:
+            assert r.median_v is None
+    none = totals(frame.limit(0), [["a"], []], ["v"], ["user"], ["v"]).collect()
+    assert [r.n for r in none if r.level == 1] in ([], [0])
