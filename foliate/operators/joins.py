@@ -69,11 +69,12 @@ def asof_join(left: DataFrame, right: DataFrame, by: str, on: str, tie: str) ->
     return whole.unionByName(lost).select("own.*", "found")
 
 
-def grams(text: Column, length: Column | int) -> Column:
+def grams(text: Column, length: Column) -> Column:
     """Hashes of all runs of so many characters of a text, in order."""
-    own = F.regexp_extract_all(text, F.lit("(?s)."), F.lit(0))
-    n = F.length(text) - F.lit(length) + 1 if isinstance(length, int) else F.length(text) - length + 1
-    return F.when(n > 0, F.transform(F.sequence(F.lit(1), n), lambda i: F.xxhash64(F.slice(own, i, length))))
+    n = F.length(text) - length + 1
+    each = lambda own: F.transform(F.sequence(F.lit(1), n), lambda i: F.xxhash64(F.slice(own, i, length)))
+    # the characters as a bound variable, as they would else be taken apart for each place
+    return F.when(n > 0, F.transform(F.array(F.regexp_extract_all(text, F.lit("(?s)."), F.lit(0))), each)[0])
 
 
 def containment_join(needles: DataFrame, texts: DataFrame, by: str, size: int = 12) -> DataFrame:
@@ -88,10 +89,8 @@ def containment_join(needles: DataFrame, texts: DataFrame, by: str, size: int =
     t = cut(t.withColumn("tid", F.xxhash64("text")))
     lengths = sorted(r["g"] for r in n.select("g").distinct().collect())  # `size` at most
     mine = n.select(by, "nid", "g", F.length("needle").alias("n"), F.posexplode(grams(F.col("needle"), F.col("g"))).alias("off", "gram"))
-    each = [t.select(by, "tid", F.length("text").alias("room"), F.lit(g).alias("g"), F.posexplode(grams(F.col("text"), g)).alias("at", "gram")) for g in lengths]
-    theirs = each[0] if each else t.select(by, "tid", F.lit(0).alias("room"), F.lit(0).alias("g"), F.lit(0).alias("at"), F.lit(0).cast("bigint").alias("gram"))
-    for more in each[1:]:
-        theirs = theirs.unionByName(more)
+    each = t.select(by, "tid", "text", F.length("text").alias("room"), F.explode(F.array(*map(F.lit, lengths)).cast("array<int>")).alias("g"))
+    theirs = each.select(by, "tid", "room", "g", F.posexplode(grams(F.col("text"), F.col("g"))).alias("at", "gram"))
     key = [by, "g", "gram"]
     counts = theirs.groupBy(*key).agg(F.count(F.lit(1)).alias("many"))
     rarest = mine.join(counts, key, "left").groupBy(by, "nid", "g", "n").agg(F.min(F.struct(F.coalesce("many", F.lit(0).cast("bigint")).alias("many"), "off", "gram")).alias("x"))

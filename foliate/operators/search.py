@@ -189,6 +189,7 @@ def layout_of(items: DataFrame, elements: DataFrame) -> DataFrame:
     An element matches that has more than 20 characters and contains the content or lies in it. Equal texts of a document are looked at once, for their first element;
     of elements with one place in the reading order the smallest block_id is first. An empty content lies in every element, a null one in none.
     """
+    items = cut(items.select("query_id", "chunk_id", "document_id", "content"))
     e = elements.filter(F.length("content") > 20).join(items.select("document_id").distinct(), "document_id", "left_semi")
     first = F.min(F.struct("reading_order", "block_id", "parent_block_id", "element_type", "bounding_box"))
     texts = cut(e.groupBy("document_id", F.col("content").alias("text")).agg(first.alias("e")))

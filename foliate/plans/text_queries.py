@@ -200,7 +200,7 @@ def c04_table_function(x: Fixtures) -> DataFrame:
     """The same rows by the table function, from SQL."""
     rows = chunking.with_sections(chunking.blocks(x.marked_text())).join(x.document().select("document_id", "file_name"), "document_id")
     x.spark.udtf.register("pack_pages", chunking.PackPages)
-    return x.spark.sql("SELECT * FROM pack_pages(TABLE({rows}) PARTITION BY (document_id, page_number) ORDER BY block_index, 120, 200, 30)", rows=rows)
+    return x.spark.sql("SELECT * FROM pack_pages(TABLE({rows}) PARTITION BY (document_id, page_number) ORDER BY (block_index), 120, 200, 30)", rows=rows)
 
 
 @query("marked_text", "SELECT document_id, count(*) AS n_pages, 0::BIGINT AS n_without_header FROM marked_text WHERE trim(raw_text, ' ' || chr(10)) <> '' GROUP BY 1")
