@@ -4,7 +4,11 @@ from __future__ import annotations
 
 import contextlib
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -100,39 +104,64 @@ def line_text() -> Column:
     return F.when(F.col("utf8"), F.decode("raw", "UTF-8")).otherwise(F.decode("raw", "ISO-8859-1"))
 
 
-def quotes(text: Column) -> Column:
-    return F.length(text) - F.length(F.replace(text, F.lit('"'), F.lit("")))
+LINES = "sheet string, start bigint, place bigint, raw binary, marks bigint, before bigint, even bigint, odd bigint"
+
+
+def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Lines of a task with marks, their quotes, before, those of their block before them, and even and odd, the place of the block's last line so far
+    that begins after an even or odd number (-1 without one). A block's lines come in order, in one task; only its last numbers are carried on.
+    """
+    block, held = None, (0, -1, -1)
+    for batch in batches:
+        t = pa.Table.from_batches([batch])
+        marks = pc.count_substring(t["raw"], '"').to_numpy().astype(np.int64)
+        place, start = t["place"].to_numpy(), t["start"].to_numpy()
+        # an empty line has no block of its own in between, so a block ends where its file or its start changes
+        name = t["sheet"].combine_chunks()
+        fresh = np.ones(len(start), bool)
+        if len(start) > 1:
+            fresh[1:] = (start[1:] != start[:-1]) | pc.not_equal(name[1:], name[:-1]).to_numpy(zero_copy_only=False)
+        bounds = [*np.flatnonzero(fresh).tolist(), len(start)]
+        before, last = np.zeros_like(marks), [np.full_like(marks, -1), np.full_like(marks, -1)]
+        for i, j in zip(bounds, bounds[1:]):
+            own = (name[i].as_py(), int(start[i]))
+            if own != block:
+                block, held = own, (0, -1, -1)
+            before[i:j] = held[0] + np.cumsum(marks[i:j]) - marks[i:j]
+            for parity in (0, 1):
+                begun = np.maximum.accumulate(np.where(before[i:j] % 2 == parity, place[i:j], -1))
+                last[parity][i:j] = np.maximum(begun, held[1 + parity])
+            held = (int(before[j - 1] + marks[j - 1]), int(last[0][j - 1]), int(last[1][j - 1]))
+        for column, values in (("marks", marks), ("before", before), ("even", last[0]), ("odd", last[1])):
+            t = t.append_column(column, pa.array(values))
+        yield from t.to_batches()
 
 
 def delimited_lines(spark: SparkSession, path: str, largest: int | None = None) -> DataFrame:
-    """sheet, start, place, raw: the bytes between line feeds of the files below a path, each with the block of the file in which it begins and its place
-    there. Spark splits files as it reads them, so a file of any size is read by many tasks. Written once, as blocks hang on how many executors there are.
+    """The bytes (raw) between line feeds of the files below a path, each with the block (start) of the file in which it begins, its place there, and what `counted` adds.
+    Spark splits files as it reads them, so a file of any size is read by many tasks. Written once, as blocks hang on how many executors there are.
     """
     files = spark.read.option("lineSep", "\n").text(path).select(F.col("_metadata.file_path").alias("sheet"), F.col("_metadata.file_size").alias("size"), F.col("_metadata.file_block_start").alias("start"), F.col("value").cast("binary").alias("raw"))
     if largest is not None:
         files = files.filter(F.col("size") <= largest)
-    return cut(files.select("sheet", "start", F.monotonically_increasing_id().alias("place"), "raw"))
+    return cut(files.select("sheet", "start", F.monotonically_increasing_id().alias("place"), "raw").mapInArrow(counted, LINES))
 
 
 def delimited_pieces(lines: DataFrame, blocks: DataFrame) -> DataFrame:
     """sheet, start, place, text: lines put together again where a quote is open between them, under the place of the first one.
 
-    Whether a quote is open at the start of a block follows from the number of quotes before it, so only one row of each block is looked at in order; within a
-    block a running sum says it for each line. Lines that begin and end outside quotes, most of them, are not grouped.
+    Whether a quote is open at the start of a block follows from the number of quotes before it, so only one row of each block is looked at in order. Lines that begin
+    and end outside quotes are not grouped.
     """
-    own = lines.join(blocks.select("sheet", "start", "utf8", "open"), ["sheet", "start"]).select("sheet", "start", "place", line_text().alias("text"), "open")
-    marks = quotes(F.col("text"))
-    w = W.partitionBy("sheet", "start").orderBy("place")
-    after = (F.col("open") + F.sum(marks).over(w)) % 2
-    own = own.withColumn("ends", after == 0).withColumn("begins", (after + marks) % 2 == 0)
-    own = own.withColumn("first", F.last(F.when(F.col("begins"), F.struct("start", "place")), True).over(w)).drop("open")
-    whole = own.filter("begins and ends").select("sheet", "start", "place", "text")
-    parts = cut(own.filter("not (begins and ends)").select("sheet", "start", "place", "text", "begins", "first"))
-    heads = parts.groupBy("sheet", "start").agg(F.max(F.when(F.col("begins"), F.struct("start", "place"))).alias("head"))
-    carried = heads.select("sheet", "start", F.last("head", True).over(W.partitionBy("sheet").orderBy("start").rowsBetween(W.unboundedPreceding, -1)).alias("carried"))
-    parts = parts.join(carried, ["sheet", "start"]).select("sheet", F.coalesce("first", "carried").alias("first"), F.struct("start", "place", "text").alias("line"))
+    begun = F.when(F.col("open") == 0, F.col("even")).otherwise(F.col("odd"))
+    heads = lines.groupBy("sheet", "start").agg(F.max("even").alias("even"), F.max("odd").alias("odd")).join(blocks, ["sheet", "start"]).select("sheet", "start", "open", "utf8", F.when(begun >= 0, F.struct("start", begun.alias("place"))).alias("head"))
+    carried = F.last("head", True).over(W.partitionBy("sheet").orderBy("start").rowsBetween(W.unboundedPreceding, -1))
+    own = lines.join(cut(heads.select("sheet", "start", "open", "utf8", carried.alias("carried"))), ["sheet", "start"])
+    whole = ((F.col("open") + F.col("before")) % 2 == 0) & (F.col("marks") % 2 == 0)
+    first = F.when(begun >= 0, F.struct("start", begun.alias("place"))).otherwise(F.col("carried"))
+    parts = own.filter(~whole).select("sheet", first.alias("first"), F.struct("start", "place", line_text().alias("text")).alias("line"))
     made = parts.groupBy("sheet", "first").agg(F.array_join(F.transform(F.array_sort(F.collect_list("line")), lambda x: x["text"]), "\n").alias("text"))
-    return whole.unionByName(made.select("sheet", F.col("first.start").alias("start"), F.col("first.place").alias("place"), "text"))
+    return own.filter(whole).select("sheet", "start", "place", line_text().alias("text")).unionByName(made.select("sheet", F.col("first.start").alias("start"), F.col("first.place").alias("place"), "text"))
 
 
 def separators(lines: DataFrame, blocks: DataFrame, head: int) -> DataFrame:
@@ -153,7 +182,7 @@ def load_sheets(spark: SparkSession, path: str, head: int = 4000, largest: int |
     Bytes are UTF-8 if all of the file is, else Latin-1. Where `largest` is given, a file of more bytes comes back as one row without rn and cells.
     """
     lines = delimited_lines(spark, path, largest)
-    each = lines.groupBy("sheet", "start").agg(F.sum(quotes(F.decode("raw", "ISO-8859-1"))).alias("n"), F.bool_and(F.is_valid_utf8(F.col("raw").cast("string"))).alias("utf8"))
+    each = lines.groupBy("sheet", "start").agg(F.sum("marks").alias("n"), F.bool_and(F.is_valid_utf8(F.col("raw").cast("string"))).alias("utf8"))
     before = W.partitionBy("sheet").orderBy("start").rowsBetween(W.unboundedPreceding, -1)
     blocks = cut(each.select("sheet", "start", (F.coalesce(F.sum("n").over(before), F.lit(0)) % 2).alias("open"), F.bool_and("utf8").over(W.partitionBy("sheet")).alias("utf8")))
     pieces = delimited_pieces(lines, blocks)
