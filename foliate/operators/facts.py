@@ -23,6 +23,7 @@ from foliate.sources import cut
 UNITS = ["mg", "mcg", "g", "tab", "tabs", "caps", "capsule", "capsules", "daily", "qd", "bid", "tid", "qid", "once"]
 MISSING = ["", "n/a", "unknown", "none", "nil", "null", "undefined"]
 LOW_CONFIDENCE = 0.75
+ACTIVE = ["pending", "verified", "unverified", "conflicted"]
 _EDGE = (r"(?<![\p{L}\p{N}_])", r"(?![\p{L}\p{N}_])")
 
 
@@ -252,7 +253,7 @@ def incremental(new: DataFrame, facts: DataFrame, reports: DataFrame, strict: bo
 
     strict: siblings are only verified or unverified ones, and equal predicate and object are a duplicate at once.
     """
-    allowed = ["verified", "unverified"] if strict else ["pending", "verified", "unverified", "conflicted"]
+    allowed = ["verified", "unverified"] if strict else ACTIVE
     n = new.select(F.col("fact_id").alias("new_id"), "project_id", "subject_id", F.col("predicate").alias("new_predicate"), F.col("object_text").alias("new_object"), F.col("confidence").alias("new_confidence"))
     s = live(facts).filter(F.col("status").isin(allowed)).select(F.col("fact_id").alias("sibling_id"), "project_id", "subject_id", F.col("predicate").alias("sibling_predicate"), F.col("object_text").alias("sibling_object"), F.col("confidence").alias("sibling_confidence"))
     met = n.join(s, ["project_id", "subject_id"]).filter("new_id <> sibling_id")

@@ -32,20 +32,55 @@ def drained(stream: DataFrame, each: Callable[[DataFrame, int], DataFrame], mode
     return spark.read.parquet(f"{folder}/out")
 
 
-def detect_conflicts(new: DataFrame, known: DataFrame, reports: DataFrame) -> DataFrame:
-    """Each new fact against the facts of its subject that are known or have arrived, in its own batch or before; a pair found twice is one by its key.
+#: What each kind of change does to the set of facts. An update brings its fact's image before and after.
+SIGNS = {"insert": 1, "update_postimage": 1, "update_preimage": -1, "delete": -1}
+
+
+def watch_conflicts(changes: DataFrame, known: DataFrame, reports: DataFrame, salts: int = 4) -> DataFrame:
+    """changes(facts' columns, change, version) as a stream: the pairs of a fact that came or changed with its subject's active facts, after all changes.
+
+    Each change is a signed row, and pairs are signed products: a join of the stream with itself, in which each two rows meet when the later one comes,
+    whatever the order of the files. What is left of a pair is the sum of its signs, so a deletion takes back what its fact brought, and no batch reads what
+    earlier ones brought: their rows are the join's state, by subject. It is dealt by `salts` hashes of the coming fact, for which the other side is held that many times.
 
-    What a batch brings is written under its number first, so a batch that runs again sees the same facts.
+    version: 0 for the image of a fact that was known before the stream, 1 and up for images that came with it. Known facts do not pair with each other,
+    so images of version 0 are siblings only. Rows with a null fact, project or subject pair with nothing, as in the batch twin; an unknown change ends the job.
+    A pair with an open report is left out. The log must be whole: an image that is taken back has to have come, be it later. The state is kept.
     """
-    seen = shared_folder(new.sparkSession)
+    spark, folder = changes.sparkSession, shared_folder(changes.sparkSession)
+    columns = ["fact_id", "project_id", "subject_id", "object_text", "status", "deleted_at", "sign", "version"]
+    sign = F.raise_error(F.concat(F.lit("no change is called "), F.coalesce("change", F.lit("null"))))
+    for change, value in SIGNS.items():
+        sign = F.when(F.col("change") == change, value).otherwise(sign)
+    signed = changes.withColumn("sign", sign.cast("int")).withColumn("version", F.col("version").cast("int")).select(columns)
+    before = known.withColumn("sign", F.lit(1)).withColumn("version", F.lit(0)).select(columns)
+    before.write.parquet(folder)
+    siblings = facts.live(signed.unionByName(spark.readStream.schema(signed.schema).parquet(folder))).filter(F.col("status").isin(facts.ACTIVE))
+    key = ["project_id", "subject_id", "salt"]
+    left = signed.filter("version > 0").select(
+        F.col("fact_id").alias("new_id"), "project_id", "subject_id", F.col("object_text").alias("new_object"), F.col("sign").alias("new_sign"),
+        F.pmod(F.xxhash64("fact_id"), F.lit(salts)).cast("int").alias("salt"),
+    )
+    right = siblings.select(
+        F.col("fact_id").alias("sibling_id"), "project_id", "subject_id", F.col("object_text").alias("sibling_object"), F.col("sign").alias("sibling_sign"),
+        F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"),
+    )
+    met = left.join(right, key).filter("new_id <> sibling_id").select(
+        F.least("new_id", "sibling_id").alias("first_fact_id"), F.greatest("new_id", "sibling_id").alias("second_fact_id"),
+        facts.pair_kind(F.col("new_object"), F.col("sibling_object")).alias("kind"), (F.col("new_sign") * F.col("sibling_sign")).alias("n"),
+    )
+    summed = lambda pairs: pairs.groupBy("first_fact_id", "second_fact_id", "kind").agg(F.sum("n").alias("n"))
+    left_over = summed(drained(met, lambda batch, _: summed(batch))).filter("n > 0")
+    found = left_over.groupBy("first_fact_id", "second_fact_id").agg(F.min("kind").alias("kind"))
+    return found.join(facts.unordered(reports.filter("status = 'open'"), "first_fact_id", "second_fact_id"), ["first_fact_id", "second_fact_id"], "left_anti")
 
-    def each(batch: DataFrame, number: int) -> DataFrame:
-        batch.write.mode("overwrite").parquet(f"{seen}/batch={number}")
-        arrived = batch.sparkSession.read.schema(batch.schema).parquet(f"{seen}/batch=*").select(batch.columns)
-        fresh = known.join(arrived.select("fact_id"), "fact_id", "left_anti").select(batch.columns).unionByName(arrived)
-        return facts.incremental(batch, fresh, reports).select("first_fact_id", "second_fact_id", "kind")
 
-    return drained(new, each).groupBy("first_fact_id", "second_fact_id").agg(F.min("kind").alias("kind"))
+def detect_conflicts(new: DataFrame, known: DataFrame, reports: DataFrame) -> DataFrame:
+    """Each new fact against the facts of its subject that are known or have arrived, in its own batch or before; a pair found twice is one by its key.
+
+    A fact that is known and arrives counts with both images; `watch_conflicts` replaces the one by the other.
+    """
+    return watch_conflicts(new.withColumn("change", F.lit("insert")).withColumn("version", F.lit(1)), known, reports)
 
 
 def fold_deliveries(log: DataFrame) -> DataFrame:

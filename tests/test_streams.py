@@ -1,5 +1,6 @@
 """Streams drained over a few files equal their batch twins, whatever the files' order."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from foliate import streaming
@@ -63,3 +64,48 @@ def test_conflicts_among_facts_that_arrive_together_or_one_after_another(spark,
     new = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
     got = sorted((r.first_fact_id, r.second_fact_id, r.kind) for r in streaming.detect_conflicts(new, known, reports).collect())
     assert got == [(1, 2, "numeric"), (1, 3, "numeric"), (2, 3, "numeric"), (4, 5, "numeric"), (6, 7, "numeric")]
+
+
+FACT = "fact_id long, project_id long, subject_id long, predicate string, object_text string, confidence double, status string, created_at timestamp, deleted_at timestamp"
+NO_REPORTS = "first_fact_id long, second_fact_id long, status string"
+
+
+def changed(spark, folder, batches, known, reports=()):
+    for rows in batches:
+        frame = spark.createDataFrame([(i, 1, s, "dose", v, 0.9, "unverified", None, None, c, n) for i, s, v, c, n in rows], FACT + ", change string, version int")
+        frame.coalesce(1).write.mode("append").parquet(folder)
+    log = spark.readStream.schema(spark.read.parquet(folder).schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    old = spark.createDataFrame([(i, 1, s, "dose", v, 0.9, "unverified", None, None) for i, s, v in known], FACT)
+    out = streaming.watch_conflicts(log, old, spark.createDataFrame(list(reports), NO_REPORTS))
+    return sorted((r.first_fact_id, r.second_fact_id, r.kind) for r in out.collect())
+
+
+CHANGES = [
+    [(1, 1, "5 mg", "insert", 1), (2, 1, "6 mg", "insert", 1), (None, 1, "6 mg", "insert", 1), (9, None, "6 mg", "insert", 1)],
+    [(2, 1, "6 mg", "update_preimage", 1), (2, 1, "5 mg", "update_postimage", 2)],
+    [(3, 1, "7 mg", "insert", 1), (3, 1, "7 mg", "delete", 1)],
+    [(7, 1, "5 mg", "update_preimage", 0), (7, 1, "8 mg", "update_postimage", 1)],
+    [(8, 1, "9 mg", "delete", 0)],
+]
+KNOWN = [(6, 1, "5 mg"), (7, 1, "5 mg"), (8, 1, "9 mg")]
+
+
+def test_changes_take_back_what_they_replace_in_any_order(spark, tmp_path):
+    """2 comes to agree with 1; 3 goes; 7, known, changes and so meets 6, known too; 8 goes. Rows without an id or a subject meet none."""
+    wanted = [(1, 2, "duplicate"), (1, 6, "duplicate"), (1, 7, "numeric"), (2, 6, "duplicate"), (2, 7, "numeric"), (6, 7, "numeric")]
+    for k, order in enumerate([[0, 1, 2, 3, 4], [4, 3, 2, 1, 0], [1, 3, 0, 4, 2]]):
+        assert changed(spark, str(tmp_path / f"log{k}"), [CHANGES[i] for i in order], KNOWN) == wanted
+
+
+def test_changes_leave_out_open_reports_and_end_on_unknown_changes(spark, tmp_path):
+    assert changed(spark, str(tmp_path / "a"), CHANGES[:1], [], [(2, 1, "open")]) == []
+    assert changed(spark, str(tmp_path / "b"), CHANGES[:1], [], [(1, 2, "resolved")]) == [(1, 2, "numeric")]
+    with pytest.raises(Exception, match="no change is called moved"):
+        changed(spark, str(tmp_path / "c"), [[(1, 1, "5 mg", "moved", 1)]], [])
+
+
+def test_a_subject_with_most_facts_is_dealt_over_salts(spark, tmp_path):
+    rows = [(i, 1 if i % 3 else i, f"{i} mg", "insert", 1) for i in range(60)]
+    got = changed(spark, str(tmp_path / "hot"), [rows[:30], rows[30:]], [])
+    hot = [i for i in range(60) if i % 3]
+    assert got == [(a, b, "numeric") for a in hot for b in hot if a < b]
