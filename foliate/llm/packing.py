@@ -22,6 +22,9 @@ from foliate.llm.common import cut
 from foliate.llm.tokens import AT_ONCE, encoder
 from foliate.llm.wordhash import slices
 
+#: Bytes of text that are encoded at once, as in `records`: equal units are then looked up less often, and only a slice's pieces lie beside.
+SLICE = 2 * AT_ONCE
+
 
 def lengths(n: int, most: int) -> list[int]:
     """Powers of two that sum to n, none above most (itself a power of two)."""
@@ -41,7 +44,7 @@ def pieces(docs: DataFrame, vocabulary: str, most: int = 1024, end_id: int = 0)
         part, seen, end = TaskContext.get().partitionId(), {}, np.array([end_id], "<u4")
         encode = encoder(vocabulary)
         for batch in batches:
-            for at, to in slices(batch.column(1), AT_ONCE):
+            for at, to in slices(batch.column(1), SLICE):
                 ids, counts = encode.ids(batch.column(1)[at:to])
                 rows, place = [], 0
                 for key, count in zip(batch.column(0)[at:to].to_pylist(), counts.tolist()):
