@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -46,6 +48,30 @@ def range_join(points: DataFrame, intervals: DataFrame, on: str, low: str, high:
     return cut(dealt).join(tiles, [*by, "_level", "_bucket"]).drop("_level", "_bucket")
 
 
+def range_totals(points: DataFrame, intervals: DataFrame, on: str, low: str, high: str, n: str, **least: str) -> DataFrame:
+    """Each row of intervals that has points with low <= on <= high, with their number (as column n) and the least value of a column of points for each of `least` (name=column).
+
+    The pairs of `range_join` are not made, as intervals may hold many points each. Points are summed by value, these sums by buckets of the next size, and so on;
+    an interval takes the sums of the buckets that tile it, and equal intervals are looked up once. So the work grows with the rows of both sides, not with the pairs.
+    """
+    ends = intervals.withColumn("_low", F.col(low).cast("bigint")).withColumn("_high", F.col(high).cast("bigint"))
+    distinct = ends.select("_low", "_high").filter("_low <= _high").distinct()
+    tiles = cut(distinct.withColumn("_tile", F.explode(buckets(F.col("_low"), F.col("_high")))).select("_low", "_high", F.col("_tile.level").alias("_level"), F.col("_tile.bucket").alias("_bucket")))
+    levels = {r["_level"] for r in tiles.select("_level").distinct().collect()}  # LEVELS at most
+    bucket = F.col(on).cast("bigint")
+    sums = points.filter(bucket.isNotNull()).groupBy(bucket.alias("_bucket")).agg(F.count(F.lit(1)).alias(n), *[F.min(c).alias(name) for name, c in least.items()])
+    met = []
+    for k in range(max(levels, default=0) + 1):
+        if k:
+            sums = sums.groupBy(F.shiftright("_bucket", BITS).alias("_bucket")).agg(F.sum(n).alias(n), *[F.min(name).alias(name) for name in least])
+        sums = cut(sums)
+        if k in levels or not k:
+            met.append(sums.withColumn("_level", F.lit(k)))
+    found = tiles.join(reduce(DataFrame.unionByName, met), ["_level", "_bucket"])
+    totals = found.groupBy("_low", "_high").agg(F.sum(n).alias(n), *[F.min(name).alias(name) for name in least])
+    return ends.join(totals, ["_low", "_high"]).drop("_low", "_high")
+
+
 def asof_join(left: DataFrame, right: DataFrame, by: str, on: str, tie: str) -> DataFrame:
     """Each row of left with found, the row of right of the same key that is the last at or before its time (of one time, that with the largest `tie`); null without one.
 

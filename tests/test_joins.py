@@ -36,6 +36,24 @@ def test_range_join_equals_between(spark):
     assert sorted((r.i, r.j) for r in joins.range_join(p, b.drop("k"), "v", "low", "high").select("i", "j").collect()) == every
 
 
+def test_range_totals_equal_sums_of_pairs_without_making_them(spark):
+    draw = random.Random(5)
+    points = [(i, draw.randint(-1000, 1000) if i % 3 else 7) for i in range(500)] + [(900, None)]
+    bands = [(i, x, x + draw.choice([-1, 0, 3, 100, 5000])) for i in range(60) for x in [draw.randint(-1500, 1000)]] + [(70, None, 5), (71, -5000, 5000), (72, -5000, 5000), (73, 6000, 7000)]
+    p, b = spark.createDataFrame(points, "i int, v long"), spark.createDataFrame(bands, "j int, low long, high long")
+    want = {}
+    for j, low, high in bands:
+        inside = [i for i, v in points if None not in (v, low) and low <= v <= high]
+        if inside:
+            want[j] = (len(inside), min(inside))
+    assert {r.j: (r.n, r.first) for r in joins.range_totals(p, b, "v", "low", "high", "n", first="i").collect()} == want
+    assert joins.range_totals(p, b.filter("j = 70"), "v", "low", "high", "n").isEmpty()
+    # 20,000 points in each of 2,000 bands: 40 million pairs
+    many = spark.range(20000).select(F.col("id").alias("i"), (F.col("id") % 5000).alias("v"))
+    wide = spark.range(2000).select(F.col("id").alias("j"), (-F.col("id")).alias("low"), (F.col("id") + 6000).alias("high"))
+    assert joins.range_totals(many, wide, "v", "low", "high", "n", first="i").groupBy("n", "first").count().collect() == [(20000, 0, 2000)]
+
+
 def test_asof_join_with_a_key_of_most_rows_over_many_parts(spark):
     draw = random.Random(3)
     left = [(i, 1 if i % 3 else draw.randint(2, 9), draw.randint(0, 200)) for i in range(400)] + [(900, None, 5), (901, 1, None)]
