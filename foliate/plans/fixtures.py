@@ -15,24 +15,35 @@ OBJECTS = ["5 mg", "5 MG, daily", "5 mcg", "500mg", "1000mg", "10 mg", "2019", "
 
 class Fixtures:
     def __init__(self, spark: SparkSession, sf_dir: str):
-        self.spark, self.sf_dir = spark, sf_dir
+        self.spark, self.sf_dir, self.unique = spark, sf_dir, None
 
     def t(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
-    def document(self) -> DataFrame:
+    def one_row_each(self) -> bool:
+        """Does each doc_id have one row? Then lines need no join to meet their document."""
+        if self.unique is None:
+            self.unique = self.t("documents").groupBy("doc_id").count().filter("count > 1 and doc_id is not null").isEmpty()
+        return self.unique
+
+    def document(self, *further: str) -> DataFrame:
         ext, status = F.array(*map(F.lit, ["pdf", "png", "docx", "txt", "csv", "bin"])), F.array(*map(F.lit, STATUSES))
         created = F.expr("timestamp'2024-01-01 00:00:00' + make_interval(0, 0, 0, 0, cast(doc_id as int))")
         return self.t("documents").select(
             F.col("doc_id").alias("document_id"), F.col("source").alias("project_id"), (F.col("doc_id") % 7).alias("user_id"),
             F.concat(F.lit("doc_"), "doc_id", F.lit("."), F.get(ext, F.col("doc_id") % 6)).alias("file_name"),
             F.get(status, F.col("doc_id") % 9).alias("status"), created.alias("created_at"),
-            F.when(F.col("doc_id") % 17 == 0, created + F.expr("interval 1 day")).alias("deleted_at"),
+            F.when(F.col("doc_id") % 17 == 0, created + F.expr("interval 1 day")).alias("deleted_at"), *further,
         )
 
     def line(self) -> DataFrame:
-        rows = self.t("documents").select(F.col("doc_id").alias("document_id"), F.posexplode(F.split("text", "\n")).alias("p", "raw"))
-        return rows.select("document_id", F.col("p").cast("int"), (F.floor(F.col("p") / 20) + 1).cast("int").alias("page_number"), F.regexp_replace("raw", r"^[ \t\r]+|[ \t\r]+$", "").alias("line"))
+        return self.lines_of(self.t("documents").select(F.col("doc_id").alias("document_id"), "text"))
+
+    def lines_of(self, rows: DataFrame) -> DataFrame:
+        """document_id, p, page_number, line and the other columns of rows(document_id, text, ...)."""
+        others = [c for c in rows.columns if c not in ("document_id", "text")]
+        each = rows.select("document_id", *others, F.posexplode(F.split("text", "\n")).alias("p", "raw"))
+        return each.select("document_id", F.col("p").cast("int"), (F.floor(F.col("p") / 20) + 1).cast("int").alias("page_number"), F.btrim("raw", F.lit(" \t\r")).alias("line"), *others)
 
     def marked_text(self) -> DataFrame:
         prefix = F.expr("CASE WHEN p % 11 = 0 THEN '# ' WHEN p % 11 = 4 THEN '## ' WHEN p % 11 = 7 THEN '### ' WHEN p % 5 = 3 THEN '- ' ELSE '' END")
@@ -50,7 +61,11 @@ class Fixtures:
         )
 
     def chunk(self) -> DataFrame:
-        rows = self.line().filter("line <> ''").join(self.document().select("document_id", "project_id", "file_name", "deleted_at"), "document_id")
+        own = ["document_id", "project_id", "file_name", "deleted_at"]
+        if self.one_row_each():
+            rows = self.lines_of(self.document("text").select(*own, "text").filter("document_id is not null")).filter("line <> ''")
+        else:
+            rows = self.line().filter("line <> ''").join(self.document().select(*own), "document_id")
         return rows.select((F.col("document_id") * 1000 + F.col("p")).alias("chunk_id"), "document_id", "project_id", "file_name", "deleted_at", "page_number", F.col("p").alias("chunk_index"), F.col("line").alias("content"))
 
     def embedding(self) -> DataFrame:

@@ -9,7 +9,7 @@ from foliate.functions import cosine, estimated_tokens, norm, snippet
 from foliate.operators import postings, search, vectors
 from foliate.plans.fixtures import Fixtures
 from foliate.plans.fixtures_sql import sql
-from foliate.sources import shared_folder
+from foliate.sources import cut, shared_folder
 
 QUERIES, ORACLES = {}, {}
 MODEL = "m0"
@@ -44,7 +44,7 @@ BASE = "query chunk embedding"
 
 def _items(x: Fixtures) -> DataFrame:
     """The best vector hits of each query, with their chunks."""
-    hits = search.vector_search(x.query(), x.chunk(), x.embedding(), MODEL)
+    hits = cut(search.vector_search(x.query(), x.chunk(), x.embedding(), MODEL))
     chunk = x.chunk().select("chunk_id", "document_id", "page_number", "chunk_index", "content", "file_name")
     q = search.sized(x.query().select("query_id", "query_text"))
     kw = F.exists(search.keywords(F.col("query_text")), lambda w: F.lower("content").contains(w))
@@ -267,7 +267,7 @@ SELECT query_id, instruction, user_prompt, n_blocks, greatest(50, 400 - n) AS wo
 def e20_prompts(x: Fixtures) -> DataFrame:
     q = x.query().select("query_id", "query_text", F.expr("CASE query_id % 3 WHEN 0 THEN 'Summary' WHEN 1 THEN 'flashcards' ELSE 'nosuch' END AS mode"))
     hits = search.hybrid_search(x.query(), x.chunk(), x.embedding(), MODEL)
-    context = hits.select("query_id", "chunk_id", F.col("rank").alias("position")).join(x.chunk().select("chunk_id", "file_name", "page_number", "content"), "chunk_id")
+    context = cut(hits.select("query_id", "chunk_id", F.col("rank").alias("position"))).join(x.chunk().select("chunk_id", "file_name", "page_number", "content"), "chunk_id")
     return search.prompts(q, context, 400)
 
 
