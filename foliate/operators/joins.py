@@ -103,19 +103,41 @@ def grams(text: Column, length: Column) -> Column:
     return F.when(n > 0, F.transform(F.array(F.regexp_extract_all(text, F.lit("(?s)."), F.lit(0))), each)[0])
 
 
+#: A key's needles and texts are compared as they are where that looks at no more than so many characters for each of its own.
+DIRECT = 256
+
+
 def containment_join(needles: DataFrame, texts: DataFrame, by: str, size: int = 12) -> DataFrame:
     """by, needle, text: the distinct pairs of needles(by, needle) and texts(by, text) of one key in which the text contains the needle.
 
+    Keys of few or short needles and texts are compared pair by pair; what that looks at grows with their characters alone. Of the other keys (see `by_rarest_gram`) no pairs are made.
+    Nulls meet nothing, and neither does an empty needle, which every text contains.
+    """
+    n = cut(needles.select(by, "needle").filter(F.col(by).isNotNull() & (F.length("needle") > 0)).distinct())
+    t = texts.select(by, "text").filter(F.col(by).isNotNull() & (F.length("text") > 0)).join(n.select(by).distinct(), by, "left_semi").distinct()
+    t = cut(t)
+    own = n.groupBy(by).agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("needle").cast("double")).alias("n_chars"))
+    theirs = t.groupBy(by).agg(F.count(F.lit(1)).alias("t"), F.sum(F.length("text").cast("double")).alias("t_chars"))
+    direct = F.expr(f"n * t_chars + t * n_chars <= {DIRECT} * (n_chars + t_chars)")
+    sizes = cut(own.join(theirs, by).select(by, direct.alias("direct")))
+    few, many = sizes.filter("direct").select(by), sizes.filter("not direct").select(by)
+    pairs = n.join(few, by, "left_semi").join(t, by).filter(F.col("text").contains(F.col("needle"))).select(by, "needle", "text")
+    if many.isEmpty():
+        return pairs
+    return pairs.unionByName(by_rarest_gram(cut(n.join(many, by, "left_semi")), cut(t.join(many, by, "left_semi")), by, size))
+
+
+def by_rarest_gram(needles: DataFrame, texts: DataFrame, by: str, size: int) -> DataFrame:
+    """The pairs of distinct needles and texts, by runs of characters.
+
     Of each needle's runs of `size` characters (the whole needle, if it is shorter) the one that is rarest in its key's texts is joined with theirs; a needle with a run that
     no text has is done with. The places must leave room for the needle on both sides; then the texts are compared. Texts travel once, not with each
-    of their runs. Nulls meet nothing, and neither does an empty needle, which every text contains.
+    of their runs, and runs of a length are made for keys with a needle of that length alone.
     """
-    n = cut(needles.select(by, "needle").filter(F.col(by).isNotNull() & (F.length("needle") > 0)).distinct().withColumn("nid", F.xxhash64("needle")).withColumn("g", F.least(F.lit(size), F.length("needle"))))
-    t = texts.select(by, "text").filter(F.col(by).isNotNull() & (F.length("text") > 0)).join(n.select(by).distinct(), by, "left_semi").distinct()
-    t = cut(t.withColumn("tid", F.xxhash64("text")))
-    lengths = sorted(r["g"] for r in n.select("g").distinct().collect())  # `size` at most
+    n = needles.withColumn("nid", F.xxhash64("needle")).withColumn("g", F.least(F.lit(size), F.length("needle")))
+    t = texts.withColumn("tid", F.xxhash64("text"))
     mine = n.select(by, "nid", "g", F.length("needle").alias("n"), F.posexplode(grams(F.col("needle"), F.col("g"))).alias("off", "gram"))
-    each = t.select(by, "tid", "text", F.length("text").alias("room"), F.explode(F.array(*map(F.lit, lengths)).cast("array<int>")).alias("g"))
+    each = t.select(by, "tid", "text", F.length("text").alias("room")).join(n.select(by, "g").distinct(), by)
     theirs = each.select(by, "tid", "room", "g", F.posexplode(grams(F.col("text"), F.col("g"))).alias("at", "gram"))
     key = [by, "g", "gram"]
     counts = theirs.groupBy(*key).agg(F.count(F.lit(1)).alias("many"))

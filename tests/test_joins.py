@@ -136,6 +136,21 @@ def test_lifecycle_state_ends_and_names_what_came_too_late(spark, tmp_path):
     assert got == {1: ("ready_for_reindex", 1), 2: ("ready_for_reindex", 2), 20: ("failed", 0), 21: ("ready_for_reindex", 1), 3: (None, None)}
 
 
+def test_containment_of_short_needles_makes_few_runs_and_both_ways_agree(spark, monkeypatch):
+    draw = random.Random(9)
+    text = lambda n: "".join(draw.choice("ab é") for _ in range(n))
+    texts = [(d, text(draw.randint(0, 60))) for d in range(4) for _ in range(20)] + [(5, text(3000))]
+    needles = [(d, text(draw.randint(1, 5))) for d in range(4) for _ in range(6)] + [(d, x[3 : 3 + draw.randint(5, 20)]) for d, x in texts] + [(5, None), (None, "a")]
+    n, t = spark.createDataFrame(needles, "d long, needle string"), spark.createDataFrame(texts, "d long, text string")
+    want = sorted({(d, x, y) for d, x in needles for e, y in texts if d == e and x and x in y})
+    made = []
+    monkeypatch.setattr(joins, "by_rarest_gram", lambda *a, f=joins.by_rarest_gram: made.append(1) or f(*a))
+    for direct in (256, 0):
+        monkeypatch.setattr(joins, "DIRECT", direct)
+        assert sorted(tuple(r) for r in joins.containment_join(n, t, "d").collect()) == want
+    assert len(made) == 1  # small keys need no runs of characters
+
+
 def test_containment_join_equals_contains(spark):
     draw = random.Random(6)
     text = lambda n: "".join(draw.choice("ab é𝄞") for _ in range(n))
