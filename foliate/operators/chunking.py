@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -131,55 +132,88 @@ class PackPages:
             yield from self.rows(self.packer.end())
 
 
+def in_order(rows: DataFrame, keys: list[str], order: str, columns: list[str], begin, add, made, schema: str) -> DataFrame:
+    """Rows of each key in order through a packer: begin(first row) makes it, add(packer, row) and its end() give chunks, made(chunk) their columns. Many keys pass in
+    one stream of batches, and no key has to lie in memory. schema begins with the keys; the next column counts a key's chunks.
+    """
+    kinds = rows.sparkSession.createDataFrame([], schema).schema
+    # the window brings a key's rows together in order; its first row has place 1
+    place = F.row_number().over(W.partitionBy(*keys).orderBy(F.asc_nulls_last(order)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out, packer, key, nth = [], None, None, 0
+
+        def keep(chunks: list) -> None:
+            nonlocal nth
+            for x in chunks:
+                out.append((*key, nth, *made(x)))
+                nth += 1
+
+        for batch in batches:
+            lists = [c.to_pylist() for c in batch.columns]
+            for place, *row in zip(*lists):
+                if place == 1:
+                    if packer is not None:
+                        keep(packer.end())
+                    packer, key, nth = begin(row), row[: len(keys)], 0
+                keep(add(packer, row))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names=kinds.names)
+                out.clear()
+        if packer is not None:
+            keep(packer.end())
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names=kinds.names)
+
+    types = [{"bigint": pa.int64(), "int": pa.int32()}.get(f.dataType.simpleString(), pa.string()) for f in kinds]
+    return rows.select(place.alias("place"), *keys, *columns).mapInArrow(run, schema)
+
+
 def pack_pages(rows: DataFrame, target: int = 500, most: int = 800, overlap: int = 100) -> DataFrame:
-    """Sectioned blocks with file_name: document_id, page_number, nth, content. One page is one group: the packing is sequential."""
+    """Sectioned blocks with file_name: document_id, page_number, nth, content. The packing of a page is sequential."""
+    return in_order(rows, ["document_id", "page_number"], "block_index", ["file_name", "section_path", "content"], lambda row: Packer(page_head(row[2], row[1]), target, most, overlap), lambda packer, row: packer.add(row[3], row[4]), lambda chunk: (chunk,), "document_id long, page_number int, nth long, content string")
 
-    def one(page: pd.DataFrame) -> pd.DataFrame:
-        page = page.sort_values("block_index")
-        name, number = page["file_name"].iloc[0], page["page_number"].iloc[0]
-        made = packed(list(zip(page["section_path"], page["content"])), page_head(name, number), target, most, overlap)
-        return pd.DataFrame({"document_id": page["document_id"].iloc[0], "page_number": number, "nth": range(len(made)), "content": made})
 
-    return rows.select("document_id", "page_number", "file_name", "block_index", "section_path", "content").groupBy("document_id", "page_number").applyInPandas(one, "document_id long, page_number int, nth long, content string")
+class ElementPacker:
+    """Contents and first page of the chunks of one document's elements, as they come: whole elements, up to a number of words, with the last ones carried over."""
 
+    def __init__(self, most: int, overlap: int):
+        self.most, self.overlap, self.held, self.total = most, overlap, [], 0
 
-def grouped(elements: list[tuple[str, str, int]], most: int, overlap: int) -> list[tuple[list[str], int]]:
-    """Contents and first page of each chunk of one document's (type, content, page) elements in order."""
-    out, held, total = [], [], 0
-
-    def close() -> None:
-        if any(x[1].strip() for x in held):
-            out.append(([x[1] for x in held if x[1].strip()], held[0][2]))
-
-    for kind, text, page in elements:
-        n = len(text.split())
-        if held and total + n > most:
-            close()
-            back, total = [], 0
-            for x in reversed(held):
-                m = len(x[1].split())
-                if total + m > overlap:
+    def add(self, kind: str, text: str, page: int) -> list[tuple[list[str], int]]:
+        """The chunks that this element closes."""
+        n, out = len(text.split()), []
+        if self.held and self.total + n > self.most:
+            out, back, total = self.end(), [], 0
+            for x in reversed(self.held):
+                if total + x[1] > self.overlap:
                     break
-                back, total = [x, *back], total + m
-            held = back
-        held.append((kind, text, page))
-        total += n
+                back, total = [x, *back], total + x[1]
+            self.held, self.total = back, total
+        self.held.append((text, n, page))
+        self.total += n
         if kind in ATOMIC:
-            close()
-            held, total = [], 0
-    close()
-    return out
+            out = out + self.end()
+            self.held, self.total = [], 0
+        return out
 
+    def end(self) -> list[tuple[list[str], int]]:
+        full = [x[0] for x in self.held if x[0].strip()]
+        return [(full, self.held[0][2])] if full else []
 
-def pack_elements(elements: DataFrame, most: int = 400, overlap: int = 80) -> DataFrame:
-    """document_id, chunk_index, page_number, content: whole elements packed to a number of words. One document is one group."""
 
-    def one(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("reading_order")
-        made = grouped(list(zip(rows["element_type"], rows["content"].fillna(""), rows["page_number"])), most, overlap)
-        return pd.DataFrame({"document_id": rows["document_id"].iloc[0], "chunk_index": range(len(made)), "page_number": [p for _, p in made], "content": ["\n\n".join(c) for c, _ in made]})
+def grouped(elements: list[tuple[str, str, int]], most: int, overlap: int) -> list[tuple[list[str], int]]:
+    """All chunks of one document's (type, content, page) elements in order."""
+    p = ElementPacker(most, overlap)
+    return [chunk for x in elements for chunk in p.add(*x)] + p.end()
+
 
-    return elements.select("document_id", "page_number", "element_type", "content", "reading_order").groupBy("document_id").applyInPandas(one, "document_id long, chunk_index long, page_number int, content string")
+def pack_elements(elements: DataFrame, most: int = 400, overlap: int = 80) -> DataFrame:
+    """document_id, chunk_index, page_number, content: whole elements packed to a number of words. The packing of a document is sequential."""
+    return in_order(
+        elements, ["document_id"], "reading_order", ["page_number", "element_type", "content"], lambda row: ElementPacker(most, overlap), lambda packer, row: packer.add(row[2], row[3] or "", row[1]),
+        lambda chunk: (chunk[1], "\n\n".join(chunk[0])), "document_id long, chunk_index long, page_number int, content string",
+    )
 
 
 def boundary_chunks(elements: DataFrame) -> DataFrame:

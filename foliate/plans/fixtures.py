@@ -48,7 +48,8 @@ class Fixtures:
     def marked_text(self) -> DataFrame:
         prefix = F.expr("CASE WHEN p % 11 = 0 THEN '# ' WHEN p % 11 = 4 THEN '## ' WHEN p % 11 = 7 THEN '### ' WHEN p % 5 = 3 THEN '- ' ELSE '' END")
         made = F.concat(prefix, "line", F.when(F.col("p") % 6 == 5, "\n").otherwise(""))
-        return self.line().groupBy("document_id", "page_number").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p", made.alias("s")))), lambda x: x["s"]), "\n").alias("raw_text"))
+        # dealt by document alone, so that pages need no other shuffle to meet what is known of their document
+        return self.line().repartition("document_id").groupBy("document_id", "page_number").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p", made.alias("s")))), lambda x: x["s"]), "\n").alias("raw_text"))
 
     def element(self) -> DataFrame:
         kind = F.expr("CASE WHEN p % 11 IN (0, 4, 7) THEN 'heading' WHEN p % 5 = 3 THEN 'bullet_list' WHEN p % 13 = 6 THEN 'table' WHEN p % 13 = 9 THEN 'image' WHEN p % 13 = 10 THEN 'caption' ELSE 'paragraph' END")
