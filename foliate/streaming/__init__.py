@@ -9,11 +9,12 @@ from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from foliate.operators import facts, quality, vectors
-from foliate.operators.events import MAX_RETRIES
+from foliate.operators.events import MAX_RETRIES, delivery_status
 from foliate.sources import shared_folder
 
 #: Where a null time stands.
@@ -84,31 +85,18 @@ def detect_conflicts(new: DataFrame, known: DataFrame, reports: DataFrame) -> Da
 
 
 def fold_deliveries(log: DataFrame) -> DataFrame:
-    """log(message_id, attempt_ts, event_id, ok): status and retry_count of each message, the state being held by message.
+    """log(message_id, attempt_ts, event_id, ok): status and retry_count of each message.
 
-    Attempts may come in any order and as late as they like: the state has a message's attempts in order up to the one that closes
-    it, three at most; an earlier attempt can only close it earlier. The state is kept.
+    Attempts may come in any order and as late as they like: of each batch a message's attempts are written up to the one that closes it, three at most, as what
+    follows that one counts for nothing whatever else comes. The batch twin folds what was written; no state is held.
     """
+    w = W.partitionBy("message_id").orderBy("attempt_ts", "event_id", F.desc("ok"))
+    closed = F.coalesce(F.max("ok").over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(False))
 
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(batches))
-        held = list(zip(*state.get)) if state.exists else []
-        new = zip(rows["at"].tolist(), rows["event_id"].tolist(), rows["ok"].tolist())
-        status, retries, kept = "pending", 0, []
-        for attempt in sorted([*held, *new]):
-            kept.append(attempt)
-            status, retries = ("completed", retries) if attempt[2] else ("dead_letter" if retries + 1 >= MAX_RETRIES else "pending", retries + 1)
-            if status != "pending":
-                break
-        state.update(tuple(map(list, zip(*kept))))
-        yield pd.DataFrame({"message_id": [key[0]], "status": [status], "retry_count": [retries]})
-
-    at = F.coalesce(F.unix_micros(F.col("attempt_ts").cast("timestamp")), F.lit(-(1 << 63)))  # null comes first, as in the batch twin
-    rows = log.select("message_id", "event_id", at.alias("at"), F.coalesce("ok", F.lit(False)).alias("ok"))
-    out = rows.groupBy("message_id").applyInPandasWithState(step, "message_id long, status string, retry_count int", "at array<long>, event_id array<long>, ok array<boolean>", "update", GroupStateTimeout.NoTimeout)
-    written = drained(out, lambda batch, _: batch, "update")
-    last = written.groupBy("message_id").agg(F.max_by(F.struct("status", "retry_count"), F.col("batch")).alias("s"))
-    return last.select("message_id", "s.status", "s.retry_count")
+    def first(batch: DataFrame, _: int) -> DataFrame:
+        return batch.withColumn("nth", F.row_number().over(w)).withColumn("closed", closed).filter((F.col("nth") <= MAX_RETRIES) & ~F.col("closed")).drop("nth", "closed")
+
+    return delivery_status(drained(log.select("message_id", "attempt_ts", "event_id", F.coalesce("ok", F.lit(False)).alias("ok")), first).drop("batch"))
 
 
 def fold_lifecycle(log: DataFrame, keep: int | None = None) -> DataFrame:

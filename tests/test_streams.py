@@ -109,3 +109,20 @@ def test_a_subject_with_most_facts_is_dealt_over_salts(spark, tmp_path):
     got = changed(spark, str(tmp_path / "hot"), [rows[:30], rows[30:]], [])
     hot = [i for i in range(60) if i % 3]
     assert got == [(a, b, "numeric") for a in hot for b in hot if a < b]
+
+
+def test_deliveries_write_the_attempts_that_count_and_hold_no_state(spark, tmp_path, monkeypatch):
+    rows = [(1, None, 1, None), (1, "2024-01-02", 2, True), (1, "2024-01-03", 3, False), (2, "2024-01-01", 4, True), (2, "2024-01-01", 4, False)] + [(3, "2024-01-01", 10 + i, False) for i in range(50)]
+    frame = spark.createDataFrame(rows, "message_id long, attempt_ts string, event_id long, ok boolean")
+    frame.coalesce(1).write.parquet(str(tmp_path / "log"))
+    written, before = [], streaming.drained
+
+    def drained(stream, *rest):
+        assert "WithState" not in stream._jdf.queryExecution().logical().toString()
+        written.append(before(stream, *rest))
+        return written[-1]
+
+    monkeypatch.setattr(streaming, "drained", drained)
+    got = streaming.fold_deliveries(spark.readStream.schema(frame.schema).parquet(str(tmp_path / "log")))
+    assert {tuple(r) for r in got.collect()} == {tuple(r) for r in events.delivery_status(frame).collect()} == {(1, "completed", 1), (2, "completed", 0), (3, "dead_letter", 3)}
+    assert written[0].count() == 2 + 1 + 3
