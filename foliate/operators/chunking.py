@@ -252,7 +252,7 @@ def parents(elements: DataFrame) -> DataFrame:
 
 def flattened(elements: DataFrame, depth: int | None = None) -> DataFrame:
     """document_id, block_id, level_down: roots at 0, their children below, level by level to the last (or to a depth). What hangs on a cycle is under no root."""
-    rows = elements.select("document_id", "block_id", "parent_block_id")
+    rows = cut(elements.select("document_id", "block_id", "parent_block_id"))  # read again for each level
     at = rows.filter("parent_block_id is null").select("document_id", "block_id", F.lit(0).alias("level_down"))
     found = []
     while depth is None or len(found) < depth:
@@ -271,7 +271,7 @@ def tree_order(elements: DataFrame) -> DataFrame:
 
     The walk goes down into each element and up out of it again; each step knows the next one. By pointer doubling every step learns how many elements
     are still to come and how far down it is, so a chain of any depth takes as many rounds as its length has binary digits. Each round is a
-    written table. What hangs on a cycle, or on an element that is not there, is under no root and left out. block_id is unique in a document.
+    written table of the documents that are large enough to need it. What hangs on a cycle, or on an element that is not there, is under no root and left out. block_id is unique in a document.
     """
     doc = ["document_id"]
     rows = cut(elements.select(*doc, "block_id", "parent_block_id", "reading_order", F.monotonically_increasing_id().alias("node")))
@@ -279,21 +279,23 @@ def tree_order(elements: DataFrame) -> DataFrame:
     placed = rows.withColumn("next_sibling", F.lead("node").over(siblings)).withColumn("nth", F.row_number().over(siblings))
     first = placed.filter("nth = 1 and parent_block_id is not null").select(*doc, F.col("parent_block_id").alias("block_id"), F.col("node").alias("first_child"))
     above = rows.select(*doc, F.col("block_id").alias("parent_block_id"), F.col("node").alias("parent"))
-    known = cut(placed.join(first, [*doc, "block_id"], "left").join(above, [*doc, "parent_block_id"], "left"))
+    # 2 n steps are gone through once 2^rounds is as many
+    rounds = F.ceil(F.log2(2 * F.count(F.lit(1)).over(W.partitionBy(*doc)))).cast("int")
+    known = cut(placed.join(first, [*doc, "block_id"], "left").join(above, [*doc, "parent_block_id"], "left").withColumn("rounds", rounds))
     # steps: 2 node for the way down, 2 node + 1 for the way up; a step whose parent is missing leads to itself, so it never ends
-    down = known.select((F.col("node") * 2).alias("step"), F.coalesce(F.col("first_child") * 2, F.col("node") * 2 + 1).alias("next"), F.lit(1).cast("long").alias("left"), F.lit(1).cast("long").alias("rise"))
+    down = known.select((F.col("node") * 2).alias("step"), F.coalesce(F.col("first_child") * 2, F.col("node") * 2 + 1).alias("next"), F.lit(1).cast("long").alias("left"), F.lit(1).cast("long").alias("rise"), "rounds")
     after = F.coalesce(F.col("next_sibling") * 2, F.col("parent") * 2 + 1, F.when(F.col("parent_block_id").isNotNull(), F.col("node") * 2 + 1))
-    up = known.select((F.col("node") * 2 + 1).alias("step"), after.alias("next"), F.lit(0).cast("long").alias("left"), F.lit(-1).cast("long").alias("rise"))
+    up = known.select((F.col("node") * 2 + 1).alias("step"), after.alias("next"), F.lit(0).cast("long").alias("left"), F.lit(-1).cast("long").alias("rise"), "rounds")
     steps = cut(down.unionByName(up))
-    ended = steps.filter("next is null").count()
-    while True:
+    last, ended = steps.agg(F.max("rounds")).first()[0] or 0, []
+    for k in range(1, last + 1):
         to = steps.select(F.col("step").alias("next"), F.col("next").alias("then"), F.col("left").alias("more"), F.col("rise").alias("further"))
-        going = steps.filter("next is not null").join(to, "next").select("step", F.col("then").alias("next"), (F.col("left") + F.col("more")).alias("left"), (F.col("rise") + F.col("further")).alias("rise"))
-        steps = cut(steps.filter("next is null").unionByName(going))
-        before, ended = ended, steps.filter("next is null").count()
-        if ended == before:
-            break
-    found = steps.filter("next is null and step % 2 = 0").select((F.col("step") / 2).cast("long").alias("node"), "left", (-F.col("rise")).cast("int").alias("level_down"))
+        going = steps.filter("next is not null").join(to, "next").select("step", F.col("then").alias("next"), (F.col("left") + F.col("more")).alias("left"), (F.col("rise") + F.col("further")).alias("rise"), "rounds")
+        made = cut(steps.filter("next is null").unionByName(going))
+        ended.append(made.filter(F.col("rounds") == k))
+        steps = made.filter(F.col("rounds") > k)
+    done = reduce(DataFrame.unionByName, ended or [steps]).filter("next is null and step % 2 = 0")
+    found = done.select((F.col("step") / 2).cast("long").alias("node"), "left", (-F.col("rise")).cast("int").alias("level_down"))
     whole = cut(known.select(*doc, "block_id", "parent_block_id", "node").join(found, "node"))
     sizes = whole.groupBy(*doc).agg(F.count(F.lit(1)).alias("n"))
     return whole.join(sizes, "document_id").select("document_id", "block_id", "parent_block_id", "level_down", (F.col("n") - F.col("left") + 1).alias("position"))

@@ -193,3 +193,23 @@ def test_totals_at_several_levels_and_errors_of_sketches(spark):
             assert r.median_v is None
     none = totals(frame.limit(0), [["a"], []], ["v"], ["user"], ["v"]).collect()
     assert [r.n for r in none if r.level == 1] in ([], [0])
+
+
+def test_trees_write_only_what_large_documents_still_need(spark, monkeypatch):
+    rows = [(1, f"a{i}", f"a{i - 1}" if i else None, i) for i in range(300)] + [(d, f"b{i}", "b0" if i else None, i) for d in range(2, 60) for i in range(4)] + [(90, "x", "y", 0), (90, "y", "x", 1), (90, "z", None, 2)]
+    e = spark.createDataFrame(rows, "document_id long, block_id string, parent_block_id string, reading_order int")
+    sizes, before = [], chunking.cut
+
+    def cut(df):
+        made = before(df)
+        sizes.append(made.count() if "step" in made.columns else 0)
+        return made
+
+    monkeypatch.setattr(chunking, "cut", cut)
+    got = {(r.document_id, r.block_id): (r.level_down, r.position) for r in chunking.tree_order(e).collect()}
+    assert got == {(1, f"a{i}"): (i, i + 1) for i in range(300)} | {(d, f"b{i}"): (min(i, 1), i + 1) for d in range(2, 60) for i in range(4)} | {(90, "z"): (0, 1)}
+    assert [n for n in sizes if n][-1] == 600  # the last rounds are of the one deep document alone
+    read = []
+    monkeypatch.setattr(chunking, "cut", lambda df: read.append(df.columns) or before(df))
+    levels = chunking.flattened(e.filter("document_id = 2 or document_id = 90")).collect()
+    assert sorted((r.block_id, r.level_down) for r in levels) == [("b0", 0), ("b1", 1), ("b2", 1), ("b3", 1), ("z", 0)] and read[0] == ["document_id", "block_id", "parent_block_id"]
