@@ -5,7 +5,7 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,9 +25,12 @@ def embed(text: Column, model: str, size: int | None = None) -> Column:
     """The slot for a model: one Arrow-batched call per batch of texts."""
     size = size or DIMENSIONS.get(model, DEFAULT_DIMENSION)
 
-    @F.pandas_udf("array<float>")
-    def run(texts: pd.Series) -> pd.Series:
-        return texts.fillna("").map(lambda t: unit_vector(t, model, size).astype("float32"))
+    @F.arrow_udf("array<float>")
+    def run(texts: pa.Array) -> pa.Array:
+        made = np.empty((len(texts), size), np.float32)
+        for i, t in enumerate(texts.to_pylist()):
+            made[i] = unit_vector(t or "", model, size)
+        return pa.ListArray.from_arrays(np.arange(0, made.size + 1, size, dtype=np.int32), made.ravel())
 
     return run(text)
 
