@@ -212,11 +212,20 @@ def number_in(text: Column) -> Column:
     return _first(text, r"\d+(?:\.\d+)?").cast("double")
 
 
+def traits(value: Column) -> Column:
+    """What decides a pair's kind: made once for a value that meets many."""
+    return F.struct(normal_value(value).alias("normal"), number_in(value).alias("number"), _first(value, r"(?:19|20)\d{2}").alias("year"))
+
+
+def kind_of(a: Column, b: Column) -> Column:
+    """duplicate, numeric, temporal or needs_llm, in this order, by the traits of two values."""
+    kind = F.when(a["normal"] == b["normal"], "duplicate").when(a["number"] != b["number"], "numeric")
+    return kind.when(a["year"] != b["year"], "temporal").otherwise("needs_llm")
+
+
 def pair_kind(a: Column, b: Column) -> Column:
-    """duplicate, numeric, temporal or needs_llm, in this order."""
-    year = r"(?:19|20)\d{2}"
-    kind = F.when(normal_value(a) == normal_value(b), "duplicate").when(number_in(a) != number_in(b), "numeric")
-    return kind.when(_first(a, year) != _first(b, year), "temporal").otherwise("needs_llm")
+    """The kind of a pair of values."""
+    return kind_of(traits(a), traits(b))
 
 
 def unordered(df: DataFrame, a: str, b: str) -> DataFrame:

@@ -15,7 +15,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from foliate.operators import facts, quality, vectors
 from foliate.operators.events import MAX_RETRIES, delivery_status
-from foliate.sources import shared_folder
+from foliate.sources import cut, shared_folder
 
 #: Where a null time stands.
 FIRST = -(1 << 63)
@@ -37,43 +37,46 @@ def drained(stream: DataFrame, each: Callable[[DataFrame, int], DataFrame], mode
 SIGNS = {"insert": 1, "update_postimage": 1, "update_preimage": -1, "delete": -1}
 
 
-def watch_conflicts(changes: DataFrame, known: DataFrame, reports: DataFrame, salts: int = 4) -> DataFrame:
+#: Kinds of a pair; of several the first counts.
+KINDS = ["duplicate", "needs_llm", "numeric", "temporal"]
+
+
+def watch_conflicts(changes: DataFrame, known: DataFrame, reports: DataFrame, many: int = 10_000) -> DataFrame:
     """changes(facts' columns, change, version) as a stream: the pairs of a fact that came or changed with its subject's active facts, after all changes.
 
-    Each change is a signed row, and pairs are signed products: a join of the stream with itself, in which each two rows meet when the later one comes,
-    whatever the order of the files. What is left of a pair is the sum of its signs, so a deletion takes back what its fact brought, and no batch reads what
-    earlier ones brought: their rows are the join's state, by subject. It is dealt by `salts` hashes of the coming fact, for which the other side is held that many times.
+    Each change is a signed row, which its batch writes; no state is held and no batch reads what earlier ones brought. A pair's sign is the product of its rows' signs, and
+    what is left of a pair is the sum over its rows, which is the product of sums: so the rows of a fact and value are summed first, in whatever order the files came, what
+    was taken back goes, and only what is left is paired, once. A subject of more new facts than `many` is dealt over tasks by a hash of them, its other side being held as often.
 
     version: 0 for the image of a fact that was known before the stream, 1 and up for images that came with it. Known facts do not pair with each other,
     so images of version 0 are siblings only. Rows with a null fact, project or subject pair with nothing, as in the batch twin; an unknown change ends the job.
-    A pair with an open report is left out. The log must be whole: an image that is taken back has to have come, be it later. The state is kept.
+    A pair with an open report is left out. The log must be whole: an image that is taken back has to have come, be it later.
     """
-    spark, folder = changes.sparkSession, shared_folder(changes.sparkSession)
-    columns = ["fact_id", "project_id", "subject_id", "object_text", "status", "deleted_at", "sign", "version"]
+    columns = ["fact_id", "project_id", "subject_id", "object_text", "new_sign", "sign"]
     sign = F.raise_error(F.concat(F.lit("no change is called "), F.coalesce("change", F.lit("null"))))
     for change, value in SIGNS.items():
         sign = F.when(F.col("change") == change, value).otherwise(sign)
-    signed = changes.withColumn("sign", sign.cast("int")).withColumn("version", F.col("version").cast("int")).select(columns)
-    before = known.withColumn("sign", F.lit(1)).withColumn("version", F.lit(0)).select(columns)
-    before.write.parquet(folder)
-    siblings = facts.live(signed.unionByName(spark.readStream.schema(signed.schema).parquet(folder))).filter(F.col("status").isin(facts.ACTIVE))
-    key = ["project_id", "subject_id", "salt"]
-    left = signed.filter("version > 0").select(
-        F.col("fact_id").alias("new_id"), "project_id", "subject_id", F.col("object_text").alias("new_object"), F.col("sign").alias("new_sign"),
-        F.pmod(F.xxhash64("fact_id"), F.lit(salts)).cast("int").alias("salt"),
-    )
-    right = siblings.select(
-        F.col("fact_id").alias("sibling_id"), "project_id", "subject_id", F.col("object_text").alias("sibling_object"), F.col("sign").alias("sibling_sign"),
-        F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"),
-    )
-    met = left.join(right, key).filter("new_id <> sibling_id").select(
-        F.least("new_id", "sibling_id").alias("first_fact_id"), F.greatest("new_id", "sibling_id").alias("second_fact_id"),
-        facts.pair_kind(F.col("new_object"), F.col("sibling_object")).alias("kind"), (F.col("new_sign") * F.col("sibling_sign")).alias("n"),
-    )
-    summed = lambda pairs: pairs.groupBy("first_fact_id", "second_fact_id", "kind").agg(F.sum("n").alias("n"))
-    left_over = summed(drained(met, lambda batch, _: summed(batch))).filter("n > 0")
-    found = left_over.groupBy("first_fact_id", "second_fact_id").agg(F.min("kind").alias("kind"))
-    return found.join(facts.unordered(reports.filter("status = 'open'"), "first_fact_id", "second_fact_id"), ["first_fact_id", "second_fact_id"], "left_anti")
+    came = F.when(F.col("version") > 0, F.col("sign")).otherwise(0)
+    counts = lambda rows: rows.withColumn("new_sign", came).withColumn("sign", F.when(F.col("deleted_at").isNull() & F.col("status").isin(facts.ACTIVE), F.col("sign")).otherwise(0)).select(columns)
+    signed = drained(counts(changes.withColumn("sign", sign.cast("int"))), lambda batch, _: batch).select(columns)
+    before = counts(known.withColumn("sign", F.lit(1)).withColumn("version", F.lit(0)))
+    rows = signed.unionByName(before).filter("fact_id is not null and project_id is not null and subject_id is not null")
+    summed = rows.groupBy(columns[:4]).agg(F.sum("new_sign").alias("n_new"), F.sum("sign").alias("n")).filter("n_new <> 0 or n <> 0")
+    left_over = cut(summed.withColumn("traits", facts.traits(F.col("object_text"))).drop("object_text"))
+    key = ["project_id", "subject_id"]
+    parts = left_over.filter("n_new <> 0").groupBy(key).agg(F.ceil(F.count(F.lit(1)) / many).cast("int").alias("parts")).filter("parts > 1")
+    dealt = left_over.join(cut(parts), key, "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    left = dealt.filter("n_new <> 0").select(*key, F.pmod(F.xxhash64("fact_id"), "parts").cast("int").alias("part"), F.struct("fact_id", "n_new", "n", "traits").alias("a"))
+    right = dealt.select(*key, F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.struct("fact_id", "n_new", "n", "traits").alias("b"))
+    # two new facts meet once, and count both ways
+    met = left.join(right, [*key, "part"]).filter("a.fact_id <> b.fact_id and (b.n_new = 0 or a.fact_id < b.fact_id)")
+    n = F.col("a.n_new") * F.col("b.n") + F.col("b.n_new") * F.col("a.n")
+    kind = F.array_position(F.array(*map(F.lit, KINDS)), facts.kind_of(F.col("a.traits"), F.col("b.traits"))).cast("int")
+    pair = ["first_fact_id", "second_fact_id"]
+    pairs = met.select(F.least("a.fact_id", "b.fact_id").alias(pair[0]), F.greatest("a.fact_id", "b.fact_id").alias(pair[1]), kind.alias("kind"), n.alias("n")).filter("n <> 0")
+    some = pairs.repartition(*pair).groupBy(*pair, "kind").agg(F.sum("n").alias("n")).filter("n > 0").groupBy(pair).agg(F.min("kind").alias("kind"))
+    found = some.select(*pair, F.element_at(F.array(*map(F.lit, KINDS)), F.col("kind")).alias("kind"))
+    return found.join(facts.unordered(reports.filter("status = 'open'"), *pair), pair, "left_anti")
 
 
 def detect_conflicts(new: DataFrame, known: DataFrame, reports: DataFrame) -> DataFrame:

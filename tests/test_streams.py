@@ -126,3 +126,29 @@ def test_deliveries_write_the_attempts_that_count_and_hold_no_state(spark, tmp_p
     got = streaming.fold_deliveries(spark.readStream.schema(frame.schema).parquet(str(tmp_path / "log")))
     assert {tuple(r) for r in got.collect()} == {tuple(r) for r in events.delivery_status(frame).collect()} == {(1, "completed", 1), (2, "completed", 0), (3, "dead_letter", 3)}
     assert written[0].count() == 2 + 1 + 3
+
+
+def test_conflicts_write_signed_rows_and_hold_no_state(spark, tmp_path, monkeypatch):
+    """A batch writes a row for each change, the stream joins nothing; a subject of many new facts is dealt over tasks."""
+    written, before = [], streaming.drained
+
+    def drained(stream, *rest):
+        assert "Join" not in stream._jdf.queryExecution().logical().toString()
+        written.append(before(stream, *rest))
+        return written[-1]
+
+    monkeypatch.setattr(streaming, "drained", drained)
+    rows = [(i, 1 if i % 4 else 2, f"{i} mg", "insert", 1) for i in range(40)] + [(1, 1, "1 mg", "delete", 1), (100, 1, "100 mg", "update_preimage", 0), (100, 1, "3 mg", "update_postimage", 1)]
+    known = [(100, 1, "100 mg"), (101, 1, "7 mg"), (102, 1, "7 mg")]
+    log = spark.createDataFrame([(i, 1, s, "dose", v, 0.9, "rejected" if i == 5 else "unverified", None, None, c, n) for i, s, v, c, n in rows], FACT + ", change string, version int")
+    log.repartition(3).write.parquet(str(tmp_path / "log"))
+    old = spark.createDataFrame([(i, 1, s, "dose", v, 0.9, "unverified", None, None) for i, s, v in known], FACT)
+    stream = spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "log"))
+    got = streaming.watch_conflicts(stream, old, spark.createDataFrame([], NO_REPORTS), many=3)
+    value = {i: i for i in range(40) if i != 1} | {100: 3, 101: 7, 102: 7}
+    subject = {i: 2 if i < 40 and i % 4 == 0 else 1 for i in value}
+    wanted = {(a, b, "duplicate" if value[a] == value[b] else "numeric") for a in value for b in value if a < b and subject[a] == subject[b] and (a, b) != (101, 102)}
+    rejected = {(a, b, k) for a, b, k in wanted if 5 in (a, b) and max(a, b) > 100}
+    # 5 counts as new but is no sibling: it meets those that are siblings, known ones too
+    assert rejected and sorted(map(tuple, got.collect())) == sorted(wanted)
+    assert written[0].count() == len(rows)
